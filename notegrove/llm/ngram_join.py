@@ -3,16 +3,16 @@
 Documents link when their sets of word shingles have a Jaccard similarity of the threshold or more.
 
 Nodes and groups. Documents with the same set are one node. Shingles have one global order: rare ones
-before frequent ones (those met ``OFTEN`` times in a first round; a bitmap of fixed size tells them apart,
-and a false positive only changes the order), then by hash. Two linked sets share a shingle among
+before frequent ones (by the ``RANKS`` that their counts reach in a first round; bitmaps of fixed size
+tell them apart, and a false positive only changes the order), then by hash. Two linked sets share a shingle among
 the first |x| - ceil(t |x|) + 1 of each. Nodes with the same prefix and size form one group, which is
 indexed once.
 
 Group pairs. The groups of each prefix shingle are a run. A run first gives a star and a chain of
 pairs, not all pairs; these are filtered by size and by an exact bound of the overlap from 1024-bit
 parity bitmaps (2 |x and y| <= |x| + |y| - differing bits), expanded to members and verified on the whole sets. Their
-links give components. A second round takes only the runs that still hold several components, and
-tries every pair of nodes of different components there. So each pair that shares a prefix shingle is
+links give components. A second round takes only the runs that still hold several components, in
+blocks, and compares every two nodes of different components there by size and parity; what is left is verified. So each pair that shares a prefix shingle is
 either tried or inside one component already: no component is missed, and a group of thousands of near copies
 costs a multiple of its size rather than the square.
 
@@ -36,11 +36,13 @@ from notegrove.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
-OFTEN = 32
-ORDER_BITS = 1 << 25
+#: Counts at which a shingle moves a rank back in the order; each rank has a bitmap of RANK_BITS.
+RANKS = (32, 256, 2048, 16384)
+RANK_BITS = 1 << 23
 PARITY = 1024
 POOL_SHINGLES = 400_000
 RUN_ROW = 4096
+BLOCK = 512
 _U = np.uint64
 _WORD = byte_class("space")
 
@@ -91,9 +93,8 @@ def _order_bitmap(source: DataFrame, n: int, percent: int, buckets: int) -> np.n
 
     def send(pool: dict[int, np.ndarray]) -> pa.RecordBatch:
         h, count = np.unique(np.concatenate(list(pool.values())), return_counts=True)
-        h = np.repeat(h, np.minimum(count, OFTEN))
-        rows = list(scatter(h, buckets, [h]))
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1] for r in rows], pa.binary())})
+        rows = list(scatter(h, buckets, [h, count.astype(np.uint16)]))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1] for r in rows], pa.binary()), "c": pa.array([r[2] for r in rows], pa.binary())})
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, held = {}, 0
@@ -109,16 +110,29 @@ def _order_bitmap(source: DataFrame, n: int, percent: int, buckets: int) -> np.n
             yield send(pool)
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [np.frombuffer(x, _U) for b in batches for x in b.column("h").to_pylist()]
+        every = [(np.frombuffer(x, _U), np.frombuffer(y, np.uint16)) for b in batches for x, y in zip(b.column("h").to_pylist(), b.column("c").to_pylist(), strict=True)]
         if every:
-            h = np.sort(np.concatenate(every))
-            k = np.flatnonzero(h[OFTEN - 1 :] == h[: len(h) - OFTEN + 1])
-            bits = np.unique(h[k] % _U(ORDER_BITS)).astype(np.int64)
-            for i in range(0, len(bits), 100_000):
-                yield pa.RecordBatch.from_pydict({"b": bits[i : i + 100_000]})
+            h, count = (np.concatenate(x) for x in zip(*every, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, count = h[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total = np.add.reduceat(count.astype(np.int64), first)
+            for rank, least in enumerate(RANKS):
+                bits = np.unique(h[first[total >= least]] % _U(RANK_BITS)).astype(np.int64) + rank * RANK_BITS
+                for i in range(0, len(bits), 100_000):
+                    yield pa.RecordBatch.from_pydict({"b": bits[i : i + 100_000]})
 
-    sent = source.mapInArrow(emit, "bucket int, h binary").repartition(buckets, "bucket").select("h")
-    return bitmap(sent.mapInArrow(often, "b long"), F.col("b"), ORDER_BITS)
+    sent = source.mapInArrow(emit, "bucket int, h binary, c binary").repartition(buckets, "bucket").select("h", "c")
+    return bitmap(sent.mapInArrow(often, "b long"), F.col("b"), len(RANKS) * RANK_BITS)
+
+
+def rank_of(bitmaps: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """How frequent each shingle is, from 0 (rare) on; the same for the same shingle in every set."""
+    bit = s % _U(RANK_BITS)
+    out = np.zeros(len(s), np.int8)
+    for rank in range(len(RANKS)):
+        out += marked(bitmaps, bit + _U(rank * RANK_BITS))
+    return out
 
 
 _INDEX = "kind int, k long, sig long, gid long, n long, bits binary, run long, gids array<long>"
@@ -150,9 +164,8 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         for b in blocks(batches, lower=True):
             ids, seen = b.column("k"), set()
             for r, s in shingle_sets(b, n):
-                later = marked(held.value, s % _U(ORDER_BITS))
                 m = len(s)
-                p = np.concatenate([s[~later], s[later]])[: prefix_size(m, percent)]
+                p = s[np.argsort(rank_of(held.value, s), kind="stable")][: prefix_size(m, percent)]
                 gid = signature(np.append(p, _U(m)))
                 if gid not in pool:
                     pool[gid] = (p, m)
@@ -232,41 +245,113 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, source: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+    """The pairs (a, b) whose whole sets reach the similarity. Texts travel, not sets, which are larger; only those
+    of documents that stand for a node of some pair."""
     pairs = stored(pairs)
-    wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("a").alias("sig")).unionByName(pairs.select(F.col("doc_b").alias("doc"), F.col("b").alias("sig"))).distinct()
+    ends = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc"))
     bits = 1 << 23
-    held = source.sparkSession.sparkContext.broadcast(packed_ids(wanted, "doc", bits))
+    held = source.sparkSession.sparkContext.broadcast(packed_ids(ends, "doc", bits))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("k")
-            known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
-            ok = known & marked(held.value, id_bit(ids.fill_null(0).to_numpy(), bits))
-            if not ok.any():
-                continue
-            for b in blocks(iter([batch.filter(pa.array(ok))]), lower=True):
-                got = list(shingle_sets(b, n))
-                if got:
-                    own = b.column("k")
-                    yield pa.RecordBatch.from_pydict({"sig": pa.array([signature(s) for _, s in got], pa.int64()), "doc": pa.array([own[r] for r, _ in got], pa.int64()), "s": pa.array([s.tobytes() for _, s in got], pa.binary())})
-
-    held_sets = stored(source.mapInArrow(sets, "sig long, doc long, s binary").join(wanted, ["doc", "sig"], "left_semi").dropDuplicates(["sig"]).select("sig", "s"))
+            ok = ids.is_valid().to_numpy(zero_copy_only=False) & marked(held.value, id_bit(ids.fill_null(0).to_numpy(), bits))
+            if ok.any():
+                yield batch.filter(pa.array(ok))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = np.sort(np.concatenate([x, y]))
-                o = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.select("a", "b").join(held_sets.withColumnRenamed("sig", "a"), "a").join(held_sets.select(F.col("sig").alias("b"), F.col("s").alias("t")), "b")
+        known: dict[int, np.ndarray] = {}
+
+        def sets(batch: pa.RecordBatch, sig: str, text: str) -> list[np.ndarray | None]:
+            """The sets of a column of texts, each made once while it is remembered; None if another text of
+            the same doc_id came."""
+            sigs = batch.column(sig).to_pylist()
+            new = {x: i for i, x in enumerate(sigs) if x not in known}
+            if len(known) > 4000:
+                known.clear()
+                new = {x: i for i, x in enumerate(sigs)}
+            if new:
+                part = pa.RecordBatch.from_pydict({"text": batch.column(text).take(pa.array(list(new.values())))})
+                for b in blocks(iter([part]), lower=True):
+                    for _, s in shingle_sets(b, n):
+                        known[signature(s)] = s
+            return [known.get(x) for x in sigs]
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                ok = []
+                for x, y in zip(sets(batch, "a", "s"), sets(batch, "b", "t"), strict=True):
+                    both = np.sort(np.concatenate([x, y])) if x is not None and y is not None else None
+                    o = 0 if both is None else int(np.count_nonzero(both[1:] == both[:-1]))
+                    ok.append(both is not None and 100 * o >= percent * (len(both) - o))
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    texts = source.mapInArrow(wanted, source.schema)
+    both = pairs.join(texts.select(F.col("k").alias("doc_a"), F.col("text").alias("s")), "doc_a").join(texts.select(F.col("k").alias("doc_b"), F.col("text").alias("t")), "doc_b")
     return both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
+def _across(spread: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Pairs (a, b, doc_a, doc_b) of nodes of different components that share a run and that size and parity
+    do not rule out. spread: (run, sig, n, component). A long run is cut into blocks of BLOCK members and each pair of
+    blocks compared on its own; a pair is given by the first run that its two nodes share, so once."""
+    size = spread.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    size = size.select("run", F.ceil(F.col("c") / BLOCK).cast("int").alias("cells"))
+    left = spread.join(size, "run")
+    lists = left.groupBy("sig").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    rows = left.join(nodes.select("sig", "doc", "bits").join(lists, "sig"), "sig")
+    own = F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.select("run", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sig", "doc", "n", "component", "bits", "runs")
+    dealt = rows.repartition(buckets, "run", "x", "y").sortWithinPartitions("run", "x", "y")
+
+    def compare(key: tuple, part: pa.Table) -> pa.RecordBatch | None:
+        n, comp, own, sig, doc = (part.column(c).to_numpy() for c in ("n", "component", "own", "sig", "doc"))
+        if len(n) < 2 or comp.min() == comp.max():
+            return None
+        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), _U).reshape(len(n), -1)
+        lists = part.column("runs").to_pylist()
+        run, x, y = key
+        out = []
+        for i in range(0, len(n), 64):
+            k = slice(i, i + 64)
+            apart = np.bitwise_count(bits[k, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
+            total = n[k, None] + n[None, :]
+            overlap = np.minimum((total - apart) // 2, np.minimum(n[k, None], n[None, :]))
+            ok = (100 * overlap >= percent * (total - overlap)) & (comp[k, None] != comp[None, :]) & (sig[k, None] < sig[None, :])
+            if x != y:
+                ok &= own[k, None] != own[None, :]
+            for p, q in zip(*np.nonzero(ok), strict=True):
+                p += i
+                if min(set(lists[p]) & set(lists[q])) == run:
+                    out.append((p, q))
+        if not out:
+            return None
+        p, q = np.array(out).T
+        return pa.RecordBatch.from_pydict({"a": sig[p], "b": sig[q], "doc_a": doc[p], "doc_b": doc[q]})
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([rest, now]).combine_chunks() if rest is not None else now
+            keys = np.stack([now.column(c).to_numpy().astype(np.int64) for c in ("run", "x", "y")], 1)
+            edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for i, j in zip(np.concatenate([[0], edge[:-1]]) if len(edge) else [], edge, strict=True):
+                got = compare(tuple(keys[i].tolist()), now.slice(i, j - i))
+                if got is not None:
+                    yield got
+            rest = now.slice(int(edge[-1]) if len(edge) else 0)
+        if rest is not None and rest.num_rows:
+            key = tuple(int(rest.column(c)[0].as_py()) for c in ("run", "x", "y"))
+            got = compare(key, rest)
+            if got is not None:
+                yield got
+
+    return dealt.mapInArrow(stream, "a long, b long, doc_a long, doc_b long")
+
+
 def _stars(runs: DataFrame) -> DataFrame:
     """Pairs of groups of each run: all with its first, and neighbours by size."""
 
@@ -300,17 +385,7 @@ def ngram_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     label = nodes.select("sig", "gid", "n").join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     spread = runs.select("run", F.explode("gids").alias("gid")).distinct().join(label, "gid").select("run", "sig", "n", "component")
     spread = stored(spread.unionByName(label.select(F.col("gid").alias("run"), "sig", "n", "component")))
-    mixed = spread.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("run")
-    left = spread.join(mixed, "run", "left_semi")
-    x, y = (left.select("run", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "component"))) for s in "xy")
-    rest = (
-        x.join(y, "run")
-        .where((F.col("sig_x") < F.col("sig_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent))
-        .select(F.col("sig_x").alias("a"), F.col("sig_y").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = stored(_verified(_filtered(rest, nodes, percent), source, n, percent))
+    more = stored(_verified(_across(spread, nodes, percent, partitions(spark)), source, n, percent))
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
     by = nodes.select("sig", "doc").join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
