@@ -9,7 +9,7 @@ the first |x| - ceil(t |x|) + 1 of each. Nodes with the same prefix and size for
 indexed once.
 
 Group pairs. The groups of each prefix shingle are a run. A run first gives a star and a chain of
-pairs, not all pairs; these are filtered by size and by an exact bound of the overlap from 1024-bit
+pairs, not all pairs; these are filtered by size and by an exact bound of the overlap from
 parity bitmaps (2 |x and y| <= |x| + |y| - differing bits), expanded to members and verified on the whole sets. Their
 links give components. A second round takes only the runs that still hold several components, in
 blocks, and compares every two nodes of different components there by size and parity; what is left is verified. So each pair that shares a prefix shingle is
@@ -24,6 +24,7 @@ Shingles and sets are known by 64-bit hashes (a set also by its size).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ PERCENT = 75
 RANKS = (32, 256, 2048, 16384)
 RANK_BITS = 1 << 23
 PARITY = 1024
+PARITY_MOST = 1 << 15
 POOL_SHINGLES = 400_000
 RUN_ROW = 4096
 BLOCK = 512
@@ -68,22 +70,35 @@ def signature(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Each bit tells whether an odd number of the set's shingles fall on it."""
-    return np.packbits((np.bincount((s >> _U(7)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    """Each bit tells whether an odd number of the set's shingles fall on it; at least two bits a shingle, up to a bound."""
+    size = PARITY
+    while size < 2 * len(s) and size < PARITY_MOST:
+        size *= 2
+    return np.packbits((np.bincount(((s >> _U(7)) % _U(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap as it would be with fewer bits, as 64-bit words."""
+    w = np.frombuffer(bits, _U)
+    while len(w) * 64 > size:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w
 
 
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
+def index_size(n: int, percent: int) -> int:
+    """The shorter prefix in which the smaller of two linked sets must meet the prefix of the larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-def may_link(n: np.ndarray, m: np.ndarray, x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
     """False only where sizes or parity bitmaps rule the similarity out."""
-    bits = np.frombuffer(b"".join(x), np.uint8) ^ np.frombuffer(b"".join(y), np.uint8)
-    apart = _POPCOUNT[bits].reshape(-1, PARITY // 8).sum(1)
-    overlap = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+    size = 8 * min(len(x), len(y))
+    apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    overlap = min((n + m - apart) // 2, n, m)
     return 100 * overlap >= percent * (n + m - overlap)
 
 
@@ -152,11 +167,12 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         rows = []
         if pool:
             gid = np.repeat(np.array(list(pool), np.int64), [len(p) for p, _ in pool.values()])
-            size = np.repeat(np.array([m for _, m in pool.values()], np.int64), [len(p) for p, _ in pool.values()])
+            # the size is negative where the shingle is in the shorter prefix
+            size = np.concatenate([np.where(np.arange(len(p)) < index_size(m, percent), -m, m) for p, m in pool.values()]).astype(np.int32)
             h = np.concatenate([p for p, _ in pool.values()])
             rows += [(q, 1, a, b, c, None, None) for q, a, b, c in scatter(h, buckets, [h, gid, size])]
         k, sig, gid, size, bits = zip(*docs, strict=True)
-        rows.append((abs(sig[0]) % buckets, 0, np.array(sig, np.int64).tobytes(), np.array(gid, np.int64).tobytes(), np.array(size, np.int64).tobytes(), pa.array(k, pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy().tobytes(), b"".join(bits)))
+        rows.append((abs(sig[0]) % buckets, 0, np.array(sig, np.int64).tobytes(), np.array(gid, np.int64).tobytes(), np.array(size, np.int64).tobytes(), pa.array(k, pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy().tobytes(), pickle.dumps(bits)))
         return batch(rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +201,13 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         for b in batches:
             for kind, h, g, m, k, bits in zip(*(b.column(c).to_pylist() for c in fields[1:]), strict=True):
                 if kind:
-                    pool.append((np.frombuffer(h, _U), np.frombuffer(g, np.int64), np.frombuffer(m, np.int64)))
+                    pool.append((np.frombuffer(h, _U), np.frombuffer(g, np.int64), np.frombuffer(m, np.int32)))
                     continue
                 size = len(h) // 8
                 ids = pa.array(np.frombuffer(k, np.int64), mask=np.frombuffer(k, np.int64) == np.iinfo(np.int64).min)
-                width = PARITY // 8
+                each = pickle.loads(bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * size, pa.int32()), ids, *(pa.array(np.frombuffer(x, np.int64)) for x in (h, g, m)), pa.array([bits[i * width : (i + 1) * width] for i in range(size)], pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.list_(pa.int64()))],
+                    [pa.array([0] * size, pa.int32()), ids, *(pa.array(np.frombuffer(x, np.int64)) for x in (h, g, m)), pa.array(each, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.list_(pa.int64()))],
                     schema=pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("k", "sig", "gid", "n")), ("bits", pa.binary()), ("run", pa.int64()), ("gids", pa.list_(pa.int64()))]),
                 )
         if not pool:
@@ -207,7 +223,9 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             gids, first = np.unique(g[own], return_index=True)
             if len(gids) < 2:
                 continue
-            gids = gids[np.lexsort((gids, m[own][first]))]
+            gids = _partners(gids, m[own][first], percent)
+            if len(gids) < 2:
+                continue
             run = signature(gids.view(_U))
             if run not in seen:
                 seen.add(run)
@@ -230,6 +248,19 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     return source.mapInArrow(emit, schema).repartition(buckets, "bucket").mapInArrow(meet, _INDEX)
 
 
+def _partners(gids: np.ndarray, signed: np.ndarray, percent: int) -> np.ndarray:
+    """The groups of a run by size, without those that no other of the run can link with: sizes must fit, and the
+    smaller of two must have the shingle in its shorter prefix."""
+    size = np.abs(signed).astype(np.int64)
+    order = np.lexsort((gids, size))
+    gids, size, short = gids[order], size[order], signed[order] < 0
+    fits = np.zeros(len(gids), bool)
+    fits[:-1] = short[:-1] & (100 * size[:-1] >= percent * size[1:])
+    last = np.maximum.accumulate(np.where(short, np.arange(len(gids)), -1))[:-1]
+    fits[1:] |= (last >= 0) & (100 * size[np.maximum(last, 0)] >= percent * size[1:])
+    return gids[fits]
+
+
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that size and parity do not rule out, with the documents that stand for them."""
     side = lambda x: nodes.select(F.col("sig").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
@@ -238,8 +269,8 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ok = may_link(*(b.column(c).to_numpy() for c in ("n_a", "n_b")), *(b.column(c).to_pylist() for c in ("bits_a", "bits_b")), percent)
-                yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(ok))
+                ok = [may_link(*x, percent) for x in zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)]
+                yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(keep, "a long, b long, doc_a long, doc_b long")
 
@@ -310,7 +341,8 @@ def _across(spread: DataFrame, nodes: DataFrame, percent: int, buckets: int) ->
         n, comp, own, sig, doc = (part.column(c).to_numpy() for c in ("n", "component", "own", "sig", "doc"))
         if len(n) < 2 or comp.min() == comp.max():
             return None
-        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), _U).reshape(len(n), -1)
+        whole = part.column("bits").to_pylist()
+        bits = np.stack([folded(w, PARITY) for w in whole])
         lists = part.column("runs").to_pylist()
         run, x, y = key
         out = []
@@ -324,7 +356,7 @@ def _across(spread: DataFrame, nodes: DataFrame, percent: int, buckets: int) ->
                 ok &= own[k, None] != own[None, :]
             for p, q in zip(*np.nonzero(ok), strict=True):
                 p += i
-                if min(set(lists[p]) & set(lists[q])) == run:
+                if min(set(lists[p]) & set(lists[q])) == run and may_link(int(n[p]), int(n[q]), whole[p], whole[q], percent):
                     out.append((p, q))
         if not out:
             return None
