@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from notegrove.plans import queries_store, queries_text
+
+QUERIES: dict = queries_text.QUERIES | queries_store.QUERIES
+ORACLE_SQL: dict[str, str] = queries_text.SQL | queries_store.SQL
