@@ -26,7 +26,54 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN = _WORDS.format(x="coalesce(text, '')")
+
 ORACLE_SQL = {
+    "op2_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(x=_LOWER)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM w)),
+        z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d)
+        SELECT w.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.d = w.doc_id) AS component_id FROM w LEFT JOIN z ON z.doc_id = w.doc_id
+    """,
+    "op3_quality_rules": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_PLAIN} AS w FROM documents),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+        rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+        ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(t, E'\n')) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        tw AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY 1, 2) GROUP BY doc_id),
+        f AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+            coalesce(ln.n - ln.u, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(ln.n, 0) AS n_lines, coalesce(tw.n, 0) AS top_word,
+            length(regexp_replace(t, '[^!?]+', '', 'g')) AS bangs, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS uppers, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS letters
+            FROM w LEFT JOIN rw ON rw.doc_id = w.doc_id LEFT JOIN ln ON ln.doc_id = w.doc_id LEFT JOIN tw ON tw.doc_id = w.doc_id),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * bangs > 40 * n_words OR 100 * uppers > 60 * letters OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                 OR 100 * n_dup_lines > 30 * n_lines OR 100 * top_word > 30 * n_words) AS kept FROM b
+    """,
+    "op5_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_ALNUM.format(x=_LOWER)} AS w FROM documents), q AS (SELECT item_id, {_ALNUM.format(x=_LOWER)} AS w FROM benchmark),
+        x AS (SELECT DISTINCT item_id, least(len(w), 10) AS z, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(CASE WHEN len(w) > 0 THEN range(1, greatest(len(w) - 9, 1) + 1) ELSE [] END) AS k FROM q)),
+        p AS (SELECT doc_id, i, z, array_to_string(w[i:i + z - 1], ' ') AS g FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM d, (SELECT DISTINCT z FROM x))),
+        h AS (SELECT doc_id, i, p.z, item_id FROM p JOIN x ON p.g = x.g AND p.z = x.z),
+        c AS (SELECT doc_id, count(DISTINCT u) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + z)) AS u FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+    """,
+    "op6_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+        p AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM p),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS u FROM m WHERE f < doc_id),
+        k AS (SELECT e.doc_id, count(*) FILTER (r.u IS NOT NULL) AS gone, string_agg(e.x, ' ' ORDER BY e.u) FILTER (r.u IS NULL) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS u FROM w) e LEFT JOIN r ON r.doc_id = e.doc_id AND r.u = e.u GROUP BY e.doc_id)
+        SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
     "op7_warc_fixity": """
         SELECT page_id, page_id // 256 AS segment, octet_length(encode(coalesce(html, ''))) AS n_bytes,
                sha256(coalesce(html, '')) AS payload_sha256, page_id % 97 = 5 AS corrupt
