@@ -7,24 +7,40 @@ executor costs the tasks of one stage at most.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrove.llm import decontamination, mixing, ngram_join, quality_classifier, secret_scan
-from notegrove.llm.common import documents, stored
+from notegrove.llm.common import documents, id_bit, marked, packed_ids, stored
+
+GONE_BITS = 1 << 24
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
     ranker = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.scored(docs, ranker, docs.columns).where(F.col("score") >= quality_classifier.CUT).drop("score")
+    return quality_classifier.scored(docs, ranker, docs.columns, name="__score").where(F.col("__score") >= quality_classifier.CUT).drop("__score")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies, and one of rows that are the same throughout."""
     found = stored(ngram_join.ngram_components(docs))
     by = found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
-    kept = docs.join(by.where("stays = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(by.where("stays = 0").select("doc_id"))
+    # most texts need not travel: a bitmap of fixed size tells which documents cannot be among those that go
+    held = spark.sparkContext.broadcast(packed_ids(gone, "doc_id", GONE_BITS))
+
+    def part(maybe: bool):
+        def run(batches):
+            for b in batches:
+                ids = b.column("doc_id")
+                hit = ids.is_valid().to_numpy(zero_copy_only=False) & marked(held.value, id_bit(ids.fill_null(0).to_numpy(), GONE_BITS))
+                yield b.filter(pa.array(hit == maybe))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    kept = part(False).unionByName(part(True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
     again = by.where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
@@ -43,7 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size, their source's target and the words taken. Rows are
     known by doc_id here."""
     plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    return docs.join(plan, "doc_id")
+    # merged at every size: what the mix takes grows with the input
+    return docs.drop("size", "source_size", "target", "taken").join(plan.hint("merge"), "doc_id")
 
 
 STAGES = [
