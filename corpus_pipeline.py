@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrove.llm import decontamination, mixing, ngram_join, quality_classifier, secret_scan
-from notegrove.llm.common import documents, id_bit, marked, packed_ids, stored
+from notegrove.llm.common import documents, id_bit, marked, packed_ids, small_batches, stored
 
 GONE_BITS = 1 << 24
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
+    small_batches(spark)
     ranker = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.scored(docs, ranker, docs.columns, name="__score").where(F.col("__score") >= quality_classifier.CUT).drop("__score")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies, and one of rows that are the same throughout."""
+    small_batches(spark)
     found = stored(ngram_join.ngram_components(docs))
     by = found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
     gone = stored(by.where("stays = 0").select("doc_id"))
@@ -47,17 +49,20 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every occurrence of a benchmark window out of the texts."""
+    small_batches(spark)
     return decontamination.removed(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark."""
+    small_batches(spark)
     return secret_scan.redacted(docs, secret_scan.learned(secret_scan.credentials(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size, their source's target and the words taken. Rows are
     known by doc_id here."""
+    small_batches(spark)
     plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
     # merged at every size: what the mix takes grows with the input
     return docs.drop("size", "source_size", "target", "taken").join(plan.hint("merge"), "doc_id")

@@ -185,7 +185,17 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches between the JVM and Python of at most so many rows: with the default of 10,000 whole texts a batch
+    takes tens of megabytes on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -204,6 +214,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet to the shared folder and read again: lineage ends at files that outlive any
     executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/notegrove-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
