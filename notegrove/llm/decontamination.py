@@ -263,44 +263,64 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents with every hit word cut out (a cut leaves one space); a document of which no word
-    is left goes. Columns and the other rows stay as they are. One pass a block of items."""
+    is left goes. Columns and the other rows stay as they are. One pass a block of items, each over the whole
+    texts: the words that earlier blocks hit travel along as packed pairs, and the last pass cuts."""
     spark = docs.sparkSession
-    if text != "text":
-        raise ValueError("the text column is called text")
-    for items in _item_blocks(benchmark, "item_id", text):
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    mark = "__spans"
+    while mark in docs.columns:
+        mark += "_"
+    schema = docs.schema
+    carried = docs.withColumn(mark, F.lit(None).cast("binary")).schema
+    every = [spark.sparkContext.broadcast(items) for items in _item_blocks(benchmark, "item_id", "text")]
+    for q, held in enumerate(every):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, first_pass=q == 0, last_pass=q == len(every) - 1) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, n)
             for b in blocks(batches, lower=True):
                 starts, ends, at = b.runs(_WORD)
                 _, first, last = windows.find(b.hashes(starts, ends), at)
-                if not len(first):
-                    yield b.batch
-                    continue
                 row = np.searchsorted(at, first, "right") - 1
-                texts, gone = b.batch.column("text").to_pylist(), set()
+                if first_pass:
+                    known, out = [None] * b.n, b.batch
+                else:
+                    known, out = b.column(mark), b.batch.drop_columns([mark])
                 for r in np.unique(row).tolist():
                     own = row == r
-                    mask = covered(int(at[r + 1] - at[r]), first[own] - at[r], last[own] - at[r])
-                    raw, base, parts, done = b.text_bytes(r), int(b.at[r]), [], 0
-                    for s, e in zip(*spans_of(mask), strict=True):
-                        parts.append(raw[done : int(starts[at[r] + s]) - base])
-                        done = int(ends[at[r] + e - 1]) - base
-                    parts.append(raw[done:])
-                    texts[r] = b" ".join(parts).decode()
-                    if mask.all():
-                        gone.add(r)
-                k = b.batch.schema.get_field_index("text")
-                out = b.batch.set_column(k, b.batch.schema.field(k), pa.array(texts, b.batch.schema.field(k).type))
-                if "n_chars" in b.batch.schema.names:
-                    c = b.batch.schema.get_field_index("n_chars")
-                    old = b.batch.column(c).to_pylist()
-                    hit = set(np.unique(row).tolist())
-                    out = out.set_column(c, b.batch.schema.field(c), pa.array([len(texts[r]) if r in hit else old[r] for r in range(b.n)], b.batch.schema.field(c).type))
-                yield out.take(pa.array([r for r in range(b.n) if r not in gone], pa.int64())) if gone else out
-
-        docs = docs.mapInArrow(run, docs.schema)
+                    known[r] = (known[r] or b"") + (np.stack([first[own], last[own]], 1) - at[r]).astype(np.int64).tobytes()
+                if last_pass:
+                    yield _cut(b, out, starts, ends, at, known)
+                else:
+                    yield out.append_column(pa.field(mark, pa.binary()), pa.array(known, pa.binary()))
+
+        docs = docs.mapInArrow(run, schema if q == len(every) - 1 else carried)
     return docs
+
+
+def _cut(b, batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, spans: list[bytes | None]) -> pa.RecordBatch:
+    """The batch without the words of its rows' spans (packed pairs of 64-bit word positions), and without rows of
+    which no word is left; n_chars, where there is such a column, follows."""
+    hit = [r for r, x in enumerate(spans) if x]
+    if not hit:
+        return batch
+    texts, gone = batch.column("text").to_pylist(), set()
+    sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
+    for r in hit:
+        pair = np.frombuffer(spans[r], np.int64).reshape(-1, 2)
+        mask = covered(int(at[r + 1] - at[r]), pair[:, 0], pair[:, 1])
+        raw, base, parts, done = b.text_bytes(r), int(b.at[r]), [], 0
+        for s, e in zip(*spans_of(mask), strict=True):
+            parts.append(raw[done : int(starts[at[r] + s]) - base])
+            done = int(ends[at[r] + e - 1]) - base
+        parts.append(raw[done:])
+        texts[r] = b" ".join(parts).decode()
+        if sizes is not None:
+            sizes[r] = len(texts[r])
+        if mask.all():
+            gone.add(r)
+    for name, values in (("text", texts), ("n_chars", sizes)):
+        if values is not None:
+            k = batch.schema.get_field_index(name)
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
+    return batch.take(pa.array([r for r in range(b.n) if r not in gone], pa.int64())) if gone else batch
