@@ -9,8 +9,8 @@ differ, down to the records: an intact branch is never descended.
 Trees are built one segment to a task (at most ``SEGMENT`` page ids), so no step holds more than one
 segment; upper levels are ordinary aggregations of ordered digests.
 
-Edge cases: a null html is an empty payload and a null url an empty one; rows without page_id form a
-segment of their own number, -1; repeated pages are records of their own, told apart by their place; a record that only one
+Edge cases: a null html is an empty payload and a null url an empty one; rows without page_id lie in
+segments of their own, ``LOOSE`` by the hash of their content, numbered below all others; repeated pages are records of their own, told apart by their place; a record that only one
 replica has is missing there; extra columns are ignored; empty archives are equal.
 """
 
@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrove.llm.common import documents, stored  # noqa: F401
+from notegrove.llm.common import small_batches, stored
 
 SEGMENT = 256
 FAN = 16
+LOOSE = 1 << 16
 _CRLF = b"\r\n"
 
 
@@ -73,11 +74,13 @@ def nodes(pages: DataFrame) -> DataFrame:
     """The tree of every segment: level 0 are its records, each level above has a node for FAN ranges;
     the single node of the highest level is the root."""
     of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
-    of = of.withColumn("segment", F.coalesce(F.floor(F.col("page_id") / SEGMENT).cast("long"), F.lit(-1).cast("long")))
+    loose = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE))
+    of = of.withColumn("segment", F.coalesce(F.shiftright("page_id", SEGMENT.bit_length() - 1), loose))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seg = int(pdf["segment"].iloc[0])
-        rows = sorted(((None if pd.isna(i) else int(i)), u or "", h or "") for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)) if seg >= 0 else sorted((None, u or "", h or "") for u, h in zip(pdf["url"], pdf["html"], strict=True))
+        ids = [None] * len(pdf) if pdf["page_id"].isna().all() else pdf["page_id"].astype("int64")  # a segment has ids or none
+        rows = sorted(zip(ids, (u or "" for u in pdf["url"]), (h or "" for h in pdf["html"]), strict=True), key=lambda r: r[1:] if r[0] is None else r)
         out, at = [], 0
         for k, (i, u, h) in enumerate(rows):
             payload = h.encode()
@@ -119,10 +122,11 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 def op7_warc_fixity(spark, sf_dir: str) -> DataFrame:
     """Audits the archive of ``pages`` against a replica in which every 97th page (page_id mod 97 = 5) has its
-    first character overwritten: each page with its record's segment, payload size and digest, and whether the audit
+    first character overwritten (an empty one gets one): each page with its record's segment, payload size and digest, and whether the audit
     finds it corrupt."""
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    hurt = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.overlay(F.col("html"), F.lit("~"), F.lit(1))).otherwise(F.col("html")))
+    hurt = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.overlay(F.coalesce("html", F.lit("")), F.when(F.col("html").startswith("~"), "!").otherwise("~"), F.lit(1))).otherwise(F.col("html")))
     a, b = stored(nodes(pages)), stored(nodes(hurt))
     found = audit(a, b).select("segment", "place", F.lit(True).alias("corrupt"))
     out = a.where("level = 0").join(found, ["segment", "place"], "left")
