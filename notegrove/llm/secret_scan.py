@@ -17,6 +17,7 @@ leaves the base patterns alone; extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import os
@@ -171,16 +172,29 @@ def learned(labelled: list[tuple[str, str]]) -> dict[str, Automaton]:
     return {k: Automaton(v) for k, v in sorted(by.items())}
 
 
+def _merged(spans: list[tuple]) -> list[tuple[int, int]]:
+    """The stretches that spans, ordered by start, cover."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def spans_in(text: str, automata: dict[str, Automaton], threshold: float = THRESHOLD) -> tuple[list[tuple], list[tuple]]:
     """(base spans, all spans) of a text, as (start, kind, end)."""
     base = [s[:3] for s in base_spans(text)]
     more = []
     if automata:
+        edges = _merged(base)
         for m in CANDIDATE.finditer(text):
             v = m[0]
             if not _DIGIT.search(v) or not _LETTER.search(v):
                 continue
-            if any(s < m.end() and m.start() < e for s, _, e in base):
+            k = bisect.bisect_left(edges, m.end(), key=lambda x: x[0])  # the last stretch that starts before the match ends
+            if k and edges[k - 1][1] > m.start():
                 continue
             if max(a.score(v) for a in automata.values()) >= threshold:
                 more.append((m.start(), "format", m.end()))
