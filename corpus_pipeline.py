@@ -43,8 +43,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         return docs.mapInArrow(run, docs.schema)
 
     kept = part(False).unionByName(part(True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
-    again = by.where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    if by.where("n > 1").isEmpty():
+        return kept
+    # rows without doc_id are not known as copies of anything, so all stay
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +62,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size, their source's target and the words taken. Rows are
-    known by doc_id here."""
+    """The documents that the mix takes, with their size, their source's target and the words taken. Rows that
+    share doc_id, source and size share the most that the mix takes of one of them."""
     small_batches(spark)
-    plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
+    same = ["doc_id", "source", "size"]
+    plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy(*same).agg(*(F.max(c).alias(c) for c in ("source_size", "target", "taken")))
+    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in same), "source_size", "target", "taken")
+    sized = mixing.with_size(docs.drop("size", "source_size", "target", "taken"))
+    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
     # merged at every size: what the mix takes grows with the input
-    return docs.drop("size", "source_size", "target", "taken").join(plan.hint("merge"), "doc_id")
+    return sized.join(plan.hint("merge"), on).drop(*(f"__{c}" for c in same))
 
 
 STAGES = [

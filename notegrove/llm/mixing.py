@@ -14,9 +14,9 @@ two documents undecided, which meet those of other blocks in the next, coarser r
 small block of each source is left. Its landing phase drops the word constraint, then settles the last one by
 the distance of the words taken from their target.
 
-Draws come from hashes of doc_id, size and a seed, so reruns agree whatever the partitioning.
+Draws come from hashes of doc_id, size, a number among equal rows and a seed, so reruns agree whatever the partitioning.
 
-Edge cases: a null or empty text has size 0 and takes 0 words; a null source is a source; repeated
+Edge cases: a null or empty text has size 0 and takes 0 words; a null source is a source; rows without doc_id and repeated
 rows are drawn on their own; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notegrove.llm.common import blocks, byte_class, documents, stored
 
@@ -49,6 +50,16 @@ def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, source string, size long")
 
 
+def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, with their size as a last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, column=text):
+            yield b.batch.append_column("size", pa.array(np.diff(b.runs(_WORD)[2]), pa.int64()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("size", T.LongType())]))
+
+
 def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> dict[str | None, tuple[int, float]]:
     """(size, target) by source, from (source, size)."""
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
@@ -107,28 +118,35 @@ def landing(p: np.ndarray, size: np.ndarray, wanted: float) -> np.ndarray:
     return p
 
 
-_COLUMNS = "doc_id long, source string, size long, p double, u long, done boolean"
+_COLUMNS = "doc_id long, source string, size long, nth long, p double, u long, done boolean"
+
+
+def _copies(rows: DataFrame, count: str) -> DataFrame:
+    """A row, numbered ``nth`` from 0, for each of ``count`` equal rows; made block by block, so that no array grows
+    with the count."""
+    many = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(BLOCK).cast("long"))))
+    return many.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + BLOCK, F.col(count)) - 1))).drop("from", count)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 7, text: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row. Texts are read once; after that only sizes
-    travel."""
+    """doc_id, source, size, source_size, target and taken of every row. Texts are read once; after that only sizes
+    travel. Rows of equal doc_id, source and size are alike: they are counted first and numbered, so that
+    they fall into different blocks however many they are."""
     spark = docs.sparkSession
-    rows = stored(sizes(docs, text))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    rows = stored(sizes(docs, text).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")))
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("size"), F.sum("c").alias("n")).collect()
     count = {r["source"]: r["n"] for r in totals}
     table = [(s, count[s], z, t) for s, (z, t) in targets([(r["source"], r["size"]) for r in totals], weights, limit).items()]
-    schema = "source string, n long, source_size long, target double"
-    dim = F.broadcast(spark.createDataFrame(table, schema))  # a row a source
+    dim = F.broadcast(spark.createDataFrame(table, "source string, n long, source_size long, target double"))  # a row a source
     of = rows.withColumnRenamed("source", "s").join(dim, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     of = of.withColumn("times", F.floor(factor + 1e-12).cast("long")).withColumn("p", F.greatest(F.lit(0.0), factor - F.col("times")))
-    u = F.xxhash64("doc_id", "size", F.lit(seed))
+    of = _copies(of, "c")
     most = max([n for _, n, _, _ in table], default=0)
 
     def fly(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["u", "doc_id", "size"], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(["u", "doc_id", "size", "nth"], kind="stable", ignore_index=True)
             size, p0 = pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(np.float64)
             draw = (pdf["u"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)) / float(1 << 53)
             draw = (draw * 104729.0 + 0.5) % 1.0
@@ -136,11 +154,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
             if last:
                 p = landing(p, size, float(np.dot(p0, size)))
             done = (p <= 1e-9) | (p >= 1 - 1e-9)
-            return pdf.assign(p=np.where(done, np.round(p), p), done=done)[["doc_id", "source", "size", "p", "u", "done"]]
+            return pdf.assign(p=np.where(done, np.round(p), p), done=done)[["doc_id", "source", "size", "nth", "p", "u", "done"]]
 
         return run
 
-    open_ = of.where((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)).select("doc_id", "source", "size", "p", u.alias("u"), F.lit(False).alias("done"), "n")
+    u = F.xxhash64("doc_id", "size", "nth", F.lit(seed))
+    open_ = of.where((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)).select("doc_id", "source", "size", "nth", "p", u.alias("u"), F.lit(False).alias("done"), "n")
     settled = []
     width = most
     open_ = open_.withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("long")).drop("n")
@@ -158,19 +177,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
     drawn = settled[0]
     for s in settled[1:]:
         drawn = drawn.unionByName(s)
-    # equal rows (of one doc_id, source and size) are alike: their extra takes are dealt out by number
-    extra = drawn.groupBy("doc_id", "source", "size").agg(F.sum("p").cast("long").alias("extra"))
-    return _dealt(of, extra)
-
-
-def _dealt(of: DataFrame, extra: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    of = of.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))))
-    e = extra.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), "extra")
-    out = of.join(e, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")), "left")
-    base = F.when((F.col("p") >= 1 - 1e-9), 1).otherwise(0)
-    taken = F.col("size") * (F.col("times") + base + F.when(F.col("nth") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0))
+    e = drawn.where("p > 0.5").select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("nth").alias("n2"), F.lit(1).alias("extra"))
+    out = of.join(e, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("nth") == F.col("n2")), "left")
+    base = F.when(F.col("p") >= 1 - 1e-9, 1).otherwise(0)
+    taken = F.col("size") * (F.col("times") + base + F.coalesce("extra", F.lit(0)))
     return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
