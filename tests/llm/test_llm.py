@@ -132,6 +132,22 @@ def test_contamination(spark, edge, rows, monkeypatch):
     same(QUERIES["op5_decontamination"](spark, edge).collect(), want)
 
 
+def test_removed_in_blocks(spark, edge, rows, monkeypatch):
+    """Overlapping windows of items that lie in different blocks are cut from the whole texts."""
+    docs, words = common.documents(spark, edge), [f"t{i}" for i in range(60)]
+    text = "keep " + " ".join(words) + " this"
+    docs = docs.unionByName(spark.createDataFrame([(77_777, text, "en", "a", len(text), 1, "", "", "")], SCHEMA))
+    items = [(i, " ".join(words[i : i + 10])) for i in range(0, 51)] + [(900, "one two three"), (901, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontamination.removed(docs, benchmark)
+    assert whole.where("doc_id = 77777").first()["text"].split() == ["keep", "this"]
+    want = list(map(tuple, whole.collect()))
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 100)
+    got = decontamination.removed(docs, benchmark)
+    assert got.columns == docs.columns
+    same(got.collect(), want)
+
+
 def test_fm_index():
     rnd = np.random.RandomState(2)
     text = np.append(rnd.randint(1, 6, 300), 0)
@@ -159,6 +175,10 @@ def test_fixity(spark, edge):
     data = warc_fixity.segment_bytes([(1, "u", "héllo"), (2, None, "")])
     back = [(h["WARC-Target-URI"], p.decode()) for h, p, _, _ in warc_fixity.records(data)]
     assert back == [("u", "héllo"), ("", "")]
+    odd = spark.createDataFrame([(-3, "u", "a"), (-300, "u", "b"), (None, "u", "c"), (None, "v", "c"), ((1 << 60) + 1, "u", "d")], "page_id long, url string, html string")
+    leaves = warc_fixity.nodes(odd).where("level = 0").collect()
+    assert sorted((r["page_id"], r["segment"]) for r in leaves if r["page_id"] is not None) == [(-300, -2), (-3, -1), ((1 << 60) + 1, 1 << 52)]
+    assert sum(r["page_id"] is None for r in leaves) == 2 and warc_fixity.audit(warc_fixity.nodes(odd), warc_fixity.nodes(odd)).count() == 0
 
 
 def test_classifier(spark, edge, sf):
@@ -168,6 +188,18 @@ def test_classifier(spark, edge, sf):
     held = got.where("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in held) >= 0.9 * len(held)
     assert quality_classifier.fit(np.zeros((3, 2)), np.ones(3)) is None
+    # documents that share a doc_id do not add to the rows that are fitted
+    docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    once, twice = quality_classifier.train(docs, labels), quality_classifier.train(docs.unionByName(docs), labels)
+    assert np.array_equal(once.weight, twice.weight) and once.threshold == twice.threshold
+
+
+def test_overlap_with_base_spans():
+    rnd = random.Random(3)
+    for _ in range(200):
+        base = sorted((s, "hex", s + rnd.randint(1, 30)) for s in rnd.sample(range(300), 8))
+        merged = secret_scan._merged(base)
+        assert all(any(s <= k < e for s, _, e in base) == any(s <= k < e for s, e in merged) for k in range(340))
 
 
 def test_mixing(spark, edge, rows):
@@ -177,6 +209,14 @@ def test_mixing(spark, edge, rows):
     assert all(0 <= t <= 3 * z for _, z, _, _, t in first)
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows without doc_id and repeated rows spread over the blocks, and each is drawn on its own."""
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 5).alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 2 == 0, "s").alias("source"))
+    got = mixing.mixed(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"s": 4500, None: 4500}
+    assert all(abs(r["taken"] - r["target"]) <= 3 for r in got)
+
+
 def test_targets_and_balance():
     t = mixing.targets([("a", 100), ("b", 10_000), (None, 50)])
     assert t["a"] == (100, 300.0) and t[None] == (50, 150.0) and t["b"] == (10_000, 9700.0)
@@ -216,3 +256,6 @@ def test_pipeline(spark, edge, sf, empty):
         docs = out
     last = corpus_pipeline.mix_sources(spark, docs, edge)
     assert last.where("taken <= 0").count() == 0 and last.count() > 0
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") < 40, F.col("doc_id")))
+    out, want = corpus_pipeline.mix_sources(spark, nameless, edge), mixing.mixed(nameless).where("taken > 0")
+    assert out.where("doc_id is null").count() >= want.where("doc_id is null").count() > 0
