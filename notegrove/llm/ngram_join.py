@@ -294,15 +294,18 @@ def _verified(pairs: DataFrame, source: DataFrame, n: int, percent: int) -> Data
         known: dict[int, np.ndarray] = {}
 
         def sets(batch: pa.RecordBatch, sig: str, text: str) -> list[np.ndarray | None]:
-            """The sets of a column of texts, each made once while it is remembered; None if another text of
-            the same doc_id came."""
+            """The sets of a column of texts, each made once while it is remembered; None for a row with
+            another text of the same doc_id."""
             sigs = batch.column(sig).to_pylist()
-            new = {x: i for i, x in enumerate(sigs) if x not in known}
             if len(known) > 4000:
                 known.clear()
-                new = {x: i for i, x in enumerate(sigs)}
-            if new:
-                part = pa.RecordBatch.from_pydict({"text": batch.column(text).take(pa.array(list(new.values())))})
+            # one text a signature; where it was another text of the same doc_id, all texts that came with it
+            for firsts in (True, False):
+                todo = {x: i for i, x in enumerate(sigs) if x not in known}
+                rows = list(todo.values()) if firsts else [i for i, x in enumerate(sigs) if x in todo]
+                if not rows:
+                    break
+                part = pa.RecordBatch.from_pydict({"text": batch.column(text).take(pa.array(rows))})
                 for b in blocks(iter([part]), lower=True):
                     for _, s in shingle_sets(b, n):
                         known[signature(s)] = s
