@@ -11,11 +11,11 @@ holds, so stretches between separators that are shorter than the shortest window
 are left out of the index; that changes no answer.
 
 The test side is read in blocks of at most ``ITEM_BLOCK`` windows, so that what a task holds of it is
-bounded; with several blocks, each document's spans and items are merged by one aggregation.
+bounded; with several blocks, the texts pass once through each, and the spans and items found so far
+travel along, without a shuffle.
 
 Edge cases: null texts have no words; an item without words has no window; equal items are all
-reported; repeated documents each have a row (rows are told apart by their content and doc_id, and
-get equal answers); extra columns are ignored; empty tables give no rows, or no hits.
+reported; repeated documents, and documents that share a doc_id, each have a row of their own; extra columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -211,50 +211,38 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
     """``keep`` columns of every row, n_words, spans (array of [first word, word after the last],
     merged), and items (the item ids that occur, as sorted strings)."""
     spark = docs.sparkSession
-    schema = docs.select(*keep).schema.add("n_words", "long").add("spans", T.ArrayType(T.ArrayType(T.LongType()))).add("items", T.ArrayType(T.StringType()))
-    source = docs.select(*keep, F.col(text).alias("__text"))
-
-    def search(items: list[tuple]):
-        held = spark.sparkContext.broadcast(items)
+    docs = docs.select(*keep, F.col(text).alias("__text"))
+    answers = [("n_words", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("items", T.ArrayType(T.StringType()))]
+    schema, carried = (T.StructType([*df.schema.fields, *(T.StructField(*x) for x in answers)]) for df in (docs.drop("__text"), docs))
+    every = [spark.sparkContext.broadcast(items) for items in _item_blocks(benchmark, item, text)]
+    for q, held in enumerate(every):
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, first_pass=q == 0, last_pass=q == len(every) - 1) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, n)
             for b in blocks(batches, lower=True, column="__text"):
                 starts, ends, at = b.runs(_WORD)
                 window, first, last = windows.find(b.hashes(starts, ends), at)
-                spans, items_of = [[] for _ in range(b.n)], [[] for _ in range(b.n)]
+                # what earlier blocks of items found comes along with the text
+                spans, items = ([[] for _ in range(b.n)], [[] for _ in range(b.n)]) if first_pass else (b.column("spans"), b.column("items"))
                 row = np.searchsorted(at, first, "right") - 1
-                for r in np.unique(row):
+                for r in np.unique(row).tolist():
                     own = row == r
-                    s, e = spans_of(covered(int(at[r + 1] - at[r]), first[own] - at[r], last[own] - at[r]))
-                    spans[r] = [list(x) for x in zip(s.tolist(), e.tolist(), strict=True)]
-                    items_of[r] = sorted({str(windows.ids[i]) for w in np.unique(window[own]) for i in windows.items[w]})
+                    pair = np.array([*spans[r], *np.stack([first[own], last[own]], 1) - at[r]], np.int64)
+                    s, e = spans_of(covered(int(at[r + 1] - at[r]), pair[:, 0], pair[:, 1]))
+                    spans[r] = np.stack([s, e], 1).tolist()
+                    items[r] = sorted({*items[r], *(str(windows.ids[i]) for w in np.unique(window[own]) for i in windows.items[w])})
+                names = [*keep] if last_pass else [*keep, "__text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.batch.column(c) for c in keep), pa.array(np.diff(at), pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items_of, pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"]
+                    [*(b.batch.column(c) for c in names), pa.array(np.diff(at), pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*names, *(c for c, _ in answers)]
                 )
 
-        return source.mapInArrow(run, schema)
-
-    parts = [search(items) for items in _item_blocks(benchmark, item, text)]
-    if len(parts) == 1:
-        return parts[0]
-    # each block answers for every row in the same order of equal rows; a row's answers are gathered
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    got = every.groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / F.lit(len(parts))).cast("int").alias("__copies"))
-    return got.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*keep, "n_words", "spans", "items")
+        docs = docs.mapInArrow(run, schema if q == len(every) - 1 else carried)
+    return docs
 
 
 def _n_hit(spans) -> F.Column:
-    """Words in the union of spans; spans of one block are already apart."""
-    s = F.array_sort(spans)
-    step = F.aggregate(
-        s,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x[1] - F.greatest(x[0], a["end"]))).alias("n"), F.greatest(a["end"], x[1]).alias("end")),
-    )
-    return step["n"]
+    """Words in the spans, which lie apart."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -105,6 +105,32 @@ def test_join_near_threshold(spark, tmp_path):
     same(QUERIES["op2_ngram_join"](spark, str(tmp_path)).collect(), brute.components(docs))
 
 
+def test_documents_that_share_a_doc_id(spark, edge, tmp_path, monkeypatch):
+    """Different texts under one doc_id: each keeps its links, and has its own passages of the benchmark."""
+    rnd = random.Random(12)
+    prose = lambda: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(80))
+    a, b, c = prose(), prose(), prose()
+    items = [r.asDict() for r in spark.read.parquet(f"{edge}/benchmark.parquet").where("item_id < 20").collect()]
+    docs = [(1, a), (1, b), (1, c), (7, a + " end"), (7, "start " + c), (8, b + " end"), (9, c + " end"), (30, f"{a} {items[0]['text']}"), (30, f"{b} {items[5]['text']}")]
+    docs += [(r["doc_id"], r["text"]) for r in docs_of(30, a, rnd)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{edge}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [{"doc_id": i, "text": t} for i, t in docs]
+    same(QUERIES["op2_ngram_join"](spark, str(tmp_path)).collect(), brute.components(rows))
+    every = [r.asDict() for r in spark.read.parquet(f"{edge}/benchmark.parquet").collect()]
+    for size in (decontamination.ITEM_BLOCK, 500):
+        monkeypatch.setattr(decontamination, "ITEM_BLOCK", size)
+        same(QUERIES["op5_decontamination"](spark, str(tmp_path)).collect(), brute.contamination(rows, every))
+
+
+def docs_of(n, text, rnd):
+    """Near copies of a text, two under each doc_id."""
+    for i in range(n):
+        w = text.split(" ")
+        w[rnd.randrange(len(w))] = f"x{i}"
+        yield {"doc_id": 100 + i // 2, "text": " ".join(w)}
+
+
 def test_rules(spark, edge, rows):
     got = QUERIES["op3_quality_rules"](spark, edge)
     same(got.drop("kept").collect(), [brute.rule_features(r) for r in rows])
