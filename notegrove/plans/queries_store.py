@@ -29,9 +29,15 @@ def query(sql: str | None = None):
 # --- inputs ----------------------------------------------------------------------------------------------------
 
 
+def vector_queries(spark, sf):
+    """Every vector whose id is divisible by 20."""
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("").alias("query_text"), F.col("embedding").alias("vector"))
+
+
 def questions(spark, sf):
+    """Every benchmark text whose id is divisible by 20, with the vector of that id."""
     b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
-    return b.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")).join(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return b.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")).join(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
 
 
 def notes(spark, sf):
@@ -51,7 +57,7 @@ WEIGHT = "CASE {r} WHEN 'contradicts' THEN 1.0 WHEN 'extends' THEN 0.9 WHEN 'dep
 
 def bm25_sql(k: int, text: str = "concat_ws(' ', source, text)") -> str:
     return f"""
-q AS (SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id < 5),
+q AS (SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id % 20 = 0),
 qt AS (SELECT query_id, unnest(list_distinct({QUERY_TOKENS_SQL.format(x="query_text")})) AS term FROM q),
 tk AS (SELECT doc_id AS doc, {TOKENS_SQL.format(x=text)} AS t FROM documents),
 tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk),
@@ -61,10 +67,11 @@ sc AS (SELECT query_id, doc, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS bm25_rank FROM sc) WHERE bm25_rank <= {k})"""
 
 
-def knn_sql(k: int, name: str = "vk") -> str:
+def knn_sql(k: int, name: str = "vk", whole: bool = False) -> str:
+    asked = "" if whole else " AND a.vec_id IN (SELECT item_id FROM benchmark)"
     return f"""
 {name} AS (SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS vector_rank FROM (
-  SELECT a.vec_id AS query_id, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 5)) WHERE vector_rank <= {k})"""
+  SELECT a.vec_id AS query_id, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0{asked})) WHERE vector_rank <= {k})"""
 
 
 RRF = "fu AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.id, b.doc) AS id, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) AS score, vector_rank, bm25_rank, distance FROM vk v FULL JOIN bm b ON v.query_id = b.query_id AND v.id = b.doc)"
@@ -109,9 +116,9 @@ def q_bm25_topk(spark, sf):
     return b.select("query_id", "doc", F.round("score", 6).alias("score"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
-@query(f"WITH {knn_sql(20)} SELECT query_id, id, round(distance, 6) AS distance, vector_rank FROM vk")
+@query(f"WITH {knn_sql(20, whole=True)} SELECT query_id, id, round(distance, 6) AS distance, vector_rank FROM vk")
 def q_knn_topk(spark, sf):
-    v = vectors.knn(table(spark, sf, "embeddings"), questions(spark, sf).select("query_id", "vector"), 20)
+    v = vectors.knn(table(spark, sf, "embeddings"), vector_queries(spark, sf).select("query_id", "vector"), 20)
     return v.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
 
 
@@ -147,18 +154,18 @@ def q_search_chunks(spark, sf):
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(f"WITH {knn_sql(24)} SELECT query_id, id, round(1.0::DOUBLE / (60 + vector_rank), 9) AS score, CASE WHEN 1 - distance / 2 >= 0.6 THEN 'similar' END AS floor_code FROM vk WHERE vector_rank <= 10 AND 1 - distance / 2 >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_rank) <= 8")
+@query(f"WITH {knn_sql(24, whole=True)} SELECT query_id, id, round(1.0::DOUBLE / (60 + vector_rank), 9) AS score, CASE WHEN 1 - distance / 2 >= 0.6 THEN 'similar' END AS floor_code FROM vk WHERE vector_rank <= 10 AND 1 - distance / 2 >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_rank) <= 8")
 def q_vector_only_mode(spark, sf):
-    hits = fusion.search(questions(spark, sf), notes(spark, sf), table(spark, sf, "embeddings"), topk=8, mode="vector", floor=FLOOR)
+    hits = fusion.search(vector_queries(spark, sf), notes(spark, sf), table(spark, sf, "embeddings"), topk=8, mode="vector", floor=FLOOR)
     return hits.select("query_id", "id", F.round("score", 9).alias("score"), "floor_code")
 
 
-_SEEDS = "SELECT vec_id % 4 AS query_id, vec_id AS id, (0.5 + (vec_id % 10) / 20.0)::DOUBLE AS weight FROM embeddings WHERE vec_id < 40"
+_SEEDS = "SELECT vec_id // 20 % 4 AS query_id, vec_id AS id, (0.5 + (vec_id // 20 % 10) / 20.0)::DOUBLE AS weight FROM embeddings WHERE vec_id % 20 = 0"
 
 
 def _seeds(spark, sf):
     v = F.col("vec_id")
-    return table(spark, sf, "embeddings").where("vec_id < 40").select((v % 4).alias("query_id"), v.alias("id"), (0.5 + (v % 10) / 20.0).alias("weight"))
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.expr("vec_id div 20 % 4").alias("query_id"), v.alias("id"), F.expr("0.5D + (vec_id div 20 % 10) / 20.0D").alias("weight"))
 
 
 def _expansion(spark, sf, hops):
@@ -214,11 +221,11 @@ def q_multi_query_merge(spark, sf):
     return fusion.merge_hits(h.where("seq < 2"), h.where("seq >= 2")).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {knn_sql(10)}, h AS (SELECT id, max(1.0::DOUBLE / (60 + vector_rank)) AS score FROM vk GROUP BY id), m AS (SELECT DISTINCT target AS id FROM ({EDGES}) WHERE source < 10 AND target IN (SELECT doc_id FROM documents)) SELECT coalesce(h.id, m.id) AS id, round(CASE WHEN m.id IS NOT NULL THEN greatest(coalesce(score, 0), 1.0) ELSE score END, 9) AS score FROM h FULL JOIN m ON h.id = m.id")
+@query(f"WITH {knn_sql(10, whole=True)}, h AS (SELECT id, max(1.0::DOUBLE / (60 + vector_rank)) AS score FROM vk GROUP BY id), m AS (SELECT DISTINCT target AS id FROM ({EDGES}) WHERE source % 20 = 0 AND target IN (SELECT doc_id FROM documents)) SELECT coalesce(h.id, m.id) AS id, round(CASE WHEN m.id IS NOT NULL THEN greatest(coalesce(score, 0), 1.0) ELSE score END, 9) AS score FROM h FULL JOIN m ON h.id = m.id")
 def q_map_boost(spark, sf):
-    v = vectors.knn(table(spark, sf, "embeddings"), questions(spark, sf), 10)
+    v = vectors.knn(table(spark, sf, "embeddings"), vector_queries(spark, sf), 10)
     h = v.groupBy("id").agg(F.max(1.0 / (60 + F.col("vector_rank"))).alias("score"))
-    m = edges(spark, sf).where("source < 10").select(F.col("target").alias("id"))
+    m = edges(spark, sf).where("source % 20 = 0").select(F.col("target").alias("id"))
     return fusion.boosted(h, m, notes(spark, sf)).select("id", F.round("score", 9).alias("score"))
 
 
@@ -257,11 +264,11 @@ def q_dedup_cascade(spark, sf):
     return dedup.cascade(d, "doc_id", "b", "t").select("doc_id", "dup_kind", "duplicate_of")
 
 
-@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label AS source, 1 - list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) / 2 AS s FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND a.vec_id <> b.vec_id)
+@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label AS source, 1 - list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) / 2 AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT source, round(max(s), 6) AS similarity FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(2 - 2 * s, 9), id) <= 3) WHERE s >= 0.25 GROUP BY source""")
 def q_semantic_dup(spark, sf):
     e = table(spark, sf, "embeddings")
-    s = dedup.semantic(e, questions(spark, sf).select("query_id", "vector"), e.select(F.col("vec_id").alias("id"), F.col("label").alias("source")), threshold=0.25)
+    s = dedup.semantic(e, vector_queries(spark, sf).select("query_id", "vector"), e.select(F.col("vec_id").alias("id"), F.col("label").alias("source")), threshold=0.25)
     return s.select("source", F.round("similarity", 6).alias("similarity"))
 
 
@@ -401,12 +408,12 @@ def q_cluster_signature(spark, sf):
     return cluster.signatures(table(spark, sf, "embeddings"), "label", "vec_id")
 
 
-@query("""WITH RECURSIVE d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 200 AND b.vec_id < 200 AND a.vec_id <> b.vec_id),
+@query("""WITH RECURSIVE d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
 k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) <= 5), e AS (SELECT a, b FROM k WHERE 1 - d / 2 >= 0.35 UNION SELECT b, a FROM k WHERE 1 - d / 2 >= 0.35),
-r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings WHERE vec_id < 200 UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)
 SELECT id, cluster FROM m WHERE cluster IN (SELECT cluster FROM m GROUP BY cluster HAVING count(*) >= 3)""")
 def q_cluster_components(spark, sf):
-    return cluster.density_clusters(table(spark, sf, "embeddings").where("vec_id < 200"), k=5, threshold=0.35, least=3)
+    return cluster.density_clusters(table(spark, sf, "embeddings"), k=5, threshold=0.35, least=3)
 
 
 @query()
