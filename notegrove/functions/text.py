@@ -133,6 +133,38 @@ def wikilinks(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"\[\[[^\]]*?PERM-([0-9A-HJKMNP-TV-Z]{26})"), F.lit(1))
 
 
+def _map_parts(body: Column) -> Column:
+    """The lines of what stands before the first second-level heading, and of each section with its heading first."""
+    return F.transform(F.split(body, r"(?:^|\n)## "), lambda x: F.split(x, "\n"))
+
+
+def _until_title(lines: Column) -> Column:
+    """How many lines come before the first top-level heading."""
+    at = F.array_position(F.transform(lines, lambda x: x.startswith("# ")), True)
+    return F.when(at > 0, at - 1).otherwise(F.size(lines)).cast("int")
+
+
+def map_summary(body: Column) -> Column:
+    """The lines between a top-level heading of a map and its next section."""
+    after = F.transform(_map_parts(body), lambda x: F.filter(F.slice(x, _until_title(x) + 1, F.size(x)), lambda y: ~y.startswith("# ")))
+    return F.btrim(F.array_join(F.flatten(after), "\n"), F.lit(_BLANK))
+
+
+def map_sections(body: Column, link: str = r"\[\[[A-Z]+\s*-\s*(\S+)\s*-\s*[^\]]*\]\]") -> Column:
+    """(title, description, note_ids) of each section of a map, in order: the first link of a line is a note, other
+    lines that are no list items make the description. A row's own text only, so nothing is shuffled."""
+
+    def section(lines: Column) -> Column:
+        own = F.slice(lines, 2, F.greatest(_until_title(lines) - 1, F.lit(0)))
+        prose = F.transform(F.filter(own, lambda x: ~x.rlike(link)), lambda x: F.btrim(x, F.lit(_BLANK)))
+        ids = F.filter(F.transform(own, lambda x: F.regexp_extract(x, link, 1)), lambda x: x != "")
+        text = F.array_join(F.filter(prose, lambda x: (x != "") & ~x.startswith("-")), " ")
+        return F.struct(F.btrim(F.element_at(lines, 1), F.lit(_BLANK)).alias("title"), text.alias("description"), ids.alias("note_ids"))
+
+    parts = _map_parts(body)
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), section)
+
+
 def figure_paths(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"!\[\[(90_Assets/[^\]|]+)"), F.lit(1))
 

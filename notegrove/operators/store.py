@@ -66,6 +66,21 @@ def by_status(df: DataFrame, status: str, source: str | None = None) -> DataFram
     return (out if source is None else out.where(F.col("source_id") == source)).orderBy("source_id", F.col("chunk_index").asc_nulls_first())
 
 
+def added(existing: DataFrame, deltas: DataFrame, key: str, counters: list[str]) -> DataFrame:
+    """Adds the deltas to the counters of their rows; a counter or delta that is null counts as nothing, and deltas without
+    a row are dropped. Deltas are summed before they meet the table."""
+    more = deltas.groupBy(key).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(f"__{c}") for c in counters))
+    got = existing.join(more, key, "left")
+    return got.withColumns({c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"__{c}", F.lit(0))).cast(existing.schema[c].dataType) for c in counters}).select(existing.columns)
+
+
+def duplicate_counts(found: DataFrame) -> DataFrame:
+    """(run_id, file, content, semantic): the duplicates that each run found; another kind is an error."""
+    kind = F.when(F.col("kind").isin("file", "content", "semantic"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of duplicate: "), F.coalesce("kind", F.lit("null")))))
+    of = found.select("run_id", kind.alias("kind"))
+    return of.groupBy("run_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("file", "content", "semantic")))
+
+
 def coverage(expected: DataFrame, actual: DataFrame, scope: str, key: str) -> DataFrame:
     """(scope, missing, complete): how many expected keys each scope lacks; nothing expected is complete."""
     lack = expected.join(actual.select(scope, key).distinct(), [scope, key], "left_anti").groupBy(scope).agg(F.count("*").alias("missing"))

@@ -341,6 +341,15 @@ def q_status_transition(spark, sf):
     return store.transition(x, ["awaiting_review"], "persisted", F.col("toxic") == 1).select("doc_id", "status")
 
 
+@query("""SELECT c_custkey, (coalesce(CASE WHEN c_custkey % 5 <> 0 THEN 100 * c_custkey END, 0) + coalesce(cents, 0))::BIGINT AS cents, (c_custkey % 3 + coalesce(n, 0))::BIGINT AS n
+FROM customer LEFT JOIN (SELECT o_custkey, sum(CASE WHEN o_orderstatus <> 'F' THEN round(100 * o_totalprice)::BIGINT END) AS cents, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def q_counters_added(spark, sf):
+    i = F.col("c_custkey")
+    held = table(spark, sf, "customer").select("c_custkey", F.when(i % 5 != 0, 100 * i).alias("cents"), (i % 3).alias("n"))
+    price = F.when(F.col("o_orderstatus") != "F", F.round(100 * F.col("o_totalprice")).cast("long"))
+    return store.added(held, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), price.alias("cents"), F.lit(1).cast("long").alias("n")), "c_custkey", ["cents", "n"])
+
+
 # --- review ----------------------------------------------------------------------------------------------------
 
 _CAND = r"SELECT l.doc_id, quality, toxic, (doc_id % 5 + 1)::INT AS relevance, array_to_string(string_split(text, ' ')[1:(doc_id % 9)::INT], ' ') AS thesis, array_to_string(string_split(text, ' ')[1:(doc_id % 25)::INT], ' ') AS definition, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'q' END AS quote FROM labels l JOIN documents USING (doc_id)"

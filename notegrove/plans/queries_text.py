@@ -318,3 +318,18 @@ def q_wikilinks(spark, sf):
     body = F.concat(F.lit("x [[10/PERM-01ABCDEFGHJKMNPQRSTVWXYZ"), F.lpad((i % 90).cast("string"), 2, "0"), F.lit("-a|t]] y "), F.when(i % 2 == 0, "[[PERM-01ABCDEFGHJKMNPQRSTVWXYZ77]]").otherwise("[[PERM-lower]]"), F.lit(" <!-- cites: a"), i.cast("string"), F.lit(", b -->"))
     links = tx.wikilinks(body)
     return table(spark, sf, "documents").select("doc_id", F.size(links).alias("n_links"), F.array_join(links, ",").alias("links"), F.array_join(tx.cited_ids(body), "|").alias("cites"))
+
+
+_MAP = "concat('before', chr(10), '# Map ', doc_id::VARCHAR, chr(10), 'About ', lang, '.', chr(10), '## In ', coalesce(source, ''), ' ', chr(10), 'Some ', chr(10), '- [[NOTE - A', doc_id::VARCHAR, ' - x]] and [[NOTE - Z - y]]', chr(10), '- plain', chr(10), 'prose', chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('## Second', chr(10), '- [[NOTE-B', doc_id::VARCHAR, '-t]]', chr(10), '# Again', chr(10), 'tail') ELSE '' END)"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, string_split({_MAP}, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM b),
+m AS (SELECT *, coalesce(max(CASE WHEN starts_with(line, '# ') THEN k END) OVER w, 0) AS h1, coalesce(max(CASE WHEN starts_with(line, '## ') THEN k END) OVER w, 0) AS h2, regexp_extract(line, '\[\[[A-Z]+\s*-\s*(\S+)\s*-\s*[^\]]*\]\]', 1) AS note FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, trim(coalesce(string_agg(CASE WHEN h1 > h2 AND k > h1 THEN line END, chr(10) ORDER BY k), ''), chr(10) || ' ') AS summary, string_agg(CASE WHEN k = h2 THEN trim(line[4:]) END, '|' ORDER BY k) AS titles,
+string_agg(CASE WHEN h2 > h1 AND k > h2 AND note = '' AND trim(line) <> '' AND NOT starts_with(trim(line), '-') THEN trim(line) END, ' ' ORDER BY k) AS descriptions, string_agg(CASE WHEN h2 > h1 AND k > h2 AND note <> '' THEN note END, ',' ORDER BY k) AS note_ids FROM m GROUP BY doc_id""")
+def q_map_structure(spark, sf):
+    i = F.col("doc_id").cast("string")
+    second = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## Second\n- [[NOTE-B"), i, F.lit("-t]]\n# Again\ntail"))).otherwise("")
+    body = F.concat(F.lit("before\n# Map "), i, F.lit("\nAbout "), F.coalesce("lang", F.lit("")), F.lit(".\n## In "), F.coalesce("source", F.lit("")), F.lit(" \nSome \n- [[NOTE - A"), i, F.lit(" - x]] and [[NOTE - Z - y]]\n- plain\nprose\n"), second)
+    of = table(spark, sf, "documents").select("doc_id", tx.map_summary(body).alias("summary"), tx.map_sections(body).alias("s"))
+    return of.select("doc_id", "summary", F.array_join("s.title", "|").alias("titles"), F.array_join(F.filter("s.description", lambda x: x != ""), " ").alias("descriptions"), F.array_join(F.flatten("s.note_ids"), ",").alias("note_ids"))

@@ -132,6 +132,11 @@ def rebuilt_notes(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.when(F.col("body").isNotNull(), compose(meta, F.col("body"))).alias("content"), "origin")
 
 
+def retry_failed(rows: DataFrame, source_id: str | None = None) -> DataFrame:
+    """Failed chunks, or assets, of one source or of all wait again."""
+    return store.transition(rows, ["failed"], "pending", None if source_id is None else F.col("source_id") == source_id)
+
+
 def status(tables: dict[str, DataFrame]) -> DataFrame:
     """Counts of all tables and of chunks by status; approved includes persisted."""
     out = store.entity_counts(tables)

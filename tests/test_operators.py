@@ -106,3 +106,21 @@ def test_blocks(spark):
     assert one(spark, tx.read_block(put, "auto-connections"), t=body) == "new"
     assert one(spark, tx.read_block(put, "auto-connections"), t="plain") == "new"
     assert "old" not in one(spark, tx.strip_blocks(F.col("t")), t=body)
+
+
+def test_counters_and_duplicates(spark):
+    held = spark.createDataFrame([("a", None, 1), ("b", 2.0, 2)], "id string, cost double, n long")
+    more = spark.createDataFrame([("a", 0.5, None), ("a", None, 4), ("z", 1.0, 1)], "id string, cost double, n long")
+    assert {tuple(r) for r in store.added(held, more, "id", ["cost", "n"]).collect()} == {("a", 0.5, 5), ("b", 2.0, 2)}
+    found = spark.createDataFrame([(1, "file"), (1, "semantic"), (1, "file")], "run_id long, kind string")
+    assert [tuple(r) for r in store.duplicate_counts(found).collect()] == [(1, 2, 0, 1)]
+    with pytest.raises(Exception, match="unknown kind of duplicate: other"):
+        store.duplicate_counts(spark.createDataFrame([(1, "other")], "run_id long, kind string")).collect()
+
+
+def test_map_structure(spark):
+    body = "# T\n\nSum one\ntwo\n\n## First \nsome\n- [[NOTE - 7 - a b]]\n- item\nmore\n## Empty"
+    got = one(spark, tx.map_sections(F.col("t")), t=body)
+    assert [tuple(x) for x in got] == [("First", "some more", ["7"]), ("Empty", "", [])]
+    assert one(spark, tx.map_summary(F.col("t")), t=body) == "Sum one\ntwo"
+    assert one(spark, tx.map_sections(F.col("t")), t="no heading") == [] and one(spark, tx.map_summary(F.col("t")), t="") == ""
