@@ -62,7 +62,7 @@ def test_ask(spark, sf):
     answers = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), cache, floor=quiet)
     assert {r["answer"] for r in answers.collect()} == {workflows.NO_EVIDENCE}
     got = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), cache, q.edges(spark, sf), floor=q.FLOOR).collect()
-    assert len(got) == 5 and all(r["answer"].startswith("{") for r in got)
+    assert sorted(r["query_id"] for r in got) == [0, 20] and all(r["answer"].startswith("{") for r in got)
 
 
 def test_article_loop(spark, sf):
