@@ -123,19 +123,24 @@ def q_token_cost(spark, sf):
 _LINES = "SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents))"
 _MD = f"SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN '# ' WHEN line_no % 7 = 3 THEN '#### ' WHEN line_no % 5 = 2 THEN '### ' WHEN line_no % 11 = 10 THEN '## ' ELSE '' END || substr(line, 1, 120) AS line FROM ({_LINES})"
 
+#: The SQL above reads this many characters of each line; only the two queries that it answers are cut alike.
+_SQL_CUT = 120
+
 
 def _lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _markdown(spark, sf):
+def _markdown(spark, sf, most=None):
+    """Lines with a heading mark before some of them; whole ones, or the first ``most`` characters of each."""
     n = F.col("line_no")
+    line = F.col("line") if most is None else F.substring("line", 1, most)
     mark = F.when(n == 0, "# ").when(n % 7 == 3, "#### ").when(n % 5 == 2, "### ").when(n % 11 == 10, "## ").otherwise("")
-    return _lines(spark, sf).select("doc_id", "line_no", F.concat(mark, F.substring("line", 1, 120)).alias("line"))
+    return _lines(spark, sf).select("doc_id", "line_no", F.concat(mark, line).alias("line"))
 
 
-def _markdown_text(spark, sf):
-    return _markdown(spark, sf).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def _markdown_text(spark, sf, most=None):
+    return _markdown(spark, sf, most).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 @query(rf"""
@@ -146,7 +151,7 @@ p AS (SELECT doc_id, part, any_value(trim(regexp_extract(line, '^#{{1,2}}[ \t]+(
 k AS (SELECT *, max((title IS NOT NULL)::INT) OVER (PARTITION BY doc_id) AS headed FROM p)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS chapter, coalesce(title, CASE WHEN headed = 1 THEN 'Introdução' ELSE 'Documento completo' END) AS title, length(text)::INT AS n FROM k WHERE text <> ''""")
 def q_chapter_split(spark, sf):
-    return chunking.chapters(_markdown_text(spark, sf), "doc_id", "text").select("doc_id", "chapter", "title", F.length("text").alias("n"))
+    return chunking.chapters(_markdown_text(spark, sf, _SQL_CUT), "doc_id", "text").select("doc_id", "chapter", "title", F.length("text").alias("n"))
 
 
 def _section_sql() -> str:
@@ -160,13 +165,15 @@ SELECT doc_id, line_no, concat_ws(' > ', {path}) AS section_path FROM s"""
 
 @query(_section_sql())
 def q_section_paths(spark, sf):
-    return chunking.section_paths(_markdown(spark, sf), "doc_id", "line_no", "line").select("doc_id", "line_no", "section_path")
+    return chunking.section_paths(_markdown(spark, sf, _SQL_CUT), "doc_id", "line_no", "line").select("doc_id", "line_no", "section_path")
 
 
 @query()
 def q_chunk_split(spark, sf):
     ch = chunking.chapters(_markdown_text(spark, sf), "doc_id", "text")
-    return chunking.chunk_rows(chunking.chunks(ch, "doc_id"), "doc_id").select("doc_id", "chapter", "chunk_index", "section_path", "chunk_id", F.length("text").alias("n"))
+    # measured before the chunks are numbered, so that their texts are not shuffled for it
+    pieces = chunking.chunks(ch, "doc_id").withColumn("n", F.length("text"))
+    return chunking.chunk_rows(pieces, "doc_id").select("doc_id", "chapter", "chunk_index", "section_path", "chunk_id", "n")
 
 
 @query()

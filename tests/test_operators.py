@@ -7,6 +7,7 @@ from notegrove import schemas
 from notegrove.functions import biblio, paging, pricing
 from notegrove.functions import text as tx
 from notegrove.operators import chunking, dedup, fusion, graph, memo, review, store, vectors
+from notegrove.plans.registry import QUERIES
 
 
 def one(spark, column, **values):
@@ -124,3 +125,13 @@ def test_map_structure(spark):
     assert [tuple(x) for x in got] == [("First", "some more", ["7"]), ("Empty", "", [])]
     assert one(spark, tx.map_summary(F.col("t")), t=body) == "Sum one\ntwo"
     assert one(spark, tx.map_sections(F.col("t")), t="no heading") == [] and one(spark, tx.map_summary(F.col("t")), t="") == ""
+
+
+def test_chunks_of_whole_lines(spark, tmp_path):
+    """Every word of a long line reaches the chunks and the merged sections."""
+    line = " ".join(f"w{i:04d}" for i in range(500))
+    spark.createDataFrame([(1, f"head\n{line}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    merged = QUERIES["q_small_section_merge"](spark, str(tmp_path)).collect()
+    assert [r["n"] for r in merged] == [len(line)]
+    got = QUERIES["q_chunk_split"](spark, str(tmp_path)).collect()
+    assert len(got) >= 3 and sum(r["n"] for r in got) >= len(line) - len(got)
