@@ -13,6 +13,7 @@ reported; repeated rows each have a row; extra columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ BAND = 8
 COVERAGE = 0.8
 _WORD = byte_class("alnum")
 #: Notices of common licenses, by SPDX identifier.
-TEMPLATES = {
+NOTICES = {
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -36,10 +38,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "LicenseRef-reserved": "All rights reserved.",
     "MIT": "Released under the MIT License",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: Whole texts of licenses, in ``licenses``; each is a template besides the license's notices.
+TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+TEMPLATES = NOTICES | {f"{name}-text": pkgutil.get_data("notegrove.llm", f"licenses/{name}.txt").decode() for name in TEXTS}
 
 
 class TemplateIndex:
@@ -57,12 +63,27 @@ class TemplateIndex:
                 g = grams(w, SHINGLE)
                 # of every WINNOW consecutive shingles the smallest is a fingerprint
                 chosen = {i + int(np.argmin(g[i : i + WINNOW])) for i in range(max(1, len(g) - WINNOW + 1))} if len(g) else set()
-                for i in chosen:
+                # a phrase that a long template repeats would put most of its seeds on diagonals far from the match
+                own, times = np.unique(g, return_counts=True)
+                once = set(own[times == 1].tolist())
+                single = {i for i in chosen if int(g[i]) in once}
+                for i in single if 2 * len(single) >= len(chosen) else chosen:
                     seeds.setdefault(int(g[i]), []).append((t, i))
         self.keys = np.array(sorted(seeds), np.uint64)
         self.seeds = [seeds[int(k)] for k in self.keys]
         self.memo: dict[tuple, tuple] = {}
 
+    def most(self, t: int, text: np.ndarray) -> int:
+        """At most so many words can an alignment match: those that the text holds anywhere inside the band."""
+        w = self.words[t]
+        m, n = len(w), len(text)
+        held = np.zeros(m, bool)
+        for d in range(-BAND - 1, max(n - m, 0) + BAND + 1):
+            i, j = max(0, -d), min(m, n - d)
+            if i < j:
+                held[i:j] |= w[i:j] == text[i + d : j + d]
+        return int(held.sum())
+
     def align(self, t: int, text: np.ndarray) -> tuple[int, int, int]:
         """(matched words, first, after the last) of the best alignment of a template in a stretch of text;
         cells farther than the band from the stretch's diagonals are not visited."""
@@ -118,7 +139,11 @@ class TemplateIndex:
                     continue
                 lo = max(0, cluster[0] - BAND)
                 hi = min(int(at[r + 1] - at[r]), cluster[-1] + len(self.words[t]) + BAND)
-                matched, s, e = self.align(t, h[at[r] + lo : at[r] + hi])
+                stretch = h[at[r] + lo : at[r] + hi]
+                if self.most(t, stretch) < coverage * len(self.words[t]):
+                    cluster = [d]
+                    continue
+                matched, s, e = self.align(t, stretch)
                 share = matched / len(self.words[t])
                 if share >= coverage:
                     out[r].append((lo + s, lo + e, self.names[t], share))

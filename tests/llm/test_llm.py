@@ -258,6 +258,21 @@ def test_licenses(spark):
     assert got == {1: [("MIT", 0, 5, 1.0)], 2: [("Apache-2.0", 1, 9, 0.88)], 3: [], 4: []}
 
 
+def test_license_texts(spark, tmp_path):
+    """Each notice and whole text is found amid prose, as a brute-force scan over windows of its length finds it."""
+    prose = " ".join(f"prose{i}" for i in range(30))
+    names = sorted(license_scan.TEMPLATES)
+    held = [f"{prose}\n{license_scan.TEMPLATES[n]}\n{prose}" for n in names] + [prose]
+    spark.createDataFrame(list(enumerate(held)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: set(r["licenses"].split(",")) - {""} for r in QUERIES["op10_license_scan"](spark, str(tmp_path)).collect()}
+    flat = lambda t: f" {' '.join(brute.ALNUM_WORD.findall(brute.lower(t)))} "
+    for i, text in enumerate(held):
+        whole = {n for n in names if flat(license_scan.TEMPLATES[n]) in flat(text)}
+        assert whole <= got[i] and (i < len(names) or not got[i])
+    assert got[names.index("LicenseRef-reserved")] == {"LicenseRef-reserved"}
+    assert {"AGPL-3.0-header", "BSD-2-Clause-text", "ISC-text", "MIT-text", "Unlicense-text"} <= set(names)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
