@@ -51,13 +51,13 @@ def density_clusters(vectors: DataFrame, k: int = 10, threshold: float = 0.7, le
 
 
 def kmeans(vectors: DataFrame, least: int = 5, seed: int = 42, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, cluster) by k-means with k = min(max(2, n // least), n, 256); small clusters are dropped."""
+    """(id, cluster) by k-means with k = min(max(2, n // least), n); small clusters are dropped."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     x = vectors.select(F.col(vec).alias("id"), array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
     n = x.count()
-    k = min(max(2, n // least), n, 256)
+    k = min(max(2, n // least), n)
     got = KMeans(k=k, seed=seed, maxIter=10).fit(x).transform(x).select("id", F.col("prediction").alias("cluster"))
     big = got.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return got.join(big.select("cluster"), "cluster", "left_semi").select("id", "cluster")

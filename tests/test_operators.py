@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from notegrove import schemas
 from notegrove.functions import biblio, paging, pricing
 from notegrove.functions import text as tx
-from notegrove.operators import chunking, dedup, fusion, graph, memo, review, store, vectors
+from notegrove.operators import chunking, cluster, dedup, fusion, graph, memo, review, store, vectors
 from notegrove.plans.registry import QUERIES
 
 
@@ -135,3 +135,10 @@ def test_chunks_of_whole_lines(spark, tmp_path):
     assert [r["n"] for r in merged] == [len(line)]
     got = QUERIES["q_chunk_split"](spark, str(tmp_path)).collect()
     assert len(got) >= 3 and sum(r["n"] for r in got) >= len(line) - len(got)
+
+
+def test_kmeans_has_no_cap(spark):
+    """The number of clusters follows the number of vectors, above 256 too."""
+    x = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(600)], "vec_id long, embedding array<double>")
+    got = cluster.kmeans(x, least=1).agg(F.countDistinct("cluster").alias("k"), F.count("*").alias("n")).first()
+    assert got["k"] > 256 and got["n"] == 600
