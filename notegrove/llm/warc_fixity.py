@@ -1,16 +1,18 @@
 """WARC with a Merkle fixity audit (operator 7).
 
-Pages are laid out as response records in segments of an archive, in page_id order; a record's place is its
-offset range. Each record is hashed; every ``FAN`` consecutive offset ranges of a segment are hashed
-into a parent range, up to the segment's root, and segments' roots into the archive's root in the same
-way. To compare two replicas, only the roots are joined first; a level below is read only under branches that
-differ, down to the records: an intact branch is never descended.
+Pages are laid out as response records in segments of an archive; a record's place is its page_id's slot in the
+segment, page_id mod ``SEGMENT``, plus ``SEGMENT`` for each record of that page_id before it, so that a lost or added
+record moves no record of another page. Records lie in order of place. Each record is hashed; the offset ranges of every ``FAN``
+consecutive places of a segment are hashed, with their places, into a parent range, up to the segment's root, and
+segments' roots, by segment number, into the archive's root in the same way. To compare two replicas, only the archives' roots are
+compared first; a level below is read only under branches that differ, down to the records: an intact branch is never descended.
 
 Trees are built one segment to a task (at most ``SEGMENT`` page ids), so no step holds more than one
 segment; upper levels are ordinary aggregations of ordered digests.
 
 Edge cases: a null html is an empty payload and a null url an empty one; rows without page_id lie in
-segments of their own, ``LOOSE`` by the hash of their content, numbered below all others; repeated pages are records of their own, told apart by their place; a record that only one
+segments of their own, ``LOOSE`` by the hash of their content, numbered below all others, with slots by that hash too; repeated pages are records of their own,
+told apart by their content where one replica lacks some; a record that only one
 replica has is missing there; extra columns are ignored; empty archives are equal.
 """
 
@@ -18,10 +20,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrove.llm.common import small_batches, stored
@@ -63,10 +67,6 @@ def _digest(*parts: bytes) -> str:
     return hashlib.sha256(b"".join(parts)).hexdigest()
 
 
-def parents(digests: list[str]) -> list[str]:
-    return [_digest(*(bytes.fromhex(d) for d in digests[i : i + FAN])) for i in range(0, len(digests), FAN)]
-
-
 _NODES = "segment long, level int, place long, first_byte long, end_byte long, digest string, page_id long, n_bytes long, payload_sha256 string"
 
 
@@ -75,38 +75,90 @@ def nodes(pages: DataFrame) -> DataFrame:
     the single node of the highest level is the root."""
     of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     loose = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE))
-    of = of.withColumn("segment", F.coalesce(F.shiftright("page_id", SEGMENT.bit_length() - 1), loose))
+    slot = F.pmod(F.coalesce("page_id", F.shiftright(F.xxhash64("url", "html"), 32)), F.lit(SEGMENT)).cast("long")
+    of = of.withColumn("segment", F.coalesce(F.shiftright("page_id", SEGMENT.bit_length() - 1), loose)).withColumn("slot", slot)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seg = int(pdf["segment"].iloc[0])
-        ids = [None] * len(pdf) if pdf["page_id"].isna().all() else pdf["page_id"].astype("int64")  # a segment has ids or none
-        rows = sorted(zip(ids, (u or "" for u in pdf["url"]), (h or "" for h in pdf["html"]), strict=True), key=lambda r: r[1:] if r[0] is None else r)
+        ids = [None] * len(pdf) if pdf["page_id"].isna().all() else pdf["page_id"].astype("int64").tolist()  # a segment has ids or none
+        rows = sorted(zip(pdf["slot"].astype("int64"), (u or "" for u in pdf["url"]), (h or "" for h in pdf["html"]), ids, strict=True), key=lambda r: r[:3])
+        before: Counter = Counter()
+        placed = []
+        for slot, u, h, i in rows:
+            placed.append((int(slot) + SEGMENT * before[slot], i, u, h))
+            before[slot] += 1
         out, at = [], 0
-        for k, (i, u, h) in enumerate(rows):
+        for k, i, u, h in sorted(placed, key=lambda r: r[0]):
             payload = h.encode()
             raw = record(u, payload, -1 if i is None else i)
             out.append((seg, 0, k, at, at + len(raw), _digest(raw), i, len(payload), hashlib.sha256(payload).hexdigest()))
             at += len(raw)
         level = out
         depth = 0
-        while len(level) > 1:
+        while level[-1][2] > 0:
             depth += 1
-            hashes = parents([x[5] for x in level])
-            level = [(seg, depth, k, level[k * FAN][3], level[min(len(level), (k + 1) * FAN) - 1][4], d, None, None, None) for k, d in enumerate(hashes)]
+            level = [(seg, depth, k, x[0][3], x[-1][4], _digest(*(b"%d:" % c[2] + bytes.fromhex(c[5]) for c in x)), None, None, None) for k, x in ((k, list(g)) for k, g in groupby(level, lambda c: c[2] // FAN))]
             out += level
-        got = pd.DataFrame(out, columns=["segment", "level", "place", "first_byte", "end_byte", "digest", "page_id", "n_bytes", "payload_sha256"])
-        return got.astype({"page_id": "Int64", "n_bytes": "Int64"})
+        got = pd.DataFrame(out, columns=["segment", "level", "place", "first_byte", "end_byte", "digest", "page_id", "n_bytes", "payload_sha256"], dtype=object)  # ids beyond 2^53 stay exact beside nulls
+        return got.astype({"segment": "int64", "level": "int32", "place": "int64", "first_byte": "int64", "end_byte": "int64", "page_id": "Int64", "n_bytes": "Int64"})
 
     return of.groupBy("segment").applyInPandas(build, _NODES)
 
 
+def roots(tree: DataFrame) -> DataFrame:
+    """(loose, number, segment, level, digest): the root of each segment, under which branch and number the archive's tree has it."""
+    top = tree.groupBy("segment").agg(F.max_by("digest", "level").alias("digest"), F.max("level").alias("level"))
+    loose = F.col("segment") < -(1 << 61)
+    return top.select(loose.alias("loose"), F.when(loose, F.col("segment") + F.lit(1 << 62)).otherwise(F.col("segment")).alias("number"), "segment", "level", "digest")
+
+
+def _hashed(nodes_: DataFrame, keys: list[str]) -> DataFrame:
+    held = F.array_sort(F.collect_list(F.struct("loose", "number", "digest")))
+    text = F.array_join(F.transform(held, lambda x: F.concat_ws(":", x["loose"].cast("string"), x["number"].cast("string"), x["digest"])), ",")
+    return (nodes_.groupBy(*keys) if keys else nodes_).agg(F.sha2(text, 256).alias("digest"))
+
+
+def archive(tops: DataFrame, depth: int) -> tuple[list[DataFrame], str]:
+    """The levels (loose, number, digest) over segments' roots, FAN numbers to a node, and the archive's root."""
+    levels = [tops.select("loose", "number", "digest")]
+    for _ in range(depth):
+        levels.append(stored(_hashed(levels[-1].withColumn("up", F.shiftright("number", FAN.bit_length() - 1)), ["loose", "up"]).withColumnRenamed("up", "number")))
+    return levels, _hashed(levels[-1], []).first()["digest"]
+
+
+def _depth(*tops: DataFrame) -> int:
+    """So many levels until each branch has one node, or two where numbers are negative too."""
+    ends = [v for t in tops for v in t.agg(F.min("number"), F.max("number")).first() if v is not None]
+    depth = 0
+    while any(v >> (depth * (FAN.bit_length() - 1)) not in (0, -1) for v in ends):
+        depth += 1
+    return depth
+
+
+def _differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+    """(loose, number) of the segments whose roots differ, by descent from the archives' highest level."""
+    on = ["loose", "number"]
+    under = None
+    for x, y in zip(reversed(a), reversed(b), strict=True):
+        if under is not None:
+            up = under.withColumnRenamed("number", "up")
+            x, y = (t.withColumn("up", F.shiftright("number", FAN.bit_length() - 1)).join(up, ["loose", "up"], "left_semi").drop("up") for t in (x, y))
+        both = x.join(y.withColumnRenamed("digest", "other"), on, "full_outer")
+        under = stored(both.where(~F.col("digest").eqNullSafe(F.col("other"))).select(*on))
+    return under
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """(segment, place, page_id, damage) of the records that differ between two trees of ``nodes``.
     damage: ``changed``, ``missing`` (the replica lacks it) or ``extra``."""
-    top = lambda t: t.groupBy("segment").agg(F.max_by("digest", "level").alias("digest"), F.max("level").alias("level"))
-    a, b = top(primary), top(replica)
-    roots = a.join(b.select("segment", F.col("digest").alias("other"), F.col("level").alias("other_level")), "segment", "full_outer")
-    differ = stored(roots.where(~F.col("digest").eqNullSafe(F.col("other"))).select("segment", F.greatest(F.coalesce("level", F.lit(0)), F.coalesce("other_level", F.lit(0))).alias("level"), F.lit(0).cast("long").alias("place")))
+    a, b = stored(roots(primary)), stored(roots(replica))
+    depth = _depth(a, b)
+    (ups, root), (others, other) = archive(a, depth), archive(b, depth)
+    if root == other:
+        return primary.select("segment", "place", "page_id", F.lit("changed").alias("damage")).limit(0)
+    under = _differing(ups, others)
+    both = a.join(under, ["loose", "number"], "left_semi").unionByName(b.join(under, ["loose", "number"], "left_semi"))
+    differ = stored(both.groupBy("segment").agg(F.max("level").alias("level")).withColumn("place", F.lit(0).cast("long")))
     deepest = differ.agg(F.max("level")).first()[0]
     pick = lambda t, name: t.select("segment", "level", "place", F.col("digest").alias(name), F.col("page_id").alias(f"{name}_page"))
     for level in range(deepest or 0, 0, -1):
@@ -115,9 +167,25 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         x = below.join(pick(primary, "a"), ["segment", "level", "place"], "left").join(pick(replica, "b"), ["segment", "level", "place"], "left")
         open_ = x.where(~F.col("a").eqNullSafe(F.col("b"))).select("segment", "level", "place")
         differ = stored(differ.where(F.col("level") < level).unionByName(open_))
-    leaves = differ.where("level = 0").select("segment", "level", "place").join(pick(primary, "a"), ["segment", "level", "place"], "left").join(pick(replica, "b"), ["segment", "level", "place"], "left")
-    leaves = leaves.where("a is not null or b is not null")
-    return leaves.select("segment", "place", F.coalesce("a_page", "b_page").alias("page_id"), F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed").alias("damage"))
+    # a root that is a record itself may have any place; of repeated pages those that both replicas hold are intact
+    held = [_numbered(t.where("level = 0").join(differ.where("level = 0").select("segment", "place"), ["segment", "place"], "left_semi")) for t in (primary, replica)]
+    same = ["segment", "slot", "digest", "nth"]
+    left, right = (_ranked(x.join(y.select(*same), same, "left_anti"), sign) for x, y, sign in ((*held, 1), (*held[::-1], -1)))
+    found = left.join(right.select("segment", "slot", "r", F.col("place").alias("b_place"), F.col("page_id").alias("b_page")), ["segment", "slot", "r"], "full_outer")
+    damage = F.when(F.col("b_place").isNull(), "missing").when(F.col("place").isNull(), "extra").otherwise("changed")
+    return found.select("segment", F.coalesce("place", "b_place").alias("place"), F.coalesce("page_id", "b_page").alias("page_id"), damage.alias("damage"))
+
+
+def _numbered(leaves: DataFrame) -> DataFrame:
+    """Records with their slot and their number among equal ones of it."""
+    x = leaves.select("segment", (F.col("place") % SEGMENT).alias("slot"), "place", "digest", "page_id")
+    return x.withColumn("nth", F.row_number().over(Window.partitionBy("segment", "slot", "digest").orderBy("place")))
+
+
+def _ranked(leaves: DataFrame, sign: int) -> DataFrame:
+    """Records in the order in which those of one page are compared; ones without page_id are no one's counterpart."""
+    r = F.row_number().over(Window.partitionBy("segment", "slot").orderBy("place"))
+    return leaves.withColumn("r", F.when(F.col("page_id").isNull(), r * sign).otherwise(r))
 
 
 def op7_warc_fixity(spark, sf_dir: str) -> DataFrame:

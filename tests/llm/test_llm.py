@@ -207,6 +207,32 @@ def test_fixity(spark, edge):
     assert sum(r["page_id"] is None for r in leaves) == 2 and warc_fixity.audit(warc_fixity.nodes(odd), warc_fixity.nodes(odd)).count() == 0
 
 
+def test_fixity_locates_lost_and_added_records(spark):
+    """A lost or added record in mid-segment is the only damage; so it is among repeats and rows without page_id."""
+    a = spark.createDataFrame([(i, "u", f"p{i}") for i in range(600)] + [(40, "u", "x"), (40, "u", "y"), (None, "u", "l"), (None, "v", "m"), (5000, "u", "z")], "page_id long, url string, html string")
+    tree = warc_fixity.nodes(a)
+
+    def found(x, y):
+        return sorted(((r["page_id"], r["damage"]) for r in warc_fixity.audit(x, y).collect()), key=repr)
+
+    lost = warc_fixity.nodes(a.where("not (page_id <=> 17) and not (page_id <=> 300) and not (page_id <=> 5000) and html not in ('p40', 'm')"))
+    assert found(tree, lost) == sorted([(17, "missing"), (40, "missing"), (300, "missing"), (5000, "missing"), (None, "missing")], key=repr)
+    assert found(lost, tree) == sorted([(17, "extra"), (40, "extra"), (300, "extra"), (5000, "extra"), (None, "extra")], key=repr)
+    bad = a.withColumn("html", F.when(F.col("html") == "x", "w").otherwise(F.col("html")))
+    assert found(tree, warc_fixity.nodes(bad)) == [(40, "changed")]
+    assert found(tree.where("segment > 5"), tree.where("segment > 5")) == [] == found(tree, tree)
+
+
+def test_fixity_archive_root(spark):
+    """The archive's root covers all segment roots, and changes with any of them."""
+    a = spark.createDataFrame([(i * 256, "u", f"p{i}") for i in range(-40, 600)], "page_id long, url string, html string")
+    one, two, less = (warc_fixity.roots(warc_fixity.nodes(x)) for x in (a, a.withColumn("html", F.when(F.col("page_id") == 512, "q").otherwise(F.col("html"))), a.where("page_id <> 512")))
+    depth = warc_fixity._depth(one, two)
+    levels, root = warc_fixity.archive(one, depth)
+    assert depth == 3 and [x.count() for x in levels] == [640, 41, 4, 2]
+    assert len({root, warc_fixity.archive(two, depth)[1], warc_fixity.archive(less, depth)[1]}) == 3
+
+
 def test_classifier(spark, edge, sf):
     assert QUERIES["op8_quality_classifier"](spark, edge).where("score is null or score < 0 or score > 1").count() == 0
     got = QUERIES["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
