@@ -2,13 +2,13 @@
 
 The templates' winnowed word shingles are an inverted index. A text's shingles that meet it give
 seeds, each a template and a diagonal (place in the text less place in the template). Seeds of one
-template whose diagonals lie within the band of each other are one candidate; its stretch of the text is aligned with the
+template whose diagonals lie within the band of each other are one candidate; its stretch of the text is, until nothing more matches, aligned with the
 template inside the band (edit distance over words that is free to start and end anywhere in the
 text), and the match is reported with its coverage, the share of the template's words that the
 alignment matches, and its span in words.
 
 Edge cases: null and empty texts have no matches; overlapping matches of several templates are all
-reported; repeated rows each have a row; extra columns are ignored; an empty table gives no rows.
+reported, of one template the best; repeated rows each have a row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -130,7 +130,9 @@ class TemplateIndex:
         for r, p in zip(row.tolist(), hit.tolist(), strict=True):
             for t, i in self.seeds[k[p]]:
                 groups.setdefault((r, t), []).append(p - int(at[r]) - i)
+        near: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
         for (r, t), diagonals in groups.items():
+            near[r, t] = set()
             diagonals.sort()
             cluster = [diagonals[0]]
             for d in [*diagonals[1:], None]:
@@ -139,16 +141,26 @@ class TemplateIndex:
                     continue
                 lo = max(0, cluster[0] - BAND)
                 hi = min(int(at[r + 1] - at[r]), cluster[-1] + len(self.words[t]) + BAND)
-                stretch = h[at[r] + lo : at[r] + hi]
-                if self.most(t, stretch) < coverage * len(self.words[t]):
-                    cluster = [d]
-                    continue
-                matched, s, e = self.align(t, stretch)
-                share = matched / len(self.words[t])
-                if share >= coverage:
-                    out[r].append((lo + s, lo + e, self.names[t], share))
+                todo = [(lo, hi)]
+                while todo:
+                    lo, hi = todo.pop()
+                    stretch = h[at[r] + lo : at[r] + hi]
+                    if self.most(t, stretch) < coverage * len(self.words[t]):
+                        continue
+                    matched, s, e = self.align(t, stretch)
+                    share = matched / len(self.words[t])
+                    if share >= coverage:
+                        near[r, t].add((lo + s, lo + e, share))
+                        # a notice may follow itself within the band: what lies on both sides is aligned again
+                        todo += [(lo, lo + s), (lo + e, hi)]
                 cluster = [d]
-        return [sorted(set(x)) for x in out]
+            # stretches of neighbouring candidates overlap: of overlapping matches of a template the best one stays
+            taken = np.zeros(int(at[r + 1] - at[r]), bool)
+            for s, e, share in sorted(near[r, t], key=lambda m: (-m[2], m[1] - m[0], m)):
+                if not taken[s:e].any():
+                    taken[s:e] = True
+                    out[r].append((s, e, self.names[t], share))
+        return [sorted(x) for x in out]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

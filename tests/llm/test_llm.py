@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,20 @@ def test_licenses(spark):
     assert got == {1: [("MIT", 0, 5, 1.0)], 2: [("Apache-2.0", 1, 9, 0.88)], 3: [], 4: []}
 
 
+def test_directly_repeated_notices():
+    """Every copy of a notice that follows itself is a match of its own, whatever lies between the copies."""
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    for name in ("MIT", "CC-BY-NC-4.0", "Apache-2.0", "LicenseRef-reserved"):
+        notice = license_scan.TEMPLATES[name]
+        size = len(brute.ALNUM_WORD.findall(brute.lower(notice)))
+        for copies in (1, 2, 3, 7):
+            for gap in (0, 1, 2, 4, 9):
+                text = " ".join([f"{notice} {'x ' * gap}"] * copies)
+                batch = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.large_string())})
+                (found,) = [m for b in common.blocks(iter([batch]), lower=True) for m in index.find(b)]
+                assert [m[:2] for m in found if m[2] == name] == [(k * (size + gap), k * (size + gap) + size) for k in range(copies)], (name, copies, gap)
+
+
 def test_license_texts(spark, tmp_path):
     """Each notice and whole text is found amid prose, as a brute-force scan over windows of its length finds it."""
     prose = " ".join(f"prose{i}" for i in range(30))
