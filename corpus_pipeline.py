@@ -25,7 +25,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near copies, and one of rows that are the same throughout."""
+    """Keeps the smallest doc_id of each component of near copies, and one of rows that share doc_id and text. Two
+    exceptions: rows without doc_id all stay, exact copies of each other too, and where a doc_id has several texts all of
+    them stay if any one leads its component."""
     small_batches(spark)
     found = stored(ngram_join.ngram_components(docs))
     by = found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
