@@ -67,11 +67,14 @@ BASE_SECRETS = {
 }
 
 
-def base_secrets(r):
-    t = r["text"] or ""
+def base_spans(t):
     found = [(m.start(), k, m.end()) for k, (p, ok) in BASE_SECRETS.items() for m in p.finditer(t) if ok(m)]
     order = list(BASE_SECRETS)
-    found.sort(key=lambda x: (x[0], order.index(x[1])))
+    return sorted(found, key=lambda x: (x[0], order.index(x[1])))
+
+
+def base_secrets(r):
+    found = base_spans(r["text"] or "")
     n = Counter(k for _, k, _ in found)
     return r["doc_id"], n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{s}:{e}" for s, k, e in found))
 

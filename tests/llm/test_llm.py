@@ -142,15 +142,6 @@ def test_secrets(spark, edge, rows):
     same(QUERIES["op4_secret_scan"](spark, edge).drop("spans").collect(), [brute.base_secrets(r) for r in rows])
 
 
-def test_format_likelihood():
-    rnd = random.Random(1)
-    hexes = ["".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(200)]
-    keys = ["sk-" + "".join(rnd.choices("ABCDEFGHJKabcdefgh0123456789", k=24)) for _ in range(200)]
-    automata = secret_scan.learned([("hex", h) for h in hexes] + [("assign", k) for k in keys])
-    _, spans = secret_scan.spans_in("see sk-ABCDefgh0123ABCDefgh0123 and inconsequentialities99 or 2024-01-01T00-00", automata)
-    assert spans == [(4, "format", 31)]
-
-
 def test_contamination(spark, edge, rows, monkeypatch):
     items = [r.asDict() for r in spark.read.parquet(f"{edge}/benchmark.parquet").collect()]
     want = brute.contamination(rows, items)
