@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+#: Input bytes that a bucket of hashes stands for, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 24
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2^64
 _P_INV = pow(_P, -1, 1 << 64)
@@ -194,16 +196,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as make it a new one."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none (tests)."""
+    """The shared folder that the session names. Only a session of one machine (``local``) that names none, as in tests, gets
+    one of its own: on a cluster a folder of one machine would lose data, so that is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/notegrove-checkpoints-{os.getpid()}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
@@ -224,6 +236,45 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of the size of a frame; of files, their bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hash_buckets(df: DataFrame) -> int:
+    """How many buckets to deal hashes of a frame into: several a partition, and so many that one has about BUCKET_BYTES of
+    the frame, whatever the number of partitions."""
+    n = partitions(df.sparkSession)
+    return n * max(4, min(MOST_BUCKETS, input_bytes(df) // BUCKET_BYTES) // n)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows with a ``bucket``, a bucket in one partition and sorted by it (the JVM spills), for ``by_bucket``."""
+    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one bucket after another, so that a task holds one bucket at a time."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for b in batches:
+        keys = b.column("bucket").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else [0]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if held and keys[i] != at:
+                yield held
+                held = []
+            at = keys[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held
+
+
+def bits_for(n: int, least: int, most: int) -> int:
+    """Bits of a bitmap that n keys fill to an eighth at most: a power of two between two bounds."""
+    return max(least, min(most, 1 << (8 * max(n, 1) - 1).bit_length()))
+
+
 def scatter(key: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tuple]:
     """(bucket, each column's bytes) for every bucket that some keys fall in; a packed row a bucket is
     what a task sends, in place of a row for each key."""
@@ -236,8 +287,8 @@ def scatter(key: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tupl
 
 
 def bitmap(df: DataFrame, bit: Column, bits: int) -> np.ndarray:
-    """A bitmap over 0..bits-1 of the values of a long expression, as packed 64-bit words. Its size is
-    fixed whatever the number of rows: at most bits / 64 rows reach the driver."""
+    """A bitmap over 0..bits-1 of the values of a long expression, as packed 64-bit words: at most bits / 64 rows reach the
+    driver, whatever the number of rows."""
     words = (
         df.select(bit.alias("b"))
         .groupBy(F.shiftright("b", 6).alias("w"))
@@ -261,13 +312,14 @@ def id_bit(ids: np.ndarray, bits: int) -> np.ndarray:
     return (ids.astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(bits)
 
 
-def packed_ids(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
-    """Bitmap of hashed ids (1 MB by default). A false positive costs its user some work and never
-    changes a result."""
+def packed_ids(df: DataFrame, column: str, least: int = 1 << 23, most: int = 1 << 30) -> tuple[np.ndarray, int]:
+    """(bitmap of hashed ids, its bits): 1 MB, or a byte for each row of a stored frame up to 128 MB. A false positive costs
+    its user some work and never changes a result."""
+    bits = bits_for(df.count(), least, most)
 
     def run(batches):
         for b in batches:
             ids = np.unique(b.column(0).drop_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_pydict({"b": pa.array(np.unique(id_bit(ids, bits)).astype(np.int64))})
 
-    return bitmap(df.select(F.col(column).cast("long")).mapInArrow(run, "b long"), F.col("b"), bits)
+    return bitmap(df.select(F.col(column).cast("long")).mapInArrow(run, "b long"), F.col("b"), bits), bits

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrove.llm.common import Block, blocks, byte_class, documents, grams, inside
+from notegrove.llm.common import Block, blocks, byte_class, documents, free, grams, inside
 
 SHINGLE = 3
 WINNOW = 2
@@ -170,15 +170,16 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     templates = TEMPLATES if templates is None else templates
     match = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType())])
     schema = docs.select(*keep).schema.add("matches", T.ArrayType(match))
+    read = free("text", schema.names)
     arrow = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("license", pa.string()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates)
-        for b in blocks(batches, lower=True, column="__text"):
+        for b in blocks(batches, lower=True, column=read):
             found = [[dict(zip(("first_word", "end_word", "license", "coverage"), m, strict=True)) for m in x] for x in index.find(b, coverage)]
             yield pa.RecordBatch.from_arrays([*(b.batch.column(c) for c in keep), pa.array(found, arrow)], names=[*keep, "matches"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(read)).mapInArrow(run, schema)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

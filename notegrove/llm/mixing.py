@@ -50,14 +50,14 @@ def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, source string, size long")
 
 
-def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows, with their size as a last column."""
+def with_size(docs: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
+    """The rows, with their size as a last column ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, column=text):
-            yield b.batch.append_column("size", pa.array(np.diff(b.runs(_WORD)[2]), pa.int64()))
+            yield b.batch.append_column(name, pa.array(np.diff(b.runs(_WORD)[2]), pa.int64()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("size", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> dict[str | None, tuple[int, float]]:
@@ -75,7 +75,7 @@ def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEI
         for s in full:
             target[s] = Fraction(limit * size[s])
             left -= limit * size[s]
-        open_ = [s for s in open_ if s not in set(full)]
+        open_ = [s for s in open_ if s not in target]
     return {s: (size[s], float(target[s])) for s, _ in order}
 
 

@@ -8,8 +8,8 @@ tell them apart, and a false positive only changes the order), then by hash. Two
 the first |x| - ceil(t |x|) + 1 of each. Nodes with the same prefix and size form one group, which is
 indexed once.
 
-Group pairs. The groups of each prefix shingle are a run. A run first gives a star and a chain of
-pairs, not all pairs; these are filtered by size and by an exact bound of the overlap from
+Group pairs. The groups of each prefix shingle are a run. A run first gives a tree (each group with TREE others below it)
+and a chain of pairs, not all pairs, so that no group is in very many; these are filtered by size and by an exact bound of the overlap from
 parity bitmaps (2 |x and y| <= |x| + |y| - differing bits), expanded to members and verified on the whole sets. Their
 links give components. A second round takes only the runs that still hold several components, in
 blocks, and compares every two nodes of different components there by size and parity; what is left is verified. So each pair that shares a prefix shingle is
@@ -17,9 +17,12 @@ either tried or inside one component already: no component is missed, and a grou
 costs a multiple of its size rather than the square.
 
 Edge cases: a null text, or one without words, has an empty set and links with nothing; fewer words
-than a shingle make one shingle of them all; rows without doc_id keep a null component unless a copy has
-one; repeated rows each have a row; extra columns are ignored; an empty table gives no rows.
-Shingles and sets are known by 64-bit hashes (a set also by its size).
+than a shingle make one shingle of them all; rows without doc_id link as others do (a hash of their text stands for the
+id) and have a null component only if no document that they reach has one; repeated rows each have a row; extra
+columns are ignored; an empty table gives no rows. Shingles and sets are known by 64-bit hashes (a set also by its size).
+
+Memory: hashes are dealt into buckets whose number follows the input's size, and a task holds one at a time; bitmaps
+have a bit for some bytes of input, between two bounds. The groups of one prefix shingle (20 bytes each) lie in one bucket.
 """
 
 from __future__ import annotations
@@ -29,22 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegrove.llm.common import Block, bitmap, blocks, byte_class, documents, grams, id_bit, inside, marked, mix, packed_ids, partitions, scatter, stored
+from notegrove.llm.common import Block, bitmap, bits_for, blocks, by_bucket, byte_class, dealt, documents, grams, hash_buckets, id_bit, input_bytes, inside, marked, mix, packed_ids, partitions, scatter, stored
 from notegrove.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
-#: Counts at which a shingle moves a rank back in the order; each rank has a bitmap of RANK_BITS.
+#: Counts at which a shingle moves a rank back in the order; each rank has a bitmap, of these bits at least and at most.
 RANKS = (32, 256, 2048, 16384)
-RANK_BITS = 1 << 23
+RANK_BITS = (1 << 23, 1 << 27)
+#: Input bytes that stand for one frequent shingle when the bitmaps are sized.
+RANK_BYTES = 2048
 PARITY = 1024
 PARITY_MOST = 1 << 15
 POOL_SHINGLES = 400_000
 RUN_ROW = 4096
+TREE = 16
 BLOCK = 512
+SEEN = 1_000_000
 _U = np.uint64
 _WORD = byte_class("space")
 
@@ -102,13 +109,13 @@ def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def _order_bitmap(source: DataFrame, n: int, percent: int, buckets: int) -> np.ndarray:
-    """Bitmap of the frequent shingles, counted over distinct sets among the smallest hashes of each set,
+def _order_bitmap(source: DataFrame, n: int, percent: int, buckets: int, rank_bits: int) -> np.ndarray:
+    """Bitmaps of the frequent shingles, one after the other, counted over distinct sets among the smallest hashes of each set,
     which are those that prefixes can hold (two fifths of a set, where a prefix is a quarter)."""
 
     def send(pool: dict[int, np.ndarray]) -> pa.RecordBatch:
         h, count = np.unique(np.concatenate(list(pool.values())), return_counts=True)
-        rows = list(scatter(h, buckets, [h, count.astype(np.uint16)]))
+        rows = list(scatter(h, buckets, [h, np.minimum(count, 65_535).astype(np.uint16)]))
         return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1] for r in rows], pa.binary()), "c": pa.array([r[2] for r in rows], pa.binary())})
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,42 +132,47 @@ def _order_bitmap(source: DataFrame, n: int, percent: int, buckets: int) -> np.n
             yield send(pool)
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [(np.frombuffer(x, _U), np.frombuffer(y, np.uint16)) for b in batches for x, y in zip(b.column("h").to_pylist(), b.column("c").to_pylist(), strict=True)]
-        if every:
+        for group in by_bucket(batches):
+            every = [(np.frombuffer(x, _U), np.frombuffer(y, np.uint16)) for b in group for x, y in zip(b.column("h").to_pylist(), b.column("c").to_pylist(), strict=True)]
             h, count = (np.concatenate(x) for x in zip(*every, strict=True))
             order = np.argsort(h, kind="stable")
             h, count = h[order], count[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             total = np.add.reduceat(count.astype(np.int64), first)
             for rank, least in enumerate(RANKS):
-                bits = np.unique(h[first[total >= least]] % _U(RANK_BITS)).astype(np.int64) + rank * RANK_BITS
+                bits = np.unique(h[first[total >= least]] % _U(rank_bits)).astype(np.int64) + rank * rank_bits
                 for i in range(0, len(bits), 100_000):
                     yield pa.RecordBatch.from_pydict({"b": bits[i : i + 100_000]})
 
-    sent = source.mapInArrow(emit, "bucket int, h binary, c binary").repartition(buckets, "bucket").select("h", "c")
-    return bitmap(sent.mapInArrow(often, "b long"), F.col("b"), len(RANKS) * RANK_BITS)
+    sent = dealt(source.mapInArrow(emit, "bucket int, h binary, c binary"))
+    return bitmap(sent.mapInArrow(often, "b long"), F.col("b"), len(RANKS) * rank_bits)
 
 
 def rank_of(bitmaps: np.ndarray, s: np.ndarray) -> np.ndarray:
     """How frequent each shingle is, from 0 (rare) on; the same for the same shingle in every set."""
-    bit = s % _U(RANK_BITS)
+    size = 64 * len(bitmaps) // len(RANKS)
+    bit = s % _U(size)
     out = np.zeros(len(s), np.int8)
     for rank in range(len(RANKS)):
-        out += marked(bitmaps, bit + _U(rank * RANK_BITS))
+        out += marked(bitmaps, bit + _U(rank * size))
     return out
 
 
-_INDEX = "kind int, k long, sig long, gid long, n long, bits binary, run long, gids array<long>"
+_INDEX = "kind int, k long, r long, t long, sig long, gid long, n long, bits binary, run long, gids array<long>"
+_LONGS = ("k", "r", "t", "sig", "gid", "n")
+_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in _LONGS), ("bits", pa.binary()), ("run", pa.int64()), ("gids", pa.list_(pa.int64()))])
 
 
 def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of kind 0: a document (k, sig, gid, n, bits). Of kind 1: the groups of a run, ordered by
-    size, at most RUN_ROW in a row."""
-    held = source.sparkSession.sparkContext.broadcast(_order_bitmap(source, n, percent, buckets))
-    fields = ["bucket", "kind", "h", "g", "n", "k", "bits"]
+    """Rows of kind 0: a document (k, r, t, sig, gid, n, bits). Of kind 1: the groups of a run, ordered by size, at most
+    RUN_ROW in a row. Of kind 2: some groups of each row of a long run, which tie its rows together."""
+    row = RUN_ROW
+    rank_bits = bits_for(input_bytes(source) // RANK_BYTES, *RANK_BITS)
+    held = source.sparkSession.sparkContext.broadcast(_order_bitmap(source, n, percent, buckets, rank_bits))
+    fields = ["bucket", "kind", "h", "g", "n", "r", "t", "known", "bits"]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=fields)
 
     def send(pool: dict[int, tuple[np.ndarray, int]], docs: list[tuple]) -> pa.RecordBatch:
@@ -170,15 +182,15 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             # the size is negative where the shingle is in the shorter prefix
             size = np.concatenate([np.where(np.arange(len(p)) < index_size(m, percent), -m, m) for p, m in pool.values()]).astype(np.int32)
             h = np.concatenate([p for p, _ in pool.values()])
-            rows += [(q, 1, a, b, c, None, None) for q, a, b, c in scatter(h, buckets, [h, gid, size])]
-        k, sig, gid, size, bits = zip(*docs, strict=True)
-        rows.append((abs(sig[0]) % buckets, 0, np.array(sig, np.int64).tobytes(), np.array(gid, np.int64).tobytes(), np.array(size, np.int64).tobytes(), pa.array(k, pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy().tobytes(), pickle.dumps(bits)))
+            rows += [(q, 1, a, b, c, None, None, None, None) for q, a, b, c in scatter(h, buckets, [h, gid, size])]
+        r, t, known, sig, gid, size, bits = zip(*docs, strict=True)
+        rows.append((abs(sig[0]) % buckets, 0, *(np.array(x, np.int64).tobytes() for x in (sig, gid, size, r, t)), np.array(known, bool).tobytes(), pickle.dumps(bits)))
         return batch(rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, docs, held_n = {}, [], 0
         for b in blocks(batches, lower=True):
-            ids, seen = b.column("k"), set()
+            ids, marks, known, seen = b.column("r"), b.column("t"), b.column("known"), set()
             for r, s in shingle_sets(b, n):
                 m = len(s)
                 p = s[np.argsort(rank_of(held.value, s), kind="stable")][: prefix_size(m, percent)]
@@ -186,10 +198,10 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 if gid not in pool:
                     pool[gid] = (p, m)
                     held_n += len(p)
-                docs.append((ids[r], signature(s), gid, m, parity(s)))
+                docs.append((ids[r], marks[r], known[r], signature(s), gid, m, parity(s)))
                 seen.add(r)
             for r in set(range(b.n)) - seen:
-                docs.append((ids[r], 0, 0, 0, bytes(PARITY // 8)))
+                docs.append((ids[r], marks[r], known[r], 0, 0, 0, bytes(PARITY // 8)))
             if held_n > POOL_SHINGLES or len(docs) > 5000:
                 yield send(pool, docs)
                 pool, docs, held_n = {}, [], 0
@@ -197,55 +209,65 @@ def _index(source: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             yield send(pool, docs)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = []
-        for b in batches:
-            for kind, h, g, m, k, bits in zip(*(b.column(c).to_pylist() for c in fields[1:]), strict=True):
-                if kind:
-                    pool.append((np.frombuffer(h, _U), np.frombuffer(g, np.int64), np.frombuffer(m, np.int32)))
-                    continue
-                size = len(h) // 8
-                ids = pa.array(np.frombuffer(k, np.int64), mask=np.frombuffer(k, np.int64) == np.iinfo(np.int64).min)
-                each = pickle.loads(bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * size, pa.int32()), ids, *(pa.array(np.frombuffer(x, np.int64)) for x in (h, g, m)), pa.array(each, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.list_(pa.int64()))],
-                    schema=pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("k", "sig", "gid", "n")), ("bits", pa.binary()), ("run", pa.int64()), ("gids", pa.list_(pa.int64()))]),
-                )
-        if not pool:
-            return
-        h, g, m = (np.concatenate(x) for x in zip(*pool, strict=True))
-        pool.clear()
-        order = np.argsort(h, kind="stable")
-        h, g, m = h[order], g[order], m[order]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        seen, out = set(), []
-        for i in np.flatnonzero(np.diff(edge) > 1):
-            own = slice(edge[i], edge[i + 1])
-            gids, first = np.unique(g[own], return_index=True)
-            if len(gids) < 2:
-                continue
-            gids = _partners(gids, m[own][first], percent)
-            if len(gids) < 2:
-                continue
-            run = signature(gids.view(_U))
-            if run not in seen:
-                seen.add(run)
-                # rows of a long run overlap by one, so that its chain stays whole; all start with its first
-                out += [(run, gids[max(0, j - 1) : j + RUN_ROW]) if not j else (run, np.concatenate([gids[:1], gids[j - 1 : j + RUN_ROW]])) for j in range(0, len(gids), RUN_ROW)]
-            if len(out) >= 1000:
-                yield _runs(out)
-                out = []
-        if out:
+        seen: set[int] = set()
+        for group in by_bucket(batches):
+            pool = []
+            for b in group:
+                for kind, h, g, m, r, t, known, bits in zip(*(b.column(c).to_pylist() for c in fields[1:]), strict=True):
+                    if kind:
+                        pool.append((np.frombuffer(h, _U), np.frombuffer(g, np.int64), np.frombuffer(m, np.int32)))
+                    else:
+                        yield _documents(r, t, known, h, g, m, pickle.loads(bits))
+            if len(seen) > SEEN:  # runs are made distinct again when they are used
+                seen.clear()
+            if pool:
+                yield from _grouped(pool, seen, percent, row)
+
+    schema = "bucket int, kind int, h binary, g binary, n binary, r binary, t binary, known binary, bits binary"
+    return dealt(source.mapInArrow(emit, schema)).mapInArrow(meet, _INDEX)
+
+
+def _documents(r: bytes, t: bytes, known: bytes, sig: bytes, gid: bytes, n: bytes, bits: list[bytes]) -> pa.RecordBatch:
+    ids = np.frombuffer(r, np.int64)
+    size = len(ids)
+    longs = (pa.array(ids, mask=~np.frombuffer(known, bool)), pa.array(ids), *(pa.array(np.frombuffer(x, np.int64)) for x in (t, sig, gid, n)))
+    return pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), *longs, pa.array(bits, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.list_(pa.int64()))], schema=_ARROW)
+
+
+def _grouped(pool: list[tuple], seen: set[int], percent: int, row: int) -> Iterator[pa.RecordBatch]:
+    """The runs of a bucket that ``seen`` does not have yet, in rows of so many groups."""
+    h, g, m = (np.concatenate(x) for x in zip(*pool, strict=True))
+    pool.clear()
+    order = np.argsort(h, kind="stable")
+    h, g, m = h[order], g[order], m[order]
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    out: list[tuple] = []
+    for i in np.flatnonzero(np.diff(edge) > 1):
+        own = slice(edge[i], edge[i + 1])
+        gids, first = np.unique(g[own], return_index=True)
+        if len(gids) < 2:
+            continue
+        gids = _partners(gids, m[own][first], percent)
+        if len(gids) < 2:
+            continue
+        run = signature(gids.view(_U))
+        if run not in seen:
+            seen.add(run)
+            # rows of a long run overlap by one, so that its chain stays whole
+            out += [(1, run, gids[max(0, j - 1) : j + row]) for j in range(0, len(gids), row)]
+            if len(gids) > row:
+                out.append((2, run, gids[:: max(1, row // 8)]))
+        if len(out) >= 1000:
             yield _runs(out)
+            out = []
+    if out:
+        yield _runs(out)
 
-    def _runs(rows: list[tuple]) -> pa.RecordBatch:
-        c = len(rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([1] * c, pa.int32()), *(pa.nulls(c, pa.int64()) for _ in range(4)), pa.nulls(c, pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
-            schema=pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("k", "sig", "gid", "n")), ("bits", pa.binary()), ("run", pa.int64()), ("gids", pa.list_(pa.int64()))]),
-        )
 
-    schema = "bucket int, kind int, h binary, g binary, n binary, k binary, bits binary"
-    return source.mapInArrow(emit, schema).repartition(buckets, "bucket").mapInArrow(meet, _INDEX)
+def _runs(rows: list[tuple]) -> pa.RecordBatch:
+    c = len(rows)
+    kind, run, gids = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.nulls(c, pa.int64()) for _ in _LONGS), pa.nulls(c, pa.binary()), pa.array(run, pa.int64()), pa.array(gids, pa.list_(pa.int64()))], schema=_ARROW)
 
 
 def _partners(gids: np.ndarray, signed: np.ndarray, percent: int) -> np.ndarray:
@@ -279,14 +301,18 @@ def _verified(pairs: DataFrame, source: DataFrame, n: int, percent: int) -> Data
     """The pairs (a, b) whose whole sets reach the similarity. Texts travel, not sets, which are larger; only those
     of documents that stand for a node of some pair."""
     pairs = stored(pairs)
-    ends = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc"))
-    bits = 1 << 23
-    held = source.sparkSession.sparkContext.broadcast(packed_ids(ends, "doc", bits))
+    ends, bits = packed_ids(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")), "doc")
+    held = source.sparkSession.sparkContext.broadcast(ends)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple] = set()  # a task sends rows of equal id and text once
         for batch in batches:
-            ids = batch.column("k")
-            ok = ids.is_valid().to_numpy(zero_copy_only=False) & marked(held.value, id_bit(ids.fill_null(0).to_numpy(), bits))
+            ids = batch.column("r").to_numpy()
+            ok = marked(held.value, id_bit(ids, bits))
+            for i in np.flatnonzero(ok).tolist():
+                key = (int(ids[i]), hash(batch.column("text")[i].as_py()))
+                ok[i] = key not in sent
+                sent.add(key)
             if ok.any():
                 yield batch.filter(pa.array(ok))
 
@@ -322,7 +348,7 @@ def _verified(pairs: DataFrame, source: DataFrame, n: int, percent: int) -> Data
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     texts = source.mapInArrow(wanted, source.schema)
-    both = pairs.join(texts.select(F.col("k").alias("doc_a"), F.col("text").alias("s")), "doc_a").join(texts.select(F.col("k").alias("doc_b"), F.col("text").alias("t")), "doc_b")
+    both = pairs.join(texts.select(F.col("r").alias("doc_a"), F.col("text").alias("s")), "doc_a").join(texts.select(F.col("r").alias("doc_b"), F.col("text").alias("t")), "doc_b")
     return both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
@@ -387,30 +413,38 @@ def _across(spread: DataFrame, nodes: DataFrame, percent: int, buckets: int) ->
     return dealt.mapInArrow(stream, "a long, b long, doc_a long, doc_b long")
 
 
-def _stars(runs: DataFrame) -> DataFrame:
-    """Pairs of groups of each run: all with its first, and neighbours by size."""
+def _tree(runs: DataFrame) -> DataFrame:
+    """Pairs of groups of each run: each with the TREE after it in breadth-first order, and neighbours by size."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for gids in b.column("gids").to_pylist():
                 g = np.array(gids, np.int64)
-                x = np.concatenate([np.repeat(g[:1], len(g) - 1), g[1:-1]])
+                x = np.concatenate([g[np.arange(len(g) - 1) // TREE], g[1:-1]])
                 y = np.concatenate([g[1:], g[2:]])
                 yield pa.RecordBatch.from_pydict({"ga": np.minimum(x, y), "gb": np.maximum(x, y)})
 
     return runs.select("gids").mapInArrow(emit, "ga long, gb long").where("ga <> gb").distinct()
 
 
-def ngram_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, n_shingles and component_id (the smallest doc_id reachable) of every row."""
+def row_key(text: str = "text", key: str = "doc_id") -> tuple[Column, Column]:
+    """(r, t) of a row: its id, or a hash of the text where it has none; and a hash of the text."""
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), F.xxhash64(text)
+
+
+def linked_rows(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(k, r, t, n, component, component_id) of every row: its id, ``row_key``, the size of its set, a label of its component
+    (null for an empty set) and the smallest id in that."""
     spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    index = stored(_index(source, n, percent, partitions(spark)))
-    members = index.where("kind = 0").select("k", "sig", "gid", "n", "bits")
-    nodes = stored(members.where("n > 0 and k is not null").groupBy("sig").agg(F.min("k").alias("doc"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")))
+    r, t = row_key(text, key)
+    source = docs.select(r.alias("r"), t.alias("t"), F.col(key).isNotNull().alias("known"), F.col(text).alias("text"))
+    index = stored(_index(source, n, percent, hash_buckets(source)))
+    members = index.where("kind = 0").select("k", "r", "t", "sig", "gid", "n", "bits")
+    nodes = stored(members.where("n > 0").groupBy("sig").agg(F.min("k").alias("least"), F.min("r").alias("doc"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")))
     runs = index.where("kind = 1").select("run", "gids")
     reps = nodes.groupBy("gid").agg(F.min("sig").alias("rep"))
-    across = _stars(runs).join(reps.select(F.col("gid").alias("ga"), F.col("rep").alias("a")), "ga").join(reps.select(F.col("gid").alias("gb"), F.col("rep").alias("b")), "gb").select("a", "b")
+    pairs = _tree(index.where("kind > 0"))
+    across = pairs.join(reps.select(F.col("gid").alias("ga"), F.col("rep").alias("a")), "ga").join(reps.select(F.col("gid").alias("gb"), F.col("rep").alias("b")), "gb").select("a", "b")
     within = nodes.join(reps, "gid").where("sig <> rep").select(F.col("rep").alias("a"), F.col("sig").alias("b"))
     tried = stored(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stored(_verified(_filtered(tried, nodes, percent), source, n, percent))
@@ -423,10 +457,46 @@ def ngram_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     more = stored(_verified(_across(spread, nodes, percent, partitions(spark)), source, n, percent))
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
-    by = nodes.select("sig", "doc").join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    first = by.groupBy("component").agg(F.min("doc").alias("component_id"))
-    of = by.join(first, "component").select("sig", "component_id")
-    return members.select("k", "sig", "n").join(of, "sig", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
+    by = nodes.select("sig", "least").join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    first = by.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = by.join(first, "component").select("sig", "component", "component_id")
+    linked = members.where("n > 0").select("k", "r", "t", "sig", "n").join(of, "sig").drop("sig")
+    alone = members.where("n = 0").select("k", "r", "t", "n", F.lit(None).cast("long").alias("component"), F.col("k").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def ngram_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, n_shingles and component_id (the smallest doc_id reachable) of every row."""
+    return linked_rows(docs, n, percent, text, key).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows without near copies: of each component the row of the smallest id stays (rows without one come last; ties by
+    the hash of the text), of rows equal in id and text one, and every row without words. Only rows that may go are
+    shuffled: a bitmap tells them."""
+    spark = docs.sparkSession
+    found = stored(linked_rows(docs, n, percent, text, key).where("component is not null").groupBy("component", "r", "t").agg(F.min("k").alias("k"), F.count("*").alias("c")))
+    order = F.struct(F.col("k").isNull(), "k", "r", "t")
+    lead = found.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o.r").alias("lr"), F.col("o.t").alias("lt"))
+    act = found.join(lead, "component").withColumn("gone", (F.col("r") != F.col("lr")) | (F.col("t") != F.col("lt")))
+    act = stored(act.where("gone or c > 1").select("r", "t", "gone", F.xxhash64("r", "t").alias("both")))
+    ids, bits = packed_ids(act, "both")
+    held = spark.sparkContext.broadcast(ids)
+    r, t = row_key(text, key)
+    rows = docs.select(F.struct("*").alias("row"), r.alias("r"), t.alias("t")).withColumn("both", F.xxhash64("r", "t"))
+
+    def part(maybe: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(marked(held.value, id_bit(b.column("both").to_numpy(), bits)) == maybe))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    met = part(True).join(act.select("r", "t", "gone"), ["r", "t"], "left")
+    single = met.where("gone is null").select("row")
+    # rows equal in id and text: aggregated before they are shuffled, so however many they are
+    again = met.where("not gone").groupBy("r", "t").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return part(False).select("row").unionByName(single).unionByName(again).select("row.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

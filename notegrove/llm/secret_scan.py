@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrove.llm.common import documents, stored
+from notegrove.llm.common import documents, free, stored
 
 SAMPLE = 300
 LONGEST = 512
@@ -333,16 +333,16 @@ def secret_scan(docs: DataFrame, automata: dict[str, Automaton], text: str = "te
     for c in ("n_assign", "n_access", "n_hex"):
         schema = schema.add(c, "long")
     schema = schema.add("base_sha256", "string").add("spans", "string")
-    held = docs.sparkSession.sparkContext.broadcast(automata)
+    held, read = docs.sparkSession.sparkContext.broadcast(automata), free("text", schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [spans_in(t.as_py() or "", held.value) for t in b.column("__text")]
+            got = [spans_in(t.as_py() or "", held.value) for t in b.column(read)]
             count = [[sum(k == kind for _, k, _ in base) for base, _ in got] for kind in BASE]
             shas = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in got]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in count), pa.array(shas, pa.string()), pa.array([_joined(s) for _, s in got], pa.string())], names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(read)).mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame, automata: dict[str, Automaton], mark: str = "[SECRET]") -> DataFrame:

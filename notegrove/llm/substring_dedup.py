@@ -6,8 +6,8 @@ hold equal shingles, so they choose the same anchor at the same offset: no repea
 length can be missed.
 
 Join. Anchors meet by hash. A first round counts the bare anchors; those of one document only, most
-of all, are dropped by a bitmap of fixed size (``ANCHOR_BITS``; a false positive is only work, and a
-bitmap that is full drops nothing).
+of all, are dropped by a bitmap with a bit for some bytes of input (between the bounds of ``ANCHOR_BITS``; a false positive is only
+work, and a bitmap that is full drops nothing).
 
 Extend. A second round brings the windows of ``length`` words that chose an anchor that may repeat:
 they are its possible extensions to both sides. An occurrence is extended as far as a smaller doc_id
@@ -18,7 +18,7 @@ repeats, which are the spans to remove.
 Hot passages. A task settles what it can: of the occurrences of a window among the texts that it holds,
 all but those of the smallest doc_id are repeats already, and only one goes on. A passage in a third
 of all documents so sends one entry a task, not one a document. Entries travel packed, one row from a
-task to each bucket of anchor hashes.
+task to each bucket of anchor hashes; the number of buckets follows the input's size, and a task holds one at a time.
 
 Edge cases: null and short texts have no windows and stay whole; a row without doc_id comes neither
 before nor after others and stays whole; rows of one doc_id do not remove one another (rows are known
@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrove.llm.common import Block, bitmap, blocks, byte_class, covered, documents, grams, id_bit, long_grams, marked, packed_ids, partitions, row_of, scatter, spans_of, stored
+from notegrove.llm.common import Block, bitmap, bits_for, blocks, by_bucket, byte_class, covered, dealt, documents, grams, hash_buckets, id_bit, input_bytes, long_grams, marked, packed_ids, row_of, scatter, stored
 
 LENGTH = 50
 SEED = 20
-ANCHOR_BITS = 1 << 25
-DOC_BITS = 1 << 23
+#: Least and most bits of the anchors' bitmap, and the input bytes that stand for one repeated anchor when it is sized.
+ANCHOR_BITS = (1 << 25, 1 << 29)
+ANCHOR_BYTES = 128
 POOL_WINDOWS = 400_000
 _U = np.uint64
 _WORD = byte_class("space")
@@ -88,8 +89,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
     """(k, content, spans): for each document with repeats its doc_id, the hash of its text and the words to
     remove, as packed pairs (first, after the last) of 32-bit word positions."""
     spark = docs.sparkSession
-    n = partitions(spark)
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    n, bits = hash_buckets(source), bits_for(input_bytes(source) // ANCHOR_BYTES, *ANCHOR_BITS)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, held = [], 0
@@ -111,15 +112,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
         return _binary(list(scatter(h, n, [h])), ["bucket", "a"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [np.frombuffer(x, _U) for b in batches for x in b.column("a").to_pylist()]
-        if every:
-            h = np.sort(np.concatenate(every))
-            often = np.unique(h[1:][h[1:] == h[:-1]] % _U(ANCHOR_BITS)).astype(np.int64)
+        for group in by_bucket(batches):
+            h = np.sort(np.concatenate([np.frombuffer(x, _U) for b in group for x in b.column("a").to_pylist()]))
+            often = np.unique(h[1:][h[1:] == h[:-1]] % _U(bits)).astype(np.int64)
             for i in range(0, len(often), 100_000):
                 yield pa.RecordBatch.from_pydict({"b": often[i : i + 100_000]})
 
-    sent = source.mapInArrow(anchors, "bucket int, a binary").repartition(n, "bucket").select("a")
-    held = spark.sparkContext.broadcast(bitmap(sent.mapInArrow(shared, "b long"), F.col("b"), ANCHOR_BITS))
+    sent = dealt(source.mapInArrow(anchors, "bucket int, a binary"))
+    held = spark.sparkContext.broadcast(bitmap(sent.mapInArrow(shared, "b long"), F.col("b"), bits))
     fields = ["bucket", "done", "k", "content", "pos", "len", "w"]
 
     def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
             row, pos, w, a = anchored(b, length, seed)
             if not len(row):
                 continue
-            maybe = marked(held.value, a % _U(ANCHOR_BITS))
+            maybe = marked(held.value, a % _U(bits))
             if maybe.any():
                 ids, marks = b.batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64), content(b)
                 row = row[maybe]
@@ -174,8 +174,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
         return _binary(out, fields)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_bucket(batches):
+            yield from one(group)
+
+    def one(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, found = [], []
-        for b in batches:
+        for b in group:
             for done, *rest in zip(*(b.column(c).to_pylist() for c in fields[1:]), strict=True):
                 got = [np.frombuffer(x, t) for x, t in zip(rest, (np.int64, _U, np.int32, np.int32, _U), strict=True)]
                 (found if done == b"1" else open_).append(got)
@@ -210,7 +214,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
             yield pa.RecordBatch.from_pydict({"k": pa.array(k[f]), "content": pa.array(mark[f].view(np.int64)), "spans": pa.array(spans[i : i + 20_000], pa.binary())})
 
     schema = "bucket int, done binary, k binary, content binary, pos binary, len binary, w binary"
-    parts = source.mapInArrow(extensions, schema).repartition(n, "bucket").mapInArrow(extend, "k long, content long, spans binary")
+    parts = dealt(source.mapInArrow(extensions, schema)).mapInArrow(extend, "k long, content long, spans binary")
     return parts.groupBy("k", "content").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -219,7 +223,8 @@ def kept_words(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: st
     text travels only for documents that may have a repeat."""
     spark = docs.sparkSession
     found = stored(repeats(docs, length, seed, text, key))
-    held = spark.sparkContext.broadcast(packed_ids(found, "k", DOC_BITS))
+    ids_, bits = packed_ids(found, "k")
+    held = spark.sparkContext.broadcast(ids_)
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
     out = "k long, content long, n_words long, sha string, text string"
 
@@ -227,7 +232,7 @@ def kept_words(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: st
         for b in blocks(batches):
             mark = content(b)
             ids = b.column("k")
-            maybe = [i is not None and bool(marked(held.value, id_bit(np.array([i]), DOC_BITS))[0]) for i in ids]
+            maybe = [i is not None and bool(marked(held.value, id_bit(np.array([i]), bits))[0]) for i in ids]
             count = np.diff(b.runs(_WORD)[2])
             sha, texts = [], []
             for r in range(b.n):

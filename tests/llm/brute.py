@@ -47,6 +47,25 @@ def components(rows):
     return [(r["doc_id"], len(sets[i]), min((d for d in groups[root(i)] if d is not None), default=None)) for i, r in enumerate(rows)]
 
 
+def without_copies(rows):
+    """(doc_id, text) of the rows that stay: of a component the first by doc_id, those without one last; rows without words all."""
+    sets = components(rows)
+    best = {}
+    out = []
+    labels = labelled(rows)
+    for r, (_, n, _), label in zip(rows, sets, labels, strict=True):
+        if not n:
+            out.append((r["doc_id"], r["text"]))
+        elif label not in best or (r["doc_id"] is None, r["doc_id"] or 0) < (best[label][0] is None, best[label][0] or 0):
+            best[label] = (r["doc_id"], r["text"])
+    return out + list(best.values())
+
+
+def labelled(rows):
+    """A label of each row's component: the components of the same rows, numbered."""
+    return [c for _, _, c in components([{"doc_id": i, "text": r["text"]} for i, r in enumerate(rows)])]
+
+
 def rule_features(r):
     t = r["text"] or ""
     w = SPACE_WORD.findall(t)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notegrove.llm import common, decontamination, license_scan, mixing, quality_classifier, secret_scan, substring_dedup, token_counts, warc_fixity
+from notegrove.llm import common, decontamination, license_scan, mixing, ngram_join, quality_classifier, secret_scan, substring_dedup, token_counts, warc_fixity
 from notegrove.llm.components import connected_components
 from notegrove.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import brute
@@ -90,6 +90,46 @@ def test_join(spark, edge, rows):
     same(QUERIES["op2_ngram_join"](spark, edge).collect(), brute.components(rows))
 
 
+def nameless(rnd):
+    """(doc_id, text): copies and near copies with and without doc_id, some components without any, one of them a third of all."""
+    prose = lambda: [f"w{rnd.randint(0, 9999)}" for _ in range(60)]
+    out = [(None, None), (None, ""), (3, " "), (3, " ")]
+    for c in range(8):
+        base = prose()
+        for i in range(6):
+            w = list(base)
+            w[10 * (i % 3)] = f"x{i % 3}"
+            out.append((None if c < 2 or i % 2 else 100 * c + i, " ".join(w)))
+    hot = " ".join(prose())
+    return out + [(None, hot)] * 14 + [(7, hot)] * 14
+
+
+def test_join_without_doc_id(spark, tmp_path):
+    """Rows without doc_id link as others do, and pass on links between rows that have one."""
+    docs = nameless(random.Random(8))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [{"doc_id": i, "text": t} for i, t in docs]
+    same(QUERIES["op2_ngram_join"](spark, str(tmp_path)).collect(), brute.components(rows))
+    extra = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({"r": F.lit("r"), "row": F.lit(1), "both": F.lit(None).cast("long"), "gone": F.rand(), "lang": F.expr("uuid()")})
+    out = corpus_pipeline.keep_one_of_near_copies(spark, extra, "")
+    assert out.columns == extra.columns
+    got = [(x["doc_id"], x["text"]) for x in out.collect()]
+    want = brute.without_copies(rows)
+    # of a component without any doc_id one row stays, whichever
+    same([g for g in got if g[0] is not None], [w for w in want if w[0] is not None])
+    assert sum(g[0] is None for g in got) == sum(w[0] is None for w in want)
+
+
+def test_long_runs(spark, tmp_path, monkeypatch):
+    """Runs of several rows, and a chain of near copies that only the whole run ties together."""
+    monkeypatch.setattr(ngram_join, "RUN_ROW", 8)
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(50)]
+    docs = [(i, " ".join([*base[:k], f"y{i}", *base[k + 1 :]])) for i in range(60) for k in [rnd.randrange(50)]]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(QUERIES["op2_ngram_join"](spark, str(tmp_path)).collect(), brute.components([{"doc_id": i, "text": t} for i, t in docs]))
+
+
 def test_join_near_threshold(spark, tmp_path):
     """Chains of copies that differ more and more, so that links are near the threshold."""
     rnd = random.Random(9)
@@ -318,9 +358,7 @@ def test_pipeline(spark, edge, sf, empty):
         out = common.stored(stage(spark, docs, edge))
         assert out.columns == docs.columns, name
         if name == "ngram_join":
-            before = [r.asDict() for r in docs.collect()]
-            want = {d for d, _, c in brute.components(before) if c == d}
-            assert sorted(r["doc_id"] for r in out.collect()) == sorted(want)
+            same([(r["doc_id"], r["text"]) for r in out.collect()], brute.without_copies([r.asDict() for r in docs.collect()]))
         if name == "decontamination":
             items = [r.asDict() for r in spark.read.parquet(f"{edge}/benchmark.parquet").collect()]
             assert not any(x[-1] for x in brute.contamination([r.asDict() for r in out.collect()], items))
@@ -328,7 +366,8 @@ def test_pipeline(spark, edge, sf, empty):
             assert not any(x[1] + x[2] + x[3] for x in map(brute.base_secrets, (r.asDict() for r in out.collect())))
         docs = out
     last = corpus_pipeline.mix_sources(spark, docs, edge)
-    assert last.where("taken <= 0").count() == 0 and last.count() > 0
+    assert last.columns == [*docs.columns, "_size", "source_size", "target", "taken"]  # the table has a column size of its own
+    assert last.where("taken <= 0").count() == 0 and last.count() > 0 and last.schema["size"].dataType == docs.schema["size"].dataType
     nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") < 40, F.col("doc_id")))
     out, want = corpus_pipeline.mix_sources(spark, nameless, edge), mixing.mixed(nameless).where("taken > 0")
     assert out.where("doc_id is null").count() >= want.where("doc_id is null").count() > 0
