@@ -3,52 +3,34 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns what it keeps.
 ``run`` writes each stage's result to the shared folder and reads it again as the next stage's input, so a lost
 executor costs the tasks of one stage at most.
+
+All stages take null texts as empty ones, rows without doc_id as rows of their own, very long texts whole and repeated rows
+one by one (but the near-copy stage, see there); an empty table gives an empty one. Other columns are passed on as they are,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrove.llm import decontamination, mixing, ngram_join, quality_classifier, secret_scan
-from notegrove.llm.common import documents, id_bit, marked, packed_ids, small_batches, stored
-
-GONE_BITS = 1 << 24
+from notegrove.llm.common import documents, free, small_batches, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects; equal texts share their score."""
     small_batches(spark)
     ranker = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.scored(docs, ranker, docs.columns, name="__score").where(F.col("__score") >= quality_classifier.CUT).drop("__score")
+    score = free("score", docs.columns)
+    return quality_classifier.scored(docs, ranker, docs.columns, name=score).where(F.col(score) >= quality_classifier.CUT).drop(score)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near copies, and one of rows that share doc_id and text. Two
-    exceptions: rows without doc_id all stay, exact copies of each other too, and where a doc_id has several texts all of
-    them stay if any one leads its component."""
+    """Keeps the row of the smallest doc_id of each component of near copies (rows without doc_id come last), one of rows
+    that are equal in doc_id and text, and every row without words. Rows are told apart by doc_id and text."""
     small_batches(spark)
-    found = stored(ngram_join.ngram_components(docs))
-    by = found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
-    gone = stored(by.where("stays = 0").select("doc_id"))
-    # most texts need not travel: a bitmap of fixed size tells which documents cannot be among those that go
-    held = spark.sparkContext.broadcast(packed_ids(gone, "doc_id", GONE_BITS))
-
-    def part(maybe: bool):
-        def run(batches):
-            for b in batches:
-                ids = b.column("doc_id")
-                hit = ids.is_valid().to_numpy(zero_copy_only=False) & marked(held.value, id_bit(ids.fill_null(0).to_numpy(), GONE_BITS))
-                yield b.filter(pa.array(hit == maybe))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    kept = part(False).unionByName(part(True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
-    if by.where("n > 1").isEmpty():
-        return kept
-    # rows without doc_id are not known as copies of anything, so all stay
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    return ngram_join.one_of_each(docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,22 +40,23 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by a mark."""
+    """Replaces secrets in the texts by a mark; a document without any stays as it is."""
     small_batches(spark)
-    return secret_scan.redacted(docs, secret_scan.learned(secret_scan.credentials(docs)))
+    return secret_scan.redacted(docs, secret_scan.trained(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size, their source's target and the words taken. Rows that
-    share doc_id, source and size share the most that the mix takes of one of them."""
+    """The documents that the mix takes, with their size, their source's size and target and the words taken (columns size,
+    source_size, target and taken, with underscores before a name that the input has already). Rows that share doc_id, source and
+    size share the most that the mix takes of one of them."""
     small_batches(spark)
-    same = ["doc_id", "source", "size"]
-    plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy(*same).agg(*(F.max(c).alias(c) for c in ("source_size", "target", "taken")))
-    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in same), "source_size", "target", "taken")
-    sized = mixing.with_size(docs.drop("size", "source_size", "target", "taken"))
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
+    plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy("doc_id", "source", "size").agg(*(F.max(c).alias(c) for c in ("source_size", "target", "taken")))
+    names = {c: free(c, docs.columns) for c in ("size", "source_size", "target", "taken")}
+    sized = mixing.with_size(docs, name=names["size"])
+    a, b = sized.alias("a"), plan.alias("b")
+    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col(f"a.{names['size']}") == F.col("b.size"))
     # merged at every size: what the mix takes grows with the input
-    return sized.join(plan.hint("merge"), on).drop(*(f"__{c}" for c in same))
+    return a.join(b.hint("merge"), on).select("a.*", *(F.col(f"b.{c}").alias(names[c]) for c in ("source_size", "target", "taken")))
 
 
 STAGES = [
