@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 #: Fields a document type needs to be complete.
 REQUIRED = {
-    "livro": "authors title place publisher year",
-    "capitulo_livro": "chapter_authors chapter_title book_title place publisher year pages",
-    "artigo_periodico": "authors title journal year",
-    "artigo_internet": "title url accessed_at",
-    "material_curso": "title institution",
-    "tese": "authors title year institution degree",
-    "anais_evento": "authors title event_name year place",
-    "relatorio": "title year institution",
+    "livro": ("authors", "title", "place", "publisher", "year"),
+    "capitulo_livro": ("chapter_authors", "chapter_title", "book_title", "place", "publisher", "year", "pages"),
+    "artigo_periodico": ("authors", "title", "journal", "year"),
+    "artigo_internet": ("title", "url", "accessed_at"),
+    "material_curso": ("title", "institution"),
+    "tese": ("authors", "title", "year", "institution", "degree"),
+    "anais_evento": ("authors", "title", "event_name", "year", "place"),
+    "relatorio": ("title", "year", "institution"),
 }
 #: Month abbreviations.
-MONTHS = "jan. fev. mar. abr. maio jun. jul. ago. set. out. nov. dez.".split()
+MONTHS = ("jan.", "fev.", "mar.", "abr.", "maio", "jun.", "jul.", "ago.", "set.", "out.", "nov.", "dez.")
 YEAR = r"\b((?:19|20)\d\d)\b"
 
 
@@ -32,7 +32,7 @@ def pdf_year(date: Column) -> Column:
 
 
 def _capitalized(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(word.substr(F.lit(2), F.length(word))))
 
 
 def _clean(word: Column) -> Column:
@@ -132,7 +132,8 @@ def reference(kind: str, m: dict[str, Column]) -> Column:
 def document_type(sample: Column, name: Column, has_url: Column, has_author: Column, has_year: Column, declared: Column | None = None) -> tuple[Column, Column]:
     """(type, confidence) by ordered keyword rules; a declared type that is known wins."""
     s, n = F.lower(F.substring(sample, 1, 5000)), F.lower(name)
-    any_of = lambda x, *keys: F.expr("false") if not keys else _or([x.contains(k) for k in keys])
+    any_of = lambda x, *keys: _or([x.contains(k) for k in keys])
+    # fixed values: the key words of each type and its confidence, in order
     rules = [
         ("tese", 0.55, any_of(s, "tese (", "disserta", "trabalho de conclus") | any_of(n, "tese")),
         ("material_curso", 0.5, any_of(s, "disciplina", "plano de aula", "material did") | any_of(n, "aula", "curso", "disciplina")),
@@ -161,11 +162,40 @@ def _or(conditions: list[Column]) -> Column:
 
 def missing_fields(kind: Column, fields: Column) -> Column:
     """Required fields that a map of fields lacks; ``document_type`` for an unknown type."""
-    need = F.create_map(*[x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    need = F.create_map(*[x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     lacking = F.filter(need[kind], lambda f: F.coalesce(fields[f], F.lit("")) == "")
     return F.coalesce(lacking, F.array(F.lit("document_type")))
 
 
 def merged(seed: Column, found: Column) -> Column:
-    """Field-wise merge of maps: what was found and is not empty wins."""
-    return F.map_zip_with(seed, found, lambda _, a, b: F.when(F.coalesce(b, F.lit("")) != "", b).otherwise(a))
+    """Field-wise merge of maps: what was found and is not blank wins."""
+    return F.map_zip_with(seed, found, lambda _, a, b: F.when(F.trim(F.coalesce(b, F.lit(""))) != "", b).otherwise(a))
+
+
+def merged_confidence(seed: Column, found: Column, kind: Column, fields: Column) -> Column:
+    """The higher of both confidences; at least 0.85 if the type's required fields are there, 0.6 if only the type is."""
+    best = F.greatest(seed, F.coalesce(found, F.lit(0.0)))
+    lacking = F.size(missing_fields(kind, fields))
+    return F.when(kind.isNull(), best).when(lacking == 0, F.greatest(best, F.lit(0.85))).otherwise(F.greatest(best, F.lit(0.6)))
+
+
+def complete(kind: Column, confidence: Column, fields: Column, least: float = 0.7) -> Column:
+    """A known type, enough confidence and no required field missing."""
+    return F.coalesce(kind.isin(list(REQUIRED)) & (confidence >= least) & (F.size(missing_fields(kind, fields)) == 0), F.lit(False))
+
+
+def filled(fields: Column) -> Column:
+    """The fields of a map that are not blank."""
+    return F.map_filter(fields, lambda _, v: F.trim(F.coalesce(v, F.lit(""))) != "")
+
+
+def primary(kind: Column, fields: Column, name: str, fallback: str = "") -> Column:
+    """Title or authors of a work: those of the chapter where it is one and has them."""
+    own = F.when((kind == "capitulo_livro") & (F.coalesce(fields[f"chapter_{name}"], F.lit("")) != ""), fields[f"chapter_{name}"])
+    rest = F.trim(F.coalesce(fields[name], F.lit("")))
+    return F.coalesce(own, F.when(rest != "", rest), F.lit(fallback))
+
+
+def shown_fields(fields: Column) -> Column:
+    """Filled fields that a note shows beside its type, title, authors and year, which it writes itself."""
+    return F.map_filter(filled(fields), lambda k, _: ~k.isin("document_type", "title", "authors", "year"))

@@ -11,9 +11,17 @@ from pyspark.sql import types as T
 
 #: Query stopwords, unaccented as they are compared.
 STOPWORDS = (
-    "a ainda apos aquela aquele aquilo as ate com como da das de do dos e ela elas ele eles em entre essa esse esta estao estar este eu foi foram ha isso ja mais mas "
-    "muitas muito muitos na nao nas no nos o onde os ou para pois por porque quais qual quando que sao se sem ser seu seus sim sobre sua suas tambem tem teve tu um uma umas uns voces"
-).split()
+    "a", "o", "as", "os", "um", "uma", "uns", "umas",
+    "de", "da", "do", "das", "dos", "em", "na", "no", "nas", "nos",
+    "por", "para", "com", "sem", "sobre", "entre", "ate", "apos",
+    "e", "ou", "mas", "que", "se", "como", "quando", "onde", "porque", "pois",
+    "eu", "tu", "ele", "ela", "voces", "eles", "elas",
+    "seu", "sua", "seus", "suas", "este", "esta", "esse", "essa", "isso",
+    "aquele", "aquela", "aquilo",
+    "sao", "foi", "foram", "ser", "estar", "estao", "tem", "teve", "ha",
+    "nao", "sim", "mais", "muito", "muitos", "muitas",
+    "ja", "ainda", "tambem", "qual", "quais",
+)
 WORD = r"[\p{L}\p{N}_]"
 #: Markers of English text.
 ENGLISH = ("the ", "and ", "this ", "that ", "with ", "from ", "which ", "where ")
@@ -30,10 +38,19 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(T.StringType())
-def fold_diacritics(s: pd.Series) -> pd.Series:
-    """Lower case without combining marks, for any script."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c)))
+def _accents() -> tuple[str, str]:
+    """Small letters with marks and the letters below them, by canonical decomposition, then combining marks, which have none."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x2000)) if unicodedata.normalize("NFD", chr(c))[1:]]
+    pairs = [(x, y) for x, y in pairs if x == x.lower()]
+    return "".join(x for x, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(y for _, y in pairs)
+
+
+_MARKED, _PLAIN = _accents()
+
+
+def fold_diacritics(text: Column) -> Column:
+    """Lower case without marks on Latin and Greek letters, and without combining marks; in the JVM."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
 def normalize(text: Column, compose: bool = False) -> Column:
@@ -67,6 +84,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD}+)"), F.lit(1))
 
 
+def folded_tokens(text: Column) -> Column:
+    """Tokens as the search index has them: without diacritics."""
+    return F.regexp_extract_all(fold_diacritics(text), F.lit(rf"({WORD}+)"), F.lit(1))
+
+
 def query_tokens(text: Column, least: int = 2, most: int = 32) -> Column:
     """Tokens of a query: long enough, no stopwords, the first ``most``."""
     stop = F.array(*map(F.lit, STOPWORDS))

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrove.functions.ids import signature
 from notegrove.functions.text import WORD
 from notegrove.operators.vectors import knn
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends lineage in the shared checkpoint folder that the session names (one of our own only where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/notegrove-clusters")
-    return df.checkpoint()
+from notegrove.session import stored
 
 
 def neighbours(vectors: DataFrame, k: int, threshold: float, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -29,13 +20,13 @@ def neighbours(vectors: DataFrame, k: int, threshold: float, vec: str = "vec_id"
 
 def components(links: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, cluster): the smallest id that links reach, by label propagation with pointer jumping."""
-    both = _cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    label = _cut(nodes.select(F.col("id"), F.col("id").alias("cluster")))
+    both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    label = stored(nodes.select(F.col("id"), F.col("id").alias("cluster")))
     for _ in range(rounds):
         near = both.join(label, both["v"] == label["id"]).groupBy("u").agg(F.min("cluster").alias("m"))
         step = label.join(near, label["id"] == near["u"], "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
         jump = step.select(F.col("id").alias("j"), F.col("cluster").alias("to"))
-        new = _cut(step.join(jump, F.col("cluster") == F.col("j"), "left").select("id", F.least("cluster", F.coalesce("to", "cluster")).alias("cluster")))
+        new = stored(step.join(jump, F.col("cluster") == F.col("j"), "left").select("id", F.least("cluster", F.coalesce("to", "cluster")).alias("cluster")))
         moved = new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").limit(1).count()
         label = new
         if not moved:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrove.operators.vectors import knn
+from notegrove.session import stored
 
 
 def earliest(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -17,7 +18,9 @@ def earliest(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def cascade(files: DataFrame, order: str, byte_key: str, text_key: str, similarity: DataFrame | None = None, threshold: float = 0.88) -> DataFrame:
     """Adds dup_kind (``file``, ``content``, ``semantic`` or ``new``) and duplicate_of: an earlier file of the same
-    bytes, else of the same text, else a source similar enough. similarity: (order, best, best_of)."""
+    bytes, else of the same text, else a source similar enough. similarity: (order, best, best_of). The keys, mostly hashes of
+    whole texts, are computed once."""
+    files = stored(files)
     b = files.groupBy(byte_key).agg(F.min(order).alias("__b"))
     t = files.groupBy(text_key).agg(F.min(order).alias("__t"))
     out = files.join(b, byte_key).join(t, text_key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notegrove.operators.graph import expand
 from notegrove.operators.lexical import bm25
 from notegrove.operators.vectors import knn
+from notegrove.session import stored
 
 RRF_K = 60
 
@@ -66,13 +67,15 @@ def search(queries: DataFrame, notes: DataFrame, vectors: DataFrame, topk: int =
     max(topk, 10) before the floor; seeds the first topk that pass it; with edges, their neighbours join with hop >= 1."""
     pool = pool_size(topk)
     v = knn(vectors, queries, pool)
-    b = bm25(notes, queries, "id", F.concat_ws(" ", "title", "document"), pool)
     if mode == "vector":
-        b = b.where("false")
+        b = v.select("query_id", F.col("id").alias("doc"), F.lit(0).alias("bm25_rank")).limit(0)
+    else:
+        b = bm25(notes, queries, "id", F.concat_ws(" ", "title", "document"), pool)
     ranked = rrf(v, b).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*fused_order()))).where(F.col("rank") <= max(topk, 10))
     code = floor_code(floor or Floor(), F.col("distance"), F.col("bm25_rank"))
     judged = ranked.withColumn("floor_code", code).where(passes(F.col("floor_code")))
     seeds = judged.withColumn("seed", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("seed") <= topk)
+    seeds = stored(seeds)  # few rows, used for the hits and their neighbours
     hits = seeds.select("query_id", "id", "score", F.lit(0).alias("hop"), "vector_rank", "bm25_rank", "floor_code")
     if edges is None:
         return hydrated(hits, notes)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegrove.session import stored
+
 
 def filled(template: str, fields: dict[str, Column]) -> Column:
     """A prompt with its {placeholders} replaced."""
@@ -35,6 +37,6 @@ def memoised(calls: DataFrame, cache: DataFrame, model: Callable[[str], str] = s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model(p) for p in b.column(1).to_pylist()], pa.string())], names=["call_checksum", "response"])
 
-    made = fresh.mapInArrow(ask, "call_checksum string, response string")
+    made = stored(fresh.mapInArrow(ask, "call_checksum string, response string"))  # answers and additions share one call
     every = known.select("call_checksum", F.col("known").alias("response"), F.lit(True).alias("cached")).unionByName(made.select("call_checksum", "response", F.lit(False).alias("cached")))
     return calls.join(every, "call_checksum", "left"), made

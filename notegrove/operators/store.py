@@ -108,14 +108,32 @@ def entity_counts(frames: dict[str, DataFrame]) -> DataFrame:
     return every
 
 
+def _pointers(spark: SparkSession, root: str, name: str) -> list[int]:
+    """The numbers of a table's whole pointers, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/pointers")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder)]
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def publish(df: DataFrame, root: str, name: str) -> str:
-    """Writes a snapshot to a new version of a table and then points to it; returns the version's path."""
+    """Writes a snapshot to a new version of a table and then a pointer with the next number; returns the version's path. A
+    crash before the pointer is whole leaves the version before; of two writers of one number one fails."""
     spark = df.sparkSession
     path = f"{root}/{name}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/{name}/current")
+    n = max(_pointers(spark, root, name), default=0) + 1
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.json(f"{root}/{name}/pointers/{n}")
     return path
 
 
+def published(spark: SparkSession, root: str, name: str) -> bool:
+    return bool(_pointers(spark, root, name))
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/{name}/current").first()["path"])
+    """The snapshot that the pointer with the largest number names."""
+    n = _pointers(spark, root, name)[-1]
+    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/{name}/pointers/{n}").first()["path"])

@@ -9,38 +9,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
+#: Bytes of query vectors that one scan of the vectors answers, and queries compared with a batch at a time.
+SCAN_BYTES, QUERY_ROWS = 32 << 20, 256
+
+
+class _Best:
+    """The k nearest of each query among the vectors that a task has seen, by rounded distance, then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.d, self.id = np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, own: slice, d: np.ndarray, ids: np.ndarray) -> None:
+        k = self.d.shape[1]
+        d = np.hstack([self.d[own], d])
+        ids = np.hstack([self.id[own], np.broadcast_to(ids, (len(d), len(ids)))])
+        r = np.round(d, 9)
+        last = np.partition(r, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(r <= last[:, None])  # all ties of the last one, cut by id below
+        order = np.lexsort((ids[row, col], r[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, np.arange(len(d)))
+        take = (first[:, None] + np.arange(k)).ravel()
+        self.d[own], self.id[own] = d[row[take], col[take]].reshape(-1, k), ids[row[take], col[take]].reshape(-1, k)
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
+    """(ids, ids to leave out, vectors) of as many queries as one scan answers, read one partition after another."""
+    rows, size = [], 0
+    for r in queries.toLocalIterator(prefetchPartitions=True):
+        rows.append(r)
+        size += 8 * len(r["v"])
+        if size >= SCAN_BYTES:
+            yield _packed(rows)
+            rows, size = [], 0
+    if rows:
+        yield _packed(rows)
+
+
+def _packed(rows: list) -> tuple[list, list, np.ndarray]:
+    return [r["query_id"] for r in rows], [r["exclude"] for r in rows], np.array([r["v"] for r in rows], np.float64)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, similarity, vector_rank), the k nearest by squared distance. queries:
-    (query_id, vector[, exclude]). Query vectors go to the executors in blocks of QUERY_BLOCK rows; each batch of
-    vectors keeps the k best of every query before anything is shuffled."""
+    """(query_id, id, distance, similarity, vector_rank), the k nearest by squared distance, ties by id. queries: (query_id,
+    vector[, exclude]); a vector whose id is ``exclude``, or with exclude_self the query's own id, is left out. Query vectors go
+    to the executors in blocks of SCAN_BYTES, each answered by one scan, in which a task keeps the k best of every query."""
     spark = vectors.sparkSession
-    numbered = queries.select("query_id", F.col("vector").alias("v")).orderBy("query_id")
-    n = numbered.count()
-    parts = []
-    for start in range(0, max(n, 1), QUERY_BLOCK):
-        rows = numbered.offset(start).limit(QUERY_BLOCK).collect()
-        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows], np.float64)))
+    out = F.col("query_id") if exclude_self else F.col("exclude") if "exclude" in queries.columns else F.lit(None)
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", out.cast("long").alias("exclude"), F.col("vector").alias("v"))
+    schema = "query_id long, id long, distance double"
+    every = spark.createDataFrame([], schema)
+    source = vectors.select(F.col(vec).cast("long"), embedding).where(F.col(embedding).isNotNull() & F.col(vec).isNotNull())
+    for block in _blocks(asked):
+        held = spark.sparkContext.broadcast(block)
 
         def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
+            ids, without, q = held.value
+            best, norm = _Best(len(ids), k), (q * q).sum(1)
+            skip = {i: x for i, x in enumerate(without) if x is not None}
             for b in batches:
-                if not b.num_rows or not ids:
+                if not b.num_rows:
                     continue
                 own = b.column(0).to_numpy()
                 x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-                for i, query in enumerate(q):
-                    d = ((x - query) ** 2).sum(1)
-                    keep = np.lexsort((own, np.round(d, 9)))
-                    keep = keep[own[keep] != ids[i]][:k] if exclude_self else keep[:k]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[i]] * len(keep), pa.int64()), "id": pa.array(own[keep], pa.int64()), "distance": pa.array(d[keep])})
-
-        parts.append(vectors.select(F.col(vec).cast("long"), embedding).where(F.col(embedding).isNotNull()).mapInArrow(near, "query_id long, id long, distance double"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+                at = {v: n for n, v in enumerate(own.tolist())} if skip else {}
+                for i in range(0, len(ids), QUERY_ROWS):
+                    s = slice(i, i + QUERY_ROWS)
+                    d = np.maximum(norm[s, None] + (x * x).sum(1)[None, :] - 2 * (q[s] @ x.T), 0.0)
+                    for j in range(i, min(i + QUERY_ROWS, len(ids))) if skip else ():
+                        if skip.get(j) in at:
+                            d[j - i, own == skip[j]] = np.inf
+                    best.add(s, d, own)
+            for i in range(0, len(ids), QUERY_ROWS):
+                d, found = best.d[i : i + QUERY_ROWS], best.id[i : i + QUERY_ROWS]
+                row, col = np.nonzero(np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i + r] for r in row.tolist()], pa.int64()), pa.array(found[row, col]), pa.array(d[row, col])], names=["query_id", "id", "distance"])
+
+        every = every.unionByName(source.mapInArrow(near, schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
     return every.withColumn("vector_rank", rank).where(F.col("vector_rank") <= k).withColumn("similarity", 1 - F.col("distance") / 2)
 

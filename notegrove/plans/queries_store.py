@@ -58,8 +58,8 @@ WEIGHT = "CASE {r} WHEN 'contradicts' THEN 1.0 WHEN 'extends' THEN 0.9 WHEN 'dep
 def bm25_sql(k: int, text: str = "concat_ws(' ', source, text)") -> str:
     return f"""
 q AS (SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id % 20 = 0),
-qt AS (SELECT query_id, unnest(list_distinct({QUERY_TOKENS_SQL.format(x="query_text")})) AS term FROM q),
-tk AS (SELECT doc_id AS doc, {TOKENS_SQL.format(x=text)} AS t FROM documents),
+qt AS (SELECT query_id, unnest(list_distinct(list_transform({QUERY_TOKENS_SQL.format(x="query_text")}, lambda t: strip_accents(t)))) AS term FROM q),
+tk AS (SELECT doc_id AS doc, {TOKENS_SQL.format(x=f"strip_accents(lower({text}))")} AS t FROM documents),
 tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk),
 tf AS (SELECT doc, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY doc, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -78,15 +78,15 @@ RRF = "fu AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.id
 ORDER = "round(score, 9) DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, id"
 
 
-def code_sql(floor: fusion.Floor) -> str:
-    return f"CASE WHEN 1 - distance / 2 < {floor.absolute} THEN 'below_absolute' WHEN bm25_rank <= {floor.bypass_rank} THEN 'strong_lexical' WHEN 1 - distance / 2 >= {floor.similarity} THEN 'similar' WHEN distance IS NOT NULL THEN 'dissimilar' WHEN bm25_rank IS NOT NULL THEN 'weak_lexical' ELSE 'no_signal' END"
+def code_sql() -> str:
+    return "CASE WHEN 1 - distance / 2 < 0.15 THEN 'below_absolute' WHEN bm25_rank <= 5 THEN 'strong_lexical' WHEN 1 - distance / 2 >= 0.6 THEN 'similar' WHEN distance IS NOT NULL THEN 'dissimilar' WHEN bm25_rank IS NOT NULL THEN 'weak_lexical' ELSE 'no_signal' END"
 
 
 def search_sql(topk: int) -> str:
     pool = fusion.pool_size(topk)
     return f"""WITH {bm25_sql(pool)}, {knn_sql(pool)}, {RRF},
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM fu) WHERE rank <= {max(topk, 10)}),
-fl AS (SELECT *, {code_sql(FLOOR)} AS floor_code FROM rk),
+fl AS (SELECT *, {code_sql()} AS floor_code FROM rk),
 sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS seed FROM fl WHERE floor_code IN ('strong_lexical', 'similar', 'no_signal')) WHERE seed <= {topk})"""
 
 
@@ -133,7 +133,7 @@ def q_rrf_fusion(spark, sf):
     return _ranked(spark, sf).select("query_id", "id", F.round("score", 9).alias("score"), F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query(f"WITH {bm25_sql(24)}, {knn_sql(24)}, {RRF} SELECT query_id, id, {code_sql(FLOOR)} AS code, {code_sql(FLOOR)} IN ('strong_lexical', 'similar', 'no_signal') AS passed FROM fu")
+@query(f"WITH {bm25_sql(24)}, {knn_sql(24)}, {RRF} SELECT query_id, id, {code_sql()} AS code, {code_sql()} IN ('strong_lexical', 'similar', 'no_signal') AS passed FROM fu")
 def q_relevance_floor(spark, sf):
     code = fusion.floor_code(FLOOR, F.col("distance"), F.col("bm25_rank"))
     return _ranked(spark, sf).select("query_id", "id", code.alias("code"), fusion.passes(code).alias("passed"))
@@ -199,11 +199,11 @@ def q_expand_hits(spark, sf):
     return hits.select("query_id", "id", F.lit("busca").alias("origin")).unionByName(near.select("query_id", "id", tx.origin_label(F.col("hop"), via).alias("origin")))
 
 
-@query(f"""WITH e AS ({EDGES}), c AS (SELECT vec_id AS source, (5 * vec_id + 1) % 600 AS target FROM embeddings UNION ALL SELECT source, target FROM e WHERE source % 9 = 0)
+@query(f"""WITH e AS ({EDGES}), c AS (SELECT vec_id AS source, (5 * vec_id + 1) % 600 AS target FROM embeddings UNION ALL SELECT source, target FROM e)
 SELECT min(source) AS source, arg_min(target, source * 1000000 + target) AS target FROM c WHERE source <> target AND (least(source, target), greatest(source, target)) NOT IN (SELECT (least(source, target), greatest(source, target)) FROM e) AND target IN (SELECT vec_id FROM embeddings) GROUP BY least(source, target), greatest(source, target)""")
 def q_edge_pairs_new(spark, sf):
     e, v = edges(spark, sf), table(spark, sf, "embeddings")
-    c = v.select(F.col("vec_id").alias("source"), ((5 * F.col("vec_id") + 1) % 600).alias("target")).unionByName(e.where("source % 9 = 0").select("source", "target"))
+    c = v.select(F.col("vec_id").alias("source"), ((5 * F.col("vec_id") + 1) % 600).alias("target")).unionByName(e.select("source", "target"))
     return graph.new_pairs(c, e, v.select(F.col("vec_id").alias("id")))
 
 
@@ -221,11 +221,11 @@ def q_multi_query_merge(spark, sf):
     return fusion.merge_hits(h.where("seq < 2"), h.where("seq >= 2")).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {knn_sql(10, whole=True)}, h AS (SELECT id, max(1.0::DOUBLE / (60 + vector_rank)) AS score FROM vk GROUP BY id), m AS (SELECT DISTINCT target AS id FROM ({EDGES}) WHERE source % 20 = 0 AND target IN (SELECT doc_id FROM documents)) SELECT coalesce(h.id, m.id) AS id, round(CASE WHEN m.id IS NOT NULL THEN greatest(coalesce(score, 0), 1.0) ELSE score END, 9) AS score FROM h FULL JOIN m ON h.id = m.id")
+@query(f"WITH {knn_sql(10, whole=True)}, h AS (SELECT id, max(1.0::DOUBLE / (60 + vector_rank)) AS score FROM vk GROUP BY id), m AS (SELECT DISTINCT target AS id FROM ({EDGES}) WHERE target IN (SELECT doc_id FROM documents)) SELECT coalesce(h.id, m.id) AS id, round(CASE WHEN m.id IS NOT NULL THEN greatest(coalesce(score, 0), 1.0) ELSE score END, 9) AS score FROM h FULL JOIN m ON h.id = m.id")
 def q_map_boost(spark, sf):
     v = vectors.knn(table(spark, sf, "embeddings"), vector_queries(spark, sf), 10)
     h = v.groupBy("id").agg(F.max(1.0 / (60 + F.col("vector_rank"))).alias("score"))
-    m = edges(spark, sf).where("source % 20 = 0").select(F.col("target").alias("id"))
+    m = edges(spark, sf).select(F.col("target").alias("id"))
     return fusion.boosted(h, m, notes(spark, sf)).select("id", F.round("score", 9).alias("score"))
 
 
@@ -406,10 +406,10 @@ def q_topic_match(spark, sf):
 # --- clusters --------------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH t AS (SELECT source AS cluster, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), n AS (SELECT cluster, term, count(*) AS n FROM t GROUP BY cluster, term)
+@query(r"""WITH t AS (SELECT source AS cluster, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), n AS (SELECT cluster, term, count(*) AS n FROM t GROUP BY cluster, term)
 SELECT cluster, string_agg(term, ' ' ORDER BY term COLLATE "C") AS terms FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) <= 10) GROUP BY cluster""".replace(' COLLATE "C"', ""))
 def q_cluster_terms(spark, sf):
-    return cluster.terms(table(spark, sf, "documents").select("source", F.substring("text", 1, 60).alias("title")), "source", "title")
+    return cluster.terms(table(spark, sf, "documents").select("source", F.col("text").alias("title")), "source", "title")
 
 
 @query("SELECT label AS cluster, count(*) AS size, sha256(string_agg(vec_id::VARCHAR, '|' ORDER BY vec_id::VARCHAR)) AS signature FROM embeddings GROUP BY label")

@@ -64,7 +64,8 @@ def q_embeddable_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.embeddable(body), 256).alias("checksum"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
+_STOP = """['a', 'o', 'as', 'os', 'um', 'uma', 'uns', 'umas', 'de', 'da', 'do', 'das', 'dos', 'em', 'na', 'no', 'nas', 'nos', 'por', 'para', 'com', 'sem', 'sobre', 'entre', 'ate', 'apos', 'e', 'ou', 'mas', 'que', 'se', 'como', 'quando', 'onde', 'porque', 'pois',
+ 'eu', 'tu', 'ele', 'ela', 'voces', 'eles', 'elas', 'seu', 'sua', 'seus', 'suas', 'este', 'esta', 'esse', 'essa', 'isso', 'aquele', 'aquela', 'aquilo', 'sao', 'foi', 'foram', 'ser', 'estar', 'estao', 'tem', 'teve', 'ha', 'nao', 'sim', 'mais', 'muito', 'muitos', 'muitas', 'ja', 'ainda', 'tambem', 'qual', 'quais']"""
 TOKENS_SQL = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
 QUERY_TOKENS_SQL = "list_filter(" + TOKENS_SQL + f", lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))[1:32]"
 
@@ -75,15 +76,15 @@ def q_tokens_match_expr(spark, sf):
 
 
 @query(rf"""
-SELECT doc_id, rtrim(substr(regexp_replace(regexp_replace(trim(lower(substr(text, 1, 80)), E' \t\n\r\f' || chr(11)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), 1, 50), '-') AS slug,
-  source || '-' || doc_id::VARCHAR || '-' || rtrim(substr(regexp_replace(regexp_replace(trim(lower(substr(text, 1, 80)), E' \t\n\r\f' || chr(11)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), 1, 50), '-') || '.md' AS filename FROM documents""".replace("{{", "{").replace("}}", "}"))
+SELECT doc_id, rtrim(substr(regexp_replace(regexp_replace(trim(lower(text), E' \t\n\r\f' || chr(11)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), 1, 50), '-') AS slug,
+  source || '-' || doc_id::VARCHAR || '-' || rtrim(substr(regexp_replace(regexp_replace(trim(lower(text), E' \t\n\r\f' || chr(11)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), 1, 50), '-') || '.md' AS filename FROM documents""".replace("{{", "{").replace("}}", "}"))
 def q_slug_filename(spark, sf):
-    head = F.substring("text", 1, 80)
-    return table(spark, sf, "documents").select("doc_id", tx.slug(head).alias("slug"), tx.note_filename(F.col("source"), F.col("doc_id").cast("string"), head).alias("filename"))
+    title = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", tx.slug(title).alias("slug"), tx.note_filename(F.col("source"), F.col("doc_id").cast("string"), title).alias("filename"))
 
 
 @query("""
-SELECT doc_id, n_markers, n_markers >= 3 AS needs_fix FROM (SELECT doc_id, (""" + " + ".join(f"contains(lower(text), '{m}')::INT" for m in tx.ENGLISH) + ")::INT AS n_markers FROM documents)")
+SELECT doc_id, n_markers, n_markers >= 3 AS needs_fix FROM (SELECT doc_id, (""" + " + ".join(f"contains(lower(text), '{m} ')::INT" for m in "the and this that with from which where".split()) + ")::INT AS n_markers FROM documents)")
 def q_language_guard(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.english_markers(F.col("text")).alias("n_markers")).withColumn("needs_fix", F.col("n_markers") >= 3)
 
@@ -121,26 +122,22 @@ def q_token_cost(spark, sf):
 # --- structure -------------------------------------------------------------------------------------------------
 
 _LINES = "SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents))"
-_MD = f"SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN '# ' WHEN line_no % 7 = 3 THEN '#### ' WHEN line_no % 5 = 2 THEN '### ' WHEN line_no % 11 = 10 THEN '## ' ELSE '' END || substr(line, 1, 120) AS line FROM ({_LINES})"
-
-#: The SQL above reads this many characters of each line; only the two queries that it answers are cut alike.
-_SQL_CUT = 120
+_MD = f"SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN '# ' WHEN line_no % 7 = 3 THEN '#### ' WHEN line_no % 5 = 2 THEN '### ' WHEN line_no % 11 = 10 THEN '## ' ELSE '' END || line AS line FROM ({_LINES})"
 
 
 def _lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _markdown(spark, sf, most=None):
-    """Lines with a heading mark before some of them; whole ones, or the first ``most`` characters of each."""
+def _markdown(spark, sf):
+    """Lines with a heading mark before some of them."""
     n = F.col("line_no")
-    line = F.col("line") if most is None else F.substring("line", 1, most)
     mark = F.when(n == 0, "# ").when(n % 7 == 3, "#### ").when(n % 5 == 2, "### ").when(n % 11 == 10, "## ").otherwise("")
-    return _lines(spark, sf).select("doc_id", "line_no", F.concat(mark, line).alias("line"))
+    return _lines(spark, sf).select("doc_id", "line_no", F.concat(mark, F.col("line")).alias("line"))
 
 
-def _markdown_text(spark, sf, most=None):
-    return _markdown(spark, sf, most).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def _markdown_text(spark, sf):
+    return _markdown(spark, sf).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 @query(rf"""
@@ -151,7 +148,7 @@ p AS (SELECT doc_id, part, any_value(trim(regexp_extract(line, '^#{{1,2}}[ \t]+(
 k AS (SELECT *, max((title IS NOT NULL)::INT) OVER (PARTITION BY doc_id) AS headed FROM p)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS chapter, coalesce(title, CASE WHEN headed = 1 THEN 'Introdução' ELSE 'Documento completo' END) AS title, length(text)::INT AS n FROM k WHERE text <> ''""")
 def q_chapter_split(spark, sf):
-    return chunking.chapters(_markdown_text(spark, sf, _SQL_CUT), "doc_id", "text").select("doc_id", "chapter", "title", F.length("text").alias("n"))
+    return chunking.chapters(_markdown_text(spark, sf), "doc_id", "text").select("doc_id", "chapter", "title", F.length("text").alias("n"))
 
 
 def _section_sql() -> str:
@@ -165,7 +162,7 @@ SELECT doc_id, line_no, concat_ws(' > ', {path}) AS section_path FROM s"""
 
 @query(_section_sql())
 def q_section_paths(spark, sf):
-    return chunking.section_paths(_markdown(spark, sf, _SQL_CUT), "doc_id", "line_no", "line").select("doc_id", "line_no", "section_path")
+    return chunking.section_paths(_markdown(spark, sf), "doc_id", "line_no", "line").select("doc_id", "line_no", "section_path")
 
 
 @query()
@@ -182,14 +179,20 @@ def q_small_section_merge(spark, sf):
     return chunking.chunks(ch, "doc_id", size=1 << 30, least=400).select("doc_id", "chapter", "piece", "section_path", F.length("text").alias("n"))
 
 
+_PAGE_SQL = (r"(?m)^\s*(\d{1,4})\s*$", r"\n\s*(\d{1,4})\s*\n", r"(?i)p[aá]gina\s+(\d+)", r"(?m)^\s*(\d{1,4})\s+[\p{L}\p{N}_]")
+
+
 @query(rf"""
-WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN (doc_id % 300)::VARCHAR || E'\n' || text WHEN doc_id % 4 = 1 THEN text || E'\n' || 'Página ' || (doc_id % 90)::VARCHAR || ' fim' ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN 7 END AS known FROM documents),
+WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN (doc_id % 300)::VARCHAR || E'\n' || text WHEN 1 THEN text || E'\n' || 'Página ' || (doc_id % 90 + 12000)::VARCHAR || ' fim' WHEN 2 THEN '  12 ' || text WHEN 3 THEN '12 34 ' || text WHEN 4 THEN 'PÁGINA 7 ' || text ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN doc_id % 2 * 7 END AS known FROM documents),
 e AS (SELECT doc_id, known, substr(text, 1, 200) AS a, right(text, 200) AS b FROM t)
-SELECT doc_id, coalesce(known, {", ".join(f"nullif(regexp_extract({e}, '{p}', 1), '')::INT" for p in paging.PAGE_PATTERNS for e in "ab")})::INT AS page FROM e""")
+SELECT doc_id, coalesce(CASE WHEN known > 0 THEN known END, {", ".join(f"try_cast(nullif(regexp_extract({e}, '{p}', 1), '') AS INT)" for p in _PAGE_SQL for e in "ab")})::INT AS page FROM e""")
 def q_page_hint(spark, sf):
     i = F.col("doc_id")
-    text = F.when(i % 4 == 0, F.concat((i % 300).cast("string"), F.lit("\n"), "text")).when(i % 4 == 1, F.concat("text", F.lit("\nPágina "), (i % 90).cast("string"), F.lit(" fim"))).otherwise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", paging.page_hint(text, F.when(i % 5 == 0, 7)).alias("page"))
+    shape = (F.concat((i % 300).cast("string"), F.lit("\n"), "text"), F.concat("text", F.lit("\nPágina "), (i % 90 + 12000).cast("string"), F.lit(" fim")), F.concat(F.lit("  12 "), "text"), F.concat(F.lit("12 34 "), "text"), F.concat(F.lit("PÁGINA 7 "), "text"))
+    text = F.when(i % 7 == 0, shape[0])
+    for k, x in enumerate(shape[1:], 1):
+        text = text.when(i % 7 == k, x)
+    return table(spark, sf, "documents").select("doc_id", paging.page_hint(text.otherwise(F.col("text")), F.when(i % 5 == 0, i % 2 * 7)).alias("page"))
 
 
 _PAGED = f"SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 AND line_no > 0 THEN line_no // 3 + 1 END AS page FROM ({_LINES})"
@@ -218,9 +221,16 @@ def q_book_page(spark, sf):
     return p.select("doc_id", "line_no", book.cast("int").alias("page_in_book"), paging.locator(book, F.concat(F.lit("S"), (F.col("line_no") % 3).cast("string")), F.col("page")).alias("locator"))
 
 
-@query(f"SELECT doc_id, min(line_no)::INT AS start_line FROM (SELECT doc_id, line_no, CASE WHEN line_no = doc_id % 5 THEN '# Introdução' || E'\\n' || line ELSE line END AS t FROM ({_LINES})) WHERE " + " OR ".join(f"regexp_matches(substr(t, 1, 1200), '{p}')" for p in paging.START_PATTERNS) + " GROUP BY doc_id")
+_START_SQL = (r"#+\s*cap[ií]tulo\s+1\b", r"#+\s*chapter\s+1\b", r"#+\s*1[\.\)]\s+[\p{L}\p{N}_]", r"#+\s*introduction\b", r"#+\s*introdu[cç][aã]o\b", r"cap[ií]tulo\s+1\b", r"chapter\s+1\b", r"introduction\b", r"introdu[cç][aã]o\b")
+_OPENERS = ("# Introdução", "#### CHAPTER 1", "# 1) Foo", "# 1.", "  Introduction", "Capítulo  1", "Chapters 1", "## 1. Uma", "introducao")
+
+
+@query(rf"""
+SELECT doc_id, min(line_no)::INT AS start_line FROM (SELECT doc_id, line_no, CASE WHEN line_no = doc_id % 3 THEN [{", ".join(f"'{x}'" for x in _OPENERS)}][doc_id % 9 + 1] || E'\n' || line ELSE line END AS t FROM ({_LINES}))
+WHERE {" OR ".join(f"regexp_matches(substr(t, 1, 1200), '(?im)^{chr(92)}s*{p}')" for p in _START_SQL)} GROUP BY doc_id""")
 def q_content_start(spark, sf):
-    t = F.when(F.col("line_no") == F.col("doc_id") % 5, F.concat(F.lit("# Introdução\n"), "line")).otherwise(F.col("line"))
+    opener = F.element_at(F.array(*map(F.lit, _OPENERS)), (F.col("doc_id") % 9 + 1).cast("int"))
+    t = F.when(F.col("line_no") == F.col("doc_id") % 3, F.concat(opener, F.lit("\n"), "line")).otherwise(F.col("line"))
     return _lines(spark, sf).where(paging.is_content_start(t)).groupBy("doc_id").agg(F.min("line_no").alias("start_line"))
 
 

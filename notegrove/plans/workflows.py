@@ -74,14 +74,16 @@ def context(hits: DataFrame, most: int, chars: int) -> DataFrame:
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["b"]), "\n\n").alias("context"))
 
 
-def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataFrame, edges: DataFrame | None = None, cfg: Config | None = None, floor: fusion.Floor | None = None, model: Callable[[str], str] = memo.stub) -> DataFrame:
-    """(query_id, answer, cached) of a batch of questions; one without evidence gets a fixed answer and no call."""
+def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataFrame, edges: DataFrame | None = None, cfg: Config | None = None, floor: fusion.Floor | None = None, model: Callable[[str], str] = memo.stub) -> tuple[DataFrame, DataFrame]:
+    """(answers, cache additions): (query_id, answer, cached) of a batch of questions; one without evidence gets a fixed answer
+    and no call."""
     cfg = cfg or Config()
     hits = fusion.search(questions, notes, vectors, cfg.answer.topk_ask, floor=floor, edges=edges, hops=cfg.graph.hops, decay=cfg.graph.decay, most=cfg.graph.most)
     ctx = questions.select("query_id", "query_text").join(context(hits, cfg.answer.topk_ask, cfg.answer.ask_chars), "query_id", "left")
     calls = ctx.where("context is not null").withColumn("prompt", memo.filled(ASK_PROMPT, {"question": F.col("query_text"), "context": F.col("context")})).withColumn("call_checksum", F.sha2("prompt", 256))
-    answers, _ = memo.memoised(calls.select("query_id", "prompt", "call_checksum"), cache, model)
-    return ctx.select("query_id").join(answers.select("query_id", F.col("response").alias("answer"), "cached"), "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(NO_EVIDENCE)))
+    answers, additions = memo.memoised(calls.select("query_id", "prompt", "call_checksum"), cache, model)
+    out = ctx.select("query_id").join(answers.select("query_id", F.col("response").alias("answer"), "cached"), "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(NO_EVIDENCE)))
+    return out, additions
 
 
 def article(topic_queries: DataFrame, notes: DataFrame, vectors: DataFrame, edges: DataFrame, judge: Callable[[str], float], draft: Callable[[str], str], cfg: Config | None = None, rounds: int = 3, least: float = 7.0) -> dict:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from notegrove.operators import fusion, store
+from notegrove.operators import fusion
 from notegrove.plans import queries_store as q
 from notegrove.plans import workflows
 from notegrove.sources import files
@@ -49,19 +49,39 @@ def test_stream_is_idempotent(spark, tmp_path):
     (box / "a.md").write_text(TEXT)
     root = f"file://{tmp_path}/tables"
     ingest.ingest(spark, str(box), root, str(tmp_path / "cp")).awaitTermination()
-    n = store.current(spark, root, "chunks").count()
+    n = ingest.table(spark, root, "chunks").count()
     (box / "b.md").write_text(TEXT.replace(" beta", "  beta"))
+    (box / "c.md").write_text(TEXT)
     ingest.ingest(spark, str(box), root, str(tmp_path / "cp")).awaitTermination()
-    kinds = {r["path"][-4:]: r["dup_kind"] for r in store.current(spark, root, "files").collect()}
-    assert kinds == {"a.md": "new", "b.md": "content"} and store.current(spark, root, "chunks").count() == n > 0
+    for checkpoint in ("cp", "other"):  # a new run over the same files adds nothing
+        ingest.ingest(spark, str(box), root, str(tmp_path / checkpoint)).awaitTermination()
+        rows = [(r["path"][-4:], r["dup_kind"]) for r in ingest.table(spark, root, "files").collect()]
+        assert sorted(rows) == [("a.md", "new"), ("b.md", "content"), ("c.md", "file")] and ingest.table(spark, root, "chunks").count() == n > 0
+
+
+def test_windows(spark, tmp_path):
+    """Totals by window of a stream of events, each counted once."""
+    rows = [(1, "a", "2024-01-01 00:01:00", 1.0), (1, "a", "2024-01-01 00:01:00", 1.0), (2, "a", "2024-01-01 00:09:59", 2.0), (3, "a", "2024-01-01 00:10:00", 4.0), (4, "b", "2024-01-01 00:02:00", 8.0)]
+    spark.createDataFrame(rows, "event_id long, event_type string, t string, value double").selectExpr("event_id", "event_type", "cast(t as timestamp) as ts", "value").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id long, event_type string, ts timestamp, value double").parquet(f"{tmp_path}/in")
+    out = ingest.usage_by_window(stream.dropDuplicates(["event_id", "ts"]))
+    out.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["window"]["start"].minute, r["event_type"]): (r["n"], r["value"]) for r in spark.table("windows").collect()}
+    assert got == {(0, "a"): (2, 3.0), (10, "a"): (1, 4.0), (0, "b"): (1, 8.0)}
+    once = ingest.unseen(stream, ["event_id"]).writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.table("once").collect()) == [1, 2, 3, 4]
 
 
 def test_ask(spark, sf):
     cache = spark.createDataFrame([], "call_checksum string, response string")
     quiet = fusion.Floor(similarity=2.0, bypass_rank=None)
-    answers = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), cache, floor=quiet)
+    answers, _ = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), cache, floor=quiet)
     assert {r["answer"] for r in answers.collect()} == {workflows.NO_EVIDENCE}
-    got = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), cache, q.edges(spark, sf), floor=q.FLOOR).collect()
+    out, additions = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), cache, q.edges(spark, sf), floor=q.FLOOR)
+    got = out.collect()
+    again, none = workflows.ask(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), additions, q.edges(spark, sf), floor=q.FLOOR)
+    assert additions.count() == 2 and none.count() == 0 and all(r["cached"] for r in again.collect())
     assert sorted(r["query_id"] for r in got) == [0, 20] and all(r["answer"].startswith("{") for r in got)
 
 
