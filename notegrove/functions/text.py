@@ -236,4 +236,4 @@ def retry_after(message: Column, attempt: Column, most: float = 60.0) -> Column:
     n = F.regexp_extract(message, r"(?i)(?:try again in|retry after)\s*([0-9.]+)\s*(ms|s|m)?", 1)
     unit = F.lower(F.regexp_extract(message, r"(?i)(?:try again in|retry after)\s*([0-9.]+)\s*(ms|s|m)?", 2))
     hint = F.expr("1.0d") * F.when(n != "", n.try_cast("double")) * F.when(unit == "ms", 0.001).when(unit == "m", 60.0).otherwise(1.0)
-    return F.least(F.lit(most), F.coalesce(F.greatest(hint, F.lit(0.6)), F.pow(F.lit(2.0), attempt)))
+    return F.least(F.lit(most), F.when(hint.isNotNull(), F.greatest(hint, F.lit(0.6))).otherwise(F.pow(F.lit(2.0), attempt)))

@@ -122,12 +122,6 @@ def sync_manual(files: DataFrame, known: DataFrame) -> DataFrame:
     return x.select("path", F.coalesce("note_id", ids.stable_id(F.col("path"))).alias("note_id"), action.alias("action"), F.col("now").alias("semantic_checksum"))
 
 
-def permanent_note(thesis, definition, intuition, example, limits, source, connections) -> F.Column:
-    """Body of a permanent note; parts that are missing are left out."""
-    part = lambda head, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"## {head}\n\n"), x))
-    return F.concat_ws("\n\n", F.concat(F.lit("> "), thesis), part("Definição", definition), part("Intuição", intuition), part("Exemplo", example), part("Limites", limits), part("Fonte", source), part("Conexões", connections))
-
-
 def rebuilt_notes(notes: DataFrame) -> DataFrame:
     """(path, content, origin) of stored notes, for ``plan_writes``."""
     meta = F.create_map(F.lit("id"), F.col("note_id"), F.lit("title"), F.coalesce("title", F.lit("")))
