@@ -1,6 +1,7 @@
 """License scans by winnowed fingerprints and banded alignment (operator 10).
 
-The templates' winnowed word shingles are an inverted index. A text's shingles that meet it give
+The templates' winnowed word shingles are an inverted index; of a template of at most ``SHORT`` words all are, and
+shorter parts too, one of which is whole in any match that lacks words. A text's shingles that meet it give
 seeds, each a template and a diagonal (place in the text less place in the template). Seeds of one
 template whose diagonals lie within the band of each other are one candidate; its stretch of the text is, until nothing more matches, aligned with the
 template inside the band (edit distance over words that is free to start and end anywhere in the
@@ -26,6 +27,7 @@ from notegrove.llm.common import Block, blocks, byte_class, documents, free, gra
 SHINGLE = 3
 WINNOW = 2
 BAND = 8
+SHORT = 12
 COVERAGE = 0.8
 _WORD = byte_class("alnum")
 #: Notices of common licenses, by SPDX identifier.
@@ -48,11 +50,32 @@ TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GP
 TEMPLATES = NOTICES | {f"{name}-text": pkgutil.get_data("notegrove.llm", f"licenses/{name}.txt").decode() for name in TEXTS}
 
 
+def _winnowed(w: np.ndarray) -> list[int]:
+    """Places of a template's fingerprints: of every WINNOW consecutive shingles the smallest. Phrases that it repeats are left out
+    where enough others remain: they put most of their seeds on diagonals far from the match."""
+    g = grams(w, SHINGLE)
+    chosen = {i + int(np.argmin(g[i : i + WINNOW])) for i in range(max(1, len(g) - WINNOW + 1))} if len(g) else set()
+    own, times = np.unique(g, return_counts=True)
+    once = set(own[times == 1].tolist())
+    single = {i for i in chosen if int(g[i]) in once}
+    return sorted(single if 2 * len(single) >= len(chosen) else chosen)
+
+
+def _short(m: int, coverage: float) -> list[tuple[int, int]]:
+    """(length, place) of the seeds of a template of m words, too few to thin them out: every shingle, and parts so many that one
+    is whole in any text that lacks no more words than the coverage allows."""
+    parts = m - int(np.ceil(coverage * m - 1e-9)) + 1
+    edges = [i * m // parts for i in range(parts + 1)]
+    return sorted({(SHINGLE, i) for i in range(m - SHINGLE + 1)} | {(min(SHINGLE, j - i), i) for i, j in zip(edges[:-1], edges[1:], strict=True) if i < j})
+
+
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str]):
+    """Templates by their seeds: runs of words, of several lengths, each with the templates and places that have it."""
+
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.words: list[np.ndarray] = []
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
         batch = pa.RecordBatch.from_pydict({"text": pa.array([templates[n] for n in self.names], pa.large_string())})
         for b in blocks(iter([batch]), lower=True, limit=1 << 30):
             starts, ends, at = b.runs(_WORD)
@@ -60,17 +83,10 @@ class TemplateIndex:
             for t in range(b.n):
                 w = h[at[t] : at[t + 1]]
                 self.words.append(w)
-                g = grams(w, SHINGLE)
-                # of every WINNOW consecutive shingles the smallest is a fingerprint
-                chosen = {i + int(np.argmin(g[i : i + WINNOW])) for i in range(max(1, len(g) - WINNOW + 1))} if len(g) else set()
-                # a phrase that a long template repeats would put most of its seeds on diagonals far from the match
-                own, times = np.unique(g, return_counts=True)
-                once = set(own[times == 1].tolist())
-                single = {i for i in chosen if int(g[i]) in once}
-                for i in single if 2 * len(single) >= len(chosen) else chosen:
-                    seeds.setdefault(int(g[i]), []).append((t, i))
-        self.keys = np.array(sorted(seeds), np.uint64)
-        self.seeds = [seeds[int(k)] for k in self.keys]
+                for n, i in _short(len(w), coverage) if len(w) <= SHORT else ((SHINGLE, i) for i in _winnowed(w)):
+                    seeds.setdefault(n, {}).setdefault(int(grams(w[i : i + n], n)[0]), []).append((t, i))
+        #: By length of seed: its hashes in order, and what each is a seed of.
+        self.seeds = {n: (np.array(sorted(x), np.uint64), [x[k] for k in sorted(x)]) for n, x in sorted(seeds.items())}
         self.memo: dict[tuple, tuple] = {}
 
     def most(self, t: int, text: np.ndarray) -> int:
@@ -118,18 +134,18 @@ class TemplateIndex:
         """(first word, after the last, name, coverage) of each text's matches, in order."""
         starts, ends, at = b.runs(_WORD)
         out: list[list] = [[] for _ in range(b.n)]
-        if len(starts) < SHINGLE or not len(self.keys):
-            return out
         h = b.hashes(starts, ends)
-        g = grams(h, SHINGLE)
-        k = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[k] == g)
-        hit = np.intersect1d(hit, inside(at, SHINGLE), assume_unique=True)
-        row = np.searchsorted(at, hit, "right") - 1
         groups: dict[tuple[int, int], list[int]] = {}
-        for r, p in zip(row.tolist(), hit.tolist(), strict=True):
-            for t, i in self.seeds[k[p]]:
-                groups.setdefault((r, t), []).append(p - int(at[r]) - i)
+        for n, (keys, places) in self.seeds.items():
+            if len(h) < n:
+                continue
+            g = grams(h, n)
+            k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            hit = np.intersect1d(np.flatnonzero(keys[k] == g), inside(at, n), assume_unique=True)
+            row = np.searchsorted(at, hit, "right") - 1
+            for r, p in zip(row.tolist(), hit.tolist(), strict=True):
+                for t, i in places[k[p]]:
+                    groups.setdefault((r, t), []).append(p - int(at[r]) - i)
         near: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
         for (r, t), diagonals in groups.items():
             near[r, t] = set()
@@ -174,7 +190,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     arrow = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("license", pa.string()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(templates)
+        index = TemplateIndex(templates, coverage)
         for b in blocks(batches, lower=True, column=read):
             found = [[dict(zip(("first_word", "end_word", "license", "coverage"), m, strict=True)) for m in x] for x in index.find(b, coverage)]
             yield pa.RecordBatch.from_arrays([*(b.batch.column(c) for c in keep), pa.array(found, arrow)], names=[*keep, "matches"])

@@ -278,6 +278,77 @@ def test_classifier(spark, edge, sf):
     assert np.array_equal(once.weight, twice.weight) and once.threshold == twice.threshold
 
 
+def test_ranking_by_brute_force(spark, sf):
+    """The fitted weights minimise the logistic loss on the pairs' differences, and a row's score is that of its text alone."""
+    rnd = np.random.RandomState(1)
+    x, y = rnd.randn(60, 3), (rnd.rand(60) < 0.5).astype(int)
+    x[:, 0] += y
+    r = quality_classifier.fit(x, y, pairs=500)
+    z = (x - r.mean) / r.scale
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.RandomState(11)
+    d = z[good[draw.randint(0, len(good), 500)]] - z[bad[draw.randint(0, len(bad), 500)]]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).sum() + quality_classifier.RIDGE * (w @ w) / 2
+    for _ in range(300):  # no other weights do better
+        assert loss(r.weight) <= loss(r.weight + rnd.randn(3) * rnd.choice([0.01, 0.1, 1])) + 1e-6
+    docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    ranker = quality_classifier.train(docs, labels)
+    odd = docs.limit(40).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}))
+    for row in quality_classifier.scored(odd, ranker, ["doc_id", "text"]).collect():
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([row["text"]], pa.large_string())})
+        (alone,) = [ranker.score(quality_classifier.features(b))[0] for b in common.blocks(iter([batch]))]
+        assert abs(alone - row["score"]) < 1e-9
+
+
+def test_mix_by_brute_force(spark, sf):
+    """Targets by repeated shares in plain arithmetic; every document is taken floor(f) or floor(f) + 1 times, with f its source's
+    target over its size; and each source's words and documents come as near as one document to what was wanted."""
+    got = [r.asDict() for r in mixing.mixed(common.documents(spark, sf)).collect()]
+    size: dict = {}
+    for r in got:
+        size[r["source"]] = size.get(r["source"], 0) + r["size"]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, fixed = {}, set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in fixed)
+        want = {s: 3 * size[s] if s in fixed else left * weight[s] / sum(weight[x] for x in order if x not in fixed) for s in order}
+        over = {s for s in order if s not in fixed and want[s] > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        fixed |= over
+    for s in order:
+        rows = [r for r in got if r["source"] == s]
+        f = want[s] / size[s] if size[s] else 0.0
+        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == size[s] for r in rows)
+        times = [r["taken"] / r["size"] for r in rows if r["size"]]
+        assert all(t in (np.floor(f + 1e-9), np.floor(f + 1e-9) + 1) for t in times)
+        assert abs(sum(r["taken"] for r in rows) - want[s]) <= max(r["size"] for r in rows)
+        assert abs(sum(times) - f * len(times)) <= 2
+
+
+def test_texts_longer_than_a_block(spark, tmp_path):
+    """Texts of more than a block, some alike, beside null and short ones, through every operator with a brute-force version."""
+    rnd = random.Random(21)
+    words = lambda n: [f"w{rnd.randint(0, 5000)}" for _ in range(n)]
+    a = words(230_000)
+    b = [*a[:100_000], "x", *a[100_001:]]
+    item = " ".join(words(14))
+    docs = [(1, " ".join(a)), (2, " ".join(b)), (None, " ".join(a)), (3, None), (4, f"{item} password = abcdef12 tail"), (5, " ".join([*words(30), *a[500:600]]))]
+    assert len(docs[0][1]) > common.BLOCK_BYTES
+    spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, " ".join(a[1000:1020]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [{"doc_id": i, "text": t} for i, t in docs]
+    root = str(tmp_path)
+    same(QUERIES["op2_ngram_join"](spark, root).collect(), [(d, n, c) for d, n, c in brute.components(rows)])
+    same(QUERIES["op3_quality_rules"](spark, root).drop("kept").collect(), [brute.rule_features(r) for r in rows])
+    same(QUERIES["op4_secret_scan"](spark, root).drop("spans").collect(), [brute.base_secrets(r) for r in rows])
+    same(QUERIES["op5_decontamination"](spark, root).collect(), brute.contamination(rows, [{"item_id": 1, "text": item}, {"item_id": 2, "text": " ".join(a[1000:1020])}]))
+    same(QUERIES["op6_substring_dedup"](spark, root).collect(), brute.substring(rows))
+    sizes = {(r["doc_id"], r["size"]) for r in QUERIES["op9_mixing"](spark, root).collect()}
+    assert sizes == {(i, len(brute.SPACE_WORD.findall(t or ""))) for i, t in docs}
+
+
 def test_overlap_with_base_spans():
     rnd = random.Random(3)
     for _ in range(200):
@@ -330,6 +401,50 @@ def test_directly_repeated_notices():
                 assert [m[:2] for m in found if m[2] == name] == [(k * (size + gap), k * (size + gap) + size) for k in range(copies)], (name, copies, gap)
 
 
+def coverage_anywhere(template, text):
+    """The share of a template's words that the cheapest alignment with any stretch of a text matches: the whole table, no seeds, no band."""
+    best = [(0, 0)] * (len(text) + 1)
+    for w in template:
+        new = [(best[0][0] + 1, best[0][1])]
+        for j, x in enumerate(text, 1):
+            new.append(min((best[j][0] + 1, best[j][1]), (best[j - 1][0] + (w != x), best[j - 1][1] - (w == x)), (new[-1][0] + 1, new[-1][1])))
+        best = new
+    return -min(best)[1] / len(template)
+
+
+def test_license_recall():
+    """Notices with words changed, lost or added amid prose, against the exhaustive alignment of every template with the whole text."""
+    rnd = random.Random(6)
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    split = lambda t: brute.ALNUM_WORD.findall(brute.lower(t))
+    notices = {n: split(t) for n, t in license_scan.NOTICES.items()}
+    texts = ["Released under this MIT License", "Released under the MIT", "all rights reserved", "all rights", ""]
+    for _ in range(150):
+        w = list(notices[rnd.choice(sorted(notices))])
+        for _ in range(rnd.randint(0, 1 + len(w) // 6)):
+            k = rnd.randrange(len(w))
+            w[k : k + 1] = rnd.choice(([], ["other"], [w[k], "more"]))
+        texts.append(" ".join([*rnd.choices(("word", "the", "license", "of"), k=rnd.randint(0, 20)), *w, *rnd.choices(("word", "under", "free"), k=rnd.randint(0, 20))]))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})
+    (found,) = [index.find(b) for b in common.blocks(iter([batch]), lower=True, limit=1 << 30)]
+    want = got = 0
+    for text, matches in zip(texts, found, strict=True):
+        words, names = split(text), {m[2] for m in matches}
+        sure = {n for n, t in notices.items() if coverage_anywhere(t, words) >= license_scan.COVERAGE}
+        want, got = want + len(sure), got + len(sure & names)
+    assert [{m[2] for m in x} for x in found[:5]] == [{"MIT"}, {"MIT"}, {"LicenseRef-reserved"}, set(), set()]  # 4 of 5 words reach the coverage
+    assert want >= 100 and got >= 0.97 * want, (got, want)
+
+
+def test_license_edges(spark):
+    """Repeated rows, ties, a very long text and columns whose names clash."""
+    long = "word " * 300_000 + "Released under the MIT License " + "word " * 10
+    rows = [(1, long, "a"), (1, long, "a"), (None, None, "b"), (2, "Released under the MIT License", "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, matches string").withColumnsRenamed({"matches": "_text"})
+    got = license_scan.license_scan(d, keep=("doc_id", "_text", "text")).collect()
+    assert sorted((r["doc_id"] or 0, r["_text"], [m["first_word"] for m in r["matches"]]) for r in got) == [(0, "b", []), (1, "a", [300_000]), (1, "a", [300_000]), (2, "c", [0])]
+
+
 def test_license_texts(spark, tmp_path):
     """Each notice and whole text is found amid prose, as a brute-force scan over windows of its length finds it."""
     prose = " ".join(f"prose{i}" for i in range(30))
