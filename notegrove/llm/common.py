@@ -222,13 +222,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet to the shared folder and read again: lineage ends at files that outlive any
-    executor."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Written as Parquet to the shared folder, a folder for each value of ``by``, and read again: lineage ends at files that
+    outlive any executor."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/notegrove-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,15 @@
 """WARC with a Merkle fixity audit (operator 7).
 
 Pages are laid out as response records in segments of an archive; a record's place is its page_id's slot in the
-segment, page_id mod ``SEGMENT``, plus ``SEGMENT`` for each record of that page_id before it, so that a lost or added
+segment, page_id mod ``SEGMENT``, plus ``SEGMENT`` for each other record of that page_id before it, so that a lost or added
 record moves no record of another page. Records lie in order of place. Each record is hashed; the offset ranges of every ``FAN``
 consecutive places of a segment are hashed, with their places, into a parent range, up to the segment's root, and
 segments' roots, by segment number, into the archive's root in the same way. To compare two replicas, only the archives' roots are
 compared first; a level below is read only under branches that differ, down to the records: an intact branch is never descended.
 
-Trees are built one segment to a task (at most ``SEGMENT`` page ids), so no step holds more than one
-segment; upper levels are ordinary aggregations of ordered digests.
+Equal records are counted before anything else and are one leaf, whose digest covers their number, so a page in a third of
+all rows is one row. Trees are built one segment to a task (at most ``SEGMENT`` page ids and their different contents), so no step
+holds more than one segment; upper levels are ordinary aggregations of ordered digests. Nodes are stored a folder a level.
 
 Edge cases: a null html is an empty payload and a null url an empty one; rows without page_id lie in
 segments of their own, ``LOOSE`` by the hash of their content, numbered below all others, with slots by that hash too; repeated pages are records of their own,
@@ -67,40 +68,42 @@ def _digest(*parts: bytes) -> str:
     return hashlib.sha256(b"".join(parts)).hexdigest()
 
 
-_NODES = "segment long, level int, place long, first_byte long, end_byte long, digest string, page_id long, n_bytes long, payload_sha256 string"
+_NODES = "segment long, level int, place long, first_byte long, end_byte long, digest string, page_id long, n_bytes long, payload_sha256 string, record string, copies long"
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """The tree of every segment: level 0 are its records, each level above has a node for FAN ranges;
-    the single node of the highest level is the root."""
+    """The tree of every segment: level 0 are its records (``copies`` equal ones each, with the digest of one as ``record``), each
+    level above has a node for FAN ranges; the single node of the highest level is the root."""
     of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     loose = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE))
     slot = F.pmod(F.coalesce("page_id", F.shiftright(F.xxhash64("url", "html"), 32)), F.lit(SEGMENT)).cast("long")
     of = of.withColumn("segment", F.coalesce(F.shiftright("page_id", SEGMENT.bit_length() - 1), loose)).withColumn("slot", slot)
+    of = of.groupBy("segment", "slot", "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).agg(F.count("*").alias("copies"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seg = int(pdf["segment"].iloc[0])
         ids = [None] * len(pdf) if pdf["page_id"].isna().all() else pdf["page_id"].astype("int64").tolist()  # a segment has ids or none
-        rows = sorted(zip(pdf["slot"].astype("int64"), (u or "" for u in pdf["url"]), (h or "" for h in pdf["html"]), ids, strict=True), key=lambda r: r[:3])
+        rows = sorted(zip(pdf["slot"].astype("int64"), pdf["url"], pdf["html"], ids, pdf["copies"].tolist(), strict=True), key=lambda r: r[:3])
         before: Counter = Counter()
         placed = []
-        for slot, u, h, i in rows:
-            placed.append((int(slot) + SEGMENT * before[slot], i, u, h))
+        for slot, u, h, i, c in rows:
+            placed.append((int(slot) + SEGMENT * before[slot], i, u, h, c))
             before[slot] += 1
         out, at = [], 0
-        for k, i, u, h in sorted(placed, key=lambda r: r[0]):
+        for k, i, u, h, c in sorted(placed, key=lambda r: r[0]):
             payload = h.encode()
             raw = record(u, payload, -1 if i is None else i)
-            out.append((seg, 0, k, at, at + len(raw), _digest(raw), i, len(payload), hashlib.sha256(payload).hexdigest()))
-            at += len(raw)
+            one = _digest(raw)
+            out.append((seg, 0, k, at, at + c * len(raw), one if c == 1 else _digest(b"%d*" % c + bytes.fromhex(one)), i, len(payload), hashlib.sha256(payload).hexdigest(), one, c))
+            at += c * len(raw)
         level = out
         depth = 0
         while level[-1][2] > 0:
             depth += 1
-            level = [(seg, depth, k, x[0][3], x[-1][4], _digest(*(b"%d:" % c[2] + bytes.fromhex(c[5]) for c in x)), None, None, None) for k, x in ((k, list(g)) for k, g in groupby(level, lambda c: c[2] // FAN))]
+            level = [(seg, depth, k, x[0][3], x[-1][4], _digest(*(b"%d:" % c[2] + bytes.fromhex(c[5]) for c in x)), None, None, None, None, None) for k, x in ((k, list(g)) for k, g in groupby(level, lambda c: c[2] // FAN))]
             out += level
-        got = pd.DataFrame(out, columns=["segment", "level", "place", "first_byte", "end_byte", "digest", "page_id", "n_bytes", "payload_sha256"], dtype=object)  # ids beyond 2^53 stay exact beside nulls
-        return got.astype({"segment": "int64", "level": "int32", "place": "int64", "first_byte": "int64", "end_byte": "int64", "page_id": "Int64", "n_bytes": "Int64"})
+        got = pd.DataFrame(out, columns=["segment", "level", "place", "first_byte", "end_byte", "digest", "page_id", "n_bytes", "payload_sha256", "record", "copies"], dtype=object)  # ids beyond 2^53 stay exact beside nulls
+        return got.astype({"segment": "int64", "level": "int32", "place": "int64", "first_byte": "int64", "end_byte": "int64", "page_id": "Int64", "n_bytes": "Int64", "copies": "Int64"})
 
     return of.groupBy("segment").applyInPandas(build, _NODES)
 
@@ -160,11 +163,11 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     both = a.join(under, ["loose", "number"], "left_semi").unionByName(b.join(under, ["loose", "number"], "left_semi"))
     differ = stored(both.groupBy("segment").agg(F.max("level").alias("level")).withColumn("place", F.lit(0).cast("long")))
     deepest = differ.agg(F.max("level")).first()[0]
-    pick = lambda t, name: t.select("segment", "level", "place", F.col("digest").alias(name), F.col("page_id").alias(f"{name}_page"))
+    pick = lambda t, level, name: t.where(F.col("level") == level).select("segment", "level", "place", F.col("digest").alias(name), F.col("page_id").alias(f"{name}_page"))
     for level in range(deepest or 0, 0, -1):
         here = differ.where(F.col("level") == level)
         below = here.select("segment", F.lit(level - 1).alias("level"), F.explode(F.expr(f"sequence(place * {FAN}, place * {FAN} + {FAN - 1})")).alias("place"))
-        x = below.join(pick(primary, "a"), ["segment", "level", "place"], "left").join(pick(replica, "b"), ["segment", "level", "place"], "left")
+        x = below.join(pick(primary, level - 1, "a"), ["segment", "level", "place"], "left").join(pick(replica, level - 1, "b"), ["segment", "level", "place"], "left")
         open_ = x.where(~F.col("a").eqNullSafe(F.col("b"))).select("segment", "level", "place")
         differ = stored(differ.where(F.col("level") < level).unionByName(open_))
     # a root that is a record itself may have any place; of repeated pages those that both replicas hold are intact
@@ -178,13 +181,13 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 def _numbered(leaves: DataFrame) -> DataFrame:
     """Records with their slot and their number among equal ones of it."""
-    x = leaves.select("segment", (F.col("place") % SEGMENT).alias("slot"), "place", "digest", "page_id")
-    return x.withColumn("nth", F.row_number().over(Window.partitionBy("segment", "slot", "digest").orderBy("place")))
+    x = leaves.select("segment", (F.col("place") % SEGMENT).alias("slot"), "place", F.col("record").alias("digest"), "page_id", "copies")
+    return x.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
 def _ranked(leaves: DataFrame, sign: int) -> DataFrame:
     """Records in the order in which those of one page are compared; ones without page_id are no one's counterpart."""
-    r = F.row_number().over(Window.partitionBy("segment", "slot").orderBy("place"))
+    r = F.row_number().over(Window.partitionBy("segment", "slot").orderBy("place", "nth"))
     return leaves.withColumn("r", F.when(F.col("page_id").isNull(), r * sign).otherwise(r))
 
 
@@ -195,7 +198,8 @@ def op7_warc_fixity(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     hurt = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.overlay(F.coalesce("html", F.lit("")), F.when(F.col("html").startswith("~"), "!").otherwise("~"), F.lit(1))).otherwise(F.col("html")))
-    a, b = stored(nodes(pages)), stored(nodes(hurt))
-    found = audit(a, b).select("segment", "place", F.lit(True).alias("corrupt"))
+    a, b = stored(nodes(pages), "level"), stored(nodes(hurt), "level")
+    found = audit(a, b).select("segment", "place", F.lit(True).alias("corrupt")).distinct()
     out = a.where("level = 0").join(found, ["segment", "place"], "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))  # a row for each page again
     return out.select("page_id", "segment", "n_bytes", "payload_sha256", F.coalesce("corrupt", F.lit(False)).alias("corrupt"))

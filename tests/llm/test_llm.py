@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,24 @@ def test_fixity_locates_lost_and_added_records(spark):
     assert found(tree.where("segment > 5"), tree.where("segment > 5")) == [] == found(tree, tree)
 
 
+def test_fixity_of_equal_records(spark):
+    """A page in very many rows is one leaf; lost and added copies are counted, against a plain difference of the rows."""
+    rnd = random.Random(3)
+    a = [(7, "u", "x")] * 500 + [(rnd.randrange(900) if rnd.random() < 0.9 else None, rnd.choice(["u", None]), rnd.choice(["a", "b", None])) for _ in range(900)]
+    b = [r for r in a if rnd.random() > 0.01] + [(7, "u", "x")] * 3 + [(3000, "u", "new")]
+    schema = "page_id long, url string, html string"
+    x, y = (warc_fixity.nodes(spark.createDataFrame(t, schema)) for t in (a, b))
+    assert x.where("level = 0 and page_id = 7 and n_bytes = 1 and copies >= 500").count() == 1
+    plain = lambda t: Counter((i, u or "", h or "") for i, u, h in t)
+    lost, more = plain(a) - plain(b), plain(b) - plain(a)
+    found = Counter((r["page_id"], r["damage"]) for r in warc_fixity.audit(common.stored(x, "level"), common.stored(y, "level")).collect())
+    for i in {k[0] for k in lost | more}:
+        n, m = (sum(c for k, c in t.items() if k[0] == i) for t in (lost, more))
+        both = min(n, m) if i is not None else 0
+        assert (found[i, "changed"], found[i, "missing"], found[i, "extra"]) == (both, n - both, m - both), i
+    assert sum(found.values()) == sum(max(sum(c for k, c in lost.items() if k[0] == i), sum(c for k, c in more.items() if k[0] == i)) if i is not None else sum(c for k, c in (lost + more).items() if k[0] is None) for i in {k[0] for k in lost | more})
+
+
 def test_fixity_archive_root(spark):
     """The archive's root covers all segment roots, and changes with any of them."""
     a = spark.createDataFrame([(i * 256, "u", f"p{i}") for i in range(-40, 600)], "page_id long, url string, html string")
