@@ -9,7 +9,8 @@ compared first; a level below is read only under branches that differ, down to t
 
 Equal records are counted before anything else and are one leaf, whose digest covers their number, so a page in a third of
 all rows is one row. Trees are built one segment to a task (at most ``SEGMENT`` page ids and their different contents), so no step
-holds more than one segment; upper levels are ordinary aggregations of ordered digests. Nodes are stored a folder a level.
+holds more than one segment; upper levels are ordinary aggregations of ordered digests. Records are hashed in the JVM where they
+are read, so texts are never shuffled. Nodes are stored a folder a level.
 
 Edge cases: a null html is an empty payload and a null url an empty one; rows without page_id lie in
 segments of their own, ``LOOSE`` by the hash of their content, numbered below all others, with slots by that hash too; repeated pages are records of their own,
@@ -37,10 +38,14 @@ LOOSE = 1 << 16
 _CRLF = b"\r\n"
 
 
+def _layout(number, url, length, payload) -> list:
+    """The parts of one WARC/1.0 response record, as text; the same for a record that is written and one that is hashed in place."""
+    return ["WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:", number, ">\r\nWARC-Target-URI: ", url, "\r\nContent-Type: text/html\r\nContent-Length: ", length, "\r\n\r\n", payload, "\r\n\r\n"]
+
+
 def record(url: str | None, payload: bytes, number: int) -> bytes:
     """One WARC/1.0 response record."""
-    head = [b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:page:%d>" % number, b"WARC-Target-URI: " + (url or "").encode(), b"Content-Type: text/html", b"Content-Length: %d" % len(payload)]
-    return _CRLF.join(head) + _CRLF * 2 + payload + _CRLF * 2
+    return b"".join(x if isinstance(x, bytes) else x.encode() for x in _layout(str(number), url or "", str(len(payload)), payload))
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -74,28 +79,27 @@ _NODES = "segment long, level int, place long, first_byte long, end_byte long, d
 def nodes(pages: DataFrame) -> DataFrame:
     """The tree of every segment: level 0 are its records (``copies`` equal ones each, with the digest of one as ``record``), each
     level above has a node for FAN ranges; the single node of the highest level is the root."""
-    of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
+    url, html, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")), F.col("page_id").cast("long")
+    raw = F.concat(*(x if isinstance(x, F.Column) else F.lit(x) for x in _layout(F.coalesce(page, F.lit(-1)).cast("string"), url, F.octet_length(html).cast("string"), html)))
     loose = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE))
-    slot = F.pmod(F.coalesce("page_id", F.shiftright(F.xxhash64("url", "html"), 32)), F.lit(SEGMENT)).cast("long")
-    of = of.withColumn("segment", F.coalesce(F.shiftright("page_id", SEGMENT.bit_length() - 1), loose)).withColumn("slot", slot)
-    of = of.groupBy("segment", "slot", "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).agg(F.count("*").alias("copies"))
+    slot = F.pmod(F.coalesce(page, F.shiftright(F.xxhash64("url", "html"), 32)), F.lit(SEGMENT)).cast("long")
+    # hashed where it is read: from here on a record is some 200 bytes, whatever its length
+    of = pages.select(F.coalesce(F.shiftright(page, SEGMENT.bit_length() - 1), loose).alias("segment"), slot.alias("slot"), page.alias("page_id"), F.sha2(raw, 256).alias("record"), F.octet_length(raw).cast("long").alias("size"), F.octet_length(html).cast("long").alias("n_bytes"), F.sha2(html, 256).alias("payload_sha256"))
+    of = of.groupBy("segment", "slot", "page_id", "record", "size", "n_bytes", "payload_sha256").agg(F.count("*").alias("copies"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seg = int(pdf["segment"].iloc[0])
         ids = [None] * len(pdf) if pdf["page_id"].isna().all() else pdf["page_id"].astype("int64").tolist()  # a segment has ids or none
-        rows = sorted(zip(pdf["slot"].astype("int64"), pdf["url"], pdf["html"], ids, pdf["copies"].tolist(), strict=True), key=lambda r: r[:3])
+        rows = sorted(zip(*(pdf[c].tolist() for c in ("slot", "record", "size", "n_bytes", "payload_sha256", "copies")), ids, strict=True), key=lambda r: r[:2])
         before: Counter = Counter()
         placed = []
-        for slot, u, h, i, c in rows:
-            placed.append((int(slot) + SEGMENT * before[slot], i, u, h, c))
+        for slot, *rest in rows:
+            placed.append((slot + SEGMENT * before[slot], *rest))
             before[slot] += 1
         out, at = [], 0
-        for k, i, u, h, c in sorted(placed, key=lambda r: r[0]):
-            payload = h.encode()
-            raw = record(u, payload, -1 if i is None else i)
-            one = _digest(raw)
-            out.append((seg, 0, k, at, at + c * len(raw), one if c == 1 else _digest(b"%d*" % c + bytes.fromhex(one)), i, len(payload), hashlib.sha256(payload).hexdigest(), one, c))
-            at += c * len(raw)
+        for k, one, size, n, sha, c, i in sorted(placed, key=lambda r: r[0]):
+            out.append((seg, 0, k, at, at + c * size, one if c == 1 else _digest(b"%d*" % c + bytes.fromhex(one)), i, n, sha, one, c))
+            at += c * size
         level = out
         depth = 0
         while level[-1][2] > 0:

@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, on a table with every edge case."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -234,6 +235,10 @@ def test_fixity(spark, edge):
     data = warc_fixity.segment_bytes([(1, "u", "héllo"), (2, None, "")])
     back = [(h["WARC-Target-URI"], p.decode()) for h, p, _, _ in warc_fixity.records(data)]
     assert back == [("u", "héllo"), ("", "")]
+    # what is hashed in place is what is written, at the offsets where it lies
+    two = spark.createDataFrame([(1, "u", "héllo"), (2, None, None)], "page_id long, url string, html string")
+    for r in warc_fixity.nodes(two).where("level = 0").collect():
+        assert hashlib.sha256(data[r["first_byte"] : r["end_byte"]]).hexdigest() == r["record"] == r["digest"]
     odd = spark.createDataFrame([(-3, "u", "a"), (-300, "u", "b"), (None, "u", "c"), (None, "v", "c"), ((1 << 60) + 1, "u", "d")], "page_id long, url string, html string")
     leaves = warc_fixity.nodes(odd).where("level = 0").collect()
     assert sorted((r["page_id"], r["segment"]) for r in leaves if r["page_id"] is not None) == [(-300, -2), (-3, -1), ((1 << 60) + 1, 1 << 52)]
