@@ -26,11 +26,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notegrove.llm.common import blocks, documents
+
 CHUNK_CHARS = 1 << 16
 MEMO_ARCS = 600_000
 #: The pretoken pattern of the byte-level vocabulary and its white space.
@@ -213,16 +216,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(vocabulary_path(tokenizer))
-        for batch in batches:
-            values = batch.column("__text").to_pylist()
-            sizes = [len(v.encode()) if v else 0 for v in values]
-            tokens = [transducer.count(v) for v in values]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
+        for b in blocks(batches, column="__text"):
+            tokens = [transducer.count(v) for v in b.column("__text")]
+            yield pa.RecordBatch.from_arrays([*(b.batch.column(c) for c in keep), pa.array(np.diff(b.at), pa.int64()), pa.array(tokens, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(count, schema)
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    from notegrove.llm.common import documents
-
     return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 1024)
