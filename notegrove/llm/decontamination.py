@@ -10,9 +10,9 @@ The shard's alphabet is the test side's vocabulary. Every other word is a separa
 holds, so stretches between separators that are shorter than the shortest window cannot hold one and
 are left out of the index; that changes no answer.
 
-The test side is read in blocks of at most ``ITEM_BLOCK`` windows, so that what a task holds of it is
-bounded; with several blocks, the texts pass once through each, and the spans and items found so far
-travel along, without a shuffle.
+The test side is read in blocks of about ``ITEM_BLOCK`` windows, so that what a task or the driver holds of it is
+bounded; with several blocks, the texts pass once through each, a stage a block, and the spans and items
+found so far travel along, without a shuffle. Between two blocks the rows are written to the shared folder.
 
 Edge cases: null texts have no words; an item without words has no window; equal items are all
 reported; repeated documents, and documents that share a doc_id, each have a row of their own; extra columns are ignored; empty tables give no rows, or no hits.
@@ -20,16 +20,16 @@ reported; repeated documents, and documents that share a doc_id, each have a row
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrove.llm.common import blocks, byte_class, covered, documents, row_of, spans_of
+from notegrove.llm.common import blocks, byte_class, covered, documents, row_of, spans_of, stored
 
 WINDOW = 10
 SAMPLE = 8
@@ -183,41 +183,50 @@ class Windows:
         text[where], text[-1] = symbol[pos], 0
         back = np.zeros(len(text), np.int64)
         back[where] = pos
+        # a window with a word that the shard lacks is not searched; 0 pads the windows and ends the text
+        present = np.zeros(self.sigma, bool)
+        present[text] = True
+        able = np.flatnonzero(present[self.matrix].all(axis=1))
+        if not len(able):
+            return none
         index = FMIndex(text, self.sigma)
-        lo, hi = index.search(self.matrix, self.lengths)
-        found = np.flatnonzero(hi > lo)
-        if not len(found):
+        lo, hi = index.search(self.matrix[able], self.lengths[able])
+        some = np.flatnonzero(hi > lo)
+        if not len(some):
             return none
-        count = (hi - lo)[found]
-        rows = np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found, lo, count = able[some], lo[some], (hi - lo)[some]
+        rows = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         window = np.repeat(found, count)
         first = back[index.locate(rows)]
         return window, first, first + self.lengths[window]
 
 
-def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
-    """The items in blocks whose windows number at most ITEM_BLOCK or so; one block at a time is on the
-    driver."""
+def _passes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, search: Callable[[DataFrame, Broadcast, bool, bool], DataFrame]) -> DataFrame:
+    """``search(docs, items, first, last)`` for one block of items after another. Each ends before the next one's items are read:
+    a task runs one search, and one block of items is on the driver."""
     size = benchmark.select(F.sum(F.coalesce(F.length(text), F.lit(0)))).first()[0] or 0
     n = max(1, -(-int(size) // (ITEM_BLOCK * 4)))
-    for k in range(n):
+    for q in range(n):
         part = benchmark.select(item, text)
         if n > 1:
-            part = part.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+            part = part.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == q)
+        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        docs = search(docs, held, q == 0, q == n - 1)
+        if q < n - 1:
+            docs = stored(docs)
+            held.destroy()
+    return docs
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", item: str = "item_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row, n_words, spans (array of [first word, word after the last],
     merged), and items (the item ids that occur, as sorted strings)."""
-    spark = docs.sparkSession
     docs = docs.select(*keep, F.col(text).alias("__text"))
     answers = [("n_words", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("items", T.ArrayType(T.StringType()))]
     schema, carried = (T.StructType([*df.schema.fields, *(T.StructField(*x) for x in answers)]) for df in (docs.drop("__text"), docs))
-    every = [spark.sparkContext.broadcast(items) for items in _item_blocks(benchmark, item, text)]
-    for q, held in enumerate(every):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, first_pass=q == 0, last_pass=q == len(every) - 1) -> Iterator[pa.RecordBatch]:
+    def search(docs: DataFrame, held: Broadcast, first_pass: bool, last_pass: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, n)
             for b in blocks(batches, lower=True, column="__text"):
                 starts, ends, at = b.runs(_WORD)
@@ -236,8 +245,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
                     [*(b.batch.column(c) for c in names), pa.array(np.diff(at), pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*names, *(c for c, _ in answers)]
                 )
 
-        docs = docs.mapInArrow(run, schema if q == len(every) - 1 else carried)
-    return docs
+        return docs.mapInArrow(run, schema if last_pass else carried)
+
+    return _passes(docs, benchmark, item, text, search)
 
 
 def _n_hit(spans) -> F.Column:
@@ -255,16 +265,14 @@ def removed(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame
     """The documents with every hit word cut out (a cut leaves one space); a document of which no word
     is left goes. Columns and the other rows stay as they are. One pass a block of items, each over the whole
     texts: the words that earlier blocks hit travel along as packed pairs, and the last pass cuts."""
-    spark = docs.sparkSession
     mark = "__spans"
     while mark in docs.columns:
         mark += "_"
     schema = docs.schema
     carried = docs.withColumn(mark, F.lit(None).cast("binary")).schema
-    every = [spark.sparkContext.broadcast(items) for items in _item_blocks(benchmark, "item_id", "text")]
-    for q, held in enumerate(every):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, first_pass=q == 0, last_pass=q == len(every) - 1) -> Iterator[pa.RecordBatch]:
+    def search(docs: DataFrame, held: Broadcast, first_pass: bool, last_pass: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, n)
             for b in blocks(batches, lower=True):
                 starts, ends, at = b.runs(_WORD)
@@ -282,8 +290,9 @@ def removed(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame
                 else:
                     yield out.append_column(pa.field(mark, pa.binary()), pa.array(known, pa.binary()))
 
-        docs = docs.mapInArrow(run, schema if q == len(every) - 1 else carried)
-    return docs
+        return docs.mapInArrow(run, schema if last_pass else carried)
+
+    return _passes(docs, benchmark, "item_id", "text", search)
 
 
 def _cut(b, batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, spans: list[bytes | None]) -> pa.RecordBatch:
