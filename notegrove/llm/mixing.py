@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrove.llm.common import blocks, byte_class, documents, stored
+from notegrove.llm.common import blocks, byte_class, documents, partitions, stored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK = 4096
+#: Sources whose table is broadcast; of more sources, those with more than 1 of SHARE rows.
+FEW_SOURCES, SHARE = 100_000, 1000
 _WORD = byte_class("space")
 
 
@@ -60,23 +62,45 @@ def with_size(docs: DataFrame, text: str = "text", name: str = "size") -> DataFr
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> dict[str | None, tuple[int, float]]:
-    """(size, target) by source, from (source, size)."""
-    order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    left, open_, target = Fraction(sum(size.values())), [s for s, _ in order], {}
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if share * weight[s] > limit * size[s]]
-        if not full:
-            target |= {s: share * weight[s] for s in open_}
+def source_table(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """(source, n, source_size, target, hot), a row a source, from (source, size, c) with c equal rows each. hot: with more than
+    1 of ``SHARE`` rows. Sources are numbered by a range sort, and the level up to which their targets fill is found by sums
+    over the table, so only a row a partition and the sums reach the driver."""
+    spark = rows.sparkSession
+    key = F.col("source").asc_nulls_last()
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"), F.sum("c").alias("n"))
+    part = F.shiftright("id", 33)  # of these ids, the lower 33 bits number the rows of a partition
+    order = stored(totals.repartitionByRange(partitions(spark), key).sortWithinPartitions(key).withColumn("id", F.monotonically_increasing_id()))
+    before, at = [], 0
+    for k, n in sorted(map(tuple, order.groupBy(part).count().collect())):
+        before.append((k, at))
+        at += n
+    first = F.broadcast(spark.createDataFrame(before, "part long, before long"))
+    nth = F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int"))
+    table = stored(order.join(first, part == F.col("part")).select("source", "n", "source_size", weight.alias("weight")))
+    total, rows_ = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cap, level, known = F.col("source_size") * limit, Fraction(0), -1
+    while True:
+        # the share of each weight at this level
+        share = F.coalesce(*(F.when(F.col("weight") == w, F.lit(float(level * w))) for w in sorted(set(weights))))
+        full = cap < share
+        got = table.agg(F.count_if(full), F.sum(F.when(full, cap).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        if got[0] == known or not got[2]:
             break
-        for s in full:
-            target[s] = Fraction(limit * size[s])
-            left -= limit * size[s]
-        open_ = [s for s in open_ if s not in target]
-    return {s: (size[s], float(target[s])) for s, _ in order}
+        level, known = Fraction(total - got[1]) / Fraction(got[2]), got[0]
+    return table.select("source", "n", "source_size", F.when(full, cap.cast("double")).otherwise(share).alias("target"), (F.col("n") * SHARE > rows_).alias("hot"))
+
+
+def _of_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """The rows with their source's columns. A table of few sources is broadcast; of more, only the hot ones, of which there are
+    at most ``SHARE``, and the rows of the others are joined by their source."""
+    side, on = table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
+    if few:
+        return rows.join(F.broadcast(side), on).drop("s", "hot")
+    hot = side.where("hot")
+    rest = rows.join(F.broadcast(hot.select("s")), on, "left_anti").join(side, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest).drop("s", "hot")
 
 
 def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -134,15 +158,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
     they fall into different blocks however many they are."""
     spark = docs.sparkSession
     rows = stored(sizes(docs, text).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")))
-    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("size"), F.sum("c").alias("n")).collect()
-    count = {r["source"]: r["n"] for r in totals}
-    table = [(s, count[s], z, t) for s, (z, t) in targets([(r["source"], r["size"]) for r in totals], weights, limit).items()]
-    dim = F.broadcast(spark.createDataFrame(table, "source string, n long, source_size long, target double"))  # a row a source
-    of = rows.withColumnRenamed("source", "s").join(dim, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")
+    table = stored(source_table(rows, weights, limit))
+    sources, most = table.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    few = sources <= FEW_SOURCES
+    of = _of_source(rows, table, few)
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     of = of.withColumn("times", F.floor(factor + 1e-12).cast("long")).withColumn("p", F.greatest(F.lit(0.0), factor - F.col("times")))
     of = _copies(of, "c")
-    most = max([n for _, n, _, _ in table], default=0)
 
     def fly(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,8 +194,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
         if last:
             break
         width = -(-width // BLOCK) * 2
-        open_ = flown.where("not done").join(F.broadcast(dim.select(F.col("source").alias("s2"), "n")), F.col("source").eqNullSafe(F.col("s2")), "left")
-        open_ = open_.withColumn("cells", F.ceil(F.lit(float(2 ** len(settled))) * F.col("n") / F.lit(float(BLOCK ** (len(settled) + 1)))).cast("long")).drop("s2", "n")
+        open_ = _of_source(flown.where("not done"), table.select("source", "n", "hot"), few)
+        open_ = open_.withColumn("cells", F.ceil(F.lit(float(2 ** len(settled))) * F.col("n") / F.lit(float(BLOCK ** (len(settled) + 1)))).cast("long")).drop("n")
     drawn = settled[0]
     for s in settled[1:]:
         drawn = drawn.unionByName(s)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,3 +133,18 @@ def substring(rows, n=50):
                 gone |= set(range(k, k + n))
         out.append((r["doc_id"], len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
+
+
+def targets(size):
+    """Targets of {source: words}, by repeated shares in exact arithmetic."""
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    open_, fixed = list(order), {}
+    while open_:
+        level = Fraction(sum(size.values()) - sum(fixed.values())) / sum(weight[s] for s in open_)
+        full = {s: 3 * size[s] for s in open_ if level * weight[s] > 3 * size[s]}
+        if not full:
+            return {s: float(fixed[s] if s in fixed else level * weight[s]) for s in order}
+        fixed |= full
+        open_ = [s for s in open_ if s not in full]
+    return {s: float(fixed[s]) for s in order}

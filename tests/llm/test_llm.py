@@ -396,9 +396,31 @@ def test_mixing_of_equal_rows(spark):
     assert all(abs(r["taken"] - r["target"]) <= 3 for r in got)
 
 
-def test_targets_and_balance():
-    t = mixing.targets([("a", 100), ("b", 10_000), (None, 50)])
-    assert t["a"] == (100, 300.0) and t[None] == (50, 150.0) and t["b"] == (10_000, 9700.0)
+@pytest.mark.parametrize("n", [1, 3, 40, 700])
+def test_targets(spark, n):
+    """The table of sources, however many, against repeated shares; names that sort by code point, null last."""
+    rnd = random.Random(n)
+    size = {s: int(rnd.paretovariate(0.6)) - 1 for s in ["", "Z", "a", "é", "\uffff", "\U0001f600", *(f"s{i}" for i in range(n))][:n]} | {None: 50}
+    table = mixing.source_table(spark.createDataFrame([(s, z, c) for s, z in size.items() for z, c in ((z, 1), (0, 2))], "source string, size long, c long"))
+    got = {r["source"]: r for r in table.collect()}
+    assert {s: (r["source_size"], r["n"]) for s, r in got.items()} == {s: (z, 3) for s, z in size.items()}
+    assert {s: r["target"] for s, r in got.items()} == brute.targets(size)
+    assert all(r["hot"] == (3 * mixing.SHARE > 3 * len(size)) for r in got.values())
+
+
+def test_mixing_of_many_sources(spark, sf, monkeypatch):
+    """Sources too many to broadcast are joined by their name, hot ones apart, with the same result."""
+    docs = common.documents(spark, sf)
+    docs = docs.unionByName(docs.withColumn("source", F.when(F.col("doc_id") % 50 > 0, F.concat(F.lit("x"), F.col("doc_id"))))).drop("n_chars")
+    want = list(map(tuple, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    monkeypatch.setattr(mixing, "SHARE", 50)
+    same(mixing.mixed(docs).collect(), want)
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    assert mixing.mixed(docs).count() == len(want)
+
+
+def test_balance():
     rnd = np.random.RandomState(0)
     size, p = rnd.randint(1, 500, 4000).astype(float), np.full(4000, 0.37)
     done = mixing.landing(mixing.flight(p, size, rnd.rand(4000)), size, float(p @ size))
