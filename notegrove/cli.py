@@ -8,21 +8,31 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrove.config import Config, load
-from notegrove.functions import paging
-from notegrove.operators import index, memo, policies, review, store
+from notegrove.functions import ids, paging
+from notegrove.operators import cluster, index, memo, notes, policies, review, store
 from notegrove.operators.chunking import chapters, chunk_rows, chunks, persisted
+from notegrove.operators.vectors import knn
 from notegrove.plans import phases, workflows
-from notegrove.schemas import SCHEMAS, align
+from notegrove.schemas import KEYS, POLICIES, SCHEMAS, align
 from notegrove.session import session, stored
 from notegrove.sources import files
 
 EXTRACT = "Extraia os conceitos do trecho em JSON.\n\n{text}"
+CONNECT = "Proponha conexões do conceito com as notas, em JSON.\n\n{thesis}\n\n{definition}\n\nNotas:\n{context}"
+CONNECTIONS = "connections array<struct<target:string,relation_type:string,description:string>>"
+ARTICLE = "Escreva um artigo sobre {topic} com base nas notas.\n\n{context}"
+JUDGE = "Avalie o artigo de 0 a 10, em JSON com o campo score.\n\n{article}"
+#: Provider and model of the offline vectors.
+SPACE = ("offline", "hashed-64")
+#: Table, id, title and text of what each collection holds.
+INDEXED = {"sources": ("sources", "source_id", "title", "title"), "chunks": ("chunks", "chunk_id", "section_path", "text"), "permanent_notes": ("notes", "note_id", "title", "body"), "mocs": ("mocs", "moc_id", "topic", "body")}
 _CACHE = "call_checksum string, response string"
 
 
@@ -65,7 +75,7 @@ def harvest(spark: SparkSession, root: str, inbox: str, cfg: Config | None = Non
 def extract(spark: SparkSession, root: str, model: Callable[[str], str] = memo.stub) -> dict:
     """Pending chunks through the model; what it answers is kept, so a second run asks nothing."""
     got = phases.extract(read(spark, root, "chunks"), read(spark, root, "answers"), EXTRACT, model)
-    store.publish(read(spark, root, "answers").unionByName(got["cache"]).dropDuplicates(["call_checksum"]), root, "answers")
+    _answers(got["cache"], root)
     marks = got["chunks"].select("chunk_id", "status", "review_confidence", F.col("summary").alias("summary_json"))
     store.publish(store.patch(read(spark, root, "chunks"), marks, ["chunk_id"]), root, "chunks")
     store.publish(store.merge(read(spark, root, "concepts"), align(got["concepts"], SCHEMAS["concepts"]), ["concept_id"], {"status": "C"}), root, "concepts")
@@ -73,12 +83,179 @@ def extract(spark: SparkSession, root: str, model: Callable[[str], str] = memo.s
 
 
 def review_chunks(spark: SparkSession, root: str, cfg: Config | None = None) -> dict:
-    """Approves confident chunks that await review."""
+    """Approves confident chunks that await review, and with them their concepts."""
     after = workflows.review_chunks(read(spark, root, "chunks"), cfg)
     store.publish(after, root, "chunks")
+    done = read(spark, root, "chunks").where("status = 'persisted'").select("chunk_id", F.lit(True).alias("__done"))
+    concepts = read(spark, root, "concepts").join(done, "chunk_id", "left")
+    store.publish(align(store.transition(concepts, ["awaiting_review"], "extracted", F.coalesce("__done", F.lit(False))), SCHEMAS["concepts"]), root, "concepts")
     return status(spark, root)
 
 
+def _put(rows: DataFrame, root: str, name: str) -> None:
+    """Merges rows into a table by its key and policy."""
+    spark = rows.sparkSession
+    store.publish(store.merge(read(spark, root, name), align(rows, SCHEMAS[name]), KEYS[name], POLICIES[name]), root, name)
+
+
+def _embed(rows: DataFrame, root: str, collection: str, reset: bool = False) -> int:
+    """Rows (id, title, document) into a collection, with offline vectors; returns their number."""
+    spark = rows.sparkSession
+    rows = stored(rows.where(F.trim(F.coalesce("document", F.lit(""))) != ""))
+    vectors = index.hashed_vectors(rows, "id", "document").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    new = rows.join(vectors, "id").select("id", "document", index.metadata({"title": F.col("title")}).alias("metadata"), "embedding", F.lit(SPACE[0]).alias("provider"), F.lit(SPACE[1]).alias("model"))
+    old = read(spark, root, "vectors")
+    store.publish(index.upsert(index.reset(old, collection) if reset else old, new, collection), root, "vectors")
+    return rows.count()
+
+
+def _answers(new: DataFrame, root: str) -> None:
+    spark = new.sparkSession
+    store.publish(read(spark, root, "answers").unionByName(new.select("call_checksum", "response")).dropDuplicates(["call_checksum"]), root, "answers")
+
+
+def _searchable(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, vectors, edges) as searches take them: ids are numbers, 64-bit hashes of the notes' ids."""
+    key = lambda c: F.xxhash64(c)
+    every = read(spark, root, "notes").select(key("note_id").alias("id"), "note_id", F.coalesce("title", "note_id").alias("title"), F.coalesce("body", F.lit("")).alias("document"))
+    vectors = index.export(read(spark, root, "vectors"), "permanent_notes").select(key("id").alias("vec_id"), "embedding")
+    edges = read(spark, root, "note_connections").select(key("source_note_id").alias("source"), key("target_note_id").alias("target"), "relation_type")
+    return every, vectors, edges
+
+
+def connect(spark: SparkSession, root: str, cfg: Config | None = None, model: Callable[[str], str] = memo.stub, decide: DataFrame | None = None) -> dict:
+    """Approved concepts without a note become permanent notes, linked as the model proposes among the nearest stored notes. decide:
+    (concept_id, decision, target_note_id) for concepts near a note. Ids follow from the concept and concepts are marked last, so
+    a run that is cut off can be run again."""
+    cfg = cfg or Config()
+    part = F.from_json("candidate_json", "thesis string, definition string")
+    todo = read(spark, root, "concepts").where("status = 'extracted' and note_id is null").select("concept_id", "source_id", "chunk_id", part["thesis"].alias("thesis"), part["definition"].alias("definition"))
+    todo = stored(todo.where("thesis is not null").join(read(spark, root, "chunks").select("chunk_id", "locator"), "chunk_id", "left").withColumn("query_id", F.xxhash64("concept_id")))
+    every, vectors, _ = _searchable(spark, root)
+    asked = stored(index.hashed_vectors(todo.withColumn("t", F.concat_ws("\n", "thesis", "definition")), "query_id", "t").withColumnRenamed("embedding", "vector"))
+    if decide is None:
+        decide = spark.createDataFrame([], "concept_id string, decision string, target_note_id string")
+    judged = phases.deduplicated(asked.withColumnRenamed("query_id", "concept_id"), vectors, cfg.review.dedupe_threshold, decide.withColumn("concept_id", F.xxhash64("concept_id")))
+    own = stored(todo.join(judged.select(F.col("concept_id").alias("query_id"), "status", "refines"), "query_id"))
+    fit = own.where("status = 'approved'")
+    near = knn(vectors, asked, cfg.answer.topk_link).join(every.select("id", "note_id", "title"), "id")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("vector_rank", "note_id", "title"))), lambda s: F.concat(F.lit("- "), s["note_id"], F.lit(": "), s["title"]))  # topk_link a concept
+    calls = fit.join(near.groupBy("query_id").agg(F.array_join(lines, "\n").alias("context")), "query_id", "left")
+    calls = calls.withColumn("prompt", memo.filled(CONNECT, {c: F.col(c) for c in ("thesis", "definition", "context")})).withColumn("call_checksum", F.sha2("prompt", 256))
+    got, new = phases.answered(calls.select("concept_id", "call_checksum", "prompt"), read(spark, root, "answers"), model, CONNECTIONS, "connections")
+    links = got.select("concept_id", F.explode("answer.connections").alias("c")).select("concept_id", "c.*").where("target is not null")
+    none = F.lit(None).cast("string")
+    rows = fit.select("concept_id", none.alias("note_id"), "thesis", "definition", "locator", notes.wiki_link(F.col("chunk_id"), none, "LIT").alias("literature_ref"), "refines")
+    out = phases.connect(rows, links, every.select(F.col("note_id").alias("id"), "title"), read(spark, root, "notes").select("note_id", "semantic_checksum"))
+    made = stored(out["notes"].join(fit.select("concept_id", "source_id", F.col("thesis").alias("title")), "concept_id"))
+    said = links.join(made.select("concept_id", F.col("note_id").alias("source")), "concept_id").groupBy("source", "target", "relation_type").agg(F.min("description").alias("description"), F.lit(True).alias("said"))
+    edges = stored(out["edges"].join(said, ["source", "target", "relation_type"], "left").withColumn("description", F.when(F.col("said"), F.col("description")).otherwise("refines")))
+    path = F.concat(F.lit(f"{files.FOLDERS['permanent']}/PERM - "), "note_id", F.lit(".md"))
+    now = F.current_timestamp()
+    _answers(new, root)
+    _put(made.withColumns({"path": path, "origin": F.lit("auto"), "embedding_model": F.lit("/".join(SPACE)), "created_at": now, "updated_at": now}), root, "notes")
+    _put(edges.select(F.col("source").alias("source_note_id"), F.col("target").alias("target_note_id"), "relation_type", "description", now.alias("created_at")), root, "note_connections")
+    embedded = _embed(made.where("embed").select(F.col("note_id").alias("id"), "title", F.col("body").alias("document")), root, "permanent_notes")
+    marks = own.join(made.select("concept_id", "note_id"), "concept_id", "left").select("concept_id", "note_id", F.when(F.col("status") == "approved", "noted").otherwise(F.col("status")).alias("status"))
+    store.publish(store.patch(read(spark, root, "concepts"), marks, ["concept_id"]), root, "concepts")
+    return {"notes": made.count(), "connections": edges.count(), "embedded": embedded}
+
+
+def garden(spark: SparkSession, root: str, cfg: Config | None = None) -> dict:
+    """A topic map for each cluster of notes that has none: named by its terms, with links to its members."""
+    every, vectors, _ = _searchable(spark, root)
+    g = (cfg or Config()).garden
+    members = stored(cluster.density_clusters(vectors, g.neighbours, g.threshold, g.min_cluster_size))
+    found = workflows.garden(vectors, every.select("id", "title"), read(spark, root, "mocs"), cfg, members)
+    link = notes.wiki_link(F.col("note_id"), F.col("title"))
+    linked = members.join(every, "id").groupBy("cluster").agg(F.array_sort(F.collect_list(link)).alias("links"))  # what one note lists
+    rows = found.join(linked, "cluster").withColumn("topic", F.coalesce("terms", F.substring("signature", 1, 12)))
+    section = F.struct(F.lit("Notas").alias("title"), F.lit("").alias("description"), F.col("links"))
+    body = notes.topic_map(F.col("topic"), F.lit(None).cast("string"), F.array(section))
+    moc = ids.stable_id(F.col("signature"))
+    path = F.concat(F.lit(f"{files.FOLDERS['moc']}/MOC - "), moc, F.lit(".md"))
+    made = stored(rows.select(moc.alias("moc_id"), "topic", path.alias("path"), body.alias("body"), F.lit("auto").alias("origin"), F.col("signature").alias("cluster_signature"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at")))
+    _put(made, root, "mocs")
+    return {"maps": made.count(), "embedded": _embed(made.select(F.col("moc_id").alias("id"), F.col("topic").alias("title"), F.col("body").alias("document")), root, "mocs")}
+
+
+def _question(spark: SparkSession, texts: list[str]) -> DataFrame:
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, query_text string")
+    return asked.join(index.hashed_vectors(asked, "query_id", "query_text").withColumnRenamed("embedding", "vector"), "query_id")
+
+
+def ask(spark: SparkSession, root: str, question: str, cfg: Config | None = None, graph: bool = True, model: Callable[[str], str] = memo.stub) -> dict:
+    """The answer to a question from the notes; what the model says is kept."""
+    every, vectors, edges = _searchable(spark, root)
+    got, new = workflows.ask(_question(spark, [question]), every.drop("note_id"), vectors, read(spark, root, "answers"), edges if graph else None, cfg, model=model, names=every)
+    row = got.first()
+    _answers(new, root)
+    return {"answer": row["answer"], "cached": bool(row["cached"])}
+
+
+def article(spark: SparkSession, root: str, topic: str, extra: list[str] | None = None, cfg: Config | None = None, model: Callable[[str], str] = memo.stub, rounds: int = 3) -> dict:
+    """An article on a topic, drafted until the judge's score is high enough; extra: further queries."""
+    every, vectors, edges = _searchable(spark, root)
+
+    def judge(body: str) -> float:
+        try:
+            return float(json.loads(model(JUDGE.replace("{article}", body))).get("score", 0))
+        except (ValueError, TypeError, AttributeError):
+            return 0.0
+
+    draft = lambda context: model(ARTICLE.replace("{topic}", topic).replace("{context}", context))
+    out = workflows.article(_question(spark, [topic, *(extra or [])]), every.drop("note_id"), vectors, edges, judge, draft, cfg, rounds)
+    known = every.select(F.col("note_id").alias("id"))
+    return out | {"warnings": workflows.verify_article(spark.createDataFrame([(out["body"],)], "text string"), known).count()}
+
+
+def reindex(spark: SparkSession, root: str, collection: str | None = None, force: bool = False) -> dict:
+    """Vectors again from the tables, without model calls; force: collections are emptied first."""
+    out = {}
+    for name in [collection] if collection else INDEXED:
+        table, key, title, body = INDEXED[index.known(name)]
+        rows = read(spark, root, table).select(F.col(key).alias("id"), F.col(title).alias("title"), F.col(body).alias("document"))
+        out[name] = _embed(index.to_embed(rows, read(spark, root, "vectors"), name, "id", force), root, name, force)
+    return out
+
+
+def _below(path: str, folder: str) -> Column:
+    """A file's path below a folder, which may have a scheme."""
+    inside = re.escape("/" + re.sub(r"^[a-z0-9]+:", "", folder).strip("/") + "/")
+    return F.regexp_replace(path, f"^.*?{inside}", "")
+
+
+def rebuild(spark: SparkSession, root: str, vault: str, force: bool = False, dry_run: bool = False) -> dict:
+    """Writes the files of stored notes and maps that the vault lacks; force: all but manual ones."""
+    every = read(spark, root, "notes").unionByName(read(spark, root, "mocs").select(F.col("moc_id").alias("note_id"), F.col("topic").alias("title"), "path", "body", "origin"), allowMissingColumns=True)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(vault)
+    plan = files.plan_writes(workflows.rebuilt_notes(every), there.select(_below("path", vault).alias("path")), force)
+    done = plan.groupBy("action").agg(F.count("*").alias("n")) if dry_run else files.write_files(plan, vault.removeprefix("file://"))
+    return {r["action"]: r["n"] for r in done.collect()}
+
+
+def sync_manual(spark: SparkSession, root: str, vault: str) -> dict:
+    """Notes that were written or changed by hand in the vault go to the store and the index, as manual ones."""
+    found = files.markdown(files.inbox(spark, f"{vault}/{files.FOLDERS['permanent']}")).withColumn("path", _below("path", vault))
+    acts = stored(workflows.sync_manual(found.select("path", "body"), read(spark, root, "notes").select("path", "note_id", "semantic_checksum")))
+    rows = acts.where("action <> 'skipped'").join(found.select("path", "title", "body"), "path").withColumns({"origin": F.lit("manual"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+    rows = stored(rows)
+    _put(rows, root, "notes")
+    _embed(rows.select(F.col("note_id").alias("id"), "title", F.col("body").alias("document")), root, "permanent_notes")
+    return {r["action"]: r["count"] for r in acts.groupBy("action").count().collect()}
+
+
+def run_all(spark: SparkSession, root: str, inbox: str, cfg: Config | None = None, skip_duplicates: bool = False, force: bool = False, model: Callable[[str], str] = memo.stub) -> dict:
+    """Harvest, extract, review, connect and garden, one after the other; each starts from what the last has published."""
+    return {
+        "harvest": harvest(spark, root, inbox, cfg, skip_duplicates, force),
+        "extract": extract(spark, root, model),
+        "review": review_chunks(spark, root, cfg),
+        "connect": connect(spark, root, cfg, model),
+        "garden": garden(spark, root, cfg),
+    }
+
+
 def retry_failed(spark: SparkSession, root: str, source_id: str | None = None, assets: bool = False) -> dict:
     name = "assets" if assets else "chunks"
     store.publish(workflows.retry_failed(read(spark, root, name), source_id), root, name)
@@ -139,8 +316,26 @@ def main(argv: list[str] | None = None) -> None:
     h.add_argument("--force", action="store_true")
     h.add_argument("--content-start-file", type=int)
     h.add_argument("--content-start-book", type=int)
-    for name in ("extract", "review", "status", "doctor"):
+    for name in ("extract", "review", "connect", "garden", "status", "doctor"):
         sub.add_parser(name)
+    u = sub.add_parser("run-all")
+    u.add_argument("inbox")
+    u.add_argument("--skip-duplicates", action="store_true")
+    u.add_argument("--force", action="store_true")
+    q = sub.add_parser("ask")
+    q.add_argument("question")
+    q.add_argument("--no-graph", action="store_true")
+    w = sub.add_parser("article")
+    w.add_argument("topic")
+    w.add_argument("--query", action="append", help="a further query; may be repeated")
+    x = sub.add_parser("reindex")
+    x.add_argument("--collection", choices=list(INDEXED))
+    x.add_argument("--force", action="store_true")
+    b = sub.add_parser("rebuild")
+    b.add_argument("vault")
+    b.add_argument("--force", action="store_true")
+    b.add_argument("--dry-run", action="store_true")
+    sub.add_parser("sync-manual").add_argument("vault")
     r = sub.add_parser("retry-failed")
     r.add_argument("--source-id")
     r.add_argument("--assets", action="store_true")
@@ -158,6 +353,14 @@ def main(argv: list[str] | None = None) -> None:
         "review": lambda: review_chunks(spark, a.root, cfg),
         "retry-failed": lambda: retry_failed(spark, a.root, a.source_id, a.assets),
         "set-paging": lambda: set_paging(spark, a.root, a.source_id, a.content_start_file, a.content_start_book, a.drop_before_start),
+        "connect": lambda: connect(spark, a.root, cfg),
+        "garden": lambda: garden(spark, a.root, cfg),
+        "run-all": lambda: run_all(spark, a.root, a.inbox, cfg, a.skip_duplicates, a.force),
+        "ask": lambda: ask(spark, a.root, a.question, cfg, not a.no_graph),
+        "article": lambda: article(spark, a.root, a.topic, a.query, cfg),
+        "reindex": lambda: reindex(spark, a.root, a.collection, a.force),
+        "rebuild": lambda: rebuild(spark, a.root, a.vault, a.force, a.dry_run),
+        "sync-manual": lambda: sync_manual(spark, a.root, a.vault),
         "status": lambda: status(spark, a.root),
         "doctor": lambda: doctor(spark, a.root),
     }[a.command]()

@@ -59,7 +59,7 @@ def extract(chunks: DataFrame, cache: DataFrame, template: str, model: Callable[
     out = whole.select("chunk_id", F.when(failed, "failed").otherwise("awaiting_review").alias("status"), F.col("answer.summary").alias("summary"), F.when(~failed, conf).alias("review_confidence"), F.when(~failed, draft).alias("draft"))
     ok = each.where("reason is null")
     thesis = F.sha2(tx.normalize(F.col("thesis")), 256)
-    concepts = ok.select(ids.concept_id(F.col("source_id"), F.col("chunk_id"), thesis).alias("concept_id"), "source_id", "chunk_id", "thesis", "definition", "relevance", "anchor_quote", thesis.alias("thesis_hash"), F.lit("awaiting_review").alias("status")).dropDuplicates(["concept_id"])
+    concepts = ok.select(ids.concept_id(F.col("source_id"), F.col("chunk_id"), thesis).alias("concept_id"), "source_id", "chunk_id", "thesis", "definition", "relevance", "anchor_quote", thesis.alias("thesis_hash"), F.to_json(F.struct("thesis", "definition", "relevance", "anchor_quote")).alias("candidate_json"), F.lit("awaiting_review").alias("status")).dropDuplicates(["concept_id"])
     return {"chunks": out, "concepts": concepts, "cache": new}
 
 

@@ -55,10 +55,11 @@ def review_chunks(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
     return store.transition(chunks, ["awaiting_review"], "persisted", F.coalesce("review_confidence", F.lit(0.0)) >= t)
 
 
-def garden(vectors: DataFrame, titles: DataFrame, known: DataFrame | None = None, cfg: Config | None = None) -> DataFrame:
-    """(cluster, size, signature, terms) of clusters that have no topic map yet."""
+def garden(vectors: DataFrame, titles: DataFrame, known: DataFrame | None = None, cfg: Config | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(cluster, size, signature, terms) of clusters that have no topic map yet. members: (id, cluster) where they are known."""
     g = (cfg or Config()).garden
-    members = cluster.density_clusters(vectors, g.neighbours, g.threshold, g.min_cluster_size)
+    if members is None:
+        members = cluster.density_clusters(vectors, g.neighbours, g.threshold, g.min_cluster_size)
     found = cluster.signatures(members, "cluster", "id").where(F.col("size") >= g.min_notes)
     if known is not None:
         found = found.join(known.select(F.col("cluster_signature").alias("signature")), "signature", "left_anti")
@@ -66,19 +67,21 @@ def garden(vectors: DataFrame, titles: DataFrame, known: DataFrame | None = None
 
 
 def context(hits: DataFrame, most: int, chars: int) -> DataFrame:
-    """(query_id, context): the best notes of each query as blocks, bodies cut."""
+    """(query_id, context): the best notes of each query as blocks, bodies cut; linked by ``note_id`` where hits have one."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     body = F.when(F.length("document") > chars, F.concat(F.substring("document", 1, chars), F.lit("..."))).otherwise(F.col("document"))
-    block = F.concat(F.lit("### "), "title", F.lit("\n[[PERM-"), F.col("id").cast("string"), F.lit("]]\n\n"), body)
+    block = F.concat(F.lit("### "), "title", F.lit("\n[[PERM-"), F.col("note_id" if "note_id" in hits.columns else "id").cast("string"), F.lit("]]\n\n"), body)
     top = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("query_id", F.struct("r", block.alias("b")).alias("s"))
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["b"]), "\n\n").alias("context"))
 
 
-def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataFrame, edges: DataFrame | None = None, cfg: Config | None = None, floor: fusion.Floor | None = None, model: Callable[[str], str] = memo.stub) -> tuple[DataFrame, DataFrame]:
+def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataFrame, edges: DataFrame | None = None, cfg: Config | None = None, floor: fusion.Floor | None = None, model: Callable[[str], str] = memo.stub, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, cache additions): (query_id, answer, cached) of a batch of questions; one without evidence gets a fixed answer
-    and no call."""
+    and no call. names: (id, note_id), where notes are linked by another id than they are searched by."""
     cfg = cfg or Config()
     hits = fusion.search(questions, notes, vectors, cfg.answer.topk_ask, floor=floor, edges=edges, hops=cfg.graph.hops, decay=cfg.graph.decay, most=cfg.graph.most)
+    if names is not None:
+        hits = hits.join(names.select("id", "note_id"), "id")
     ctx = questions.select("query_id", "query_text").join(context(hits, cfg.answer.topk_ask, cfg.answer.ask_chars), "query_id", "left")
     calls = ctx.where("context is not null").withColumn("prompt", memo.filled(ASK_PROMPT, {"question": F.col("query_text"), "context": F.col("context")})).withColumn("call_checksum", F.sha2("prompt", 256))
     answers, additions = memo.memoised(calls.select("query_id", "prompt", "call_checksum"), cache, model)

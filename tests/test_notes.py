@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notegrove import cli
 from notegrove.operators import cluster, images, index, lexical, policies, review, store, vectors
-from notegrove.plans import phases
+from notegrove.plans import phases, workflows
 from notegrove.plans.queries_notes import extractor
 from notegrove.sources import files
 
@@ -154,6 +154,66 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["sources"] == 1
 
 
+def test_commands_to_linked_notes(spark, tmp_path, capsys):
+    box, vault, root = tmp_path / "in", tmp_path / "vault" / "vault", f"file://{tmp_path}/store"
+    box.mkdir()
+    vault.mkdir(parents=True)
+    (box / "a.md").write_text("# One\n\n" + "alpha beta. " * 120 + "\n## Two\n\n" + "gamma delta. " * 120)
+    state = {}
+
+    def model(prompt):
+        if prompt.startswith("Proponha"):
+            return json.dumps({"connections": [{"target": state.get("target", "nowhere"), "relation_type": "supports", "description": prompt.split("\n\n")[1][:5]}]})
+        word = "alpha" if "alpha" in prompt else "gamma"
+        return json.dumps({"score": 8, "chunk_status": "ok", "summary": "w " * 25, "key_concepts": ["a", "b", "c"], "candidates": [{"relevance": 5, "thesis": f"{word} is what this is about", "definition": f"{word} " * 12, "anchor_quote": "q"}]})
+
+    cli.init(spark, root)
+    got = cli.run_all(spark, root, str(box), model=model)
+    n = got["connect"]["notes"]
+    assert n == got["harvest"]["chunks"] == got["connect"]["embedded"] and got["connect"]["connections"] == 0
+    rows = cli.read(spark, root, "notes").collect()
+    assert all("## Conexões" in r["body"] and "is what this is about" in r["title"] for r in rows)
+    assert cli.connect(spark, root, model=model) == {"notes": 0, "connections": 0, "embedded": 0}
+    assert {r["status"] for r in cli.read(spark, root, "concepts").collect()} == {"noted"}
+
+    # a second source: its notes link to a stored one, and one is judged a duplicate of it
+    state["target"] = rows[0]["note_id"]
+    (box / "b.md").write_text("# Three\n\n" + "epsilon zeta gamma. " * 100)
+    assert cli.harvest(spark, root, str(box))["sources"] == 1
+    cli.extract(spark, root, model)
+    cli.review_chunks(spark, root)
+    new = [r["concept_id"] for r in cli.read(spark, root, "concepts").where("status = 'extracted'").collect()]
+    decide = spark.createDataFrame([(new[0], "ignore", None)], "concept_id string, decision string, target_note_id string")
+    second = cli.connect(spark, root, model=model, decide=decide)
+    assert second["notes"] == len(new) - 1 == second["connections"]
+    edges = cli.read(spark, root, "note_connections").collect()
+    title = {r["note_id"]: r["title"] for r in cli.read(spark, root, "notes").collect()}
+    assert all((r["target_note_id"], r["relation_type"], r["description"]) == (state["target"], "supports", title[r["source_note_id"]][:5]) for r in edges)
+    assert cli.read(spark, root, "concepts").where("status = 'duplicate'").count() == 1
+
+    # the vault: files are written once, manual notes join the store and stay
+    assert cli.rebuild(spark, root, str(vault), dry_run=True)["write"] == cli.rebuild(spark, root, str(vault))["write"] >= n
+    assert set(cli.rebuild(spark, root, str(vault))) == {"keep"}
+    own = vault / files.FOLDERS["permanent"] / "mine.md"
+    own.write_text("# Mine\n\nkappa lambda mu\n")
+    assert cli.sync_manual(spark, root, str(vault))["new"] == 1
+    assert set(cli.sync_manual(spark, root, str(vault))) == {"skipped"}
+    own.write_text("# Mine\n\nkappa lambda nu\n")
+    assert cli.sync_manual(spark, root, str(vault))["updated"] == 1
+    assert cli.rebuild(spark, root, str(vault), force=True)["keep"] == 1
+
+    # answers come from the notes, and a question is asked once
+    seen = []
+    tell = lambda p: seen.append(p) or "kappa it is"
+    assert cli.ask(spark, root, "kappa lambda nu", model=tell) == {"answer": "kappa it is", "cached": False}
+    assert cli.ask(spark, root, "kappa lambda nu", model=tell)["cached"]
+    assert cli.ask(spark, root, "unheard", model=tell)["answer"] == workflows.NO_EVIDENCE
+    assert cli.article(spark, root, "gamma", ["alpha"], model=model)["verdict"] == "APPROVED"
+    assert cli.reindex(spark, root, "permanent_notes", force=True)["permanent_notes"] == cli.read(spark, root, "notes").count()
+    cli.main(["--root", root, "reindex", "--collection", "chunks"])
+    assert json.loads(capsys.readouterr().out)["chunks"] == cli.read(spark, root, "chunks").count()
+
+
 def test_vault_folders(spark, tmp_path):
     for kind, folder in files.FOLDERS.items():
         (tmp_path / folder / "deep").mkdir(parents=True)
