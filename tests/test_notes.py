@@ -9,6 +9,7 @@ from notegrove import cli
 from notegrove.operators import cluster, images, index, lexical, policies, review, store, vectors
 from notegrove.plans import phases, workflows
 from notegrove.plans.queries_notes import extractor
+from notegrove.schemas import SCHEMAS, align
 from notegrove.sources import files
 
 
@@ -214,6 +215,17 @@ def test_commands_to_linked_notes(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["chunks"] == cli.read(spark, root, "chunks").count()
 
 
+def test_garden_command(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    rows = [(f"N{i}", f"kappa title {i}", f"kappa lambda mu nu xi {i}") for i in range(6)] + [("X", "alone", "omicron pi rho"), ("E", "empty", None)]
+    store.publish(align(spark.createDataFrame(rows, "note_id string, title string, body string"), SCHEMAS["notes"]), root, "notes")
+    assert cli.reindex(spark, root, "permanent_notes") == {"permanent_notes": 7}
+    assert cli.garden(spark, root) == {"maps": 1, "embedded": 1}
+    made = cli.read(spark, root, "mocs").first()
+    assert all(f"[[PERM - N{i} - " in made["body"] for i in range(6)) and "[[PERM - X" not in made["body"] and "kappa" in made["topic"]
+    assert cli.garden(spark, root) == {"maps": 0, "embedded": 0}
+
+
 def test_vault_folders(spark, tmp_path):
     for kind, folder in files.FOLDERS.items():
         (tmp_path / folder / "deep").mkdir(parents=True)
