@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from notegrove.llm.byte_bpe import op12_byte_bpe
 from notegrove.llm.decontamination import op5_decontamination
 from notegrove.llm.license_scan import op10_license_scan
 from notegrove.llm.mixing import op9_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
