@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from notegrove.llm.byte_bpe import op12_byte_bpe
 from notegrove.llm.decontamination import op5_decontamination
+from notegrove.llm.kd_clusters import op11_kd_clusters
 from notegrove.llm.license_scan import op10_license_scan
 from notegrove.llm.mixing import op9_mixing
 from notegrove.llm.ngram_join import op2_ngram_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_kd_clusters": op11_kd_clusters,
     "op12_byte_bpe": op12_byte_bpe,
 }
 
@@ -33,7 +35,29 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _ALNUM = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PLAIN = _WORDS.format(x="coalesce(text, '')")
 
+
+
+def _kmeans_sql(rounds: int = 5, k: int = 40) -> str:
+    """Exact rounds, each a join of all components with those of all centroids."""
+    nearest = "SELECT r, arg_min(n, d * {k} + n) AS n, min(d) AS d FROM (SELECT r, n, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c{j} c ON e.i = c.i GROUP BY r, n) GROUP BY r"
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS p
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        "e AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(p) AS x FROM v)",
+        f"c0 AS MATERIALIZED (SELECT n, unnest(range(64)) AS i, unnest(p) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), p) - 1 AS n, p FROM v WHERE vec_id IS NOT NULL) WHERE n < {k})",
+    ]
+    for j in range(rounds):
+        parts.append(f"a{j} AS MATERIALIZED ({nearest.format(j=j, k=k)})")
+        parts.append(f"""c{j + 1} AS MATERIALIZED (SELECT c.n, c.i, coalesce((s.s - ((s.s % s.m) + s.m) % s.m) // s.m, c.x) AS x
+            FROM c{j} c LEFT JOIN (SELECT n, i, sum(x)::BIGINT AS s, count(*) AS m FROM e JOIN a{j} a ON a.r = e.r GROUP BY n, i) s ON s.n = c.n AND s.i = c.i)""")
+    parts.append(f"z AS MATERIALIZED ({nearest.format(j=rounds, k=k)})")
+    return f"""WITH {", ".join(parts)}, h AS (SELECT n, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY n)
+        SELECT vec_id, z.n::INTEGER AS cluster, z.d::BIGINT AS distance, (sum(z.d) OVER (PARTITION BY z.n))::BIGINT AS cluster_inertia, (sum(z.d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+        FROM v JOIN z ON z.r = v.r JOIN h ON h.n = z.n"""
+
+
 ORACLE_SQL = {
+    "op11_kd_clusters": _kmeans_sql(),
     "op2_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(x=_LOWER)} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM w)),

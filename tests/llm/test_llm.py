@@ -52,8 +52,10 @@ def rows(spark, edge):
 
 
 @pytest.fixture(scope="module")
-def empty(spark, edge, tmp_path_factory):
+def empty(spark, sf, edge, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("empty"))
+    for t in ("embeddings", "conversations"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{root}/{t}.parquet")
     for t in ("documents", "benchmark", "labels", "pages"):
         spark.read.parquet(f"{edge}/{t}.parquet").limit(0).write.parquet(f"{root}/{t}.parquet")
     return root
