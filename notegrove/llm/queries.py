@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from notegrove.llm.byte_bpe import op12_byte_bpe
+from notegrove.llm.conversation_trie import op13_conversation_trie
 from notegrove.llm.decontamination import op5_decontamination
 from notegrove.llm.kd_clusters import op11_kd_clusters
 from notegrove.llm.license_scan import op10_license_scan
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_kd_clusters": op11_kd_clusters,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
@@ -58,6 +60,22 @@ def _kmeans_sql(rounds: int = 5, k: int = 40) -> str:
 
 ORACLE_SQL = {
     "op11_kd_clusters": _kmeans_sql(),
+    "op13_conversation_trie": rf"""
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, list(x ORDER BY p) AS s FROM t GROUP BY c),
+        -- a crc is a fold: a number from 1000 on is a byte to mix in, 0 a shift by one bit
+        k AS (SELECT c, s, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda y: [1000 + ord(y), 0, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, b: CASE WHEN b >= 1000 THEN xor(a, b - 1000) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM o),
+        r AS (SELECT k.c, list_concat(coalesce(b.s[1:k.h], []), k.s[k.h + 1:]) AS s FROM k LEFT JOIN o b ON b.c = k.c - k.c % 20),
+        m AS MATERIALIZED (SELECT c, d, s[1:d] AS g, s[d].t AS t, len(s) = d AS e FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM r)),
+        n AS MATERIALIZED (SELECT g, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(t), ''), '[^ 	-]+')) AS own, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (e) AS ends FROM m GROUP BY g, d),
+        -- the smallest member of a node lies below exactly the nodes above it
+        q AS (SELECT n.conv_id, n.d, n.own, u.conv_id AS up, u.d AS ud FROM n JOIN m ON m.c = n.conv_id AND m.d <= n.d JOIN n u ON u.d = m.d AND u.g = m.g),
+        z AS (SELECT up, ud, count(*) AS kids FROM q WHERE d = ud + 1 GROUP BY up, ud),
+        w AS (SELECT q.up, q.ud, sum(q.own) AS saved, count(*) FILTER (z.kids IS NULL) AS leaves FROM q LEFT JOIN z ON z.up = q.conv_id AND z.ud = q.d GROUP BY q.up, q.ud)
+        SELECT n.conv_id, n.d AS depth, q.up AS parent_conv_id, n.n_convs, coalesce(z.kids, 0) AS n_children, w.leaves AS n_leaves, w.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM n JOIN w ON w.up = n.conv_id AND w.ud = n.d LEFT JOIN z ON z.up = n.conv_id AND z.ud = n.d LEFT JOIN q ON q.conv_id = n.conv_id AND q.d = n.d AND q.ud = n.d - 1
+    """,
     "op2_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(x=_LOWER)} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM w)),
