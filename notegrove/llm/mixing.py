@@ -28,11 +28,11 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrove.llm.common import blocks, byte_class, documents, partitions, stored
+from notegrove.llm.common import blocks, byte_class, documents, free, partitions, stored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -42,14 +42,15 @@ FEW_SOURCES, SHARE = 100_000, 1000
 _WORD = byte_class("space")
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source and size (words of the text) of every row."""
+def sizes(docs: DataFrame, text: str = "text", mark: str | None = None) -> DataFrame:
+    """doc_id, source, size (words of the text) and mark (0, if no column is named) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            yield pa.RecordBatch.from_arrays([b.batch.column("doc_id"), b.batch.column("source"), pa.array(np.diff(b.runs(_WORD)[2]), pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.batch.column("doc_id"), b.batch.column("source"), pa.array(np.diff(b.runs(_WORD)[2]), pa.int64()), b.batch.column("mark")], names=["doc_id", "source", "size", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, source string, size long")
+    marked = F.lit(0).cast("long") if mark is None else F.col(mark)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text"), marked.alias("mark")).mapInArrow(run, "doc_id long, source string, size long, mark long")
 
 
 def with_size(docs: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
@@ -142,7 +143,7 @@ def landing(p: np.ndarray, size: np.ndarray, wanted: float) -> np.ndarray:
     return p
 
 
-_COLUMNS = "doc_id long, source string, size long, nth long, p double, u long, done boolean"
+_COLUMNS = "doc_id long, source string, size long, mark long, nth long, p double, u long, done boolean"
 
 
 def _copies(rows: DataFrame, count: str) -> DataFrame:
@@ -152,12 +153,13 @@ def _copies(rows: DataFrame, count: str) -> DataFrame:
     return many.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + BLOCK, F.col(count)) - 1))).drop("from", count)
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 7, text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row. Texts are read once; after that only sizes
-    travel. Rows of equal doc_id, source and size are alike: they are counted first and numbered, so that
-    they fall into different blocks however many they are."""
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 7, text: str = "text", mark: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row, and its mark where a long column is named, which must not
+    be null. Texts are read once; after that only sizes travel. Rows of equal doc_id, source, size and mark are alike: they
+    are counted first and numbered, so that they fall into different blocks however many they are."""
     spark = docs.sparkSession
-    rows = stored(sizes(docs, text).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")))
+    alike = ["doc_id", "source", "size", "mark"]
+    rows = stored(sizes(docs, text, mark).groupBy(*alike).agg(F.count("*").alias("c")))
     table = stored(source_table(rows, weights, limit))
     sources, most = table.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     few = sources <= FEW_SOURCES
@@ -168,7 +170,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
 
     def fly(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["u", "doc_id", "size", "nth"], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(["u", "doc_id", "size", "mark", "nth"], kind="stable", ignore_index=True)
             size, p0 = pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(np.float64)
             draw = (pdf["u"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)) / float(1 << 53)
             draw = (draw * 104729.0 + 0.5) % 1.0
@@ -176,12 +178,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
             if last:
                 p = landing(p, size, float(np.dot(p0, size)))
             done = (p <= 1e-9) | (p >= 1 - 1e-9)
-            return pdf.assign(p=np.where(done, np.round(p), p), done=done)[["doc_id", "source", "size", "nth", "p", "u", "done"]]
+            return pdf.assign(p=np.where(done, np.round(p), p), done=done)[["doc_id", "source", "size", "mark", "nth", "p", "u", "done"]]
 
         return run
 
-    u = F.xxhash64("doc_id", "size", "nth", F.lit(seed))
-    open_ = of.where((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)).select("doc_id", "source", "size", "nth", "p", u.alias("u"), F.lit(False).alias("done"), "n")
+    u = F.xxhash64("doc_id", "size", *([] if mark is None else ["mark"]), "nth", F.lit(seed))
+    open_ = of.where((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)).select(*alike, "nth", "p", u.alias("u"), F.lit(False).alias("done"), "n")
     settled = []
     width = most
     open_ = open_.withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("long")).drop("n")
@@ -199,11 +201,34 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
     drawn = settled[0]
     for s in settled[1:]:
         drawn = drawn.unionByName(s)
-    e = drawn.where("p > 0.5").select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("nth").alias("n2"), F.lit(1).alias("extra"))
-    out = of.join(e, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("nth") == F.col("n2")), "left")
+    e = drawn.where("p > 0.5").select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("mark").alias("m2"), F.col("nth").alias("n2"), F.lit(1).alias("extra"))
+    same = (F.col("size") == F.col("z2")) & (F.col("mark") == F.col("m2")) & (F.col("nth") == F.col("n2"))
+    out = of.join(e, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2")) & same, "left")
     base = F.when(F.col("p") >= 1 - 1e-9, 1).otherwise(0)
     taken = F.col("size") * (F.col("times") + base + F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *([] if mark is None else ["mark"]))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 7, text: str = "text") -> DataFrame:
+    """The rows that the mix takes words of, with their columns and size, source_size, target and taken (underscores before a
+    name that is taken). Every row has the words of its own: rows of equal doc_id, source and text are numbered, and as many of them
+    as the mix drew once more take their size more. Texts are shuffled once, by row."""
+    names = {c: free(c, docs.columns) for c in ("size", "source_size", "target", "taken")}
+    key, ident, source, nth, low, more = (free(c, [*docs.columns, *names.values()]) for c in ("key", "ident", "from", "nth", "low", "more"))
+    other = [c for c, kind in docs.dtypes if c not in ("doc_id", "source", text) and "map<" not in kind and kind not in ("void", "variant")]
+    marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col(text), F.lit(""))))
+    keys = [key, names["size"], ident, source]
+    whole = lambda df: df.withColumns({ident: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), source: F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    plan = whole(mixed(marked, weights, limit, seed, text, key).withColumnsRenamed({"mark": key, "size": names["size"]})).groupBy(*keys)
+    plan = plan.agg(F.max("source_size").alias(names["source_size"]), F.max("target").alias(names["target"]), F.min("taken").alias(low), (F.sum("taken") - F.count("*") * F.min("taken")).alias(more))
+    plan = plan.where((F.col(names["size"]) > 0) & (F.col(low) + F.col(more) > 0))
+    rows = whole(with_size(marked, text, names["size"])).where(F.col(names["size"]) > 0)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*other) if other else F.lit(0))))
+    # merged at every size: what the mix takes grows with the input
+    out = rows.join(plan.hint("merge"), keys)
+    extra = F.when(F.col(nth) * F.col(names["size"]) <= F.col(more), F.col(names["size"])).otherwise(0)
+    out = out.withColumn(names["taken"], F.col(low) + extra).where(F.col(names["taken"]) > 0)
+    return out.select(*docs.columns, *names.values())
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -531,6 +531,38 @@ def test_pipeline(spark, edge, sf, empty):
     last = corpus_pipeline.mix_sources(spark, docs, edge)
     assert last.columns == [*docs.columns, "_size", "source_size", "target", "taken"]  # the table has a column size of its own
     assert last.where("taken <= 0").count() == 0 and last.count() > 0 and last.schema["size"].dataType == docs.schema["size"].dataType
-    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") < 40, F.col("doc_id")))
-    out, want = corpus_pipeline.mix_sources(spark, nameless, edge), mixing.mixed(nameless).where("taken > 0")
-    assert out.where("doc_id is null").count() >= want.where("doc_id is null").count() > 0
+    for by in ("doc_id < 40", "doc_id >= 10000 and doc_id % 2 = 0"):  # rows without doc_id, repeated and tied rows
+        nameless = docs.withColumn("doc_id", F.when(F.expr(by), F.col("doc_id"))).unionByName(docs.limit(20))
+        check_mix(corpus_pipeline.mix_sources(spark, nameless, edge), mixing.mixed(nameless), nameless.columns)
+
+
+def check_mix(out, plan, columns):
+    """The stage takes the words that the operator takes of each source, near its target, and never more of a row than its share."""
+    taken, size = (f"_{c}" if c in columns else c for c in ("taken", "size"))
+    per = lambda df, t: {r["source"]: r["t"] for r in df.groupBy("source").agg(F.sum(t).alias("t")).collect() if r["t"]}
+    rows = out.collect()
+    got, want = per(out, taken), {r["source"]: r["target"] for r in plan.select("source", "target").distinct().collect() if r["target"]}
+    most = max(r[size] for r in rows)
+    assert set(got) == set(want)
+    for source, t in want.items():
+        assert abs(got[source] - t) <= 2 * most, (source, got[source], t)
+    assert all(0 < r[taken] <= 3 * r[size] and r[taken] % r[size] == 0 for r in rows)
+
+
+def test_mix_gives_each_row_its_own_words(spark):
+    """Half of the rows without doc_id, many of equal source and size, some equal altogether: the takes of equal rows are those that
+    the operator has for them, one to one."""
+    rnd = random.Random(2)
+    rows = [(i if i % 2 else None, " ".join(f"w{rnd.randint(0, 9)}" for _ in range(rnd.choice([1, 2, 3, 40]))), rnd.choice(["a", "b", "b", None]), i) for i in range(3000)]
+    rows += [(None, "same text", "a", 1)] * 300 + [(5, "tie x", "b", k) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long")
+    out = mixing.mix(d).cache()
+    assert out.columns == ["doc_id", "text", "source", "taken", "size", "source_size", "target", "_taken"]
+    check_mix(out, mixing.mixed(d), d.columns)
+    key = F.xxhash64("doc_id", "source", "text")
+    plan = mixing.mixed(d.withColumn("k", key), mark="k").where("taken > 0")
+    assert Counter((r["mark"], r["taken"]) for r in plan.collect()) == Counter((r["k"], r["_taken"]) for r in out.withColumn("k", key).collect())
+    left = Counter(rows)
+    left.subtract((r["doc_id"], r["text"], r["source"], r["taken"]) for r in out.collect())
+    assert min(left.values()) >= 0  # no row twice
+    assert sorted(map(tuple, mixing.mix(d.repartition(7)).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
