@@ -46,17 +46,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size, their source's size and target and the words taken (columns size,
-    source_size, target and taken, with underscores before a name that the input has already). Rows that share doc_id, source and
-    size share the most that the mix takes of one of them."""
+    """The documents that the mix takes words of, with their size, their source's size and target and the words taken of them (columns
+    size, source_size, target and taken, with underscores before a name that the input has already). Each row has what the mix
+    takes of it alone, rows without doc_id and repeated rows too, so the words taken of a source come near its target."""
     small_batches(spark)
-    plan = stored(mixing.mixed(docs)).where("taken > 0").groupBy("doc_id", "source", "size").agg(*(F.max(c).alias(c) for c in ("source_size", "target", "taken")))
-    names = {c: free(c, docs.columns) for c in ("size", "source_size", "target", "taken")}
-    sized = mixing.with_size(docs, name=names["size"])
-    a, b = sized.alias("a"), plan.alias("b")
-    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col(f"a.{names['size']}") == F.col("b.size"))
-    # merged at every size: what the mix takes grows with the input
-    return a.join(b.hint("merge"), on).select("a.*", *(F.col(f"b.{c}").alias(names[c]) for c in ("source_size", "target", "taken")))
+    return mixing.mix(docs)
 
 
 STAGES = [
