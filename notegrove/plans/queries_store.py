@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notegrove.functions import text as tx
-from notegrove.operators import cluster, dedup, fusion, graph, lexical, memo, review, store, vectors
+from notegrove.operators import ann, cluster, dedup, fusion, graph, lexical, memo, review, store, vectors
 from notegrove.plans.queries_text import QUERY_TOKENS_SQL, TOKENS_SQL, norm
-from notegrove.session import table
+from notegrove.session import shared_folder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -122,6 +124,40 @@ def q_knn_topk(spark, sf):
     return v.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
 
 
+def _index(spark, sf):
+    return ann.build(table(spark, sf, "embeddings"), f"{shared_folder(spark)}/ann-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {knn_sql(20, whole=True)} SELECT query_id, id, round(distance, 6) AS distance, vector_rank FROM vk")
+def q_ann_exact(spark, sf):
+    """The neighbours of q_knn_topk, from the cells of an index that may hold one."""
+    v = ann.exact(_index(spark, sf), vector_queries(spark, sf).select("query_id", "vector"), 20)
+    return v.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
+
+
+def _approximate(spark, sf, k=10):
+    """(hits, index, recall): the index's k neighbours of each query, and the share of the true ones among them."""
+    q, index = vector_queries(spark, sf).select("query_id", "vector"), _index(spark, sf)
+    hits = ann.search(index, q, k)
+    true = vectors.knn(table(spark, sf, "embeddings"), q, k).select("query_id", "id", F.lit(1.0).alias("true"))
+    return hits, index, hits.select("query_id", "id", F.lit(1.0).alias("hit")).join(true, ["query_id", "id"], "right").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"), F.countDistinct("query_id").alias("queries"))
+
+
+@query()
+def q_ann_topk(spark, sf):
+    """The index's neighbours, with the recall of the whole set of queries and how many of the cells a query reads."""
+    hits, index, recall = _approximate(spark, sf)
+    out = hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "vector_rank")
+    return out.crossJoin(F.broadcast(recall.select("recall"))).withColumns({"probes": F.lit(index.probes), "cells": F.lit(index.cells)})  # one row
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) AS stored, count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
+def q_ann_recall(spark, sf):
+    """Whether the index holds all rows and finds nine tenths of the true neighbours."""
+    _, index, recall = _approximate(spark, sf)
+    return recall.select(F.lit(int(index.sizes.sum())).cast("long").alias("stored"), "queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def _ranked(spark, sf, pool=24):
     q = questions(spark, sf)
     return fusion.rrf(vectors.knn(table(spark, sf, "embeddings"), q, pool), lexical.bm25(notes(spark, sf), q, "id", F.concat_ws(" ", "title", "document"), pool))
