@@ -52,7 +52,8 @@ def init(spark: SparkSession, root: str, reset: bool = False) -> dict:
 
 
 def harvest(spark: SparkSession, root: str, inbox: str, cfg: Config | None = None, skip_duplicates: bool = False, force: bool = False, start_file: int | None = None, start_book: int | None = None) -> dict:
-    """New Markdown files become sources, chapters and chunks; files whose bytes or text is known do not."""
+    """New Markdown files become sources, chapters and chunks; files whose bytes or text is known do not. A source makes its file
+    known and a chapter its chunks, so they are published last and a run that is cut off anywhere can be run again."""
     cfg = cfg or Config()
     action = policies.duplicate_action(skip_duplicates, force, cfg.harvest.duplicate_action)
     found = files.markdown(files.inbox(spark, inbox)).withColumn("text_checksum", F.sha2("body", 256))
@@ -64,7 +65,7 @@ def harvest(spark: SparkSession, root: str, inbox: str, cfg: Config | None = Non
     start = policies.content_paging(F.lit(None), F.lit(None), start_file=start_file, start_book=start_book)
     row = fresh.select("source_id", F.col("source_id").alias("citekey"), "title", "year", "file_checksum", F.col("text_checksum").alias("extraction_checksum"), F.col("path").alias("origin_path"), F.lit("md").alias("origin_type"), F.lit("harvested").alias("processing_status"), start[0].alias("content_start_file"), start[1].alias("content_start_book"))
     got = workflows.harvest(fresh.select("source_id", F.col("body").alias("text")), read(spark, root, "chapters"), cfg, start_file or 1, start_book or 1)
-    out = {"sources": row, "chapters": got["chapters"], "chunks": got["chunks"]}
+    out = {"chunks": got["chunks"], "chapters": got["chapters"], "sources": row}
     for name, df in out.items():
         old = read(spark, root, name)
         key = {"sources": ["source_id"], "chapters": ["chapter_id"], "chunks": ["chunk_id"]}[name]

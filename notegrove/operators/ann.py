@@ -93,6 +93,12 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0.0)
 
 
+def between(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of y from its own rows of x (rows x n x components): the same bits whichever is which."""
+    off = np.ascontiguousarray(y[:, None, :] - x)
+    return (off * off).sum(2)
+
+
 def matrix(column: pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1)
 
@@ -258,9 +264,13 @@ def scanned(index: Index, pairs: DataFrame, k: int) -> DataFrame:
                 y, asked = np.frombuffer(q, np.float64).reshape(-1, dimensions), np.frombuffer(qid, np.int64)
                 d = _distances(y, x)
                 d[np.frombuffer(without, np.int64)[:, None] == own] = np.inf
+                near = np.argpartition(d, k - 1, 1)[:, :k] if k < len(own) else np.broadcast_to(np.arange(len(own)), d.shape)
+                gone = np.isinf(np.take_along_axis(d, near, 1))
+                d = np.where(gone, np.inf, between(y, x[near]))
+                at = own[near]
                 held = best.get(qid)
-                d = d if held is None else np.hstack([held[1], d])
-                at = np.broadcast_to(own, (len(asked), len(own))) if held is None else np.hstack([held[2], np.broadcast_to(own, (len(asked), len(own)))])
+                if held is not None:
+                    d, at = np.hstack([held[1], d]), np.hstack([held[2], at])
                 order = np.lexsort((at, np.round(d, 9)), 1)[:, :k]
                 best[qid] = asked, np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
         yield from out()

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notegrove.functions import text as tx
-from notegrove.operators import ann, cluster, dedup, fusion, graph, lexical, memo, review, store, vectors
+from notegrove.operators import ann, cluster, dedup, density, fusion, graph, lexical, memo, review, store, vectors
 from notegrove.plans.queries_text import QUERY_TOKENS_SQL, TOKENS_SQL, norm
 from notegrove.session import shared_folder, table
 
@@ -461,6 +461,12 @@ def q_cluster_components(spark, sf):
     return cluster.density_clusters(table(spark, sf, "embeddings"), k=5, threshold=0.35, least=3)
 
 
+@query()
+def q_density_clusters(spark, sf):
+    """Clusters of all vectors by density, noise with a null cluster."""
+    return density.clusters(table(spark, sf, "embeddings"), least=3)
+
+
 @query()
 def q_kmeans(spark, sf):
     return cluster.kmeans(table(spark, sf, "embeddings"), least=50)
