@@ -61,10 +61,15 @@ class Index:
         return len(self.centers)
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type in which a frame's vectors travel: floats stay floats."""
+    return "array<float>" if df.schema[column].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def _usable(vectors: DataFrame, vec: str, embedding: str, dimensions: int | None = None) -> DataFrame:
     rows = vectors.where(F.col(vec).isNotNull() & F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x)))
     rows = rows if dimensions is None else rows.where(F.size(embedding) == dimensions)
-    return rows.select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    return rows.select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast(kind_of(vectors, embedding)).alias("v"))
 
 
 def _sample(vectors: DataFrame, vec: str, embedding: str, seed: int) -> np.ndarray:
@@ -113,7 +118,7 @@ def assigned(vectors: DataFrame, centers: np.ndarray, vec: str = "vec_id", embed
                 d = _distances(matrix(part.column(1), len(part)), centers)
                 yield part.append_column("cell", pa.array(d.argmin(1).astype(np.int32))).append_column("far", pa.array(np.sqrt(d.min(1))))
 
-    return _usable(vectors, vec, embedding, centers.shape[1]).mapInArrow(run, "id long, v array<double>, cell int, far double")
+    return _usable(vectors, vec, embedding, centers.shape[1]).mapInArrow(run, f"id long, v {kind_of(vectors, embedding)}, cell int, far double")
 
 
 def packed(rows: DataFrame, kinds: dict[str, str], dimensions: int, width: int = 8) -> DataFrame:
@@ -146,7 +151,7 @@ def build(vectors: DataFrame, root: str, cells: int | None = None, target: float
     if cells is None:
         cells = round(vectors.count() ** 0.5)
     centers = fitted(sample, max(1, min(cells, MOST_CELLS, len(sample))), seed=seed) if len(sample) else np.zeros((0, 1))
-    width = 4 if "float" in vectors.schema[embedding].dataType.simpleString() else 8
+    width = 4 if kind_of(vectors, embedding) == "array<float>" else 8
     with batches_of(spark, 2000):
         rows = stored(assigned(vectors, centers, vec, embedding)) if len(centers) else None
         if rows is None:
@@ -201,7 +206,7 @@ def _asked(queries: DataFrame, dimensions: int) -> DataFrame:
     """(query_id, v, exclude[, bound]) of queries (query_id, vector[, exclude][, bound]) that can be answered."""
     out = F.coalesce(F.col("exclude").cast("long"), F.lit(NONE)) if "exclude" in queries.columns else F.lit(NONE)
     rows = queries.where(F.col("vector").isNotNull() & (F.size("vector") == dimensions))
-    return rows.select("query_id", F.col("vector").cast("array<double>").alias("v"), out.alias("exclude"), *(["bound"] if "bound" in queries.columns else []))
+    return rows.select("query_id", F.col("vector").cast(kind_of(queries, "vector")).alias("v"), out.alias("exclude"), *(["bound"] if "bound" in queries.columns else []))
 
 
 def probed(index: Index, queries: DataFrame, probes: int | None = None, skip: int = 0) -> DataFrame:
@@ -226,7 +231,7 @@ def probed(index: Index, queries: DataFrame, probes: int | None = None, skip: in
                     own = part.take(pa.array(row[j : j + 4096]))
                     yield pa.RecordBatch.from_arrays([pa.array(cell[j : j + 4096].astype(np.int32)), *(own.column(c) for c in ("query_id", "v", "exclude"))], names=["cell", "query_id", "v", "exclude"])
 
-    return _asked(queries, centers.shape[1]).mapInArrow(run, "cell int, query_id long, v array<double>, exclude long")
+    return _asked(queries, centers.shape[1]).mapInArrow(run, f"cell int, query_id long, v {kind_of(queries, 'vector')}, exclude long")
 
 
 def lists(spark: SparkSession, index: Index, cells: list[int]) -> DataFrame:
