@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from notegrove.config import Config, load
 from notegrove.functions import ids, paging
-from notegrove.operators import cluster, index, memo, notes, policies, review, store
+from notegrove.operators import cluster, index, memo, notes, policies, retrieval_index, review, store
 from notegrove.operators.chunking import chapters, chunk_rows, chunks, persisted
 from notegrove.operators.vectors import knn
 from notegrove.plans import phases, workflows
@@ -99,6 +99,22 @@ def _put(rows: DataFrame, root: str, name: str) -> None:
     store.publish(store.merge(read(spark, root, name), align(rows, SCHEMAS[name]), KEYS[name], POLICIES[name]), root, name)
 
 
+def _lexical(spark: SparkSession, root: str) -> str:
+    """The folder of the notes' stored retrieval index, which is made from all notes where there is none."""
+    at = f"{root}/lexical_notes"
+    if not retrieval_index.exists(spark, at):
+        retrieval_index.build(_searchable(spark, root)[0], at, "id", F.concat_ws(" ", "title", "document"))
+    return at
+
+
+def _index(rows: DataFrame, root: str) -> None:
+    """Changed notes (note_id, ...) into the retrieval index, as the table has them now; an index without one comes with the next search."""
+    spark = rows.sparkSession
+    if retrieval_index.exists(spark, f"{root}/lexical_notes"):
+        changed = _searchable(spark, root)[0].join(rows.select("note_id"), "note_id", "left_semi")
+        retrieval_index.update(changed, f"{root}/lexical_notes", "id", F.concat_ws(" ", "title", "document"))
+
+
 def _embed(rows: DataFrame, root: str, collection: str, reset: bool = False) -> int:
     """Rows (id, title, document) into a collection, with offline vectors; returns their number."""
     spark = rows.sparkSession
@@ -155,6 +171,7 @@ def connect(spark: SparkSession, root: str, cfg: Config | None = None, model: Ca
     now = F.current_timestamp()
     _answers(new, root)
     _put(made.withColumns({"path": path, "origin": F.lit("auto"), "embedding_model": F.lit("/".join(SPACE)), "created_at": now, "updated_at": now}), root, "notes")
+    _index(made, root)
     _put(edges.select(F.col("source").alias("source_note_id"), F.col("target").alias("target_note_id"), "relation_type", "description", now.alias("created_at")), root, "note_connections")
     embedded = _embed(made.where("embed").select(F.col("note_id").alias("id"), "title", F.col("body").alias("document")), root, "permanent_notes")
     marks = own.join(made.select("concept_id", "note_id"), "concept_id", "left").select("concept_id", "note_id", F.when(F.col("status") == "approved", "noted").otherwise(F.col("status")).alias("status"))
@@ -185,10 +202,10 @@ def _question(spark: SparkSession, texts: list[str]) -> DataFrame:
     return asked.join(index.hashed_vectors(asked, "query_id", "query_text").withColumnRenamed("embedding", "vector"), "query_id")
 
 
-def ask(spark: SparkSession, root: str, question: str, cfg: Config | None = None, graph: bool = True, model: Callable[[str], str] = memo.stub) -> dict:
-    """The answer to a question from the notes; what the model says is kept."""
+def ask(spark: SparkSession, root: str, question: str, cfg: Config | None = None, graph: bool = True, model: Callable[[str], str] = memo.stub, mode: str = "hybrid") -> dict:
+    """The answer to a question from the notes, by the stored retrieval index; what the model says is kept. mode: hybrid or vector."""
     every, vectors, edges = _searchable(spark, root)
-    got, new = workflows.ask(_question(spark, [question]), every.drop("note_id"), vectors, read(spark, root, "answers"), edges if graph else None, cfg, model=model, names=every)
+    got, new = workflows.ask(_question(spark, [question]), every.drop("note_id"), vectors, read(spark, root, "answers"), edges if graph else None, cfg, model=model, names=every, lexical=_lexical(spark, root) if mode == "hybrid" else None, mode=mode)
     row = got.first()
     _answers(new, root)
     return {"answer": row["answer"], "cached": bool(row["cached"])}
@@ -205,7 +222,7 @@ def article(spark: SparkSession, root: str, topic: str, extra: list[str] | None
             return 0.0
 
     draft = lambda context: model(ARTICLE.replace("{topic}", topic).replace("{context}", context))
-    out = workflows.article(_question(spark, [topic, *(extra or [])]), every.drop("note_id"), vectors, edges, judge, draft, cfg, rounds)
+    out = workflows.article(_question(spark, [topic, *(extra or [])]), every.drop("note_id"), vectors, edges, judge, draft, cfg, rounds, lexical=_lexical(spark, root))
     known = every.select(F.col("note_id").alias("id"))
     return out | {"warnings": workflows.verify_article(spark.createDataFrame([(out["body"],)], "text string"), known).count()}
 
@@ -216,6 +233,8 @@ def reindex(spark: SparkSession, root: str, collection: str | None = None, force
     for name in [collection] if collection else INDEXED:
         table, key, title, body = INDEXED[index.known(name)]
         rows = read(spark, root, table).select(F.col(key).alias("id"), F.col(title).alias("title"), F.col(body).alias("document"))
+        if name == "permanent_notes" and force:  # the words too
+            retrieval_index.build(_searchable(spark, root)[0], f"{root}/lexical_notes", "id", F.concat_ws(" ", "title", "document"))
         out[name] = _embed(index.to_embed(rows, read(spark, root, "vectors"), name, "id", force), root, name, force)
     return out
 
@@ -242,6 +261,7 @@ def sync_manual(spark: SparkSession, root: str, vault: str) -> dict:
     rows = acts.where("action <> 'skipped'").join(found.select("path", "title", "body"), "path").withColumns({"origin": F.lit("manual"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
     rows = stored(rows)
     _put(rows, root, "notes")
+    _index(rows, root)
     _embed(rows.select(F.col("note_id").alias("id"), "title", F.col("body").alias("document")), root, "permanent_notes")
     return {r["action"]: r["count"] for r in acts.groupBy("action").count().collect()}
 
@@ -326,6 +346,7 @@ def main(argv: list[str] | None = None) -> None:
     q = sub.add_parser("ask")
     q.add_argument("question")
     q.add_argument("--no-graph", action="store_true")
+    q.add_argument("--mode", choices=["hybrid", "vector"], default="hybrid")
     w = sub.add_parser("article")
     w.add_argument("topic")
     w.add_argument("--query", action="append", help="a further query; may be repeated")
@@ -357,7 +378,7 @@ def main(argv: list[str] | None = None) -> None:
         "connect": lambda: connect(spark, a.root, cfg),
         "garden": lambda: garden(spark, a.root, cfg),
         "run-all": lambda: run_all(spark, a.root, a.inbox, cfg, a.skip_duplicates, a.force),
-        "ask": lambda: ask(spark, a.root, a.question, cfg, not a.no_graph),
+        "ask": lambda: ask(spark, a.root, a.question, cfg, not a.no_graph, mode=a.mode),
         "article": lambda: article(spark, a.root, a.topic, a.query, cfg),
         "reindex": lambda: reindex(spark, a.root, a.collection, a.force),
         "rebuild": lambda: rebuild(spark, a.root, a.vault, a.force, a.dry_run),

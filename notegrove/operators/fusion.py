@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegrove.operators import retrieval_index
 from notegrove.operators.ann import Index
 from notegrove.operators.ann import search as nearest
 from notegrove.operators.graph import expand
@@ -64,13 +65,16 @@ def hydrated(hits: DataFrame, notes: DataFrame) -> DataFrame:
     return hits.join(fill, "id", "left").withColumn("title", have("title", "__t")).withColumn("document", have("document", "__d")).drop("__t", "__d")
 
 
-def search(queries: DataFrame, notes: DataFrame, vectors: DataFrame, topk: int = 5, mode: str = "hybrid", floor: Floor | None = None, edges: DataFrame | None = None, hops: int = 1, decay: float = 0.5, most: int = 10, ann: Index | None = None) -> DataFrame:
+def search(queries: DataFrame, notes: DataFrame, vectors: DataFrame, topk: int = 5, mode: str = "hybrid", floor: Floor | None = None, edges: DataFrame | None = None, hops: int = 1, decay: float = 0.5, most: int = 10, ann: Index | None = None, lexical: str | None = None) -> DataFrame:
     """Hybrid search of a batch of queries (query_id, query_text, vector): one plan answers all. Candidates are the best
-    max(topk, 10) before the floor; seeds the first topk that pass it; with edges, their neighbours join with hop >= 1. ann: an index of the vectors, which is searched instead of all of them."""
+    max(topk, 10) before the floor; seeds the first topk that pass it; with edges, their neighbours join with hop >= 1. ann: an index of the vectors, which is searched instead of
+    all of them; lexical: the folder of a stored index of the notes (``retrieval_index``), whose terms are read instead of their texts."""
     pool = pool_size(topk)
     v = knn(vectors, queries, pool) if ann is None else nearest(ann, queries.select("query_id", "vector"), pool)
     if mode == "vector":
         b = v.select("query_id", F.col("id").alias("doc"), F.lit(0).alias("bm25_rank")).limit(0)
+    elif lexical is not None:
+        b = retrieval_index.search(queries.select("query_id", "query_text"), lexical, pool)
     else:
         b = bm25(notes, queries, "id", F.concat_ws(" ", "title", "document"), pool)
     ranked = rrf(v, b).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*fused_order()))).where(F.col("rank") <= max(topk, 10))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notegrove.functions import text as tx
-from notegrove.operators import ann, cluster, dedup, density, fusion, graph, lexical, memo, review, store, vectors
+from notegrove.operators import ann, cluster, dedup, density, fusion, graph, lexical, memo, retrieval_index, review, store, vectors
 from notegrove.plans.queries_text import QUERY_TOKENS_SQL, TOKENS_SQL, norm
 from notegrove.session import shared_folder, table
 
@@ -118,6 +118,17 @@ def q_bm25_topk(spark, sf):
     return b.select("query_id", "doc", F.round("score", 6).alias("score"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
+@query(f"WITH {bm25_sql(20)} SELECT query_id, doc, round(score, 6) AS score, bm25_rank FROM bm")
+def q_bm25_indexed(spark, sf):
+    """The hits of q_bm25_topk from a stored index: half of the documents, then a change that replaces some and adds the others."""
+    d, root, text = notes(spark, sf), f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}", F.concat_ws(" ", "title", "document")
+    first = d.where("id % 2 = 0").withColumn("document", F.when(F.col("id") % 8 == 0, F.lit("replaced below")).otherwise(F.col("document")))
+    retrieval_index.build(first, root, "id", text)
+    retrieval_index.update(d.where("id % 2 <> 0 OR id % 8 = 0"), root, "id", text)
+    b = retrieval_index.search(questions(spark, sf).select("query_id", "query_text"), root, 20)
+    return b.select("query_id", "doc", F.round("score", 6).alias("score"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
+
+
 @query(f"WITH {knn_sql(20, whole=True)} SELECT query_id, id, round(distance, 6) AS distance, vector_rank FROM vk")
 def q_knn_topk(spark, sf):
     v = vectors.knn(table(spark, sf, "embeddings"), vector_queries(spark, sf).select("query_id", "vector"), 20)

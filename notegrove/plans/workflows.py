@@ -75,11 +75,12 @@ def context(hits: DataFrame, most: int, chars: int) -> DataFrame:
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["b"]), "\n\n").alias("context"))
 
 
-def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataFrame, edges: DataFrame | None = None, cfg: Config | None = None, floor: fusion.Floor | None = None, model: Callable[[str], str] = memo.stub, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataFrame, edges: DataFrame | None = None, cfg: Config | None = None, floor: fusion.Floor | None = None, model: Callable[[str], str] = memo.stub, names: DataFrame | None = None, lexical: str | None = None, mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
     """(answers, cache additions): (query_id, answer, cached) of a batch of questions; one without evidence gets a fixed answer
-    and no call. names: (id, note_id), where notes are linked by another id than they are searched by."""
+    and no call. names: (id, note_id), where notes are linked by another id than they are searched by. lexical: the folder of
+    a stored index of the notes."""
     cfg = cfg or Config()
-    hits = fusion.search(questions, notes, vectors, cfg.answer.topk_ask, floor=floor, edges=edges, hops=cfg.graph.hops, decay=cfg.graph.decay, most=cfg.graph.most)
+    hits = fusion.search(questions, notes, vectors, cfg.answer.topk_ask, mode, floor, edges, cfg.graph.hops, cfg.graph.decay, cfg.graph.most, lexical=lexical)
     if names is not None:
         hits = hits.join(names.select("id", "note_id"), "id")
     ctx = questions.select("query_id", "query_text").join(context(hits, cfg.answer.topk_ask, cfg.answer.ask_chars), "query_id", "left")
@@ -89,11 +90,11 @@ def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataF
     return out, additions
 
 
-def article(topic_queries: DataFrame, notes: DataFrame, vectors: DataFrame, edges: DataFrame, judge: Callable[[str], float], draft: Callable[[str], str], cfg: Config | None = None, rounds: int = 3, least: float = 7.0) -> dict:
+def article(topic_queries: DataFrame, notes: DataFrame, vectors: DataFrame, edges: DataFrame, judge: Callable[[str], float], draft: Callable[[str], str], cfg: Config | None = None, rounds: int = 3, least: float = 7.0, lexical: str | None = None) -> dict:
     """Retrieval over several queries on Spark, then a driver loop of drafts until the judge is content. The loop holds only the
     capped context, never the corpus."""
     cfg = cfg or Config()
-    hits = fusion.search(topic_queries, notes, vectors, cfg.answer.topk_article, edges=edges, hops=cfg.graph.article_hops)
+    hits = fusion.search(topic_queries, notes, vectors, cfg.answer.topk_article, edges=edges, hops=cfg.graph.article_hops, lexical=lexical)
     merged = fusion.merge_hits(hits.select("id", "score", F.col("query_id").alias("seq")), hits.limit(0).select("id", "score", F.col("query_id").alias("seq")), cfg.answer.article_notes)
     found = fusion.hydrated(merged, notes).select(F.lit(0).alias("query_id"), "id", "score", "title", "document")
     row = context(found, cfg.answer.article_notes, cfg.answer.article_chars).first()
