@@ -323,7 +323,9 @@ def clusters(vectors: DataFrame, least: int = 5, samples: int | None = None, vec
     if least < 2:
         raise ValueError("a cluster has two rows at least")
     spark = vectors.sparkSession
-    vectors = vectors.dropDuplicates([vec])
+    vectors = stored(vectors.select(vec, embedding).dropDuplicates([vec]))
+    if cells is None:  # fewer than a search takes: each row meets every cell that may hold a nearer one
+        cells = max(1, round(vectors.count() ** 0.5 / 8))
     index = ann.build(vectors, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}", cells, vec=vec, embedding=embedding)
     none = F.lit(None).cast("long").alias("cluster")
     n = int(index.sizes.sum())

@@ -26,7 +26,9 @@ from notegrove.operators import store
 from notegrove.operators.lexical import B, K1, query_terms
 from notegrove.session import stored
 
-BUCKETS, BLOCK, LEVELS = 64, 512, 16
+BLOCK, LEVELS = 512, 16
+#: Postings a bucket, and the least and most buckets; an index keeps the number with which it was built.
+BUCKET, LEAST, MOST = 1 << 20, 8, 4096
 #: Terms up to which they are pushed into the scan by value, besides their buckets.
 PUSHED = 500
 
@@ -35,14 +37,18 @@ def _weight(tf: Column, dl: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
-def _bucket(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _segments(spark: SparkSession, root: str) -> list[int]:
     return sorted(r["segment"] for r in store.current(spark, root, "manifest").collect()) if store.published(spark, root, "manifest") else []
 
 
+def _buckets(spark: SparkSession, root: str) -> int:
+    return store.current(spark, root, "manifest").first()["buckets"]
+
+
 def exists(spark: SparkSession, root: str) -> bool:
     return store.published(spark, root, "manifest")
 
@@ -59,11 +65,11 @@ _TERMS = "term string, d long, bucket int"
 _FORWARD = "doc long, dl int, terms array<string>"
 
 
-def _publish(spark: SparkSession, root: str, segments: list[int]) -> None:
-    store.publish(spark.createDataFrame([(n,) for n in segments], "segment int").coalesce(1), root, "manifest")
+def _publish(spark: SparkSession, root: str, segments: list[int], buckets: int) -> None:
+    store.publish(spark.createDataFrame([(n, buckets) for n in segments], "segment int, buckets int").coalesce(1), root, "manifest")
 
 
-def _write(root: str, segment: int, forward: DataFrame, postings: DataFrame, counts: DataFrame, totals: DataFrame, dead: DataFrame) -> None:
+def _write(root: str, segment: int, buckets: int, forward: DataFrame, postings: DataFrame, counts: DataFrame, totals: DataFrame, dead: DataFrame) -> None:
     """forward: (doc, dl, terms); postings: (term, doc, tf, dl); counts: (term, d); totals: (n, length); dead: (doc)."""
     at = f"{root}/s-{segment}"
     mean = postings.agg(F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("mean"))  # one row
@@ -74,9 +80,9 @@ def _write(root: str, segment: int, forward: DataFrame, postings: DataFrame, cou
     cut = placed.join(sizes, ["term", "level"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     row = F.array_sort(F.collect_list(F.struct("doc", "tf", "dl")))
     blocks = cut.groupBy("term", "level", "block").agg(row.alias("r"), F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("w").alias("max_w"), F.max("mean").alias("mean"))
-    blocks = blocks.select("term", "level", "block", F.col("r.doc").alias("docs"), F.col("r.tf").alias("tfs"), F.col("r.dl").alias("dls"), "n", "max_tf", "min_dl", "max_w", "mean", _bucket("term").alias("bucket"))
+    blocks = blocks.select("term", "level", "block", F.col("r.doc").alias("docs"), F.col("r.tf").alias("tfs"), F.col("r.dl").alias("dls"), "n", "max_tf", "min_dl", "max_w", "mean", _bucket("term", buckets).alias("bucket"))
     blocks.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/blocks")
-    counts.groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("bucket", _bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
+    counts.groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("bucket", _bucket("term", buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
     forward.write.parquet(f"{at}/forward")
     totals.write.parquet(f"{at}/totals")
     dead.select("doc").write.parquet(f"{at}/dead")
@@ -100,8 +106,10 @@ def build(docs: DataFrame, root: str, doc: str, text: Column) -> None:
     segment = max([0, *_segments(spark, root)]) + 1
     forward, postings = _split(docs, doc, text)
     counts = forward.select(F.explode("terms").alias("term"), F.lit(1).alias("d"))
-    _write(root, segment, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
-    _publish(spark, root, [segment])
+    total = forward.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    buckets = max(LEAST, min(MOST, total // BUCKET))
+    _write(root, segment, buckets, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
+    _publish(spark, root, [segment], buckets)
 
 
 def _live(spark: SparkSession, root: str, segments: list[int], rows: DataFrame) -> DataFrame:
@@ -128,8 +136,9 @@ def update(changed: DataFrame, root: str, doc: str, text: Column, gone: DataFram
     before = stored(_live(spark, root, segments, _read(spark, root, "forward", segments, _FORWARD)).join(touched, "doc", "left_semi"))
     counts = forward.select(F.explode("terms").alias("term"), F.lit(1).alias("d")).unionByName(before.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
     totals = _sums(forward, 1).unionByName(_sums(before, -1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-    _write(root, segment, forward, postings, counts, totals, touched)
-    _publish(spark, root, [*segments, segment])
+    buckets = _buckets(spark, root)
+    _write(root, segment, buckets, forward, postings, counts, totals, touched)
+    _publish(spark, root, [*segments, segment], buckets)
 
 
 def compacted(spark: SparkSession, root: str) -> None:
@@ -141,8 +150,9 @@ def compacted(spark: SparkSession, root: str) -> None:
     each = _read(spark, root, "blocks", segments, _BLOCKS).select("term", "segment", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
     postings = _live(spark, root, segments, each.select("term", "segment", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))).drop("segment")
     counts = forward.select(F.explode("terms").alias("term"), F.lit(1).alias("d"))
-    _write(root, segments[-1] + 1, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
-    _publish(spark, root, [segments[-1] + 1])
+    buckets = _buckets(spark, root)
+    _write(root, segments[-1] + 1, buckets, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
+    _publish(spark, root, [segments[-1] + 1], buckets)
 
 
 def _plan(spark: SparkSession, root: str, queries: DataFrame, k: int) -> tuple[list[int], DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -150,7 +160,7 @@ def _plan(spark: SparkSession, root: str, queries: DataFrame, k: int) -> tuple[l
     segments = _segments(spark, root)
     terms = stored(query_terms(queries))
     names = terms.select("term").distinct()
-    buckets = [r[0] for r in names.select(_bucket("term").alias("b")).distinct().collect()]
+    buckets = [r[0] for r in names.select(_bucket("term", _buckets(spark, root)).alias("b")).distinct().collect()]
     known = [r[0] for r in names.limit(PUSHED + 1).collect()]
     near = lambda df: df.where(F.col("bucket").isin(buckets) & (F.col("term").isin(known) if len(known) <= PUSHED else F.lit(True)))
     total = _read(spark, root, "totals", segments, "n long, length long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()

@@ -443,12 +443,12 @@ def q_set_paging(spark, sf):
     return workflows.set_paging(c, 20, 7).select("doc_id", "page_in_book")
 
 
-@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS needle, source FROM documents WHERE text IS NOT NULL), p AS (SELECT source, doc_id AS page_no, t FROM d WHERE doc_id % 10 = 0), c AS (SELECT * FROM d WHERE doc_id % 20 = 0 AND length(needle) >= 20),
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS needle, source FROM documents WHERE text IS NOT NULL), p AS (SELECT source, doc_id AS page_no, t FROM d), c AS (SELECT * FROM d WHERE doc_id % 20 = 0 AND length(needle) >= 20),
 x AS (SELECT c.doc_id, page_no, contains(p.t, substr(needle, 1, 120)) AS inside, len(list_intersect(string_split(lower(needle), ' '), string_split(lower(p.t), ' '))) AS shared FROM c JOIN p ON p.source = c.source)
 SELECT doc_id, coalesce(min(page_no) FILTER (inside), arg_min(page_no, -shared * 1000000000 + page_no)) AS page FROM x WHERE inside OR shared >= 3 GROUP BY doc_id""")
 def q_page_by_text(spark, sf):
     d = documents(spark, sf).where("text is not null")
-    return chunking.page_by_text(d.where("doc_id % 20 = 0").select("doc_id", "source", "text"), d.where("doc_id % 10 = 0").select("source", key().alias("page_no"), F.col("text").alias("page_text")), "doc_id")
+    return chunking.page_by_text(d.where("doc_id % 20 = 0").select("doc_id", "source", "text"), d.select("source", key().alias("page_no"), F.col("text").alias("page_text")), "doc_id")
 
 
 @query("SELECT source AS source_id, string_agg('- ' || doc_id::VARCHAR || CASE WHEN doc_id % 3 = 0 THEN ' (p.' || (doc_id % 50)::VARCHAR || ')' WHEN doc_id % 3 = 1 THEN ' (p.' || (doc_id % 70)::VARCHAR || ')' ELSE '' END, E'\\n' ORDER BY CASE WHEN doc_id % 4 <> 0 THEN doc_id % 97 ELSE 0 END, doc_id::VARCHAR) AS body FROM documents WHERE doc_id % 5 IN (0, 1) AND source IS NOT NULL GROUP BY source")
