@@ -237,8 +237,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of the size of a frame; of files, their bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of a frame: of files as the optimizer knows them; of a join or of local rows, of which it guesses, as counted in a pass
+    over their texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known, shape = int(str(plan.stats().sizeInBytes())), plan.toString()
+    if known < 1 << 60 and "Relation [" in shape and "Join" not in shape:
+        return known
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(8 * len(df.columns)).cast("long")))).first()[0] or 0)
 
 
 def hash_buckets(df: DataFrame) -> int:

@@ -508,6 +508,23 @@ def test_license_texts(spark, tmp_path):
     assert {"AGPL-3.0-header", "BSD-2-Clause-text", "ISC-text", "MIT-text", "Unlicense-text"} <= set(names)
 
 
+def test_bytes_of_local_and_joined_frames(spark, sf):
+    """Buckets follow what is there, not the optimizer's guess."""
+    d = spark.createDataFrame([(i, "é" * 50) for i in range(100)] + [(None, None)], "doc_id long, text string")
+    assert common.input_bytes(d) == 100 * 100 + 101 * 16
+    files = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    both = files.join(files.withColumnRenamed("text", "other"), "doc_id")
+    assert common.input_bytes(both) < 20 * common.input_bytes(files) < 1 << 40
+    assert common.hash_buckets(d) == common.hash_buckets(both) == 4 * common.partitions(spark)
+    assert common.input_bytes(d.limit(0)) == 0
+
+
+def test_near_copies_of_a_local_frame(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    d = spark.createDataFrame([(1, text, "a"), (2, text + " end", "b"), (3, "quite another text of some words", "c")], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(d).collect()) == [1, 3]
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
