@@ -10,14 +10,18 @@ A search reads the folders of its terms, the bounds of their blocks first. The b
 must reach; a block is read only if its bound and the best of the query's other terms reach that score together. A
 document that belongs to the best k has all its blocks among these, so the result is exact.
 
-No task holds more than a block of a term, however many documents have it. Documents without id are left out; of rows with one id the
-last in text order counts.
+Postings are dealt by ranges of (term, weight, document), so no task holds a whole term that many documents have. Ids must be
+distinct among the documents of one call; those without id are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +45,15 @@ def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _segments(spark: SparkSession, root: str) -> list[int]:
-    return sorted(r["segment"] for r in store.current(spark, root, "manifest").collect()) if store.published(spark, root, "manifest") else []
+def _segments(spark: SparkSession, root: str) -> dict[int, str]:
+    """Folder of each live segment by its number."""
+    rows = store.current(spark, root, "manifest").collect() if store.published(spark, root, "manifest") else []
+    return {r["segment"]: r["folder"] for r in sorted(rows, key=lambda r: r["segment"])}
+
+
+def _folder(root: str) -> str:
+    """A new segment's folder; what one that was cut off has left behind is never met again."""
+    return f"{root}/s-{uuid.uuid4().hex}"
 
 
 def _buckets(spark: SparkSession, root: str) -> int:
@@ -53,47 +64,67 @@ def exists(spark: SparkSession, root: str) -> bool:
     return store.published(spark, root, "manifest")
 
 
-def _read(spark: SparkSession, root: str, kind: str, segments: list[int], schema: str) -> DataFrame:
+def _read(spark: SparkSession, root: str, kind: str, segments: dict[int, str], schema: str) -> DataFrame:
     out = spark.createDataFrame([], f"{schema}, segment int")
-    for n in segments:
-        out = out.unionByName(spark.read.schema(schema).parquet(f"{root}/s-{n}/{kind}").withColumn("segment", F.lit(n)))
+    for n, at in segments.items():
+        out = out.unionByName(spark.read.schema(schema).parquet(f"{at}/{kind}").withColumn("segment", F.lit(n)))
     return out
 
 
 _BLOCKS = "term string, level int, block long, docs array<long>, tfs array<long>, dls array<int>, n long, max_tf long, min_dl int, max_w double, mean double, bucket int"
+_BLOCKS_NAMES = [x.split(" ")[0] for x in _BLOCKS.split(", ")]
 _TERMS = "term string, d long, bucket int"
 _FORWARD = "doc long, dl int, terms array<string>"
 
 
-def _publish(spark: SparkSession, root: str, segments: list[int], buckets: int) -> None:
-    store.publish(spark.createDataFrame([(n, buckets) for n in segments], "segment int, buckets int").coalesce(1), root, "manifest")
+def _publish(spark: SparkSession, root: str, segments: dict[int, str], buckets: int) -> None:
+    rows = [(n, at, buckets) for n, at in segments.items()]
+    store.publish(spark.createDataFrame(rows, "segment int, folder string, buckets int").coalesce(1), root, "manifest")
 
 
-def _write(root: str, segment: int, buckets: int, forward: DataFrame, postings: DataFrame, counts: DataFrame, totals: DataFrame, dead: DataFrame) -> None:
+def _write(at: str, buckets: int, forward: DataFrame, postings: DataFrame, counts: DataFrame, totals: DataFrame, dead: DataFrame) -> None:
     """forward: (doc, dl, terms); postings: (term, doc, tf, dl); counts: (term, d); totals: (n, length); dead: (doc)."""
-    at = f"{root}/s-{segment}"
-    mean = postings.agg(F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("mean"))  # one row
-    weighed = postings.crossJoin(F.broadcast(mean)).withColumn("w", _weight(F.col("tf"), F.col("dl"), F.col("mean")))
-    placed = stored(weighed.withColumn("level", F.floor(F.col("w") / (K1 + 1) * LEVELS).cast("int")))
-    sizes = placed.groupBy("term", "level").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    # a term of many documents is many blocks, each gathered on its own
-    cut = placed.join(sizes, ["term", "level"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    row = F.array_sort(F.collect_list(F.struct("doc", "tf", "dl")))
-    blocks = cut.groupBy("term", "level", "block").agg(row.alias("r"), F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("w").alias("max_w"), F.max("mean").alias("mean"))
-    blocks = blocks.select("term", "level", "block", F.col("r.doc").alias("docs"), F.col("r.tf").alias("tfs"), F.col("r.dl").alias("dls"), "n", "max_tf", "min_dl", "max_w", "mean", _bucket("term", buckets).alias("bucket"))
-    blocks.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/blocks")
-    counts.groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("bucket", _bucket("term", buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-    forward.write.parquet(f"{at}/forward")
+    spark = forward.sparkSession
     totals.write.parquet(f"{at}/totals")
     dead.select("doc").write.parquet(f"{at}/dead")
-
-
-def _split(docs: DataFrame, doc: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(forward, postings) of documents."""
-    rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text")).groupBy("doc").agg(F.max("text").alias("text"))
-    t = stored(rows.select("doc", folded_tokens(F.col("text")).alias("t")))
+    mean = float(max(1.0, forward.agg(F.avg("dl")).first()[0] or 1.0))
+    counts.groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("bucket", _bucket("term", buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
+    w = _weight(F.col("tf"), F.col("dl"), F.lit(mean))
+    placed = postings.select(_bucket("term", buckets).alias("bucket"), "term", F.floor(w / (K1 + 1) * LEVELS).cast("int").alias("level"), "doc", "tf", "dl", w.alias("w"))
+    # ranges of (bucket, term, level, document): a term of many documents is spread over tasks, and neighbours make a block
+    order = ["bucket", "term", "level", "doc"]
+    dealt = placed.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            term, level = b.column("term"), b.column("level").to_numpy()
+            changed = np.concatenate([[True], (level[1:] != level[:-1]) | ~pc.equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)])
+            first = np.flatnonzero(changed)
+            place = np.arange(len(b)) - np.repeat(first, np.diff([*first, len(b)]))
+            begin = np.flatnonzero(place % BLOCK == 0)
+            edges = pa.array(np.append(begin, len(b)), pa.int32())
+            tf, dl, weight = (b.column(c).to_numpy() for c in ("tf", "dl", "w"))
+            lists = [pa.ListArray.from_arrays(edges, b.column(c)) for c in ("doc", "tf", "dl")]
+            at_ = pa.array(begin)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    term.take(at_), pa.array(level[begin].astype(np.int32)), b.column("doc").take(at_), *lists, pa.array(np.diff([*begin, len(b)])), pa.array(np.maximum.reduceat(tf, begin)),
+                    pa.array(np.minimum.reduceat(dl, begin)), pa.array(np.maximum.reduceat(weight, begin)), pa.array(np.full(len(begin), mean)), b.column("bucket").take(at_),
+                ],
+                names=_BLOCKS_NAMES,
+            )
+
+    dealt.mapInArrow(run, _BLOCKS).write.partitionBy("bucket").parquet(f"{at}/blocks")
+
+
+def _split(docs: DataFrame, doc: str, text: Column, at: str) -> tuple[DataFrame, DataFrame]:
+    """(forward, written at its place; postings) of documents."""
+    t = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), folded_tokens(F.coalesce(text, F.lit(""))).alias("t"))
+    t.select("doc", F.size("t").alias("dl"), F.array_distinct("t").alias("terms")).write.parquet(f"{at}/forward")
     postings = t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return t.select("doc", F.size("t").alias("dl"), F.array_distinct("t").alias("terms")), postings
+    return docs.sparkSession.read.schema(_FORWARD).parquet(f"{at}/forward"), postings
 
 
 def _sums(forward: DataFrame, sign: int) -> DataFrame:
@@ -103,16 +134,16 @@ def _sums(forward: DataFrame, sign: int) -> DataFrame:
 def build(docs: DataFrame, root: str, doc: str, text: Column) -> None:
     """The first segment, from all documents; replaces an index that is there."""
     spark = docs.sparkSession
-    segment = max([0, *_segments(spark, root)]) + 1
-    forward, postings = _split(docs, doc, text)
+    segment, at = max([0, *_segments(spark, root)]) + 1, _folder(root)
+    forward, postings = _split(docs, doc, text, at)
     counts = forward.select(F.explode("terms").alias("term"), F.lit(1).alias("d"))
     total = forward.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     buckets = max(LEAST, min(MOST, total // BUCKET))
-    _write(root, segment, buckets, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
-    _publish(spark, root, [segment], buckets)
+    _write(at, buckets, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
+    _publish(spark, root, {segment: at}, buckets)
 
 
-def _live(spark: SparkSession, root: str, segments: list[int], rows: DataFrame) -> DataFrame:
+def _live(spark: SparkSession, root: str, segments: dict[int, str], rows: DataFrame) -> DataFrame:
     """Rows (doc, segment, ...) without those that a later segment has replaced or removed."""
     if len(segments) < 2:
         return rows
@@ -127,8 +158,8 @@ def update(changed: DataFrame, root: str, doc: str, text: Column, gone: DataFram
     if not segments:
         build(changed, root, doc, text)
         return
-    segment = segments[-1] + 1
-    forward, postings = _split(changed, doc, text)
+    segment, at = max(segments) + 1, _folder(root)
+    forward, postings = _split(changed, doc, text, at)
     touched = forward.select("doc")
     if gone is not None:
         touched = touched.unionByName(gone.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"))).distinct()
@@ -137,8 +168,8 @@ def update(changed: DataFrame, root: str, doc: str, text: Column, gone: DataFram
     counts = forward.select(F.explode("terms").alias("term"), F.lit(1).alias("d")).unionByName(before.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
     totals = _sums(forward, 1).unionByName(_sums(before, -1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
     buckets = _buckets(spark, root)
-    _write(root, segment, buckets, forward, postings, counts, totals, touched)
-    _publish(spark, root, [*segments, segment], buckets)
+    _write(at, buckets, forward, postings, counts, totals, touched)
+    _publish(spark, root, segments | {segment: at}, buckets)
 
 
 def compacted(spark: SparkSession, root: str) -> None:
@@ -146,16 +177,18 @@ def compacted(spark: SparkSession, root: str) -> None:
     segments = _segments(spark, root)
     if len(segments) < 2:
         return
-    forward = stored(_live(spark, root, segments, _read(spark, root, "forward", segments, _FORWARD)).drop("segment"))
+    at = _folder(root)
+    _live(spark, root, segments, _read(spark, root, "forward", segments, _FORWARD)).drop("segment").write.parquet(f"{at}/forward")
+    forward = spark.read.schema(_FORWARD).parquet(f"{at}/forward")
     each = _read(spark, root, "blocks", segments, _BLOCKS).select("term", "segment", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
     postings = _live(spark, root, segments, each.select("term", "segment", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))).drop("segment")
     counts = forward.select(F.explode("terms").alias("term"), F.lit(1).alias("d"))
     buckets = _buckets(spark, root)
-    _write(root, segments[-1] + 1, buckets, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
-    _publish(spark, root, [segments[-1] + 1], buckets)
+    _write(at, buckets, forward, postings, counts, _sums(forward, 1), forward.select("doc").limit(0))
+    _publish(spark, root, {max(segments) + 1: at}, buckets)
 
 
-def _plan(spark: SparkSession, root: str, queries: DataFrame, k: int) -> tuple[list[int], DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+def _plan(spark: SparkSession, root: str, queries: DataFrame, k: int) -> tuple[dict[int, str], DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
     """(segments, bounds of the queries' blocks, the passing ones among them, scores of blocks)."""
     segments = _segments(spark, root)
     terms = stored(query_terms(queries))
