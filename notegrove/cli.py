@@ -11,12 +11,13 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegrove.config import Config, load
 from notegrove.functions import ids, paging
-from notegrove.operators import cluster, index, memo, notes, policies, retrieval_index, review, store
+from notegrove.functions import text as tx
+from notegrove.operators import cluster, evolve, index, memo, notes, policies, retrieval_index, review, store
 from notegrove.operators.chunking import chapters, chunk_rows, chunks, persisted
 from notegrove.operators.vectors import knn
 from notegrove.plans import phases, workflows
@@ -29,6 +30,9 @@ CONNECT = "Proponha conexões do conceito com as notas, em JSON.\n\n{thesis}\n\n
 CONNECTIONS = "connections array<struct<target:string,relation_type:string,description:string>>"
 ARTICLE = "Escreva um artigo sobre {topic} com base nas notas.\n\n{context}"
 JUDGE = "Avalie o artigo de 0 a 10, em JSON com o campo score.\n\n{article}"
+#: Section of a map for notes that nothing else places, and a map's link to a note, with or without its title.
+NOTES = "Notas"
+MAP_LINK = r"\[\[[A-Z]+\s+-\s+(\S+?)(?:\s+-\s+[^\]]*)?\]\]"
 #: Provider and model of the offline vectors.
 SPACE = ("offline", "hashed-64")
 #: Table, id, title and text of what each collection holds.
@@ -179,22 +183,67 @@ def connect(spark: SparkSession, root: str, cfg: Config | None = None, model: Ca
     return {"notes": made.count(), "connections": edges.count(), "embedded": embedded}
 
 
-def garden(spark: SparkSession, root: str, cfg: Config | None = None) -> dict:
-    """A topic map for each cluster of notes that has none: named by its terms, with links to its members."""
+def _sections(maps: DataFrame) -> DataFrame:
+    """(moc_id, at, title, description, note_ids) of stored maps, as their bodies list them."""
+    return maps.where("body is not null").select("moc_id", F.posexplode(tx.map_sections(F.col("body"), MAP_LINK)).alias("at", "s")).select("moc_id", "at", "s.title", "s.description", "s.note_ids")
+
+
+def _map_bodies(maps: DataFrame, sections: DataFrame, titles: DataFrame) -> DataFrame:
+    """(moc_id, body) of maps (moc_id, topic, summary) from sections and titles (note_id, title); a section keeps the order of its notes."""
+    rows = sections.select("moc_id", "at", "title", "description", F.posexplode_outer("note_ids").alias("nth", "note_id"))
+    named = rows.join(titles.select("note_id", F.col("title").alias("__t")), "note_id", "left").withColumn("link", F.when(F.col("note_id").isNotNull(), notes.wiki_link(F.col("note_id"), F.col("__t"))))
+    links = F.transform(F.array_sort(F.collect_list(F.when(F.col("link").isNotNull(), F.struct("nth", "link")))), lambda x: x["link"])  # what one section lists
+    one = named.groupBy("moc_id", "at", "title", "description").agg(links.alias("links"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("at", "title", "description", "links"))), lambda x: F.struct(x["title"].alias("title"), x["description"].alias("description"), x["links"].alias("links")))
+    return maps.join(one.groupBy("moc_id").agg(body.alias("sections")), "moc_id").select("moc_id", notes.topic_map(F.col("topic"), F.col("summary"), F.col("sections")).alias("body"))
+
+
+def garden(spark: SparkSession, root: str, cfg: Config | None = None, place: DataFrame | None = None) -> dict:
+    """Maps follow the clusters of notes. A cluster goes on with the map that it shares most notes with (``evolve.evolution``), which
+    gets the notes that it lacks; a map whose notes went into another's cluster becomes a pointer to that map, if no hand wrote
+    it; other clusters get a map of their own, named by their terms. place: (note_id, subsection) of new notes, "ignorar" for
+    none; others go to the section of notes."""
     every, vectors, _ = _searchable(spark, root)
     g = (cfg or Config()).garden
-    members = stored(cluster.density_clusters(vectors, g.neighbours, g.threshold, g.min_cluster_size))
-    found = workflows.garden(vectors, every.select("id", "title"), read(spark, root, "mocs"), cfg, members)
-    link = notes.wiki_link(F.col("note_id"), F.col("title"))
-    linked = members.join(every, "id").groupBy("cluster").agg(F.array_sort(F.collect_list(link)).alias("links"))  # what one note lists
-    rows = found.join(linked, "cluster").withColumn("topic", F.coalesce("terms", F.substring("signature", 1, 12)))
-    section = F.struct(F.lit("Notas").alias("title"), F.lit("").alias("description"), F.col("links"))
-    body = notes.topic_map(F.col("topic"), F.lit(None).cast("string"), F.array(section))
+    members = stored(cluster.density_clusters(vectors, g.neighbours, g.threshold, g.min_cluster_size).join(every.select("id", "note_id", "title"), "id"))
+    found = stored(cluster.signatures(members, "cluster", "id").where(F.col("size") >= g.min_notes).join(cluster.terms(members, "cluster", "title"), "cluster", "left"))
+    fit = members.join(found.select("cluster"), "cluster", "left_semi")
+    mocs = read(spark, root, "mocs")
+    old = stored(_sections(mocs))
+    listed = old.select("moc_id", F.explode("note_ids").alias("note_id"))
+    events = stored(evolve.evolution(fit.select("cluster", F.col("note_id").alias("id")), listed.select(F.col("moc_id").alias("map"), F.col("note_id").alias("id"))))
+    goes = events.where("event = 'continue'").select("cluster", F.col("map").alias("moc_id"))
+    hand = F.coalesce(F.col("origin"), F.lit("auto")) == "manual"
+    gone = stored(events.where("event = 'merge'").select("cluster", F.col("map").alias("from")).join(goes.withColumnRenamed("moc_id", "into"), "cluster").join(mocs.select(F.col("moc_id").alias("from"), "topic", hand.alias("hand")), "from").where("not hand"))
+
+    # notes that a map lacks: its cluster's, and those of the maps that go into it
+    own = goes.join(fit, "cluster").select("moc_id", "note_id").unionByName(gone.join(listed.withColumnRenamed("moc_id", "from"), "from").select(F.col("into").alias("moc_id"), "note_id"))
+    lacking = own.distinct().join(listed, ["moc_id", "note_id"], "left_anti")
+    if place is None:
+        place = spark.createDataFrame([], "note_id string, subsection string")
+    put = lacking.join(place.select("note_id", "subsection"), "note_id", "left").withColumn("subsection", F.coalesce("subsection", F.lit(NOTES))).withColumn("seq", F.row_number().over(Window.partitionBy("moc_id").orderBy("note_id")))
+    put = stored(put.where(F.lower("subsection") != "ignorar"))
+    after = notes.placed(old.join(put.select("moc_id"), "moc_id", "left_semi").select("moc_id", "at", "title", "note_ids"), put)
+    after = after.join(old.select("moc_id", "at", F.col("title"), "description"), ["moc_id", "at", "title"], "left").withColumn("description", F.coalesce("description", F.lit("")))
+    grown = _map_bodies(mocs.select("moc_id", "topic", tx.map_summary(F.col("body")).alias("summary")), after, every.select("note_id", "title"))
+    marks = goes.join(found.select("cluster", "signature"), "cluster").select("moc_id", F.col("signature").alias("cluster_signature"))
+    moved = mocs.select("moc_id", "topic", "path", "origin", "cluster_signature", "created_at").join(marks.withColumnRenamed("cluster_signature", "__s"), "moc_id")
+    grown = moved.join(grown, "moc_id", "left").where(F.col("body").isNotNull() | ~F.col("cluster_signature").eqNullSafe(F.col("__s"))).withColumn("cluster_signature", F.col("__s")).drop("__s")
+    target = mocs.select(F.col("moc_id").alias("into"), F.col("topic").alias("into_topic"))
+    pointer = F.concat(F.lit("# "), F.col("topic"), F.lit("\n\n"), notes.wiki_link(F.col("into"), F.col("into_topic"), "MOC"), F.lit("\n"))
+    merged = gone.join(target, "into").select(F.col("from").alias("moc_id"), pointer.alias("body"), F.lit("").alias("cluster_signature")).join(mocs.select("moc_id", "topic", "path", "origin", "created_at"), "moc_id")
+
+    fresh = found.join(events.where("event in ('new', 'split')").select("cluster"), "cluster", "left_semi").withColumn("topic", F.coalesce("terms", F.substring("signature", 1, 12)))
     moc = ids.stable_id(F.col("signature"))
-    path = F.concat(F.lit(f"{files.FOLDERS['moc']}/MOC - "), moc, F.lit(".md"))
-    made = stored(rows.select(moc.alias("moc_id"), "topic", path.alias("path"), body.alias("body"), F.lit("auto").alias("origin"), F.col("signature").alias("cluster_signature"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at")))
-    _put(made, root, "mocs")
-    return {"maps": made.count(), "embedded": _embed(made.select(F.col("moc_id").alias("id"), F.col("topic").alias("title"), F.col("body").alias("document")), root, "mocs")}
+    head = fresh.select(moc.alias("moc_id"), "cluster", "topic", F.lit(None).cast("string").alias("summary"), F.col("signature").alias("cluster_signature"))
+    lists = head.join(fit, "cluster").groupBy("moc_id").agg(F.array_sort(F.collect_list("note_id")).alias("note_ids")).select("moc_id", F.lit(0).alias("at"), F.lit(NOTES).alias("title"), F.lit("").alias("description"), "note_ids")  # what one map lists
+    made = head.join(_map_bodies(head, lists, every.select("note_id", "title")), "moc_id").select("moc_id", "topic", F.concat(F.lit(f"{files.FOLDERS['moc']}/MOC - "), "moc_id", F.lit(".md")).alias("path"), "body", F.lit("auto").alias("origin"), "cluster_signature", F.current_timestamp().alias("created_at"))
+    rows = made.unionByName(grown.select(made.columns)).unionByName(merged.select(made.columns))
+    rows = stored(rows.withColumn("updated_at", F.current_timestamp()))
+    counts = {"maps": made.count(), "grown": put.select("moc_id").distinct().count(), "merged": gone.count()}
+    changed = rows.select(F.col("moc_id").alias("id"), F.col("topic").alias("title"), F.col("body").alias("document")).where("document is not null")
+    _put(rows, root, "mocs")
+    return counts | {"embedded": _embed(changed, root, "mocs")}
 
 
 def _question(spark: SparkSession, texts: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notegrove.functions import text as tx
-from notegrove.operators import ann, cluster, dedup, density, fusion, graph, lexical, memo, retrieval_index, review, store, vectors
+from notegrove.operators import ann, cluster, dedup, density, evolve, fusion, graph, lexical, memo, retrieval_index, review, store, vectors
 from notegrove.plans.queries_text import QUERY_TOKENS_SQL, TOKENS_SQL, norm
 from notegrove.session import shared_folder, table
 
@@ -483,6 +483,18 @@ def q_kmeans(spark, sf):
     return cluster.kmeans(table(spark, sf, "embeddings"), least=50)
 
 
+@query("""WITH n AS (SELECT vec_id AS id, label, label::VARCHAR AS whole, label || '-' || coalesce(lang, '') AS part FROM embeddings JOIN documents ON doc_id = vec_id),
+c AS (SELECT DISTINCT id, label, CASE WHEN label % 2 = 0 THEN whole ELSE part END AS cluster, CASE WHEN label % 2 = 0 THEN part ELSE whole END AS map FROM n),
+s AS (SELECT label, cluster, map, count(*) AS shared FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY shared DESC, cluster, map) AS r FROM s)
+SELECT cluster, map, CASE WHEN r = 1 THEN 'continue' WHEN label % 2 = 0 THEN 'merge' ELSE 'split' END AS event, shared FROM r""")
+def q_map_evolution(spark, sf):
+    """Maps of parts of even labels that grow together, and of odd labels that fall apart into languages."""
+    n = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id")
+    whole, part = F.col("label").cast("string"), F.concat_ws("-", "label", F.coalesce("lang", F.lit("")))
+    even = F.col("label") % 2 == 0
+    return evolve.evolution(n.select(F.when(even, whole).otherwise(part).alias("cluster"), F.col("vec_id").alias("id")), n.select(F.when(even, part).otherwise(whole).alias("map"), F.col("vec_id").alias("id")))
+
+
 @query("SELECT label, vec_id FROM embeddings WHERE vec_id % 2 = 1")
 def q_new_members(spark, sf):
     e = table(spark, sf, "embeddings").select("label", "vec_id")

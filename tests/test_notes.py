@@ -220,10 +220,27 @@ def test_garden_command(spark, tmp_path):
     rows = [(f"N{i}", f"kappa title {i}", f"kappa lambda mu nu xi {i}") for i in range(6)] + [("X", "alone", "omicron pi rho"), ("E", "empty", None)]
     store.publish(align(spark.createDataFrame(rows, "note_id string, title string, body string"), SCHEMAS["notes"]), root, "notes")
     assert cli.reindex(spark, root, "permanent_notes") == {"permanent_notes": 7}
-    assert cli.garden(spark, root) == {"maps": 1, "embedded": 1}
+    assert cli.garden(spark, root) == {"maps": 1, "grown": 0, "merged": 0, "embedded": 1}
     made = cli.read(spark, root, "mocs").first()
     assert all(f"[[PERM - N{i} - " in made["body"] for i in range(6)) and "[[PERM - X" not in made["body"] and "kappa" in made["topic"]
-    assert cli.garden(spark, root) == {"maps": 0, "embedded": 0}
+    assert cli.garden(spark, root) == {"maps": 0, "grown": 0, "merged": 0, "embedded": 0}
+
+    # two more notes of the cluster go into its map, one where it was placed, one nowhere; a map whose notes are all in it points to it
+    more = [(f"N{i}", f"kappa title {i}", f"kappa lambda mu nu xi {i}") for i in range(6, 9)]
+    cli._put(spark.createDataFrame(more, "note_id string, title string, body string"), root, "notes")
+    cli.reindex(spark, root, "permanent_notes")
+    side = "# side\n\nbeside\n\n## Old\n\n- [[PERM - N0 - kappa-title-0]]\n- [[PERM - N1]]\n"
+    other = [("M2", "side", side, "auto"), ("M3", "hand", side, "manual")]
+    cli._put(spark.createDataFrame(other, "moc_id string, topic string, body string, origin string"), root, "mocs")
+    place = spark.createDataFrame([("N7", "Later"), ("N8", "Ignorar")], "note_id string, subsection string")
+    out = cli.garden(spark, root, place=place)
+    assert (out["maps"], out["grown"], out["merged"]) == (0, 1, 1)
+    after = {r["moc_id"]: r for r in cli.read(spark, root, "mocs").collect()}
+    grown = after[made["moc_id"]]["body"]
+    assert len(after) == 3 and after["M3"]["body"] == side and f"[[MOC - {made['moc_id']} - " in after["M2"]["body"] and "N0" not in after["M2"]["body"]
+    assert grown.index("[[PERM - N6") < grown.index("## Later") < grown.index("[[PERM - N7") and "N8" not in grown
+    assert grown.startswith(made["body"].rstrip("\n")) and after[made["moc_id"]]["cluster_signature"] != made["cluster_signature"]
+    assert cli.garden(spark, root, place=place)["grown"] == 0
 
 
 def test_vault_folders(spark, tmp_path):
