@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegrove.config import Config, load
-from notegrove.functions import ids, paging
+from notegrove.functions import biblio, ids, paging
 from notegrove.functions import text as tx
 from notegrove.operators import cluster, evolve, index, memo, notes, policies, retrieval_index, review, store
 from notegrove.operators.chunking import chapters, chunk_rows, chunks, persisted
 from notegrove.operators.vectors import knn
+from notegrove.plans import articles as plan
 from notegrove.plans import phases, workflows
 from notegrove.schemas import KEYS, POLICIES, SCHEMAS, align
 from notegrove.session import session, stored
@@ -28,8 +29,6 @@ from notegrove.sources import files
 EXTRACT = "Extraia os conceitos do trecho em JSON.\n\n{text}"
 CONNECT = "Proponha conexões do conceito com as notas, em JSON.\n\n{thesis}\n\n{definition}\n\nNotas:\n{context}"
 CONNECTIONS = "connections array<struct<target:string,relation_type:string,description:string>>"
-ARTICLE = "Escreva um artigo sobre {topic} com base nas notas.\n\n{context}"
-JUDGE = "Avalie o artigo de 0 a 10, em JSON com o campo score.\n\n{article}"
 #: Section of a map for notes that nothing else places, and a map's link to a note, with or without its title.
 NOTES = "Notas"
 MAP_LINK = r"\[\[[A-Z]+\s+-\s+(\S+?)(?:\s+-\s+[^\]]*)?\]\]"
@@ -260,20 +259,42 @@ def ask(spark: SparkSession, root: str, question: str, cfg: Config | None = None
     return {"answer": row["answer"], "cached": bool(row["cached"])}
 
 
-def article(spark: SparkSession, root: str, topic: str, extra: list[str] | None = None, cfg: Config | None = None, model: Callable[[str], str] = memo.stub, rounds: int = 3) -> dict:
-    """An article on a topic, drafted until the judge's score is high enough; extra: further queries."""
+def articles(spark: SparkSession, root: str, topics: DataFrame, cfg: Config | None = None, model: Callable[[str], str] = memo.stub, rounds: int = 3, mode: str = "hybrid", looks: DataFrame | None = None, choices: DataFrame | None = None, skip_judge: bool = False) -> DataFrame:
+    """Articles on topics (topic_id, topic[, extras, style, personality, outline_only]), all at once, as ``plans.articles`` writes them:
+    (topic_id, topic, ended, average, rejections, body, warnings). States and answers are published after every round, so topics
+    of a run that was cut off go on with the next call."""
     every, vectors, edges = _searchable(spark, root)
-
-    def judge(body: str) -> float:
-        try:
-            return float(json.loads(model(JUDGE.replace("{article}", body))).get("score", 0))
-        except (ValueError, TypeError, AttributeError):
-            return 0.0
-
-    draft = lambda context: model(ARTICLE.replace("{topic}", topic).replace("{context}", context))
-    out = workflows.article(_question(spark, [topic, *(extra or [])]), every.drop("note_id"), vectors, edges, judge, draft, cfg, rounds, lexical=_lexical(spark, root))
-    known = every.select(F.col("note_id").alias("id"))
-    return out | {"warnings": workflows.verify_article(spark.createDataFrame([(out["body"],)], "text string"), known).count()}
+    library = {"notes": every, "vectors": vectors, "edges": edges}
+    if mode == "hybrid":
+        library["lexical"] = _lexical(spark, root)
+    mocs = read(spark, root, "mocs")
+    mapped = review.existing_map(topics.select("topic_id", "topic"), mocs).where("moc_id is not null").select("topic_id", "moc_id")
+    linked = _sections(mocs).select("moc_id", F.explode("note_ids").alias("note_id"))
+    library["boost"] = stored(mapped.join(linked, "moc_id").join(every.select("id", "note_id"), "note_id").select("topic_id", "id").distinct())
+    state = plan.start(topics, "bigint")
+    if store.published(spark, root, "article_states"):
+        live = store.current(spark, root, "article_states").where("node <> 'end'")
+        state = state.join(live.select("topic_id"), "topic_id", "left_anti").unionByName(live)
+
+    def keep(now: DataFrame, new: DataFrame | None) -> DataFrame:
+        if new is not None:
+            _answers(new, root)
+        store.publish(now, root, "article_states")
+        return store.current(spark, root, "article_states")
+
+    embed = lambda q: index.hashed_vectors(q, "query_id", "query_text").withColumnRenamed("embedding", "vector")
+    done, _ = plan.run(state, library, embed, read(spark, root, "answers"), model, cfg, looks, choices, rounds, skip_judge=skip_judge, mode=mode, keep=keep)
+    year = F.col("year").cast("string")
+    sources = read(spark, root, "sources").select("source_id", "authors", "year", biblio.in_text(F.coalesce("authors", F.array().cast("array<string>")), year).alias("in_text_cite"), F.col("abnt_reference").alias("reference"))
+    return plan.report(done, read(spark, root, "assets").select("path"), sources)
+
+
+def article(spark: SparkSession, root: str, topic: str, extra: list[str] | None = None, cfg: Config | None = None, model: Callable[[str], str] = memo.stub, rounds: int = 3, style: str = "blog", personality: str = "neutral", outline_only: bool = False, mode: str = "hybrid") -> dict:
+    """An article on one topic, redrafted until the judge's score is high enough; extra: further queries."""
+    one = spark.createDataFrame([(topic, extra or [], style, personality, outline_only)], "topic string, extras array<string>, style string, personality string, outline_only boolean")
+    one = one.withColumn("topic_id", F.xxhash64(*one.columns))
+    row = articles(spark, root, one, cfg, model, rounds, mode).join(one.select("topic_id"), "topic_id", "left_semi").first()
+    return {"body": row["body"], "ended": row["ended"], "score": row["average"], "rejections": row["rejections"], "warnings": row["warnings"]}
 
 
 def reindex(spark: SparkSession, root: str, collection: str | None = None, force: bool = False) -> dict:
@@ -399,6 +420,10 @@ def main(argv: list[str] | None = None) -> None:
     w = sub.add_parser("article")
     w.add_argument("topic")
     w.add_argument("--query", action="append", help="a further query; may be repeated")
+    w.add_argument("--style", choices=["blog", "academic"], default="blog")
+    w.add_argument("--personality", default="neutral")
+    w.add_argument("--outline-only", action="store_true")
+    w.add_argument("--mode", choices=["hybrid", "vector"], default="hybrid")
     x = sub.add_parser("reindex")
     x.add_argument("--collection", choices=list(INDEXED))
     x.add_argument("--force", action="store_true")
@@ -428,7 +453,7 @@ def main(argv: list[str] | None = None) -> None:
         "garden": lambda: garden(spark, a.root, cfg),
         "run-all": lambda: run_all(spark, a.root, a.inbox, cfg, a.skip_duplicates, a.force),
         "ask": lambda: ask(spark, a.root, a.question, cfg, not a.no_graph, mode=a.mode),
-        "article": lambda: article(spark, a.root, a.topic, a.query, cfg),
+        "article": lambda: article(spark, a.root, a.topic, a.query, cfg, style=a.style, personality=a.personality, outline_only=a.outline_only, mode=a.mode),
         "reindex": lambda: reindex(spark, a.root, a.collection, a.force),
         "rebuild": lambda: rebuild(spark, a.root, a.vault, a.force, a.dry_run),
         "sync-manual": lambda: sync_manual(spark, a.root, a.vault),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -9,20 +10,22 @@ from pyspark.sql import functions as F
 from notegrove.functions import biblio, ids
 from notegrove.functions import text as tx
 from notegrove.operators import chunking, images, index, lexical, memo, notes, policies, review, store
-from notegrove.plans import phases, workflows
-from notegrove.plans.queries_store import EDGES, edges
+from notegrove.plans import articles, phases, workflows
+from notegrove.plans.queries_store import EDGES, edges, questions
+from notegrove.plans.queries_store import notes as graph_notes
 from notegrove.plans.queries_text import TOKENS_SQL
-from notegrove.session import table
+from notegrove.session import stored, table
 from notegrove.sources.files import plan_writes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
+        if sql is not None:
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -292,6 +295,27 @@ def q_article_queries(spark, sf):
     return notes.article_queries(d.select(key().alias("topic_id"), q(4, " ").alias("topic")), rows(q(7, " "), q(5), F.lit(" ")), rows(q(3), q(5, "!")), 3).withColumnRenamed("at", "pos")
 
 
+def _scripted(prompt: str) -> str:
+    """A model of the query: queries, outlines and scores that follow from the prompt's hash."""
+    h = int(hashlib.sha256(prompt.encode()).hexdigest()[:8], 16)
+    if prompt.startswith("Proponha o esboço"):
+        return json.dumps({"title": f"T{h % 97}", "sections": [{"title": f"S{i}"} for i in range(1 + h % 3)]})
+    if prompt.startswith("Avalie"):
+        return json.dumps({"average": 6 + h % 3, "feedback": f"F{h % 7}"})
+    return f"text {h}" if prompt.startswith("Escreva") else "{}"
+
+
+@query()
+def q_article_states(spark, sf):
+    """Articles on all texts that are search queries, over all documents, to their ends; each searches with the vector of its id."""
+    topics = stored(questions(spark, sf))
+    state = articles.start(topics.select(F.col("query_id").alias("topic_id"), F.col("query_text").alias("topic")), "bigint")
+    library = {"notes": graph_notes(spark, sf), "vectors": table(spark, sf, "embeddings"), "edges": edges(spark, sf)}
+    embed = lambda q: q.join(topics.select(F.col("query_id").alias("topic_id"), "vector"), "topic_id").select("query_id", "vector")
+    done, _ = articles.run(state, library, embed, spark.createDataFrame([], "call_checksum string, response string"), _scripted)
+    return done.select("topic_id", "ended", "verdict", "average", "iteration", F.size("outline.sections").alias("n_sections"), F.transform("hits", lambda h: h["id"]).alias("note_ids"), F.sha2("body", 256).alias("body_sha256"))
+
+
 def _cited(spark, sf):
     """Articles of documents, each citing customers in several ways, and customers as sources."""
     c = F.col("c_custkey")

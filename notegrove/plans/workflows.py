@@ -90,34 +90,6 @@ def ask(questions: DataFrame, notes: DataFrame, vectors: DataFrame, cache: DataF
     return out, additions
 
 
-def article(topic_queries: DataFrame, notes: DataFrame, vectors: DataFrame, edges: DataFrame, judge: Callable[[str], float], draft: Callable[[str], str], cfg: Config | None = None, rounds: int = 3, least: float = 7.0, lexical: str | None = None) -> dict:
-    """Retrieval over several queries on Spark, then a driver loop of drafts until the judge is content. The loop holds only the
-    capped context, never the corpus."""
-    cfg = cfg or Config()
-    hits = fusion.search(topic_queries, notes, vectors, cfg.answer.topk_article, edges=edges, hops=cfg.graph.article_hops, lexical=lexical)
-    merged = fusion.merge_hits(hits.select("id", "score", F.col("query_id").alias("seq")), hits.limit(0).select("id", "score", F.col("query_id").alias("seq")), cfg.answer.article_notes)
-    found = fusion.hydrated(merged, notes).select(F.lit(0).alias("query_id"), "id", "score", "title", "document")
-    row = context(found, cfg.answer.article_notes, cfg.answer.article_chars).first()
-    text, score = row["context"] if row else "", 0.0
-    body = ""
-    for n in range(1, rounds + 1):
-        body = draft(text)
-        score = judge(body)
-        if score >= least:
-            return {"body": body, "score": score, "rounds": n, "verdict": "APPROVED"}
-    return {"body": body, "score": score, "rounds": rounds, "verdict": "REJECTED"}
-
-
-def verify_article(body: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, warning): linked notes that the catalogue does not have. body: (text)."""
-    return body.select(F.explode(tx.wikilinks(F.col("text"))).alias("id")).distinct().join(known.select("id"), "id", "left_anti").withColumn("warning", F.lit("unknown note"))
-
-
-def reindex(rows: DataFrame, indexed: DataFrame, key: str, force: bool = False) -> DataFrame:
-    """Rows to embed again: those without a vector, or all of them."""
-    return rows if force else rows.join(indexed.select(key), key, "left_anti")
-
-
 def sync_manual(files: DataFrame, known: DataFrame) -> DataFrame:
     """(path, note_id, action) of vault files against stored checksums: new, updated or skipped."""
     k = known.select("path", F.col("note_id"), F.col("semantic_checksum").alias("old"))

@@ -163,10 +163,10 @@ def test_commands_to_linked_notes(spark, tmp_path, capsys):
     state = {}
 
     def model(prompt):
-        if prompt.startswith("Proponha"):
+        if prompt.startswith("Proponha conexões"):
             return json.dumps({"connections": [{"target": state.get("target", "nowhere"), "relation_type": "supports", "description": prompt.split("\n\n")[1][:5]}]})
         word = "alpha" if "alpha" in prompt else "gamma"
-        return json.dumps({"score": 8, "chunk_status": "ok", "summary": "w " * 25, "key_concepts": ["a", "b", "c"], "candidates": [{"relevance": 5, "thesis": f"{word} is what this is about", "definition": f"{word} " * 12, "anchor_quote": "q"}]})
+        return json.dumps({"average": 9, "chunk_status": "ok", "summary": "w " * 25, "key_concepts": ["a", "b", "c"], "candidates": [{"relevance": 5, "thesis": f"{word} is what this is about", "definition": f"{word} " * 12, "anchor_quote": "q"}]})
 
     cli.init(spark, root)
     got = cli.run_all(spark, root, str(box), model=model)
@@ -209,7 +209,9 @@ def test_commands_to_linked_notes(spark, tmp_path, capsys):
     assert cli.ask(spark, root, "kappa lambda nu", model=tell) == {"answer": "kappa it is", "cached": False}
     assert cli.ask(spark, root, "kappa lambda nu", model=tell)["cached"]
     assert cli.ask(spark, root, "unheard", model=tell)["answer"] == workflows.NO_EVIDENCE
-    assert cli.article(spark, root, "gamma", ["alpha"], model=model)["verdict"] == "APPROVED"
+    done = cli.article(spark, root, "gamma", ["alpha"], model=model)
+    assert done["ended"] == "approved" and done["score"] == 9.0 and done["warnings"] == []
+    assert cli.article(spark, root, "gamma", model=model, outline_only=True)["ended"] == "outline"
     assert cli.reindex(spark, root, "permanent_notes", force=True)["permanent_notes"] == cli.read(spark, root, "notes").count()
     cli.main(["--root", root, "reindex", "--collection", "chunks"])
     assert json.loads(capsys.readouterr().out)["chunks"] == cli.read(spark, root, "chunks").count()

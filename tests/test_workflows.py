@@ -85,12 +85,6 @@ def test_ask(spark, sf):
     assert sorted(r["query_id"] for r in got) == [0, 20] and all(r["answer"].startswith("{") for r in got)
 
 
-def test_article_loop(spark, sf):
-    scores = iter([5.0, 8.0])
-    out = workflows.article(q.questions(spark, sf), q.notes(spark, sf), q.table(spark, sf, "embeddings"), q.edges(spark, sf), lambda b: next(scores), lambda c: c[:10])
-    assert out["rounds"] == 2 and out["verdict"] == "APPROVED"
-
-
 def test_retry_failed(spark):
     rows = spark.createDataFrame([("a", "failed"), ("b", "failed"), ("a", "approved")], "source_id string, status string")
     assert sorted(map(tuple, workflows.retry_failed(rows, "a").collect())) == [("a", "approved"), ("a", "pending"), ("b", "failed")]
