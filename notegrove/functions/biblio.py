@@ -54,10 +54,13 @@ def citekey_base(authors: Column, year: Column, title: Column) -> Column:
 
 
 def suffix(nth: Column) -> Column:
-    """Nothing for the first, then a, b, c and so on, two letters after z."""
+    """Nothing for the first, then a, b, c and so on, two characters after z. The first of the two goes on beyond z by code point, so
+    every place has its own suffix."""
     k = nth - 2
-    letter = lambda x: F.expr(f"char(97 + ({x}))")
-    return F.when(nth <= 1, "").when(nth <= 27, F.chr(F.lit(97) + k)).otherwise(F.concat(F.chr(F.lit(96) + F.floor(k / 26).cast("int")), F.chr(F.lit(97) + k % 26)))
+    # Spark's chr keeps the lower 8 bits only; the mark before the text is what a decoder takes away
+    code = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    two = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), code(F.lit(96) + F.floor(k / 26)), code(F.lit(97) + k % 26))), "UTF-32")
+    return F.when(nth <= 1, "").when(nth <= 27, F.chr(F.lit(97) + k)).otherwise(two)
 
 
 def inverted(name: Column) -> Column:

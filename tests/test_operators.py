@@ -81,6 +81,13 @@ def test_references(spark):
     assert one(spark, biblio.suffix(F.lit(3))) == "b"
 
 
+def test_suffixes_of_many_equal_keys(spark):
+    """Every place of a base has its own suffix, as chr of the code points gives it, beyond 256 too."""
+    places = [1, 2, 27, 28, 703, 704, 4187, 4188, 20000]
+    got = [r["s"] for r in spark.createDataFrame([(i, n) for i, n in enumerate(places)], "i int, n int").select("i", biblio.suffix(F.col("n")).alias("s")).orderBy("i").collect()]
+    assert got == ["", "a", "z"] + [chr(96 + (n - 2) // 26) + chr(97 + (n - 2) % 26) for n in places[3:]]
+
+
 def test_review(spark):
     reason = review.reject_reason(F.lit("new"), F.lit(4), F.lit("a b c d e"), F.lit("one two three"), F.lit("q"))
     assert one(spark, reason) == "short_definition"
