@@ -326,6 +326,27 @@ def test_ranking_by_brute_force(spark, sf):
         assert abs(alone - row["score"]) < 1e-9
 
 
+def test_classifier_learns_from_all_rows(spark, monkeypatch):
+    """Mean, weights and threshold come from every labelled row outside the fold, and a label of few rows is paired with all."""
+    monkeypatch.setattr(quality_classifier, "ROWS", 4000)
+    rows = [(i, "word " * (1 + i % 7) + "| " * (i % 300 == 0) + "x" * (i % 11)) for i in range(27_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 300 != 0).cast("int").alias("quality"))
+    r = quality_classifier.train(docs, labels)
+    own = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(own) > 20_000
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in own], pa.large_string())})
+    x = np.concatenate([quality_classifier.features(b) for b in common.blocks(iter([batch]))])
+    assert np.allclose(r.mean, x.mean(0), atol=1e-12) and np.allclose(r.scale, x.std(0) + 1e-9, atol=1e-12)
+    bad = np.array([i % 300 == 0 for i, _ in own])
+    s = np.sort(((x - r.mean) / r.scale) @ r.weight)
+    assert np.isclose(r.threshold, (s[bad.sum() - 1] + s[bad.sum()]) / 2, atol=1e-9)
+    assert (r.score(x[bad]) < 0.3).mean() > 0.9 and (r.score(x[~bad]) >= 0.3).mean() > 0.99
+    for y in ([1] * 9 + [0] * 2, [0] * 5 + [1]):
+        good, low = quality_classifier.paired(np.array(y), 3)
+        assert set(good) == set(np.flatnonzero(np.array(y) == 1)) and set(low) == set(np.flatnonzero(np.array(y) == 0))
+
+
 def test_mix_by_brute_force(spark, sf):
     """Targets by repeated shares in plain arithmetic; every document is taken floor(f) or floor(f) + 1 times, with f its source's
     target over its size; and each source's words and documents come as near as one document to what was wanted."""
