@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from notegrove.operators import images, spread
+from notegrove.operators import images, review, spread
 
 
 def test_heavy_key_is_dealt_out(spark, monkeypatch):
@@ -26,3 +26,15 @@ def test_assets_in_text_once(spark, monkeypatch):
     assets = spark.createDataFrame([("s", p[0], "a"), ("s", p[1], "a"), ("s", p[0], "a"), ("t", p[0], "b"), ("s", p[2], "d"), ("s", p[1], None), ("s", p[0], None)], "source_id string, path string, asset_id string")
     got = images.assets_in(chunks, assets).collect()
     assert Counter((r["chunk_id"], r["asset_id"]) for r in got) == Counter([("c1", "a"), ("c1", "b"), ("c1", None), ("c2", "a"), ("c2", None)])
+
+
+def test_images_for_chunks_by_brute_force(spark, monkeypatch):
+    """Every fitting pair once a pair of rows, with unknown chapters and pages, and no task with most of them."""
+    monkeypatch.setattr(spread, "SIDE", 4)
+    row = lambda i: ("s" if i % 5 else None if i % 2 else "t", None if i % 4 == 0 else str(i % 3), None if i % 7 == 0 else i % 6, i // 2)
+    schema = "source_id string, chapter_id string, page_in_file int, {} int"
+    c, a = [row(i) for i in range(60)], [row(3 * i + 1) for i in range(80)]
+    fits = lambda x, y: x[0] is not None and x[0] == y[0] and (None in (x[1], y[1]) or x[1] == y[1]) and (None in (x[2], y[2]) or abs(x[2] - y[2]) <= 1)
+    got = review.images_for_chunks(spark.createDataFrame(c, schema.format("chunk_id")), spark.createDataFrame(a, schema.format("asset_id"))).withColumn("p", F.spark_partition_id()).collect()
+    assert Counter((r["chunk_id"], r["asset_id"]) for r in got) == Counter((x[3], y[3]) for x in c for y in a if fits(x, y))
+    assert max(Counter(r["p"] for r in got).values()) < len(got) / 5
