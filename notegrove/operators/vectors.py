@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that one scan of the vectors answers, and queries compared with a batch at a time.
-SCAN_BYTES, QUERY_ROWS = 32 << 20, 256
+#: Bytes of query vectors that one scan of the vectors answers, bytes of a task's best of them, and the queries and rows that are
+#: compared at a time; the rows are also those of a batch between the JVM and Python.
+SCAN_BYTES, BEST_BYTES, QUERY_ROWS, ROWS = 8 << 20, 16 << 20, 256, 1024
 
 
 class _Best:
@@ -19,27 +20,30 @@ class _Best:
     def __init__(self, queries: int, k: int):
         self.d, self.id = np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
 
-    def add(self, own: slice, d: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, first: int, d: np.ndarray, ids: np.ndarray) -> None:
+        """Vectors with these ids, by their distances from the queries from ``first`` on."""
         k = self.d.shape[1]
-        d = np.hstack([self.d[own], d])
+        some = np.flatnonzero(d.min(1) <= self.d[first : first + len(d), k - 1] + 2e-9)  # the others have k nearer ones
+        own = first + some
+        d = np.hstack([self.d[own], d[some]])
         ids = np.hstack([self.id[own], np.broadcast_to(ids, (len(d), len(ids)))])
         r = np.round(d, 9)
         last = np.partition(r, k - 1, axis=1)[:, k - 1]
         row, col = np.nonzero(r <= last[:, None])  # all ties of the last one, cut by id below
         order = np.lexsort((ids[row, col], r[row, col], row))
         row, col = row[order], col[order]
-        first = np.searchsorted(row, np.arange(len(d)))
-        take = (first[:, None] + np.arange(k)).ravel()
+        start = np.searchsorted(row, np.arange(len(d)))
+        take = (start[:, None] + np.arange(k)).ravel()
         self.d[own], self.id[own] = d[row[take], col[take]].reshape(-1, k), ids[row[take], col[take]].reshape(-1, k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
+def _blocks(queries: DataFrame, k: int) -> Iterator[tuple[list, list, np.ndarray]]:
     """(ids, ids to leave out, vectors) of as many queries as one scan answers, read one partition after another."""
     rows, size = [], 0
     for r in queries.toLocalIterator(prefetchPartitions=True):
         rows.append(r)
         size += 8 * len(r["v"])
-        if size >= SCAN_BYTES:
+        if size >= SCAN_BYTES or 16 * k * len(rows) >= BEST_BYTES:
             yield _packed(rows)
             rows, size = [], 0
     if rows:
@@ -60,26 +64,27 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
     schema = "query_id long, id long, distance double"
     every = spark.createDataFrame([], schema)
     source = vectors.select(F.col(vec).cast("long"), embedding).where(F.col(embedding).isNotNull() & F.col(vec).isNotNull())
-    for block in _blocks(asked):
+    for block in _blocks(asked, k):
         held = spark.sparkContext.broadcast(block)
 
         def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, without, q = held.value
             best, norm = _Best(len(ids), k), (q * q).sum(1)
-            skip = {i: x for i, x in enumerate(without) if x is not None}
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            without = [(x, i) for i, x in enumerate(without) if x is not None]
+            left_out, asker = np.array(sorted(without), np.int64).reshape(-1, 2).T
+            # whatever the size of a batch: what is held beside it does not grow with the rows
+            for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
                 own = b.column(0).to_numpy()
                 x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-                at = {v: n for n, v in enumerate(own.tolist())} if skip else {}
+                low, high = np.searchsorted(left_out, own), np.searchsorted(left_out, own, "right")
+                met = np.repeat(np.arange(len(own)), high - low)  # rows that some queries leave out, once for each
+                by = asker[np.arange(len(met)) - np.repeat(np.cumsum(high - low) - high, high - low)]
                 for i in range(0, len(ids), QUERY_ROWS):
                     s = slice(i, i + QUERY_ROWS)
                     d = np.maximum(norm[s, None] + (x * x).sum(1)[None, :] - 2 * (q[s] @ x.T), 0.0)
-                    for j in range(i, min(i + QUERY_ROWS, len(ids))) if skip else ():
-                        if skip.get(j) in at:
-                            d[j - i, own == skip[j]] = np.inf
-                    best.add(s, d, own)
+                    here = (by >= i) & (by < i + QUERY_ROWS)
+                    d[by[here] - i, met[here]] = np.inf
+                    best.add(i, d, own)
             for i in range(0, len(ids), QUERY_ROWS):
                 d, found = best.d[i : i + QUERY_ROWS], best.id[i : i + QUERY_ROWS]
                 row, col = np.nonzero(np.isfinite(d))

@@ -1,8 +1,9 @@
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from notegrove.operators import images, review, spread
+from notegrove.operators import images, review, spread, vectors
 
 
 def test_heavy_key_is_dealt_out(spark, monkeypatch):
@@ -38,3 +39,21 @@ def test_images_for_chunks_by_brute_force(spark, monkeypatch):
     got = review.images_for_chunks(spark.createDataFrame(c, schema.format("chunk_id")), spark.createDataFrame(a, schema.format("asset_id"))).withColumn("p", F.spark_partition_id()).collect()
     assert Counter((r["chunk_id"], r["asset_id"]) for r in got) == Counter((x[3], y[3]) for x in c for y in a if fits(x, y))
     assert max(Counter(r["p"] for r in got).values()) < len(got) / 5
+
+
+def test_neighbours_in_bounded_blocks(spark, monkeypatch):
+    """A block of queries is cut by what a task holds of the best too; ties, rows met by several queries that leave them out, and
+    few rows, as by brute force."""
+    rnd = np.random.RandomState(3)
+    x = rnd.randint(0, 3, (3000, 2)).astype(float)  # many ties
+    asked = [(i, i * 7 % 3000, x[i].tolist()) for i in range(0, 600, 2)] + [(9001, 14, x[5].tolist()), (9002, None, x[5].tolist())]
+    q = spark.createDataFrame(asked, "query_id long, exclude long, vector array<double>")
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(2)
+    monkeypatch.setattr(vectors, "BEST_BYTES", 16 * 4 * 100)
+    assert len(list(vectors._blocks(q.withColumnRenamed("vector", "v"), 4))) == 4
+    got: dict = {}
+    for r in vectors.knn(v, q, 4).orderBy("query_id", "vector_rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for i, out, y in asked:
+        d = ((x - y) ** 2).sum(1)
+        assert got[i] == [j for j in np.lexsort((np.arange(3000), d)).tolist() if j != out][:4]
