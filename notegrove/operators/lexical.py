@@ -15,6 +15,10 @@ def postings(docs: DataFrame, doc: str, text: Column, wanted: DataFrame | None =
     """(doc, term, tf, dl): how often each term occurs, and the length of the text in terms; a row with a null term stands for
     the document itself. wanted (term): only these. Written once, it serves every batch of queries."""
     t = folded_tokens(F.coalesce(text, F.lit("")))
+    # all terms take more room than the texts, so the texts are dealt by document, and grouping and joins by it send nothing more
+    if wanted is None:
+        n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a fixed number, as the texts' bytes say little of the terms' work
+        docs, doc, t = docs.select(F.col(doc).alias("doc"), text.alias("__x")).repartition(n, "doc"), "doc", folded_tokens(F.coalesce("__x", F.lit("")))
     each = docs.select(F.col(doc).alias("doc"), t.alias("t")).select("doc", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
     if wanted is not None:
         each = each.join(wanted.select("term", F.lit(True).alias("__w")), "term", "left").where(F.col("__w") | F.col("term").isNull())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from notegrove import schemas
 from notegrove.functions import biblio, paging, pricing
 from notegrove.functions import text as tx
-from notegrove.operators import chunking, cluster, dedup, fusion, graph, memo, review, store, vectors
+from notegrove.operators import chunking, cluster, dedup, fusion, graph, lexical, memo, review, store, vectors
 from notegrove.plans.registry import QUERIES
 
 
@@ -88,6 +88,20 @@ def test_suffixes_of_many_equal_keys(spark):
     assert got == ["", "a", "z"] + [chr(96 + (n - 2) // 26) + chr(97 + (n - 2) % 26) for n in places[3:]]
 
 
+def test_postings_are_not_sent(spark):
+    """An index is made and refreshed by document: texts are dealt before they are split, terms are not dealt again; documents of
+    one id in several rows count together."""
+    rows = [(1, "a b a"), (1, "b c"), (2, "ação x"), (3, None), (None, "q")]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    index = lexical.refreshed(lexical.postings(docs, "doc", F.col("text")), docs.where("doc = 2").withColumn("text", F.lit("y y")), "doc", F.col("text"), docs.where("doc = 3"))
+    got = sorted(((r["doc"], r["term"], r["tf"]) for r in index.collect()), key=str)
+    assert got == sorted([(1, "a", 2), (1, "b", 2), (1, "c", 1), (1, None, 2), (2, "y", 2), (2, None, 1), (None, "q", 1), (None, None, 1)], key=str)
+    plan = index.select("doc", "term", "tf")._jdf.queryExecution().sparkPlan().toString()
+    full = index._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in full.split("\n") if "Exchange hashpartitioning" in line]
+    assert "Generate" in plan and not any("term" in line for line in shuffled)
+
+
 def test_review(spark):
     reason = review.reject_reason(F.lit("new"), F.lit(4), F.lit("a b c d e"), F.lit("one two three"), F.lit("q"))
     assert one(spark, reason) == "short_definition"
