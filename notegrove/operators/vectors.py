@@ -23,7 +23,7 @@ class _Best:
     def add(self, first: int, d: np.ndarray, ids: np.ndarray) -> None:
         """Vectors with these ids, by their distances from the queries from ``first`` on."""
         k = self.d.shape[1]
-        some = np.flatnonzero(d.min(1) <= self.d[first : first + len(d), k - 1] + 2e-9)  # the others have k nearer ones
+        some = np.flatnonzero(np.fmin.reduce(d, 1) <= self.d[first : first + len(d), k - 1] + 2e-9)  # the others have k nearer ones; a NaN says nothing of its neighbours
         own = first + some
         d = np.hstack([self.d[own], d[some]])
         ids = np.hstack([self.id[own], np.broadcast_to(ids, (len(d), len(ids)))])

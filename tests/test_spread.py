@@ -48,7 +48,7 @@ def test_neighbours_in_bounded_blocks(spark, monkeypatch):
     x = rnd.randint(0, 3, (3000, 2)).astype(float)  # many ties
     asked = [(i, i * 7 % 3000, x[i].tolist()) for i in range(0, 600, 2)] + [(9001, 14, x[5].tolist()), (9002, None, x[5].tolist())]
     q = spark.createDataFrame(asked, "query_id long, exclude long, vector array<double>")
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(2)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(5000, [float("nan"), 1.0])], "vec_id long, embedding array<double>").coalesce(2)
     monkeypatch.setattr(vectors, "BEST_BYTES", 16 * 4 * 100)
     assert len(list(vectors._blocks(q.withColumnRenamed("vector", "v"), 4))) == 4
     got: dict = {}
