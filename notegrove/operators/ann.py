@@ -121,11 +121,11 @@ def assigned(vectors: DataFrame, centers: np.ndarray, vec: str = "vec_id", embed
     return _usable(vectors, vec, embedding, centers.shape[1]).mapInArrow(run, f"id long, v {kind_of(vectors, embedding)}, cell int, far double")
 
 
-def packed(rows: DataFrame, kinds: dict[str, str], dimensions: int, width: int = 8) -> DataFrame:
+def packed(rows: DataFrame, kinds: dict[str, str], dimensions: int, width: int = 8, block: int = BLOCK_BYTES, tasks: int | None = None) -> DataFrame:
     """Rows (cell, v, ...) as blocks: (cell, v binary, each column of kinds (name to dtype) binary), a cell in as many blocks as its
-    rows take. width: bytes of a stored component."""
-    most, names = max(1, BLOCK_BYTES // (width * dimensions)), list(kinds)
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows take. width: bytes of a stored component; block: bytes of a block at most; tasks: the session's shuffle partitions by default."""
+    most, names = max(1, block // (width * dimensions)), list(kinds)
+    n = tasks or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,10 +1,11 @@
 """Density clusters: mutual reachability, a distributed minimum spanning tree, and the clusters of its condensed tree that
 have the most stability; rows in none of them are noise.
 
-Distances are exact. Each row's nearest neighbours (``ann.exact``) give its core distance and most edges of the tree; Boruvka rounds
-add the least edge out of each component, and only rows that could have a shorter one than their component's best known are
-searched for beyond their lists, in the cells that may hold it. Edges are ordered by (weight, smaller, larger number), so
-the tree is one and the same however the rows are dealt.
+Distances are exact. Each row's nearest neighbours give its core distance and most edges of the tree; Boruvka rounds add the least edge
+out of components. Those whose rows could have a shorter one beyond their lists wait until no other is left, and then all but the largest are
+searched for. Neighbours and edges are found between blocks of rows that lie together, by cells of ``ann``: every two blocks meet in a task, which
+passes over rows that are too far, and only what it finds is shuffled; so time may grow with the square of the rows, and what is shuffled and
+written with the rows. Of many equal vectors one is compared. Edges are ordered by (weight, smaller, larger number), so the tree is one and the same however the rows are dealt.
 
 The tree's merges are found piece by piece: a piece of more than ``PIECE`` edges is cut at its median, its light half falls into
 components, each a piece of its own, and its heavy half is a piece over these components, so a task orders PIECE edges at most and
@@ -17,7 +18,6 @@ counts as 1 / ``ZERO``; ids are taken as distinct (of equal ids one stays); fewe
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from notegrove.operators import ann
 from notegrove.operators.cluster import components
-from notegrove.session import shared_folder, stored
+from notegrove.session import stored
 
 PIECE, ZERO = 1 << 20, 1e-12
 #: Neighbours of a row that are listed, beyond those of its core distance.
 LISTED = 8
+#: Bytes of a block of vectors, rows of it that are compared at a time, and bytes of the vectors that a task lets blocks meet.
+BLOCK_BYTES, TABLE, PART_BYTES = 2 << 20, 1024, 64 << 20
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -86,50 +88,203 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(links, nodes)
 
 
-def _outside(index: ann.Index, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, w, id): of each asked row the least edge into another component, none above its bound. rows: (id, v, cell, comp, core);
-    asked: (query_id, vector, bound, comp, core)."""
+def _paired(asked: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """Each block of asked beside each one of held (size: bytes of all of these): a task takes some of the one and a part of the other, so
+    pairs are made where they are used and none is shuffled or stored."""
+    n, blocks = max(1, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), max(1, asked.count())
+    left = min(n, blocks)
+    return asked.repartition(left).crossJoin(held.repartition(max(-(-size // PART_BYTES), -(-n // left))).hint("shuffle_replicate_nl"))
+
+
+class _Asked:
+    """A block of rows that others are compared with, and what is the same for all comparisons. v: as many bytes as the width says a component."""
+
+    def __init__(self, v: bytes, dims: int, width: int):
+        self.v = np.frombuffer(v, f"f{width}").reshape(-1, dims)
+        self.norm = np.square(self.v, dtype=np.float64).sum(1)
+
+    def near(self, x: np.ndarray, norm: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(own rows, their squared distances from x, bounds of the error of these) of own rows that may be within limit (squared) of some row of x."""
+        middle = x.mean(0, dtype=np.float64)
+        far = np.sqrt(ann._distances(x.astype(np.float64), middle[None]).max())
+        off = np.sqrt(ann._distances(self.v.astype(np.float64), middle[None])[:, 0])
+        some = np.flatnonzero(off - far <= np.sqrt(limit) + 1e-6 * (1 + off + far))
+        largest = max(float(norm.max()), float(self.norm.max()))
+        kind = np.float32 if x.dtype == np.float32 and largest < 1e30 else np.float64
+        slack = 2e-9 + (x.shape[1] + 16) * 2 * np.finfo(kind).eps
+        y, own = x.astype(kind, copy=False).T, norm.astype(kind)
+        for i in range(0, len(some), TABLE):
+            s = some[i : i + TABLE]
+            d = (-2 * self.v[s].astype(kind)) @ y
+            d += own
+            d += self.norm[s].astype(kind)[:, None]
+            yield s, d, slack * (1 + self.norm[s] + norm.max())
+
+
+class _Nearest(_Asked):
+    """The k nearest of each row of a block among the rows that it has met, by rounded distance, then id."""
+
+    def __init__(self, v: bytes, ids: bytes, dims: int, width: int, k: int):
+        super().__init__(v, dims, width)
+        self.ids, self.k = np.frombuffer(ids, "i8"), k
+        self.d, self.at = np.full((len(self.ids), k), np.inf), np.full((len(self.ids), k), np.iinfo(np.int64).max)
+        self.limit = np.full(len(self.ids), np.inf)
+        first = self.v[:TABLE]
+        if len(first) > k:  # some rows of its own block, itself among them: no row needs to look farther than the k + 1-th of these
+            for s, d, error in self.near(first, self.norm[:TABLE], self.limit):
+                self.limit[s] = np.partition(d, k, 1)[:, k] + error
+
+    def add(self, x: np.ndarray, ids: np.ndarray) -> None:
+        k, norm = self.k, np.square(x, dtype=np.float64).sum(1)
+        limit = np.minimum(self.d[:, -1], self.limit)
+        for s, d, error in self.near(x, norm, limit):
+            most = limit[s] + error
+            if d.shape[1] > k + 1 and not np.isfinite(most).all():
+                most = np.minimum(most, np.partition(d, k, 1)[:, k] + 2 * error)
+            r, c = np.nonzero(d <= most[:, None])
+            other = self.ids[s[r]] != ids[c]
+            r, c = r[other], c[other]
+            if not len(r):
+                continue
+            exact = np.concatenate([_between(self.v[s[r[j : j + 65536]]], x[c[j : j + 65536]]) for j in range(0, len(r), 65536)])
+            own = np.unique(r)
+            row, dist, at = np.append(np.repeat(own, k), r), np.append(self.d[s[own]], exact), np.append(self.at[s[own]], ids[c])
+            order = np.lexsort((at, np.round(dist, 9), row))
+            take = order[(np.searchsorted(row[order], own)[:, None] + np.arange(k)).ravel()]
+            self.d[s[own]], self.at[s[own]] = dist[take].reshape(-1, k), at[take].reshape(-1, k)
+
+    def found(self) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.d))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.at[row, col]), pa.array(self.d[row, col])], names=["query_id", "id", "distance"])
+
+
+def _between(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return ann.between(y.astype(np.float64), x.astype(np.float64)[:, None, :])[:, 0]
+
+
+class _Least(_Asked):
+    """The least edge out of each component that has rows in a block, among the rows that the block has met."""
+
+    def __init__(self, v: bytes, ids: bytes, comp: bytes, core: bytes, bound: bytes, dims: int, width: int):
+        super().__init__(v, dims, width)
+        self.ids, self.core = np.frombuffer(ids, "i8"), np.frombuffer(core, "f8")
+        self.comps, self.of = np.unique(np.frombuffer(comp, "i8"), return_inverse=True)
+        self.bound = np.full(len(self.comps), np.inf)
+        self.bound[self.of] = np.frombuffer(bound, "f8")  # one for all rows of a component
+        self.edges: dict[int, tuple] = {}
+
+    def add(self, x: np.ndarray, ids: np.ndarray, comp: np.ndarray, core: np.ndarray) -> None:
+        live = core <= self.bound.max()
+        if len(self.comps) == 1:
+            live &= comp != self.comps[0]
+        if not live.any():
+            return
+        x, ids, comp, core = x[live], ids[live], comp[live], core[live]
+        norm, squared = np.square(x, dtype=np.float64).sum(1), core * core
+        for s, d, error in self.near(x, norm, (self.bound * self.bound)[self.of]):
+            of = self.of[s]
+            np.maximum(d, squared.astype(d.dtype), out=d)
+            d[self.comps[of][:, None] == comp] = np.inf
+            least = np.full(len(self.comps), np.inf)
+            np.minimum.at(least, of, np.maximum(d.min(1), (self.core * self.core)[s]) + 2 * error)
+            most = np.minimum(least, self.bound * self.bound)[of] + error
+            r, c = np.nonzero(d <= np.minimum(most, np.finfo(d.dtype).max)[:, None])
+            # those that rounding keeps near the least are measured again, so that weights have the same bits from either side
+            for j in range(0, len(r), 65536):
+                q, i = s[r[j : j + 65536]], c[j : j + 65536]
+                w = np.maximum(np.maximum(self.core[q], core[i]), np.sqrt(_between(self.v[q], x[i])))
+                small, large = np.minimum(self.ids[q], ids[i]), np.maximum(self.ids[q], ids[i])
+                order = np.lexsort((large, small, w, self.of[q]))
+                for f in order[np.unique(self.of[q][order], return_index=True)[1]].tolist():
+                    own, edge = int(self.of[q[f]]), (float(w[f]), int(small[f]), int(large[f]), int(comp[i[f]]))
+                    if edge[0] <= self.bound[own] and (own not in self.edges or edge < self.edges[own]):
+                        self.edges[own], self.bound[own] = edge, edge[0]
+
+    def found(self) -> pa.RecordBatch:
+        w, a, b, to = zip(*self.edges.values(), strict=True) if self.edges else ((), (), (), ())
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        columns = ([int(self.comps[c]) for c in self.edges], w, a, b, to)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["comp", "w", "a", "b", "to"])
+
+
+def _packed(rows: DataFrame, kinds: dict[str, str], dims: int, width: int, n: int) -> DataFrame:
+    """Stored blocks of BLOCK_BYTES of rows (about n), a cell's rows side by side."""
     spark = rows.sparkSession
-    dims = index.centers.shape[1]
-    pairs = ann.probed(index, asked.select("query_id", "vector", "bound")).drop("exclude").join(asked.select("query_id", "comp", "core", "bound"), "query_id")
-    blocks = ann.packed(pairs, {"query_id": "i8", "comp": "i8", "core": "f8", "bound": "f8"}, dims).withColumnsRenamed({"v": "q", "comp": "q_comp", "core": "q_core"})
-    held = ann.packed(rows, {"id": "i8", "comp": "i8", "core": "f8"}, dims)
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n * dims * width // BLOCK_BYTES))
+    with ann.batches_of(spark, max(1, BLOCK_BYTES // (width * dims))):
+        return stored(ann.packed(rows, kinds, dims, width, BLOCK_BYTES, tasks))
+
+
+def _met(asked: DataFrame, held: DataFrame, size: int, made: Callable[[dict], _Asked], given: Callable[[dict], tuple], schema: str) -> DataFrame:
+    """What each block of asked (its columns begin with q_) finds among all blocks of held; a task lets one block after another meet its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
         for b in batches:
             for i in range(len(b)):
-                get = lambda c, kind="f8": np.frombuffer(b.column(c)[i].as_py(), kind)  # noqa: B023, E731
-                x, y, ids, asked_ids, bound = get("v").reshape(-1, dims), get("q").reshape(-1, dims), get("id", "i8"), get("query_id", "i8"), get("bound")
-                d = np.sqrt(ann._distances(y, x))
-                d[get("q_comp", "i8")[:, None] == get("comp", "i8")] = np.inf
-                q_core, core = get("q_core"), get("core")
-                w = np.maximum(np.maximum(q_core[:, None], core), d)
-                w[np.isinf(d)] = np.inf
-                # those that rounding keeps near the least are measured again, so that weights have the same bits from either side
-                low = np.minimum(w.min(1), bound)
-                r, c = np.nonzero(np.isfinite(w) & (w <= low[:, None] + 1e-6))
-                exact = np.maximum(np.maximum(q_core[r], core[c]), np.sqrt(ann.between(y[r], x[c][:, None, :])[:, 0]))
-                small, large = np.minimum(asked_ids[r], ids[c]), np.maximum(asked_ids[r], ids[c])
-                order = np.lexsort((large, small, exact, r))
-                first = order[np.unique(r[order], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[r[first]]), pa.array(exact[first]), pa.array(ids[c[first]])], names=["query_id", "w", "id"])
-
-    with ann.batches_of(spark, 256):
-        return stored(held.join(blocks, "cell").mapInArrow(run, "query_id long, w double, id long"))
-
-
-def spanning_tree(index: ann.Index, rows: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b, w) of the minimum spanning tree under mutual reachability, (id, core)). rows: (id, v, cell), ids distinct."""
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if block is None or row["q_id"][:8] != now:  # ids are distinct
+                    if block is not None:
+                        yield block.found()
+                    now, block = row["q_id"][:8], made(row)
+                block.add(*given(row))
+        if block is not None:
+            yield block.found()
+
+    with ann.batches_of(asked.sparkSession, 8):
+        return stored(_paired(asked, held, size).mapInArrow(run, schema))
+
+
+def nearest(rows: DataFrame, n: int, dims: int, k: int) -> DataFrame:
+    """(query_id, id, distance, vector_rank): the k nearest other rows of each of n rows (id, v, cell), by squared distance. Blocks of rows meet
+    each other in tasks, and of a task only the k best of a row are shuffled."""
+    width = 4 if ann.kind_of(rows, "v") == "array<float>" else 8
+    blocks = _packed(rows, {"id": "i8"}, dims, width, n)
+    asked = blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("v", "id")))
+    get = lambda r: (np.frombuffer(r["v"], f"f{width}").reshape(-1, dims), np.frombuffer(r["id"], "i8"))
+    return ann.ranked(_met(asked, blocks.select("v", "id"), n * dims * width, lambda r: _Nearest(r["q_v"], r["q_id"], dims, width, k), get, "query_id long, id long, distance double"), k)
+
+
+def _outside(rows: DataFrame, n: int, dims: int, asked: DataFrame) -> DataFrame:
+    """(comp, w, a, b, to): least edges out of the components of asked rows, none above its component's bound; of each component the least is
+    among them. rows: (id, v, cell, comp, core); asked: the same and bound."""
+    width = 4 if ann.kind_of(rows, "v") == "array<float>" else 8
+    kinds = {"id": "i8", "comp": "i8", "core": "f8"}
+    held = _packed(rows, kinds, dims, width, n).select("v", *kinds)
+    names = ("v", *kinds, "bound")
+    blocks = _packed(asked, kinds | {"bound": "f8"}, dims, width, n).select(*(F.col(c).alias(f"q_{c}") for c in names))
+    get = lambda r: (np.frombuffer(r["v"], f"f{width}").reshape(-1, dims), *(np.frombuffer(r[c], kind) for c, kind in kinds.items()))
+    return _met(blocks, held, n * dims * width, lambda r: _Least(*(r[f"q_{c}"] for c in names), dims, width), get, "comp long, w double, a long, b long, to long")
+
+
+def _once(rows: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with of more than ``samples`` equal vectors the smallest id only, and whether a row stands for others (many); edges (a, b, w) from it
+    to the others). These are the tree's: all are at distance 0 with core distances of 0, and the smallest ids come first."""
+    groups = rows.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > samples).drop("copies")
+    of = stored(rows.join(groups, "v", "left"))
+    one = of.where(F.col("first").isNull() | (F.col("first") == F.col("id"))).select("id", "v", "cell", F.col("first").isNotNull().alias("many"))
+    return one, of.where(F.col("first") < F.col("id")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("w"))
+
+
+def spanning_tree(rows: DataFrame, dims: int, samples: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, w) of the minimum spanning tree under mutual reachability, (id, core)); of many equal rows the first only has a core distance here.
+    rows: (id, v, cell), ids distinct."""
     k = samples + LISTED
-    asked = rows.select(F.col("id").alias("query_id"), F.col("v").alias("vector"), F.col("id").alias("exclude"))
-    near = stored(ann.exact(index, asked, k))
-    cores = stored(near.where(F.col("vector_rank") <= samples).groupBy(F.col("query_id").alias("id")).agg(F.sqrt(F.max("distance")).alias("core")))
+    rows, copies = _once(rows, samples)
+    n = rows.count()
+    if n < 2:
+        return copies, rows.select("id", F.lit(0.0).alias("core"))
+    many = rows.where("many").select("id", F.lit(0.0).alias("zero"))
+    near = stored(nearest(rows, n, dims, k))
+    # a row that stands for many is as many neighbours as a core distance takes
+    listed = near.join(many, "id", "left").groupBy(F.col("query_id").alias("id")).agg(F.max(F.when(F.col("vector_rank") <= samples, F.col("distance"))).alias("last"), F.min(F.when(F.col("zero").isNotNull(), F.col("distance"))).alias("dense"))
+    cores = listed.join(many, "id", "left").select("id", F.coalesce("zero", F.sqrt(F.least("last", "dense"))).alias("core"))
     # beyond its list a row has nothing nearer than the list's last; a list that is not full has all
     reach = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.sqrt(F.max("distance"))).otherwise(F.lit(float("inf"))).alias("reach"))
-    points = stored(rows.join(cores, "id").join(reach, "id"))
-    a, b = cores.withColumnsRenamed({"id": "query_id", "core": "ca"}), cores.withColumnRenamed("core", "cb")
+    points = stored(cores.join(reach, "id"))
+    a, b = points.select(F.col("id").alias("query_id"), F.col("core").alias("ca")), points.select("id", F.col("core").alias("cb"))
     edges = near.join(a, "query_id").join(b, "id").select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), F.greatest("ca", "cb", F.sqrt("distance")).alias("w")).distinct()
-    labels = rows.select("id", F.col("id").alias("comp"))
+    labels = points.select("id", F.col("id").alias("comp"))
     tree = None
     while True:
         of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: B023, E731
@@ -137,22 +292,26 @@ def spanning_tree(index: ann.Index, rows: DataFrame, samples: int) -> tuple[Data
         both = edges.select(F.col("ca").alias("comp"), "w", "a", "b", F.col("cb").alias("to")).unionByName(edges.select(F.col("cb").alias("comp"), "w", "a", "b", F.col("ca").alias("to")))
         best = both.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e"))
         here = points.join(labels, "id")
-        bounded = here.join(best.select("comp", F.col("e.w").alias("best")), "comp", "left").withColumn("bound", F.coalesce("best", F.lit(float("inf"))))
-        # a row whose component has a better edge than anything beyond the row's list needs no search
-        todo = stored(bounded.where((F.col("reach") <= F.col("bound")) & (F.col("core") <= F.col("bound"))).select(F.col("id").alias("query_id"), F.col("v").alias("vector"), "bound", "comp", "core"))
-        if not todo.isEmpty():
-            far = _outside(index, here.select("id", "v", "cell", "comp", "core"), todo).join(labels.withColumnRenamed("comp", "to"), "id").join(todo.select("query_id", "comp"), "query_id")
-            more = far.select("comp", "w", F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "to")
-            best = both.unionByName(more).groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e"))
-        picks = stored(best.select(F.least("comp", "e.to").alias("x"), F.greatest("comp", "e.to").alias("y"), "e.a", "e.b", "e.w").distinct())
+        comps = stored(here.groupBy("comp").agg(F.count("*").alias("n"), F.min("reach").alias("reach")).join(best, "comp", "left"))
+        # a component with a better edge than anything beyond its rows' lists needs no search; the others wait while there are any such
+        picked = comps.where("reach > e.w").select("comp", "e")
+        if picked.isEmpty():
+            # the edges of all components but the largest join them: its rows, most of all, need no search of their own
+            largest = comps.orderBy(F.col("n").desc(), "comp").first()["comp"]
+            here = rows.join(here, "id").select("id", "v", "cell", "comp", "core", "reach")
+            bounds = comps.where(F.col("comp") != largest).select("comp", F.coalesce("e.w", F.lit(float("inf"))).alias("bound"))
+            far = _outside(here.drop("reach"), n, dims, here.join(bounds, "comp").where(F.col("reach") <= F.col("bound")).drop("reach"))
+            picked = both.unionByName(far).where(F.col("comp") != largest).groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e"))
+            edges = edges.select("a", "b", "w").unionByName(far.select("a", "b", "w")).distinct()
+        picks = stored(picked.select(F.least("comp", "e.to").alias("x"), F.greatest("comp", "e.to").alias("y"), "e.a", "e.b", "e.w").distinct())
         if picks.isEmpty():
             break
         tree = picks.select("a", "b", "w") if tree is None else tree.unionByName(picks.select("a", "b", "w"))
-        merged = _components(picks.select(F.col("x").alias("a"), F.col("y").alias("b")), labels.select(F.col("comp").alias("id")).distinct())
+        merged = _components(picks.select(F.col("x").alias("a"), F.col("y").alias("b")), comps.select(F.col("comp").alias("id")))
         labels = stored(labels.join(merged.select(F.col("id").alias("comp"), F.col("cluster").alias("new")), "comp").select("id", F.col("new").alias("comp")))
         if labels.select("comp").distinct().limit(2).count() < 2:
             break
-    return (tree if tree is not None else edges.select("a", "b", "w").limit(0)), points.select("id", "core")
+    return (copies if tree is None else tree.unionByName(copies)), points.select("id", "core")
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -322,17 +481,19 @@ def clusters(vectors: DataFrame, least: int = 5, samples: int | None = None, vec
     (``least`` by default)."""
     if least < 2:
         raise ValueError("a cluster has two rows at least")
-    spark = vectors.sparkSession
     vectors = stored(vectors.select(vec, embedding).dropDuplicates([vec]))
-    if cells is None:  # fewer than a search takes: each row meets every cell that may hold a nearer one
-        cells = max(1, round(vectors.count() ** 0.5 / 8))
-    index = ann.build(vectors, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}", cells, vec=vec, embedding=embedding)
+    sample = ann._sample(vectors, vec, embedding, 1)
     none = F.lit(None).cast("long").alias("cluster")
-    n = int(index.sizes.sum())
+    if not len(sample):
+        return ann._usable(vectors, vec, embedding, 1).select("id", none).limit(0)
+    if cells is None:  # rows that lie together are blocks, which most others need not meet
+        cells = max(1, round(vectors.count() ** 0.5 / 8))
+    centers = ann.fitted(sample, max(1, min(cells, ann.MOST_CELLS, len(sample))))
+    rows = stored(ann.assigned(vectors, centers, vec, embedding).drop("far"))
+    n = rows.count()
     if n < max(least, 2):
-        return ann._usable(vectors, vec, embedding, index.centers.shape[1]).select("id", none)
-    rows = stored(ann.assigned(vectors, index.centers, vec, embedding).drop("far"))
-    tree, _ = spanning_tree(index, rows, min(samples or least, n - 1))
+        return rows.select("id", none)
+    tree, _ = spanning_tree(rows, centers.shape[1], min(samples or least, n - 1))
     points = stored(numbered(rows.select("id"), [F.col("id").asc()], "v"))
     ordered = numbered(tree, [F.col("w").asc(), F.col("a").asc(), F.col("b").asc()], "r")
     ordered = stored(ordered.join(points.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(points.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from notegrove.operators import density
+from notegrove.operators import ann, density
 from notegrove.plans.registry import QUERIES
 
 ZERO = density.ZERO
@@ -125,3 +125,26 @@ def test_given_vectors(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
     got = {r["id"]: r["cluster"] for r in QUERIES["q_density_clusters"](spark, sf).collect()}
     assert got == plain(rows, 3) and any(c is not None for c in got.values())
+
+
+def test_rows_are_not_copied_to_cells(spark, monkeypatch):
+    """Blocks meet in tasks, not as a row of a shuffle for every cell; of equal vectors one is searched for, and no more rows than must be."""
+
+    def stop(*_, **__):
+        raise AssertionError("each row goes to every cell")
+
+    asked, outside = [], density._outside
+    monkeypatch.setattr(ann, "probed", stop)
+    monkeypatch.setattr(density, "_outside", lambda rows, n, dims, todo: asked.append(todo.count()) or outside(rows, n, dims, todo))
+    monkeypatch.setattr(density, "BLOCK_BYTES", 1024)
+    rows = blobs(200, 3, 0.15, seed=4)
+    rows += [(10_000 + i, rows[5 + 7 * (i % 3)][1]) for i in range(120)] + [(20_000 + i, rows[40 + i][1]) for i in range(6)]
+    assert run(spark, rows, least=4, cells=5) == plain(rows, 4)
+    assert asked and sum(asked) < len(rows)
+
+
+def test_one_vector_many_times(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(30)]
+    assert run(spark, rows, least=3) == plain(rows, 3)
+    rows = [(i, [float(i % 2), 2.0]) for i in range(30)]
+    assert run(spark, rows, least=3) == plain(rows, 3)
