@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 #: Input bytes that a bucket of hashes stands for, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 24
+#: Bits of a page of a bitmap, pages that the driver reads at a time, about, and bits that a task packs at a time.
+PAGE_BITS, PAGES, POOL_BITS = 1 << 22, 4, 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2^64
 _P_INV = pow(_P, -1, 1 << 64)
@@ -293,17 +295,41 @@ def scatter(key: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tupl
 
 
 def bitmap(df: DataFrame, bit: Column, bits: int) -> np.ndarray:
-    """A bitmap over 0..bits-1 of the values of a long expression, as packed 64-bit words: at most bits / 64 rows reach the
-    driver, whatever the number of rows."""
-    words = (
-        df.select(bit.alias("b"))
-        .groupBy(F.shiftright("b", 6).alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
-    )
+    """A bitmap over 0..bits-1 of the values of a long expression, as packed 64-bit words. Tasks send their bits packed by page
+    and make the pages; the driver reads a few pages at a time, so it holds the bitmap itself and no row for a word of it."""
+    size = min(bits, PAGE_BITS)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, held = [], 0
+        for b in batches:
+            pool.append(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+            held += len(pool[-1])
+            if held > POOL_BITS:
+                yield by_page(pool)
+                pool, held = [], 0
+        if held:
+            yield by_page(pool)
+
+    def by_page(pool: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.unique(np.concatenate(pool))
+        pages, first = np.unique(at // size, return_index=True)
+        place = (at % size).astype(np.uint32)
+        own = [place[i:j].tobytes() for i, j in zip(first, [*first[1:], len(at)], strict=True)]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(pages, pa.int32()), "at": pa.array(own, pa.binary())})
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_bucket(batches):
+            page = np.zeros(size, bool)
+            for x in (x for b in group for x in b.column("at").to_pylist()):
+                page[np.frombuffer(x, np.uint32)] = True
+            yield pa.RecordBatch.from_pydict({"bucket": group[0].column("bucket").slice(0, 1), "page": pa.array([np.packbits(page, bitorder="little").tobytes()], pa.binary())})
+
+    sent = df.select(bit.alias("b")).mapInArrow(send, "bucket int, at binary")
+    parts = max(1, bits // (PAGE_BITS * PAGES))
+    pages = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(fill, "bucket int, page binary")
     out = np.zeros(bits // 64, _U)
-    got = words.toPandas()
-    if len(got):
-        out[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(_U)
+    for page in pages.toLocalIterator():
+        out[page["bucket"] * (size // 64) :][: size // 64] = np.frombuffer(page["page"], _U)
     return out
 
 

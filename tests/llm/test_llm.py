@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -540,6 +541,24 @@ def test_bytes_of_local_and_joined_frames(spark, sf):
     assert common.input_bytes(d.limit(0)) == 0
 
 
+def test_bitmap_reaches_the_driver_in_pages(spark):
+    """Whatever the number of its words, the driver holds little more than the bitmap."""
+    rnd, bits = np.random.RandomState(4), 1 << 25
+    at = np.concatenate([rnd.randint(0, bits, 1_500_000), [0, 0, bits - 1]])
+    rows = spark.createDataFrame(pa.table({"b": pa.array(at)})).repartition(5).cache()
+    want = np.zeros(bits, bool)
+    want[at] = True
+    for n in (64, 1 << 10, bits):
+        tracemalloc.start()
+        got = common.bitmap(rows.where(F.col("b") < n), F.col("b"), n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.tobytes() == np.packbits(want[:n], bitorder="little").tobytes()
+        assert peak < n // 8 + (16 << 20)
+    assert not common.bitmap(rows.limit(0), F.col("b"), bits).any()
+    rows.unpersist()
+
+
 def test_near_copies_of_a_local_frame(spark):
     text = " ".join(f"w{i}" for i in range(80))
     d = spark.createDataFrame([(1, text, "a"), (2, text + " end", "b"), (3, "quite another text of some words", "c")], "doc_id long, text string, source string")
