@@ -325,8 +325,7 @@ def bitmap(df: DataFrame, bit: Column, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"bucket": group[0].column("bucket").slice(0, 1), "page": pa.array([np.packbits(page, bitorder="little").tobytes()], pa.binary())})
 
     sent = df.select(bit.alias("b")).mapInArrow(send, "bucket int, at binary")
-    parts = max(1, bits // (PAGE_BITS * PAGES))
-    pages = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(fill, "bucket int, page binary")
+    pages = dealt(sent).coalesce(max(1, bits // (PAGE_BITS * PAGES))).mapInArrow(fill, "bucket int, page binary")
     out = np.zeros(bits // 64, _U)
     for page in pages.toLocalIterator():
         out[page["bucket"] * (size // 64) :][: size // 64] = np.frombuffer(page["page"], _U)
